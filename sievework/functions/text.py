@@ -27,19 +27,6 @@ def dialect(pattern: str, ignore_case: bool = False, multiline: bool = False) ->
     return f"(?{flags}){pattern}"
 
 
-def matches(
-    col: Column, pattern: str, ignore_case: bool = False, hints: Iterable[str] = ()
-) -> Column:
-    """``col`` contains a match of ``pattern``.
-
-    ``hints`` are substrings of which every match must contain at least one.  They are
-    byte searches, so most lines never reach the regex (nor its UTF-8 decoding).
-    """
-    test = col.rlike(dialect(pattern, ignore_case))
-    hints = list(hints)
-    return (contains_any(col, hints) & test) if hints else test
-
-
 def contains_any(col: Column, needles: Iterable[str]) -> Column:
     return any_of(col.contains(n) for n in needles)
 

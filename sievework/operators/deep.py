@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.text import contains_any, dialect, line_at, matches, suffix
+from sievework.functions.predicates import both, case, group, has, match, text
+from sievework.functions.text import contains_any, dialect, line_at, suffix
 from sievework.operators.findings import dedupe
-from sievework.operators.index import SCRIPTS, state_line
-from sievework.operators.lines import Detector, describe, line_hits
+from sievework.operators.index import state_line
+from sievework.operators.lines import IN_SCRIPT, Detector, describe, line_hits
 from sievework.operators.packs import DEEP_PACK_EXTS, pack_detectors
 from sievework.schema import Rule, to_findings, union_all
 from sievework.sources.files import config_files, in_asset_dir, index_files
@@ -40,6 +41,7 @@ ADD_ANY = r"""addEventListener\s*\(\s*['"](\w+)['"]"""
 REMOVE = r"""removeEventListener\s*\(\s*['"](\w+)['"]\s*,\s*(\w+)"""
 ASYNC_EVENT = r"(?:onclick|addEventListener|\.on\()\s*.*(?:async|await|fetch|\.then)"
 HTTP_CALL = r"(?:(?<!\.)fetch\s*\(|axios\.\w+\s*\(|requests\.\w+\s*\(|httpx\.\w+\s*\(|urllib\.request)"
+NOT_CODE = r"""^\s*(?:#|//|\*|"|')"""
 CURSOR_FETCH = r"\.fetch(?:one|all|many)\s*\("
 FILE_INPUT = r"""(?:type\s*=\s*['"]file['"]|\.files\[|FileReader|readAsArrayBuffer)"""
 SIZE_CHECK = r"\.size\s*[><=]|maxSize|MAX_SIZE|file_size|fileSize"
@@ -48,184 +50,142 @@ CACHED_EXTS = [".wasm", ".js", ".css", ".woff2", ".woff", ".ttf", ".otf"]
 MEGABYTE = 1024 * 1024
 
 
-def _line() -> Column:
-    return F.col("line")
-
-
-def _script() -> Column:
-    return F.col("language").isin(*SCRIPTS)
-
-
 def _same_line(pattern: str) -> str:
     """The pattern for a whole file, where white space must not cross a line end."""
     return pattern.replace(r"\s", r"[^\S\n]")
 
 
-def state_kind(line: Column) -> Column:
-    kind = F.lit("mutable state")
-    for pattern, name in reversed(STATE_KINDS):
-        kind = F.when(line.rlike(dialect(pattern)), name).otherwise(kind)
-    return kind
-
-
-def timeout_seconds(line: Column) -> Column:
-    """First timeout on the line; values above 1000 are taken as milliseconds."""
-    value = F.nullif(F.regexp_extract(line, dialect(TIMEOUT, ignore_case=True), 1), F.lit(""))
-    n = value.try_cast("bigint")
-    return F.when(n > 1000, F.floor(n / 1000)).otherwise(n).cast("bigint")
-
-
-def platform_limit(deployment: Column) -> Column:
-    out = F.lit(DEFAULT_LIMIT)
-    for name, limit in TIMEOUT_LIMITS.items():
-        out = F.when(deployment == name, limit).otherwise(out)
-    return out
-
-
-def _listener_event() -> Column:
-    named = F.regexp_extract(_line(), dialect(ADD_NAMED), 1)
-    return F.coalesce(F.nullif(named, F.lit("")), F.regexp_extract(_line(), dialect(ADD_ANY), 1))
-
-
-def _listener_leaks() -> Column:
-    """An anonymous handler, or an event nothing in the file is removed from."""
-    named = F.nullif(F.regexp_extract(_line(), dialect(ADD_NAMED), 1), F.lit(""))
-    return named.isNull() | ~F.array_contains("removed_events", named)
+# SQL over ``line``: kind of state, seconds of the first timeout (values above 1000 are taken as
+# milliseconds), and the limit of a platform.
+STATE_KIND = case(*[(match("line", p), text(name)) for p, name in STATE_KINDS], default="'mutable state'")
+_TIMEOUT = f"try_cast(nullif({group('line', TIMEOUT, ignore_case=True)}, '') AS BIGINT)"
+SECONDS = f"CASE WHEN {_TIMEOUT} > 1000 THEN {_TIMEOUT} DIV 1000 ELSE {_TIMEOUT} END"
+LIMIT = case(*[(f"deployment = {text(n)}", str(v)) for n, v in TIMEOUT_LIMITS.items()], default=str(DEFAULT_LIMIT))
+NAMED_EVENT = f"nullif({group('line', ADD_NAMED)}, '')"
+EVENT = f"coalesce({NAMED_EVENT}, {group('line', ADD_ANY)})"
 
 
 def with_file_facts(files: DataFrame) -> DataFrame:
-    """What the line checks need to know about the whole file, from its own content."""
-    content = F.col("content")
-    none = F.array().cast("array<string>")
-    removed = F.when(
-        _script() & content.contains("removeEventListener"),
-        F.transform(
-            F.filter(F.split(content, "\n", -1), lambda l: l.contains("removeEventListener")),
-            lambda l: F.regexp_extract(l, dialect(REMOVE), 1),
-        ),
-    ).otherwise(none)
-    input_at = F.when(
-        _script()
-        & contains_any(content, ["file", ".files[", "FileReader", "readAsArrayBuffer"])
-        & ~content.rlike(dialect(_same_line(SIZE_CHECK))),
-        F.nullif(F.regexp_instr(content, F.lit(dialect(_same_line(FILE_INPUT)))), F.lit(0)),
+    """What the line checks need to know about the whole file, from its own content.
+
+    ``removed_events``: events some listener is removed from; ``input_line``: first file input
+    of a script without a size check; ``cors_line``: first wildcard origin.
+    """
+    removed = (
+        f"CASE WHEN {IN_SCRIPT} AND contains(content, 'removeEventListener') THEN "
+        f"transform(filter(split(content, '\\n', -1), l -> contains(l, 'removeEventListener')), "
+        f"l -> {group('l', REMOVE)}) ELSE CAST(array() AS array<string>) END"
     )
-    cors_at = F.when(
-        contains_any(content, ["cors", "CORS", "origin", "Origin"]),
-        F.nullif(F.regexp_instr(content, F.lit(dialect(_same_line(CORS_ANY)))), F.lit(0)),
+    input_at = (
+        f"CASE WHEN {IN_SCRIPT} AND {has('content', 'file', '.files[', 'FileReader', 'readAsArrayBuffer')} "
+        f"AND NOT {match('content', _same_line(SIZE_CHECK))} "
+        f"THEN nullif(regexp_instr(content, {text(dialect(_same_line(FILE_INPUT)))}), 0) END"
+    )
+    cors_at = (
+        f"CASE WHEN {has('content', 'cors', 'CORS', 'origin', 'Origin')} "
+        f"THEN nullif(regexp_instr(content, {text(dialect(_same_line(CORS_ANY)))}), 0) END"
     )
     return files.select(
         "*",
-        removed.alias("removed_events"),
-        content.contains("revokeObjectURL").alias("has_revoke"),
-        line_at(content, input_at).alias("input_line"),
-        line_at(content, cors_at).alias("cors_line"),
+        F.expr(removed).alias("removed_events"),
+        F.expr("contains(content, 'revokeObjectURL')").alias("has_revoke"),
+        line_at(F.col("content"), F.expr(input_at)).alias("input_line"),
+        line_at(F.col("content"), F.expr(cors_at)).alias("cors_line"),
     )
 
 
 FILE_FACTS = ["removed_events", "has_revoke", "input_line", "cors_line"]
 
+# an effect listens and no 'return' comes before its dependency list
+_RETURNS = "(effect_return IS NOT NULL AND (effect_deps IS NULL OR effect_return < effect_deps))"
+EFFECT_LEAKS = f"effect_listens AND NOT {_RETURNS}"
+# parity: without a dependency list ahead any non-empty look-ahead counts
+EFFECT_LEAKS_PARITY = (
+    f"CASE WHEN effect_deps IS NOT NULL THEN {EFFECT_LEAKS} "
+    f"ELSE effect_filled OR effect_last > line_no + 1 END"
+)
 
-def _http_call() -> Column:
-    hints = ["fetch", "axios.", "requests.", "httpx.", "urllib.request"]
-    skip = _line().rlike(r"""(?U)^\s*(?:#|//|\*|"|')""")
-    return (
-        matches(_line(), HTTP_CALL, hints=hints)
-        & ~matches(_line(), CURSOR_FETCH, hints=[".fetch"])
-        & ~skip
-    )
 
+def _rule(rule_id, severity, category, confidence, title, why, remedy) -> Rule:
+    return Rule(rule_id, severity, category, confidence, "deep", title, why, remedy)
 
-def _effect_leaks(parity: bool) -> Column:
-    before = F.col("effect_return").isNotNull() & (
-        F.col("effect_deps").isNull() | (F.col("effect_return") < F.col("effect_deps"))
-    )
-    intended = F.col("effect_listens") & ~before
-    if not parity:
-        return intended
-    # without a dependency list ahead any non-empty look-ahead counts
-    some = F.col("effect_filled") | (F.col("effect_last") > F.col("line_no") + 1)
-    return F.when(F.col("effect_deps").isNotNull(), intended).otherwise(some)
+
+CORS_RULE = _rule("cors-wildcard-api", "critical", "security", 0.9, "CORS wildcard allows any website to use your API",
+                  "Any site may call this API on a visitor's behalf.", "Name the allowed origins.")
 
 
 def deep_detectors(parity: bool = False) -> list[Detector]:
-    """Checks R33, R34 (sources), R36-R43 in reporting order.
+    """The checks on source files in reporting order.
 
-    ``is_serverless``, ``deployment``, ``is_web_app`` and ``is_api`` are joined after the pass.
+    The project's context (serverless, web application, API) is joined after the pass.
     """
-    def rule(rule_id, severity, category, confidence, title, why, remedy) -> Rule:
-        return Rule(rule_id, severity, category, confidence, "deep", title, why, remedy)
-
-    kind = lambda: F.concat(F.lit("Stateful "), state_kind(_line()), F.lit(" in serverless function"))
-    too_long = lambda: F.concat(
-        F.lit("Timeout ("), timeout_seconds(_line()).cast("string"), F.lit("s) exceeds "),
-        F.col("deployment"), F.lit(" limit ("), platform_limit(F.col("deployment")).cast("string"), F.lit("s)"),
-    )
     return [
         Detector(
-            rule("serverless-stateful-code", "critical", "logic", 0.85, "Stateful mutable state in serverless function",
-                 "Module state is lost at every cold start.", "Keep it in an external store."),
-            lambda: contains_any(F.col("path"), SERVER_DIRS) & state_line(_line(), F.col("language")),
-            title=kind,
-        ),
-        Detector(
-            rule("cors-wildcard-api", "critical", "security", 0.9, "CORS wildcard allows any website to use your API",
-                 "Any site may call this API on a visitor's behalf.", "Name the allowed origins."),
-            lambda: F.col("line_no") == F.col("cors_line"),
-            with_evidence=False,
+            _rule("serverless-stateful-code", "critical", "logic", 0.85, "Stateful mutable state in serverless function",
+                  "Module state is lost at every cold start.", "Keep it in an external store."),
+            both(has("path", *SERVER_DIRS), state_line("line")),
+            title=f"concat('Stateful ', {STATE_KIND}, ' in serverless function')",
         ),
+        Detector(CORS_RULE, "line_no = cors_line", with_evidence=False),
         Detector(
-            rule("timeout-exceeds-platform", "major", "logic", 0.7, "Timeout exceeds platform limit",
-                 "The platform ends the call before this timeout.", "Stay below the platform limit, or retry."),
-            lambda: F.lower(_line()).contains("timeout") & timeout_seconds(_line()).isNotNull(),
-            title=too_long,
+            _rule("timeout-exceeds-platform", "major", "logic", 0.7, "Timeout exceeds platform limit",
+                  "The platform ends the call before this timeout.", "Stay below the platform limit, or retry."),
+            both(has("lower(line)", "timeout"), f"{_TIMEOUT} IS NOT NULL"),
+            title=f"concat('Timeout (', {SECONDS}, 's) exceeds ', deployment, ' limit (', {LIMIT}, 's)')",
         ),
         Detector(
-            rule("recursive-serverless-invocation", "critical", "logic", 0.6, "Possible recursive serverless invocation",
-                 "An API route calls its own API over HTTP.", "Call the function directly."),
-            lambda: contains_any(F.col("path"), ROUTE_DIRS)
-            & matches(_line(), SELF_CALL, hints=["/api/"]),
+            _rule("recursive-serverless-invocation", "critical", "logic", 0.6, "Possible recursive serverless invocation",
+                  "An API route calls its own API over HTTP.", "Call the function directly."),
+            both(has("path", *ROUTE_DIRS), match("line", SELF_CALL, hints=["/api/"])),
         ),
         Detector(
-            rule("event-listener-leak", "major", "performance", 0.75, "Event listener never removed",
-                 "Each run adds one more handler.", "Remove it on teardown."),
-            lambda: _script() & matches(_line(), ADD_ANY, hints=["addEventListener"]) & _listener_leaks(),
-            title=lambda: F.concat(F.lit("Event listener '"), _listener_event(), F.lit("' never removed")),
+            _rule("event-listener-leak", "major", "performance", 0.75, "Event listener never removed",
+                  "Each run adds one more handler.", "Remove it on teardown."),
+            # an anonymous handler, or an event nothing in the file is removed from
+            both(
+                IN_SCRIPT, match("line", ADD_ANY, hints=["addEventListener"]),
+                f"{NAMED_EVENT} IS NULL OR NOT array_contains(removed_events, {NAMED_EVENT})",
+            ),
+            title=f"concat('Event listener \\'', {EVENT}, '\\' never removed')",
             with_evidence=False,
         ),
         Detector(
-            rule("blob-url-leak", "major", "performance", 0.85, "Blob URL created but never revoked",
-                 "The blob stays in memory until it is revoked.", "Revoke the URL after use."),
-            lambda: _script() & _line().contains("createObjectURL") & ~F.col("has_revoke"),
+            _rule("blob-url-leak", "major", "performance", 0.85, "Blob URL created but never revoked",
+                  "The blob stays in memory until it is revoked.", "Revoke the URL after use."),
+            both(IN_SCRIPT, has("line", "createObjectURL"), "NOT has_revoke"),
             with_evidence=False,
         ),
         Detector(
-            rule("useeffect-missing-cleanup", "major", "performance", 0.8, "useEffect adds listener without cleanup",
-                 "Every render adds a listener.", "Return a function that removes it."),
-            lambda: _script() & _line().contains("useEffect"),
+            _rule("useeffect-missing-cleanup", "major", "performance", 0.8, "useEffect adds listener without cleanup",
+                  "Every render adds a listener.", "Return a function that removes it."),
+            both(IN_SCRIPT, has("line", "useEffect")),
             needs=("effect_ahead", "effect_block") if parity else ("effect_ahead",),
-            keep=lambda: _effect_leaks(parity),
+            keep=EFFECT_LEAKS_PARITY if parity else EFFECT_LEAKS,
             with_evidence=False,
         ),
         Detector(
-            rule("unguarded-async-handler", "major", "logic", 0.6, "Async operation without re-entry guard",
-                 "A second event can start the work again before it ends.", "Check and set a busy flag."),
-            lambda: _script() & matches(_line(), ASYNC_EVENT, hints=["onclick", "addEventListener", ".on("]),
+            _rule("unguarded-async-handler", "major", "logic", 0.6, "Async operation without re-entry guard",
+                  "A second event can start the work again before it ends.", "Check and set a busy flag."),
+            both(IN_SCRIPT, match("line", ASYNC_EVENT, hints=["onclick", "addEventListener", ".on("])),
             needs=("guarded",),
-            keep=lambda: ~F.col("guarded"),
+            keep="NOT guarded",
             with_evidence=False,
         ),
         Detector(
-            rule("missing-api-timeout", "major", "logic", 0.7, "External API call without timeout",
-                 "A remote that hangs makes this hang too.", "Set a timeout."),
-            _http_call,
+            _rule("missing-api-timeout", "major", "logic", 0.7, "External API call without timeout",
+                  "A remote that hangs makes this hang too.", "Set a timeout."),
+            both(
+                match("line", HTTP_CALL, hints=["fetch", "axios.", "requests.", "httpx.", "urllib.request"]),
+                f"NOT {match('line', CURSOR_FETCH, hints=['.fetch'])}",
+                f"NOT {match('line', NOT_CODE)}",
+            ),
             needs=("timeout_near",),
-            keep=lambda: ~F.col("timeout_near"),
+            keep="NOT timeout_near",
         ),
         Detector(
-            rule("missing-filesize-validation", "major", "logic", 0.8, "File upload without size validation",
-                 "A file of any size is accepted.", "Check the size before reading the file."),
-            lambda: F.col("line_no") == F.col("input_line"),
+            _rule("missing-filesize-validation", "major", "logic", 0.8, "File upload without size validation",
+                  "A file of any size is accepted.", "Check the size before reading the file."),
+            "line_no = input_line",
             with_evidence=False,
         ),
     ]
@@ -235,10 +195,14 @@ NEEDS_SERVERLESS = ["serverless-stateful-code", "timeout-exceeds-platform", "rec
 
 
 def code_checks(
-    files: DataFrame, context: DataFrame, packs: bool = False, parity: bool = False
+    files: DataFrame, context: DataFrame, packs: bool = False, parity: bool = False,
+    only: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Findings on source files: one pass, then one join with the project context."""
-    detectors = deep_detectors(parity)
+    """Findings on source files: one pass, then one join with the project context.
+
+    ``only`` limits the pass to some rule ids.
+    """
+    detectors = [d for d in deep_detectors(parity) if not only or d.rule.rule_id in only]
     if packs:
         detectors += pack_detectors(built_in(*DOMAIN_PACKS), DEEP_PACK_EXTS)
     hits = line_hits(with_file_facts(index_files(files)), detectors, *FILE_FACTS)
@@ -248,15 +212,16 @@ def code_checks(
     h = h.withColumns({f: F.coalesce(f, F.lit(False)) for f in flags})
     ids = [d.rule.rule_id for d in detectors]
 
-    def det(*names: str) -> Column:
-        return F.col("det").isin(*[ids.index(n) for n in names])
+    def unless(rule_id: str, cond: str) -> str:
+        return f"(det <> {ids.index(rule_id)} OR ({cond}))" if rule_id in ids else "true"
 
-    late = timeout_seconds(_line()) > platform_limit(F.col("deployment"))
     h = h.where(
-        (~det(*NEEDS_SERVERLESS) | F.col("is_serverless"))
-        & (~det("timeout-exceeds-platform") | late)
-        & (~det("missing-filesize-validation") | F.col("is_web_app"))
-        & (~det("cors-wildcard-api") | F.col("is_api"))
+        both(
+            *[unless(r, "is_serverless") for r in NEEDS_SERVERLESS],
+            unless("timeout-exceeds-platform", f"{SECONDS} > {LIMIT}"),
+            unless("missing-filesize-validation", "is_web_app"),
+            unless("cors-wildcard-api", "is_api"),
+        )
     )
     return describe(h, detectors)
 
@@ -270,9 +235,8 @@ def config_cors(files: DataFrame, context: DataFrame) -> DataFrame:
         config_files(files).where((F.col("name") == "vercel.json") & open_cors)
         .join(context.where("is_api").select("project"), "project", "left_semi")
     )
-    detector = deep_detectors()[1]
     return to_findings(
-        hits, detector.rule, file=F.col("name"), line_no=line_at(c, F.instr(c, star)), order=-1
+        hits, CORS_RULE, file=F.col("name"), line_no=line_at(c, F.instr(c, star)), order=-1
     )
 
 

@@ -7,13 +7,13 @@ import sys
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions.predicates import isin, starts
 from sievework.functions.text import (
     contains_any,
     dialect,
     file_name,
     parent_dir,
     path_parts,
-    starts_with_any,
     stem,
     suffix,
 )
@@ -86,7 +86,7 @@ def unknown_python_imports(
     and Spark splits a hot key of an anti join by itself.
     """
     known = [*STDLIB, *importable]
-    left = python_imports(facts).where(~F.col("root").isin(*known))
+    left = python_imports(facts).where(f"NOT {isin('root', known)}")
     left = left.withColumn("_name", F.lower("root")).withColumn("_dir", parent_dir(F.col("path")))
     pypi = packages.where(F.col("ecosystem") == "pypi").select(
         "project", F.lower("name").alias("_name")
@@ -127,7 +127,7 @@ def script_imports(files: DataFrame) -> DataFrame:
 
 def unknown_script_imports(files: DataFrame, packages: DataFrame) -> DataFrame:
     found = script_imports(files).where(
-        ~F.col("package").isin(*RUNTIME_MODULES) & ~starts_with_any(F.col("package"), ALIASES)
+        f"NOT {isin('package', RUNTIME_MODULES)} AND NOT {starts('package', *ALIASES)}"
     )
     npm = packages.where(F.col("ecosystem") == "npm").select("project", F.col("name").alias("package"))
     return found.join(npm, ["project", "package"], "left_anti")

@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.functions.predicates import both, either, has, isin, match, starts
 from sievework.functions.skew import budget_prefix
 from sievework.functions.text import (
-    contains_any,
     dialect,
     join_path,
     line_count,
     normal_path,
     parent_dir,
     path_parts,
-    starts_with_any,
-    strip,
 )
 from sievework.schema import FILE, union_all
 from sievework.sources.files import config_files, index_files, pack_files
@@ -61,26 +59,23 @@ def _by_language(python: Column, script: Column) -> Column:
     )
 
 
-def state_line(line: Column, language: Column) -> Column:
-    """Module-level assignment of something mutable."""
-    s = strip(line)
-    py = (
-        contains_any(line, ["="])
-        & ~line.startswith(" ")
-        & ~line.startswith("\t")
-        & ~starts_with_any(s, PY_STATE_SKIP)
-        & s.rlike(dialect(PY_STATE))
+def state_line(line: str) -> str:
+    """Module-level assignment of something mutable (SQL over ``line`` and language)."""
+    s = f"regexp_replace({line}, '(?U)^\\\\s+|\\\\s+$', '')"
+    py = both(
+        "language = 'python'", has(line, "="), f"NOT {starts(line, ' ', chr(9))}",
+        f"NOT {starts(s, *PY_STATE_SKIP)}", match(s, PY_STATE),
     )
-    js = contains_any(line, ["let", "var"]) & ~starts_with_any(s, JS_STATE_SKIP) & s.rlike(dialect(JS_STATE))
-    return ((language == "python") & py) | (language.isin(*SCRIPTS) & js)
+    js = both(
+        isin("language", SCRIPTS), has(line, "let", "var"), f"NOT {starts(s, *JS_STATE_SKIP)}", match(s, JS_STATE)
+    )
+    return either([py, js])
 
 
 def global_state_lines() -> Column:
-    numbered = F.transform(
-        F.split("content", "\n", -1),
-        lambda l, i: F.when(state_line(l, F.col("language")), i + 1),
+    return F.expr(
+        f"array_compact(transform(split(content, '\\n', -1), (l, i) -> CASE WHEN {state_line('l')} THEN i + 1 END))"
     )
-    return F.array_compact(numbered)
 
 
 def file_index(files: DataFrame) -> DataFrame:

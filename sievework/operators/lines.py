@@ -7,6 +7,9 @@ hit, or that carry a flag some hit needs, go on; of those without a hit just the
 number and the flags.  One exchange on (project, path) then serves every window, because the
 frames are ranges of ``line_no`` and so do not need the dropped lines.  Without a window there
 is no exchange at all.
+
+Predicates are SQL text over the columns project, path, ext, language and line (and columns a
+job adds per file); conditions see the columns of the signals they need.
 """
 
 from __future__ import annotations
@@ -17,40 +20,51 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.text import any_of, contains_any, count_char, matches, strip
+from sievework.functions.predicates import both, case, either, has, isin, match, text
+from sievework.functions.text import strip
 from sievework.schema import FILE, Rule
 
 # Extension sets of the detector families.
 PYTHON = (".py",)
 SCRIPT = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")
 SCRIPT_LOOPS = (".js", ".jsx", ".ts", ".tsx")
+SCRIPT_LANGUAGES = ("javascript", "typescript")
 
+# Patterns of the line context.
 LOOP_OPEN = r"\b(?:for|while|forEach|\.map|\.filter|\.reduce)\s*\("
 LOOP_HINTS = ("for", "while", ".map", ".filter", ".reduce")
 GUARD = r"(?:isProcessing|isLoading|isBusy|isRunning|disabled|loading)"
 
+# whole-line comment after stripping: '#', '//' or '*'
+COMMENT_LINE = match("line", r"^\s*(?:#|//|\*)")
+# only a string, or touching a triple-quoted one
+LITERAL_LINE = either([match("line", r"""^\s*(?:"|'|f')"""), has("line", '"""', "'''")])
+# defines a pattern rather than uses it
+DEFINITION_LINE = has("line", "re.compile", "Pattern")
+IN_SCRIPT = isin("language", SCRIPT_LANGUAGES)
+
 
 @dataclass(frozen=True)
 class Signal:
-    """A per-line flag and the window that turns it into context for other lines.
+    """Per-line flags and the windows that turn them into context for other lines.
 
     ``gate`` is evaluated once per file: where it is false the file cannot have a hit that
-    looks at this signal, and its flag lines are not shuffled.
+    looks at this signal, and its flag lines are not shuffled.  Window columns named ``w_…``
+    are steps on the way.
     """
 
-    flags: dict[str, Callable[[], Column]]
-    gate: Callable[[], Column]
+    gate: str
+    flags: dict[str, str]
     windows: Callable[[], list[tuple[str, Column]]]
 
 
 @dataclass(frozen=True)
 class Detector:
     rule: Rule
-    match: Callable[[], Column]
+    match: str
     needs: tuple[str, ...] = ()
-    keep: Callable[[], Column] | None = None
-    title: Callable[[], Column] | None = None
-    description: Callable[[], Column] | None = None
+    keep: str | None = None
+    title: str | None = None  # SQL, where the title depends on the line
     with_evidence: bool = True
     file_level: bool = False  # the finding has a file but no line
 
@@ -62,32 +76,10 @@ def explode_lines(files: DataFrame, *keep: str) -> DataFrame:
     ).select(*FILE, "ext", "language", *keep, (F.col("pos") + 1).alias("line_no"), "line")
 
 
-def comment_line() -> Column:
-    """Whole-line comment after stripping: '#', '//' or '*'."""
-    return F.col("line").rlike(r"(?U)^\s*(?:#|//|\*)")
-
-
-def literal_line() -> Column:
-    """Line that is only a string, or touches a triple-quoted one."""
-    line = F.col("line")
-    return (
-        line.rlike(r"""(?U)^\s*(?:"|'|f')""") | line.contains('"""') | line.contains("'''")
-    )
-
-
-def definition_line() -> Column:
-    """Line that defines a pattern rather than uses it."""
-    return contains_any(F.col("line"), ["re.compile", "Pattern"])
-
-
 def evidence(line: Column) -> Column:
     return F.substring(strip(line), 1, 200)
 
 
-def _by_line(first: int, last: int):
-    return _file_window().rangeBetween(first, last)
-
-
 def _file_window():
     return Window.partitionBy(*FILE).orderBy("line_no")
 
@@ -100,27 +92,33 @@ def _so_far():
     return _file_window().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _line() -> Column:
-    return F.col("line")
-
-
-def _content() -> Column:
-    return F.col("content")
+def _by_line(first: int, last: int):
+    return _file_window().rangeBetween(first, last)
 
 
 def _near(flag: str, first: int, last: int) -> Column:
     return F.coalesce(F.max(flag).over(_by_line(first, last)), F.lit(False))
 
 
-def _true(cond: Column) -> Column:
+def _true(cond: str) -> str:
     """True or null, so that a false flag does not keep a line."""
-    return F.when(cond, F.lit(True))
+    return f"CASE WHEN {cond} THEN true END"
+
 
+def _mark(needle: str) -> str:
+    """Place of the needle: line, then character."""
+    n = text(needle)
+    return f"CASE WHEN contains(line, {n}) THEN struct(line_no, instr(line, {n}) AS at) END"
 
-def block_event() -> Column:
-    """True where a block comment opens, false where one closes, else null."""
-    opens, closes = _line().contains("/*"), _line().contains("*/")
-    return F.when(opens & ~closes, F.lit(True)).when(closes & ~opens, F.lit(False))
+
+def _block_windows() -> list[tuple[str, Column]]:
+    last = F.last("f_block", ignorenulls=True).over(_before())
+    return [("in_block", F.coalesce(last, F.lit(False)))]
+
+
+def _sql_windows() -> list[tuple[str, Column]]:
+    mark, bound, names = (_near(f, -24, 10) for f in ("f_mark", "f_bound", "f_names"))
+    return [("sql_safe", (mark & bound) | names)]
 
 
 def _loop_windows() -> list[tuple[str, Column]]:
@@ -135,181 +133,160 @@ def _loop_windows() -> list[tuple[str, Column]]:
     ]
 
 
-def _sql_windows() -> list[tuple[str, Column]]:
-    near = lambda f: _near(f, -24, 10)
+def _effect_windows() -> list[tuple[str, Column]]:
     return [
-        ("sql_safe", (near("f_mark") & near("f_bound")) | near("f_names")),
+        ("effect_listens", _near("f_listen", 1, 30)),
+        ("effect_return", F.min("f_return").over(_by_line(1, 30))),
+        ("effect_deps", F.min("f_deps").over(_by_line(1, 30))),
     ]
 
 
-def _is_sql_file() -> Column:
-    ext = F.col("ext")
-    return (ext.isin(*PYTHON) & _content().contains("execute")) | (
-        ext.isin(*SCRIPT) & contains_any(_content(), ["query", "sql"])
-    )
+def _effect_block_windows() -> list[tuple[str, Column]]:
+    return [
+        ("effect_filled", _near("f_filled", 1, 30)),
+        ("effect_last", F.coalesce(F.max("line_no").over(_by_line(1, 30)), F.lit(0))),
+    ]
+
 
+_OPENS = "contains(line, '/*') AND NOT contains(line, '*/')"
+_CLOSES = "contains(line, '*/') AND NOT contains(line, '/*')"
 
 SIGNALS: dict[str, Signal] = {
+    # true where a block comment opens, false where one closes
     "in_block": Signal(
-        {"f_block": block_event},
-        lambda: _content().contains("/*"),
-        lambda: [
-            ("in_block", F.coalesce(F.last("f_block", ignorenulls=True).over(_before()), F.lit(False)))
-        ],
+        "contains(content, '/*')",
+        {"f_block": case((_OPENS, "true"), (_CLOSES, "false"))},
+        _block_windows,
     ),
     "sql_safe": Signal(
+        either(
+            [
+                both(isin("ext", PYTHON), has("content", "execute")),
+                both(isin("ext", SCRIPT), has("content", "query", "sql")),
+            ]
+        ),
         {
-            "f_mark": lambda: _true(_line().contains("?")),
-            "f_bound": lambda: _true(
-                contains_any(_line(), ["placeholders", "params", ", vals"])
-                | F.upper(_line()).contains("VALUES (")
+            "f_mark": _true("contains(line, '?')"),
+            "f_bound": _true(
+                either([has("line", "placeholders", "params", ", vals"), has("upper(line)", "VALUES (")])
             ),
-            "f_names": lambda: _true(
-                contains_any(_line(), ["for table in", "for col in"])
-                | matches(_line(), r"""col\s*=\s*["']""", hints=["col"])
+            "f_names": _true(
+                either(
+                    [
+                        has("line", "for table in", "for col in"),
+                        match("line", r"""col\s*=\s*["']""", hints=["col"]),
+                    ]
+                )
             ),
         },
-        _is_sql_file,
         _sql_windows,
     ),
     "loop_depth": Signal(
+        both(isin("ext", SCRIPT_LOOPS), has("content", "fetch", "axios", "http", "document.querySelector")),
         {
-            "f_opened": lambda: F.when(matches(_line(), LOOP_OPEN, hints=LOOP_HINTS), F.lit(1)),
-            "f_closed": lambda: F.when(_line().contains("}"), count_char(_line(), "}")),
+            "f_opened": f"CASE WHEN {match('line', LOOP_OPEN, hints=LOOP_HINTS)} THEN 1 END",
+            "f_closed": "CASE WHEN contains(line, '}') THEN length(line) - length(replace(line, '}', '')) END",
         },
-        lambda: F.col("ext").isin(*SCRIPT_LOOPS)
-        & contains_any(_content(), ["fetch", "axios", "http", "document.querySelector"]),
         _loop_windows,
     ),
     "guarded": Signal(
-        {"f_guard": lambda: _true(_line().rlike(GUARD))},
-        lambda: F.col("language").isin("javascript", "typescript")
-        & contains_any(_content(), ["onclick", "addEventListener", ".on("]),
+        both(IN_SCRIPT, has("content", "onclick", "addEventListener", ".on(")),
+        {"f_guard": _true(match("line", GUARD))},
         lambda: [("guarded", _near("f_guard", -9, 20))],
     ),
     "timeout_near": Signal(
-        {"f_timeout": lambda: _true(F.lower(_line()).contains("timeout"))},
-        lambda: contains_any(_content(), ["fetch", "axios", "requests", "httpx", "urllib"]),
+        has("content", "fetch", "axios", "requests", "httpx", "urllib"),
+        {"f_timeout": _true(has("lower(line)", "timeout"))},
         lambda: [("timeout_near", _near("f_timeout", -2, 5))],
     ),
     # first 'return' against the first dependency list in the 30 lines after an effect
     "effect_ahead": Signal(
+        both(IN_SCRIPT, has("content", "useEffect")),
         {
-            "f_listen": lambda: _true(_line().contains("addEventListener")),
-            "f_return": lambda: _mark("return"),
-            "f_deps": lambda: _mark("}, ["),
+            "f_listen": _true("contains(line, 'addEventListener')"),
+            "f_return": _mark("return"),
+            "f_deps": _mark("}, ["),
         },
-        lambda: F.col("language").isin("javascript", "typescript")
-        & _content().contains("useEffect"),
-        lambda: [
-            ("effect_listens", _near("f_listen", 1, 30)),
-            ("effect_return", F.min("f_return").over(_by_line(1, 30))),
-            ("effect_deps", F.min("f_deps").over(_by_line(1, 30))),
-        ],
+        _effect_windows,
     ),
     "effect_block": Signal(
-        {"f_filled": lambda: _line() != ""},
-        lambda: F.col("language").isin("javascript", "typescript")
-        & _content().contains("useEffect"),
-        lambda: [
-            ("effect_filled", _near("f_filled", 1, 30)),
-            ("effect_last", F.coalesce(F.max("line_no").over(_by_line(1, 30)), F.lit(0))),
-        ],
+        both(IN_SCRIPT, has("content", "useEffect")),
+        {"f_filled": "line <> ''"},
+        _effect_block_windows,
     ),
 }
 
 
-def _mark(text: str) -> Column:
-    return F.when(
-        _line().contains(text),
-        F.struct(F.col("line_no").alias("line_no"), F.instr(_line(), text).alias("at")),
-    )
-
-
 def line_hits(files: DataFrame, detectors: Sequence[Detector], *keep: str) -> DataFrame:
-    """(project, path, ext, keep…, line_no, det, line): one row per detector hit.
+    """(project, path, ext, keep…, line_no, det, line, signal columns): a row per detector hit.
 
-    ``files`` needs project, path, ext, language and content.
+    ``files`` needs project, path, ext, language and content; ``keep`` names further columns
+    of it that the predicates use.
     """
     needs = sorted({n for d in detectors for n in d.needs})
-    gates = {n: SIGNALS[n].gate() for n in needs}
-    gated = files.select("*", *[g.alias(f"g_{n}") for n, g in gates.items()])
-    lines = explode_lines(gated, *keep, *[f"g_{n}" for n in needs])
-
-    conds = [d.match() for d in detectors]
-    flags: dict[str, Column] = {}
-    for n in needs:
-        for name, make in SIGNALS[n].flags.items():
-            flags[name] = F.when(F.col(f"g_{n}"), make())
-    wanted = any_of(conds)
-    if flags:
-        wanted = any_of(f.isNotNull() for f in flags.values()) | wanted
-    kept = lines.where(wanted)
-
-    hits = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(conds)]))
-    slim = kept.select(
-        *FILE, "ext", *keep, "line_no", hits.alias("hits"), "line", *[c.alias(n) for n, c in flags.items()]
+    gates = [F.expr(f"{SIGNALS[n].gate} AS g_{n}") for n in needs]
+    lines = explode_lines(files.select("*", *gates), *keep, *[f"g_{n}" for n in needs])
+
+    flags = {
+        name: f"CASE WHEN g_{n} THEN {flag} END" for n in needs for name, flag in SIGNALS[n].flags.items()
+    }
+    wanted = [f"({f}) IS NOT NULL" for f in flags.values()] + [d.match for d in detectors]
+    hits = ", ".join(f"CASE WHEN {d.match} THEN {i} END" for i, d in enumerate(detectors))
+    slim = lines.where(either(wanted)).select(
+        *FILE, "ext", *keep, "line_no", F.expr(f"array_compact(array({hits})) AS hits"), "line",
+        *[F.expr(f"{f} AS {name}") for name, f in flags.items()],
     ).withColumn("line", F.when(F.size("hits") > 0, F.col("line")))
 
+    context = []
     for n in needs:
         for name, col in SIGNALS[n].windows():
             slim = slim.withColumn(name, col)
+            context += [] if name.startswith("w_") else [name]
 
     each = slim.where(F.size("hits") > 0).withColumn("det", F.explode("hits"))
-    checks = [
-        (F.col("det") != i) | d.keep() for i, d in enumerate(detectors) if d.keep is not None
-    ]
-    for check in checks:
-        each = each.where(check)
-    names = [name for n in needs for name, _ in SIGNALS[n].windows() if not name.startswith("w_")]
-    return each.select(*FILE, "ext", *keep, "line_no", "det", "line", *names)
+    checks = [f"(det <> {i} OR ({d.keep}))" for i, d in enumerate(detectors) if d.keep]
+    if checks:
+        each = each.where(" AND ".join(checks))
+    return each.select(*FILE, "ext", *keep, "line_no", "det", "line", *context)
+
+
+def line_signals(files: DataFrame, *names: str) -> DataFrame:
+    """Every line of ``files`` with the context columns of the named signals."""
+    every = Detector(Rule("line", "info", "style", 1.0, "code", ""), "true", needs=names)
+    return line_hits(files, [every]).drop("det")
 
 
 def line_findings(files: DataFrame, detectors: Sequence[Detector], *keep: str) -> DataFrame:
     """Findings of ``detectors``; ``keep`` names file columns to carry along."""
-    hits = line_hits(files, detectors, *keep)
-    return describe(hits, detectors, *keep)
+    return describe(line_hits(files, detectors, *keep), detectors, *keep)
 
 
-def describe(hits: DataFrame, detectors: Sequence[Detector], *keep: str) -> DataFrame:
-    """Attach what each detector says; the literals never travel through the shuffle."""
-    facts = F.array(
-        *[
-            F.struct(
-                F.lit(d.rule.rule_id).alias("rule_id"),
-                F.lit(d.rule.severity).alias("severity"),
-                F.lit(d.rule.category).alias("category"),
-                F.lit(d.rule.title).alias("title"),
-                F.lit(d.rule.why).alias("description"),
-                F.lit(d.rule.remedy).cast("string").alias("suggestion"),
-                F.lit(float(d.rule.confidence)).alias("confidence"),
-                F.lit(d.rule.engine).alias("engine"),
-                F.lit(d.with_evidence).alias("quoted"),
-                F.lit(d.file_level).alias("file_level"),
-            )
-            for d in detectors
-        ]
+def _facts(d: Detector) -> str:
+    r = d.rule
+    return (
+        f"named_struct('rule_id', {text(r.rule_id)}, 'severity', {text(r.severity)}, "
+        f"'category', {text(r.category)}, 'title', {text(r.title)}, 'description', {text(r.why)}, "
+        f"'suggestion', {text(r.remedy)}, 'confidence', {float(r.confidence)!r}D, "
+        f"'engine', {text(r.engine)}, 'quoted', {str(d.with_evidence).lower()}, "
+        f"'file_level', {str(d.file_level).lower()})"
     )
-    m = hits.withColumn("m", F.element_at(facts, F.col("det") + 1))
 
-    def dynamic(attr: str, default: Column) -> Column:
-        out = default
-        for i, d in enumerate(detectors):
-            make = getattr(d, attr)
-            if make is not None:
-                out = F.when(F.col("det") == i, make()).otherwise(out)
-        return out
 
+def describe(hits: DataFrame, detectors: Sequence[Detector], *keep: str) -> DataFrame:
+    """Attach what each detector says; the literals never travel through the shuffle."""
+    facts = ", ".join(_facts(d) for d in detectors)
+    titles = [(f"det = {i}", d.title) for i, d in enumerate(detectors) if d.title]
+    m = hits.withColumn("m", F.expr(f"element_at(array({facts}), det + 1)"))
     return m.select(
         "project",
         F.col("path").alias("file"),
-        F.when(~F.col("m.file_level"), F.col("line_no").cast("int")).alias("line_no"),
-        F.lit(None).cast("int").alias("end_line"),
+        F.expr("CASE WHEN NOT m.file_level THEN CAST(line_no AS INT) END AS line_no"),
+        F.expr("CAST(NULL AS INT) AS end_line"),
         "m.rule_id",
         "m.severity",
         "m.category",
-        dynamic("title", F.col("m.title")).alias("title"),
-        dynamic("description", F.col("m.description")).alias("description"),
+        F.expr(f"{case(*titles, default='m.title')} AS title"),
+        "m.description",
         "m.suggestion",
         "m.confidence",
         "m.engine",

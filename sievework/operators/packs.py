@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from sievework.functions.text import any_of, glob_match, matches
+from sievework.functions.predicates import both, either, isin, match, text
+from sievework.functions.text import glob_regex
 from sievework.operators.lines import Detector, line_findings
 from sievework.schema import Rule
 from sievework.sources.rules import LineRuleSpec, built_in
@@ -20,19 +20,16 @@ DEEP_PACK_EXTS = (".py", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")
 def pack_detector(spec: LineRuleSpec, exts: Sequence[str] = PACK_EXTS) -> Detector:
     scope = [e for e in exts if not spec.exts or e in spec.exts]
 
-    def match() -> Column:
-        test = F.col("ext").isin(*scope) if scope else F.lit(False)
-        if spec.globs:
-            test = test & any_of(glob_match(F.col("path"), g) for g in spec.globs)
-        test = test & matches(F.col("line"), spec.regex, hints=spec.hints)
-        if spec.exclude:
-            test = test & ~matches(F.col("line"), spec.exclude)
-        return test
-
+    test = [isin("ext", scope)]
+    if spec.globs:
+        test.append(either(f"path RLIKE {text(glob_regex(g))}" for g in spec.globs))
+    test.append(match("line", spec.regex, hints=spec.hints))
+    if spec.exclude:
+        test.append(f"NOT {match('line', spec.exclude)}")
     return Detector(
         Rule(spec.rule_id, spec.severity, spec.category, spec.confidence, "rules",
              spec.message, spec.description, spec.suggestion),
-        match,
+        both(*test),
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.text import any_of, contains_any, dialect, file_name, has_part, matches
+from sievework.functions.predicates import both, case, either, group, has, isin, match, text
+from sievework.functions.text import contains_any, dialect, file_name, has_part
 from sievework.operators.lines import Detector, describe, line_hits
 from sievework.schema import Rule, to_findings, union_all
 from sievework.sources.files import in_asset_dir, readmes
@@ -54,6 +55,7 @@ JARGON = (
     r"stack trace|exception|null|undefined|NaN)\b[^<]*<"
 )
 ERROR_CODE = r">[^<]*\b(?:error\s*code|status\s*\d{3}|errno|exit\s*code)\b[^<]*<"
+COMMENTED = r"^\s*(?://|#)"
 UNFRIENDLY = [
     (r"(?:err|error)\.(?:message|stack|toString)", "Raw error object exposed to user"),
     (r"(?:throw|raise)\s+(?:new\s+)?(?:Error|Exception)\s*\(\s*`", "Template literal in thrown error might reach UI"),
@@ -96,15 +98,14 @@ def _signal_files(files: DataFrame) -> DataFrame:
 
 def project_signals(files: DataFrame) -> DataFrame:
     """One row per project with its eighteen feature flags: one pass, partial booleans."""
+    flags = {name: has("text", *words) for name, words in SIGNAL_WORDS.items()}
+    flags["has_admin"] = has("rel", "admin", "dashboard")
+    flags["has_dashboard"] = either([has("text", "dashboard"), has("rel", "dashboard")])
+    flags["has_mobile_meta"] = both(has("text", "viewport"), has("text", "width=device-width"))
     lowered = _signal_files(files).select(
         "project", F.lower("path").alias("rel"), F.lower("content").alias("text")
     )
-    text, rel = F.col("text"), F.col("rel")
-    flags = {name: contains_any(text, words) for name, words in SIGNAL_WORDS.items()}
-    flags["has_admin"] = contains_any(rel, ["admin", "dashboard"])
-    flags["has_dashboard"] = text.contains("dashboard") | rel.contains("dashboard")
-    flags["has_mobile_meta"] = text.contains("viewport") & text.contains("width=device-width")
-    return lowered.groupBy("project").agg(*[F.bool_or(flags[s]).alias(s) for s in SIGNALS])
+    return lowered.groupBy("project").agg(*[F.expr(f"bool_or({flags[n]})").alias(n) for n in SIGNALS])
 
 
 def samples(files: DataFrame) -> DataFrame:
@@ -207,108 +208,90 @@ def audiences(people: DataFrame) -> DataFrame:
     )
 
 
-def _line() -> Column:
-    return F.col("line")
-
-
 def _rule(rule_id, severity, confidence, title, why, remedy) -> Rule:
     return Rule(rule_id, severity, "ai_pattern", confidence, "persona", title, why, remedy)
 
 
-def _first_hover() -> Column:
+def _first_hover() -> str:
     """First line with a hover style and no touch style near the first place that text occurs."""
-    content = F.col("content")
-
-    def near(line: Column) -> Column:
-        at = F.instr(content, line) - 1
-        start = F.greatest(at - HOVER_SPAN, F.lit(0))
-        return F.substring(content, start + 1, at + HOVER_SPAN - start)
-
-    numbered = F.transform(
-        F.split(content, "\n", -1),
-        lambda l, i: F.when(
-            l.contains(":hover") & ~l.contains("@media") & ~contains_any(near(l), TOUCH), i + 1
-        ),
-    )
-    return F.try_element_at(F.array_compact(numbered), F.lit(1))
+    start = f"greatest(instr(content, l) - 1 - {HOVER_SPAN}, 0)"
+    near = f"substring(content, {start} + 1, instr(content, l) - 1 + {HOVER_SPAN} - {start})"
+    test = both("contains(l, ':hover')", "NOT contains(l, '@media')", f"NOT {has(near, *TOUCH)}")
+    numbered = f"transform(split(content, '\\n', -1), (l, i) -> CASE WHEN {test} THEN i + 1 END)"
+    return f"try_element_at(array_compact({numbered}), 1)"
+
+
+def _outside(dirs: list[str]) -> str:
+    return f"NOT arrays_overlap(split(path, '/'), array({', '.join(text(d) for d in dirs)}))"
 
 
 def with_file_facts(files: DataFrame) -> DataFrame:
-    path, content, ext = F.col("path"), F.col("content"), F.col("ext")
-    component = ext.isin(*COMPONENT_EXTS) & ~has_part(path, SKIP_CODE)
-    return files.select(
-        "*",
-        (ext.isin(*UI_EXTS) & ~has_part(path, SKIP)).alias("is_ui"),
-        (ext.isin(*CODE_EXTS) & ~has_part(path, SKIP_CODE)).alias("is_code"),
-        F.when(
-            (ext == ".css") & ~has_part(path, SKIP_STYLE) & content.contains(":hover"), _first_hover()
-        ).alias("hover_line"),
-        (
-            component
-            & matches(content, FETCHES, hints=["useQuery", "useSWR", "fetch", "axios."])
-            & ~content.rlike(dialect(LOADING, ignore_case=True))
-        ).alias("no_loading"),
-        (
-            component
-            & matches(content, RENDERS, hints=[".map"])
-            & ~content.rlike(dialect(EMPTY, ignore_case=True))
-        ).alias("no_empty"),
+    """Which checks a file takes part in, and what is missing in it as a whole."""
+    component = both(isin("ext", COMPONENT_EXTS), _outside(SKIP_CODE))
+    no_loading = both(
+        component, match("content", FETCHES, hints=["useQuery", "useSWR", "fetch", "axios."]),
+        f"NOT {match('content', LOADING, ignore_case=True)}",
+    )
+    no_empty = both(
+        component, match("content", RENDERS, hints=[".map"]),
+        f"NOT {match('content', EMPTY, ignore_case=True)}",
     )
+    style = both("ext = '.css'", _outside(SKIP_STYLE), "contains(content, ':hover')")
+    facts = {
+        "is_ui": both(isin("ext", UI_EXTS), _outside(SKIP)),
+        "is_code": both(isin("ext", CODE_EXTS), _outside(SKIP_CODE)),
+        "hover_line": f"CASE WHEN {style} THEN {_first_hover()} END",
+        "no_loading": no_loading,
+        "no_empty": no_empty,
+    }
+    return files.select("*", *[F.expr(sql).alias(name) for name, sql in facts.items()])
 
 
 FACTS = ["is_ui", "is_code", "hover_line", "no_loading", "no_empty"]
 
 
-def _unfriendly() -> Column:
-    hints = ["err", "throw", "raise"]
-    tests = any_of(_line().rlike(dialect(p)) for p, _ in UNFRIENDLY)
-    skip = _line().rlike(r"(?U)^\s*(?://|#)")
-    return F.col("is_code") & contains_any(_line(), hints) & tests & ~skip
-
-
-def _unfriendly_title() -> Column:
-    out = F.lit(UNFRIENDLY[-1][1])
-    for pattern, title in reversed(UNFRIENDLY[:-1]):
-        out = F.when(_line().rlike(dialect(pattern)), title).otherwise(out)
-    return out
-
-
 def persona_detectors() -> list[tuple[str | None, Detector]]:
     """(audience, detector) of the checks on files; no audience means they hold for everyone."""
+    unfriendly = both(
+        "is_code", has("line", "err", "throw", "raise"),
+        either(match("line", p) for p, _ in UNFRIENDLY), f"NOT {match('line', COMMENTED)}",
+    )
     return [
         ("non-technical", Detector(
             _rule("ui-jargon", "major", 0.7, "Technical jargon in UI", "The reader will not know the term.",
                   "Say what it means for the user."),
-            lambda: F.col("is_ui") & matches(_line(), JARGON, hints=[">"]),
-            title=lambda: F.concat(F.lit("Technical jargon in UI: '"), F.regexp_extract(_line(), dialect(JARGON), 1), F.lit("'")),
+            both("is_ui", match("line", JARGON, hints=[">"])),
+            title=f"concat('Technical jargon in UI: \\'', {group('line', JARGON)}, '\\'')",
             with_evidence=False,
         )),
         ("non-technical", Detector(
             _rule("raw-error-code", "major", 0.7, "Raw error code shown to user", "A code does not tell what to do.",
                   "Show a sentence and a way to retry."),
-            lambda: F.col("is_ui") & matches(_line(), ERROR_CODE, ignore_case=True, hints=[">"]),
+            both("is_ui", match("line", ERROR_CODE, ignore_case=True, hints=[">"])),
             with_evidence=False,
         )),
         ("mobile", Detector(
             _rule("hover-only-interaction", "minor", 0.5, "Hover-only interaction (no touch equivalent)",
                   "Touch screens have no hover.", "Style focus and active states too."),
-            lambda: F.col("line_no") == F.col("hover_line"),
+            "line_no = hover_line",
             with_evidence=False,
         )),
         (None, Detector(
             _rule("unfriendly-error", "minor", 0.6, UNFRIENDLY[0][1], "The message is meant for developers.",
                   "Catch the error and explain it."),
-            _unfriendly, title=_unfriendly_title, with_evidence=False,
+            unfriendly,
+            title=case(*[(match("line", p), text(title)) for p, title in UNFRIENDLY]),
+            with_evidence=False,
         )),
         (None, Detector(
             _rule("missing-loading-state", "major", 0.7, "Data fetching without loading indicator",
                   "The page looks broken until the data is there.", "Show that it is loading."),
-            lambda: F.col("no_loading") & (F.col("line_no") == 1), with_evidence=False, file_level=True,
+            "no_loading AND line_no = 1", with_evidence=False, file_level=True,
         )),
         (None, Detector(
             _rule("missing-empty-state", "minor", 0.6, "List rendering without empty state",
                   "Nothing is shown when there is no data.", "Say that the list is empty."),
-            lambda: F.col("no_empty") & (F.col("line_no") == 1), with_evidence=False, file_level=True,
+            "no_empty AND line_no = 1", with_evidence=False, file_level=True,
         )),
     ]
 
@@ -377,7 +360,7 @@ def persona_findings(
         "project", nowhere.alias("path"), F.lit(None).cast("int").alias("line_no"),
         nowhere.alias("line"), det.alias("det"), "persona",
     )
-    rules = [Detector(r, lambda: F.lit(True), with_evidence=False) for _, r in PROJECT_RULES]
+    rules = [Detector(r, "true", with_evidence=False) for _, r in PROJECT_RULES]
     parts.append(describe(checks, rules, "persona"))
     if assets is not None:
         mb = F.col("size_bytes") / MEGABYTE

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from sievework.functions.text import contains_any, matches
+from sievework.functions.predicates import both, case, either, has, isin, match, text
 from sievework.operators.lines import (
+    COMMENT_LINE,
+    DEFINITION_LINE,
+    LITERAL_LINE,
     PYTHON,
     SCRIPT,
     Detector,
-    comment_line,
-    definition_line,
     line_findings,
-    literal_line,
 )
 from sievework.schema import Rule
 
@@ -127,59 +124,38 @@ ADVICE = {
 }
 
 
-def _skipped() -> Column:
-    return (
-        F.col("line").contains("/*") | comment_line() | definition_line() | literal_line()
-    )
-
-
-def _any_regex(regexes: list[str], ignore_case: bool, hints: list[str]) -> Column:
-    out = None
-    for rx in regexes:
-        test = matches(F.col("line"), rx, ignore_case, hints)
-        out = test if out is None else (out | test)
-    return out
-
-
-def _match(rule_id, exts, ignore_case, regexes, hints) -> Callable[[], Column]:
-    def build() -> Column:
-        test = _any_regex(regexes, ignore_case, hints)
-        if ignore_case:
-            # a cheap lower-case look before the case-insensitive regex
-            words = {"hardcoded-secret": ["key", "secret", "token"],
-                     "hardcoded-password": ["password", "passwd", "pwd"],
-                     "localstorage-sensitive": ["localstorage.setitem"]}[rule_id]
-            test = contains_any(F.lower("line"), words) & test
-        if exts is not None:
-            test = F.col("ext").isin(*exts) & test
-        test = test & ~_skipped()
-        if rule_id in ("hardcoded-secret", "hardcoded-password"):
-            test = test & ~contains_any(F.col("line"), SAFE_SOURCES)
-        return test
-
-    return build
+SKIPPED = either([has("line", "/*"), COMMENT_LINE, DEFINITION_LINE, LITERAL_LINE])
+# case-insensitive rules first look for a word in the lower-cased line
+LOWER_HINTS = {
+    "hardcoded-secret": ["key", "secret", "token"],
+    "hardcoded-password": ["password", "passwd", "pwd"],
+    "localstorage-sensitive": ["localstorage.setitem"],
+}
 
 
 def security_detectors() -> list[Detector]:
     out = []
     for rule_id, exts, severity, title, ignore_case, regexes, hints in SECURITY_RULES:
-        why, remedy = ADVICE[rule_id]
+        test = [either(match("line", rx, ignore_case, hints) for rx in regexes)]
+        if exts is not None:
+            test.insert(0, isin("ext", exts))
+        if rule_id in LOWER_HINTS:
+            test.insert(0, has("lower(line)", *LOWER_HINTS[rule_id]))
+        test.append(f"NOT {SKIPPED}")
+        if rule_id in ("hardcoded-secret", "hardcoded-password"):
+            test.append(f"NOT {has('line', *SAFE_SOURCES)}")
         sql = rule_id in ("sql-injection", "sql-injection-js")
-        dynamic = None
-        if rule_id == "sql-injection":
-            first = regexes[0]
-            dynamic = lambda first=first, title=title: F.when(
-                matches(F.col("line"), first), F.lit(title)
-            ).otherwise(F.lit(SQL_CONCAT_TITLE))
+        why, remedy = ADVICE[rule_id]
         out.append(
             Detector(
                 Rule(rule_id, severity, "security", 0.85, "code", title, why, remedy),
-                _match(rule_id, exts, ignore_case, regexes, hints),
+                both(*test),
                 needs=("in_block", "sql_safe") if sql else ("in_block",),
-                keep=(lambda: ~F.col("in_block") & ~F.col("sql_safe"))
-                if sql
-                else (lambda: ~F.col("in_block")),
-                title=dynamic,
+                keep="NOT in_block AND NOT sql_safe" if sql else "NOT in_block",
+                # the first of the two patterns names the finding
+                title=case((match("line", regexes[0]), text(title)), default=text(SQL_CONCAT_TITLE))
+                if rule_id == "sql-injection"
+                else None,
             )
         )
     return out

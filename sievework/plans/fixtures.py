@@ -65,8 +65,17 @@ TEMPLATES = [
     "from .util import helper",
     "class Widget(Base):",
     "def render(self):",
+    "useEffect(watch)",
+    'doc.addEventListener("click", () => go())',
+    "}, [id])",
+    'app.post("/pay", (req, res) => { res.json(req.body) })',
+    "const pool = new Pool(cfg); bcrypt.hash(pw, 4)",
+    'jwt.sign(user, "s3cretvalue")',
+    'fs.writeFileSync("/tmp/out", err.message)',
+    "let seen = new Set(); new XMLHttpRequest()",
+    "rows.map((row, i) => <li key={i}>{row}</li>)",
 ]
-SLOTS = 61
+SLOTS = 67
 EXTS = [".py", ".js", ".tsx", ".html"]
 
 
@@ -98,6 +107,26 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+STYLES = [
+    "a:hover { color: red }\nb { top: 0 }",
+    "@media (hover: hover) {\na:hover { color: red }\n}",
+    "b:hover { top: 0 }\nb:focus { top: 1 }",
+    "@media print { a:hover { top: 0 } }\np { top: 0 }",
+]
+
+
+def style_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One style sheet per document: its text as a comment, then one of four rules."""
+    style = F.element_at(F.array(*[F.lit(s) for s in STYLES]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return file_table(
+        table(spark, sf_dir, "documents").select(
+            F.col("source").alias("project"),
+            F.concat(F.lit("styles/s"), F.col("doc_id").cast("string"), F.lit(".css")).alias("path"),
+            F.concat(F.lit("/* "), "text", F.lit(" */\n"), style).alias("content"),
+        )
+    )
+
+
 # Parsable Python with known findings.
 SNIPPETS = [
     "import os, json\nfrom .util import helper\nimport quantum_widget.core\n",
