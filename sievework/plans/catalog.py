@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators import findings as fnd
-from sievework.operators import history, imports, index, intent, journeys, persona, report
+from sievework.operators import deep, external, fixes, history, imports, index, intent, journeys, persona, report
 from sievework.operators.context import adjust_severity, project_context
 from sievework.operators.lines import line_findings, line_signals
 from sievework.operators.loops import loop_detectors, loop_findings
@@ -17,7 +17,9 @@ from sievework.operators.pyfacts import ast_findings, py_facts
 from sievework.operators.security import security_detectors, security_findings
 from sievework.plans import fixtures as fx
 from sievework.plans import oracles as sql
-from sievework.plans.scan import ScanOptions, code_findings, scan
+from sievework.functions.skew import numbered, previous_value
+from sievework.functions.text import line_count
+from sievework.plans.scan import ScanOptions, deep_scan, persona_scan, scan
 from sievework.sources import files as src
 from sievework.sources.rules import BUILT_IN, built_in
 
@@ -184,3 +186,222 @@ def _(spark, sf):
         security_findings(fx.code_files(spark, sf)).groupBy("rule_id", "severity")
         .agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("file").alias("files"))
     )
+
+
+# ---- file sources -----------------------------------------------------------------------
+
+
+@query("file_filter", sql.FILE_FILTER)
+def _(spark, sf):
+    return src.source_files(fx.code_files(spark, sf), ["src/fr/", "*7.js"]).select(
+        "project", "path", "ext", "language", line_count(F.col("content")).cast("long").alias("lines"), "size_bytes", "md5"
+    )
+
+
+@query("incremental_files", sql.INCREMENTAL)
+def _(spark, sf):
+    return src.changed_since(fx.text_files(spark, sf), fx.scan_state(spark, sf)).select("project", "path")
+
+
+@query("unchanged_files", sql.UNCHANGED)
+def _(spark, sf):
+    return src.unchanged(fx.text_files(spark, sf), fx.scan_state(spark, sf)).select("project", "path")
+
+
+@query("next_state", sql.NEXT_STATE)
+def _(spark, sf):
+    seen = fx.text_files(spark, sf).where(F.substring("path", 2, 20).cast("long") % 5 == 0)
+    return src.next_state(seen, fx.scan_state(spark, sf))
+
+
+@query("name_status", sql.CHANGES)
+def _(spark, sf):
+    return src.parse_name_status(fx.changes(spark, sf))
+
+
+@query("changed_files", sql.CHANGED)
+def _(spark, sf):
+    changed = src.parse_name_status(fx.changes(spark, sf))
+    files = fx.code_files(spark, sf).where(F.col("ext") != ".html")
+    return src.changed_files(files, changed).select("project", "path")
+
+
+@query("config_files", sql.CONFIG_FILES)
+def _(spark, sf):
+    return src.config_files(fx.manifests(spark, sf))
+
+
+@query("readmes", sql.READMES)
+def _(spark, sf):
+    return src.readmes(fx.manifests(spark, sf))
+
+
+@query("npm_packages", sql.NPM_PACKAGES)
+def _(spark, sf):
+    return src.npm_packages(fx.manifests(spark, sf).unionByName(fx.module_files(spark, sf)))
+
+
+@query("installed_packages", sql.PYPI_PACKAGES)
+def _(spark, sf):
+    return src.installed_packages(fx.package_listing(spark, sf))
+
+
+# ---- history and dismissals -------------------------------------------------------------
+
+
+def _log(spark, sf):
+    log = fx.issue_log(spark, sf)
+    return log.withColumn(
+        "fingerprint", history.fingerprint(F.col("rule_id"), F.col("file"), F.col("line"))
+    )
+
+
+@query("issue_log", sql.ISSUE_LOG)
+def _(spark, sf):
+    return _log(spark, sf).select("seq", "project", "scan_id", "fingerprint")
+
+
+@query("scans", sql.SCANS)
+def _(spark, sf):
+    return history.scan_rows(_log(spark, sf))
+
+
+@query("scan_history", sql.SCAN_HISTORY)
+def _(spark, sf):
+    return history.scan_history(history.scan_rows(_log(spark, sf)))
+
+
+@query("previous_scans", sql.PREVIOUS_SCANS)
+def _(spark, sf):
+    ids = history.scan_rows(_log(spark, sf)).select("project", "scan_id")
+    return previous_value(ids, ["project"], "scan_id", "prev_id", width=8)
+
+
+@query("quality_delta", sql.DELTA)
+def _(spark, sf):
+    log = _log(spark, sf)
+    return history.quality_delta(history.scan_rows(log), log)
+
+
+@query("lifecycle", sql.LIFECYCLE)
+def _(spark, sf):
+    log = _log(spark, sf)
+    return history.lifecycle(history.scan_rows(log), log)
+
+
+@query("carry_forward", sql.CARRY_FORWARD)
+def _(spark, sf):
+    log = _log(spark, sf)
+    now = log.where("scan_id = 2").select("project", "rule_id", "file", "line", "severity")
+    skipped = log.where("file LIKE '%.py'").select("project", F.col("file").alias("path"))
+    return history.carry_forward(now, log.where("scan_id = 1"), skipped)
+
+
+@query("dismissal_state", sql.DISMISSALS)
+def _(spark, sf):
+    return history.dismissal_state(fx.dismissal_events(spark, sf))
+
+
+@query("dismissal_state_cleared", sql.DISMISSALS_CLEARED)
+def _(spark, sf):
+    return history.dismissal_state(fx.dismissal_events(spark, sf), fx.dismissal_clears(spark, sf))
+
+
+@query("dismissals_by_count", sql.DISMISSALS)
+def _(spark, sf):
+    return history.dismissals(history.dismissal_state(fx.dismissal_events(spark, sf)))
+
+
+@query("unsuppressed_findings", sql.UNSUPPRESSED)
+def _(spark, sf):
+    state = history.dismissal_state(fx.dismissal_events(spark, sf))
+    return history.unsuppressed(fx.issue_log(spark, sf), state).select(
+        "seq", "project", "rule_id", "file", "line"
+    )
+
+
+# ---- project index ----------------------------------------------------------------------
+
+
+@query("file_index", sql.FILE_INDEX)
+def _(spark, sf):
+    ix = index.file_index(fx.code_files(spark, sf))
+    lists = ["imports", "functions", "classes", "global_state_lines"]
+    return ix.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in lists}).withColumn(
+        "line_count", F.col("line_count").cast("long")
+    )
+
+
+@query("project_totals", sql.PROJECT_TOTALS)
+def _(spark, sf):
+    totals = index.project_totals(index.file_index(fx.code_files(spark, sf)))
+    return totals.withColumn("languages", F.array_join("languages", ","))
+
+
+@query("import_edges", sql.IMPORT_EDGES)
+def _(spark, sf):
+    files = fx.linked_files(spark, sf)
+    return index.import_edges(index.file_index(files), files)
+
+
+@query("top_files", sql.TOP_FILES)
+def _(spark, sf):
+    files = fx.linked_files(spark, sf)
+    ix = index.file_index(files)
+    return index.top_files(ix, index.import_edges(ix, files)).select(
+        "project", "path", "rank", "in_degree", "score"
+    )
+
+
+@query("architecture_summary", sql.ARCHITECTURE)
+def _(spark, sf):
+    context = project_context(fx.manifests(spark, sf))
+    return index.architecture_summary(index.file_index(fx.code_files(spark, sf)), context)
+
+
+@query("directory_summary", sql.DIRECTORY_SUMMARY)
+def _(spark, sf):
+    return index.directory_summary(fx.code_files(spark, sf), 20_000).withColumn("chunk", F.md5("chunk"))
+
+
+@query("context_pack", sql.CONTEXT_PACK)
+def _(spark, sf):
+    files = fx.project_files(spark, sf)
+    ix = index.file_index(files)
+    edges = index.import_edges(ix, files)
+    context = project_context(files)
+    return index.context_pack(files, ix, edges, context, 12_000).withColumn("text", F.md5("text"))
+
+
+# ---- deep checks ------------------------------------------------------------------------
+
+_DEEP = ["project", "file", "line_no", "rule_id", "severity", "title"]
+
+
+def _deep_query(rule_id: str) -> None:
+    @query("deep_" + rule_id.replace("-", "_"), sql.deep_rule(rule_id))
+    def _(spark, sf):
+        files = fx.project_files(spark, sf)
+        context = project_context(fx.manifests(spark, sf))
+        if rule_id == "missing-cache-headers":
+            return deep.uncached_assets(fx.assets(spark, sf), fx.manifests(spark, sf)).select(*_DEEP)
+        found = deep.code_checks(files, context, only=(rule_id,))
+        if rule_id == "cors-wildcard-api":
+            found = fnd.dedupe(found.unionByName(deep.config_cors(files, context)), (rule_id,))
+        return found.select(*_DEEP)
+
+
+for _name in [*sql.DEEP_RULES, "missing-cache-headers"]:
+    _deep_query(_name)
+
+
+@query("deep_findings", sql.DEEP_FINDINGS)
+def _(spark, sf):
+    files = fx.project_files(spark, sf)
+    context = project_context(fx.manifests(spark, sf))
+    return deep.deep_findings(files, context, fx.assets(spark, sf)).select(*_DEEP)
+
+
+@query("deep_scan", sql.DEEP_SCAN)
+def _(spark, sf):
+    return deep_scan(fx.project_files(spark, sf), fx.assets(spark, sf)).select(*_DEEP)

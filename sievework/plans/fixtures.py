@@ -157,6 +157,44 @@ def py_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts that import a shared module of their directory, a module above it and, every
+    second one, the file 140 documents before."""
+    ext = F.element_at(F.array(F.lit(".ts"), F.lit(".js"), F.lit(".tsx")), (F.col("doc_id") % 3 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("project"))
+    d = F.col("doc_id")
+    back = F.when(d % 2 == 0, F.concat(F.lit('import b from "./m'), (d - 140).cast("string"), F.lit('"'))).otherwise("b()")
+    content = F.concat_ws("\n", F.lit('import s from "./shared"'), F.lit('const x = require("../base")'), back, F.lit('import r from "react"'))
+    own = docs.select(
+        "project",
+        F.concat(F.lit("lib/d"), (d % 7).cast("string"), F.lit("/m"), d.cast("string"), ext).alias("path"),
+        content.alias("content"),
+    )
+    shared = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.concat(F.lit("lib/d"), k.cast("string"), F.lit("/shared/index.ts")))
+    common = docs.select("project").distinct().select(
+        "project", F.explode(F.concat(shared, F.array(F.lit("lib/base.js")))).alias("path"), F.lit("run()").alias("content")
+    )
+    return file_table(own.unionByName(common))
+
+
+def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Installed script packages: a plain and a scoped one per document."""
+    docs = table(spark, sf_dir, "documents")
+    names = F.array(
+        F.concat(F.lit("node_modules/pkg"), "lang", F.lit("/index.js")),
+        F.concat(F.lit("node_modules/@scope/p"), (F.col("doc_id") % 3).cast("string"), F.lit("/i.js")),
+        F.lit("node_modules/.bin/run.js"),
+    )
+    return file_table(docs.select(F.col("source").alias("project"), F.explode(names).alias("path"), F.lit("").alias("content")))
+
+
+def package_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("src"), F.col("p_size").cast("string")).alias("project"),
+        F.concat("p_brand", F.lit("-"), "p_type").alias("name"),
+    )
+
+
 # Manifests by project number: (file name, divisor, remainder, content).
 MANIFESTS = [
     ("vercel.json", 10, 0, '{\n"headers": [{"key": "Access-Control-Allow-Origin",\n"value": "*"}],\n"functions": {"a.js": {"runtime": "edge"}}}'),

@@ -333,3 +333,266 @@ E AS (SELECT project, string_agg(DISTINCT engine, ',' ORDER BY engine) AS engine
 {SUMMARY_CTE.format('U')} SELECT * FROM SUMMARY JOIN E USING (project)"""
 TOP_RULES = f"""WITH {ALL_LINES}, {security_cte()}
 SELECT rule_id, severity, count(*) AS findings, count(DISTINCT file) AS files FROM SEC GROUP BY ALL"""
+
+# ---- file sources
+FILE_FILTER = f"""WITH {ALL_LINES}
+SELECT project, path, ext, language, CAST(n AS BIGINT) AS lines, strlen(content) AS size_bytes, md5(content) AS md5
+FROM F WHERE ext <> '.html' AND (project, path) NOT IN (SELECT (project, path) FROM SMALL)
+  AND NOT contains(path, '/fr/') AND NOT (path GLOB '*7.js')"""
+_TEXT_FILES = "SELECT source AS project, 'f' || doc_id AS path, md5(text) AS md5 FROM documents"
+_STATE = """SELECT source AS project, 'f' || doc_id AS path,
+  md5(CASE WHEN doc_id % 4 = 0 THEN concat(text, 'x') ELSE text END) AS md5 FROM documents WHERE doc_id % 2 = 0"""
+INCREMENTAL = f"""WITH a AS ({_TEXT_FILES}), b AS ({_STATE})
+SELECT a.project, a.path FROM a LEFT JOIN b USING (project, path) WHERE a.md5 IS DISTINCT FROM b.md5"""
+NEXT_STATE = f"""WITH a AS ({_TEXT_FILES}), b AS ({_STATE})
+SELECT project, path, coalesce(n.md5, b.md5) AS md5
+FROM (SELECT * FROM a WHERE substr(path, 2)::BIGINT % 5 = 0) n FULL JOIN b USING (project, path)"""
+UNCHANGED = f"""WITH a AS ({_TEXT_FILES}), b AS ({_STATE})
+SELECT project, path FROM a JOIN b USING (project, path) WHERE a.md5 = b.md5"""
+CHANGED = f"""WITH {ALL_LINES}
+SELECT project, path FROM F WHERE doc_id % 3 = 0 AND doc_id % 7 <> 1 AND ext <> '.html'"""
+CHANGES = f"""SELECT source AS project, {PATH} AS path,
+  CASE doc_id % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'D' WHEN 2 THEN 'R' ELSE 'M' END AS status,
+  CASE WHEN doc_id % 7 = 2 THEN 'old/f' || doc_id END AS old_path
+FROM documents WHERE doc_id % 3 = 0"""
+CONFIG_FILES = f"""WITH {MANIFEST}
+SELECT project, path AS name, left(content, 5000) AS content FROM M WHERE path NOT LIKE 'README%' AND path <> 'index.html'"""
+READMES = f"""WITH {MANIFEST}
+SELECT project, arg_min(path, CASE path WHEN 'README.md' THEN 0 ELSE 1 END) AS name,
+       arg_min(content, CASE path WHEN 'README.md' THEN 0 ELSE 1 END) AS content
+FROM M WHERE path LIKE 'README%' GROUP BY project"""
+NPM_PACKAGES = f"""WITH {PROJECTS}
+SELECT project, 'npm' AS ecosystem, unnest(['react', 'express', '@prisma/client']) AS name FROM PRJ WHERE {_number} % 3 = 0
+UNION ALL SELECT project, 'npm', 'left-pad-ultra' FROM PRJ WHERE {_number} % 3 = 1
+UNION ALL SELECT DISTINCT source, 'npm', unnest(['pkg' || lang, '@scope/p' || doc_id % 3]) FROM documents"""
+PYPI_PACKAGES = """SELECT DISTINCT 'src' || p_size AS project, 'pypi' AS ecosystem, replace(lower(p_brand || '-' || p_type), '-', '_') AS name
+FROM part"""
+
+# ---- history
+LOG = """
+LOG0 AS (
+  SELECT CAST(extract(day FROM ts) AS INT) AS scan_id, 'src' || user_id % 5 AS project, 'rule' || event_id % 4 AS rule_id,
+    CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'src/f' || user_id % 13 || CASE WHEN user_id % 2 = 0 THEN '.py' ELSE '.js' END END AS file,
+    CAST(event_id % 3 AS INT) AS line,
+    CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'major' WHEN 'click' THEN 'minor' ELSE 'info' END AS severity,
+    CASE event_type WHEN 'error' THEN 'security' WHEN 'purchase' THEN 'performance' WHEN 'click' THEN 'ai_pattern' ELSE 'logic' END AS category,
+    event_id AS seq FROM events),
+LOG AS (SELECT *, rule_id || ':' || coalesce(file, 'None') || ':' || line AS fingerprint FROM LOG0),
+SC AS (SELECT project, scan_id, count(*) AS total_issues, count(*) FILTER (severity = 'critical') AS critical,
+  count(*) FILTER (severity = 'major') AS major, count(*) FILTER (severity = 'minor') AS minor, count(*) FILTER (severity = 'info') AS info
+  FROM LOG GROUP BY project, scan_id),
+PREV AS (SELECT *, lag(scan_id) OVER (PARTITION BY project ORDER BY scan_id) AS prev_id FROM SC)
+"""
+SCANS = f"WITH {LOG} SELECT * FROM SC"
+ISSUE_LOG = f"WITH {LOG} SELECT seq, project, scan_id, fingerprint FROM LOG"
+SCAN_HISTORY = f"WITH {LOG} SELECT * FROM SC ORDER BY scan_id DESC, project LIMIT 20"
+PREVIOUS_SCANS = f"WITH {LOG} SELECT project, scan_id, prev_id FROM PREV"
+DELTA = f"""WITH {LOG},
+R AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY scan_id DESC) AS age FROM SC),
+P AS (SELECT c.project, c.scan_id AS current_scan, p.scan_id AS previous_scan,
+  c.total_issues - p.total_issues AS delta_total, c.critical - p.critical AS delta_critical, c.major - p.major AS delta_major
+  FROM R c JOIN R p ON p.project = c.project AND c.age = 1 AND p.age = 2)
+SELECT P.*,
+  (SELECT count(*) FROM LOG l WHERE l.project = P.project AND l.scan_id = current_scan AND fingerprint NOT IN
+    (SELECT fingerprint FROM LOG m WHERE m.project = P.project AND m.scan_id = previous_scan)) AS new_issues,
+  (SELECT count(*) FROM LOG l WHERE l.project = P.project AND l.scan_id = previous_scan AND fingerprint NOT IN
+    (SELECT fingerprint FROM LOG m WHERE m.project = P.project AND m.scan_id = current_scan)) AS fixed_issues
+FROM P"""
+LIFECYCLE = f"""WITH {LOG},
+I AS (SELECT DISTINCT project, scan_id, fingerprint FROM LOG),
+NOW AS (SELECT I.*, prev_id FROM I JOIN PREV USING (project, scan_id)),
+NXT AS (SELECT project, prev_id AS scan_id, scan_id AS next_id FROM PREV WHERE prev_id IS NOT NULL)
+SELECT n.project, n.scan_id, n.fingerprint,
+  CASE WHEN p.fingerprint IS NULL THEN 'new' ELSE 'recurring' END AS status
+FROM NOW n LEFT JOIN I p ON p.project = n.project AND p.scan_id = n.prev_id AND p.fingerprint = n.fingerprint
+UNION ALL
+SELECT i.project, x.next_id, i.fingerprint, 'fixed'
+FROM I i JOIN NXT x USING (project, scan_id)
+WHERE NOT EXISTS (SELECT 1 FROM I k WHERE k.project = i.project AND k.scan_id = x.next_id AND k.fingerprint = i.fingerprint)"""
+CARRY_FORWARD = f"""WITH {LOG}
+SELECT project, rule_id, file, line, severity FROM LOG WHERE scan_id = 2
+UNION ALL SELECT project, rule_id, file, line, severity FROM LOG WHERE scan_id = 1 AND file LIKE '%.py'"""
+DISMISSAL_EVENTS = """
+DE AS (
+  SELECT event_id AS seq, ts, 'rule' || event_id % 4 AS rule_id,
+    CASE WHEN event_id % 12 = 0 THEN '' ELSE 'F' || user_id % 13 || '.' END AS file_pattern, 'reason ' || user_id AS reason
+  FROM events WHERE event_type = 'view' AND event_id % 17 = 1)
+"""
+_STATE_COLS = """rule_id, file_pattern, arg_min(reason, seq) AS reason, count(*) AS count, max(ts) AS last_ts,
+  count(*) >= 3 AS auto_suppress"""
+DISMISSALS = f"WITH {DISMISSAL_EVENTS} SELECT {_STATE_COLS} FROM DE GROUP BY rule_id, file_pattern"
+DISMISSALS_CLEARED = f"""WITH {DISMISSAL_EVENTS},
+CL AS (SELECT event_id AS seq, 'rule' || event_id % 4 AS rule_id,
+  CASE WHEN event_id % 997 = 0 THEN '' ELSE 'F' || user_id % 13 || '.' END AS pattern
+  FROM events WHERE event_id % 101 = 0 OR event_id % 997 = 0)
+SELECT {_STATE_COLS} FROM DE d
+WHERE NOT EXISTS (SELECT 1 FROM CL c WHERE c.rule_id = d.rule_id AND c.seq >= d.seq AND (c.pattern = '' OR c.pattern = d.file_pattern))
+GROUP BY rule_id, file_pattern"""
+UNSUPPRESSED = f"""WITH {LOG}, {DISMISSAL_EVENTS},
+ST AS (SELECT {_STATE_COLS} FROM DE GROUP BY rule_id, file_pattern)
+SELECT seq, project, rule_id, file, line FROM LOG l
+WHERE NOT EXISTS (SELECT 1 FROM ST s WHERE s.auto_suppress AND s.rule_id = l.rule_id
+  AND (s.file_pattern = '' OR lower(coalesce(l.file, '')) LIKE '%' || lower(s.file_pattern) || '%'))"""
+
+# ---- project index
+_NL = "chr(10)"
+_imports_py = f"list_transform(regexp_extract_all(content, {q('(?m)' + PY_IMPORT)}), lambda m: coalesce(nullif(regexp_extract(m, {q(PY_IMPORT)}, 1), ''), regexp_extract(m, {q(PY_IMPORT)}, 2)))"
+_imports_js = f"list_transform(regexp_extract_all(content, {q(JS_IMPORT)}), lambda m: coalesce(nullif(regexp_extract(m, {q(JS_IMPORT)}, 1), ''), regexp_extract(m, {q(JS_IMPORT)}, 2)))"
+_fns_js = f"list_transform(regexp_extract_all(content, {q(JS_FUNCTION)}), lambda m: coalesce(nullif(regexp_extract(m, {q(JS_FUNCTION)}, 1), ''), regexp_extract(m, {q(JS_FUNCTION)}, 2)))"
+_skip_py = " OR ".join(f"starts_with({STRIP}, {q(p)})" for p in PY_STATE_SKIP)
+_skip_js = " OR ".join(f"starts_with({STRIP}, {q(p)})" for p in JS_STATE_SKIP)
+STATE_TEST = f"""((language = 'python' AND NOT starts_with(line, ' ') AND NOT starts_with(line, chr(9)) AND NOT ({_skip_py})
+    AND regexp_matches({STRIP}, {q(PY_STATE)}))
+  OR (language IN ('javascript', 'typescript') AND NOT ({_skip_js}) AND regexp_matches({STRIP}, {q(JS_STATE)})))"""
+INDEX_CTE = f"""
+SL AS (SELECT project, path, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS state_lines FROM L0 WHERE {STATE_TEST} GROUP BY ALL),
+IX AS (
+  SELECT F.project, F.path, language, strlen(content) AS size_bytes, CAST(n AS BIGINT) AS line_count, content,
+    CASE WHEN ext = '.py' THEN {_imports_py} ELSE {_imports_js} END AS imports,
+    CASE WHEN ext = '.py' THEN regexp_extract_all(content, {q('(?m)' + PY_FUNCTION)}, 1) ELSE {_fns_js} END AS functions,
+    CASE WHEN ext = '.py' THEN regexp_extract_all(content, {q('(?m)' + PY_CLASS)}, 1) ELSE regexp_extract_all(content, {q(JS_CLASS)}, 1) END AS classes,
+    coalesce(state_lines, '') AS state_lines
+  FROM F LEFT JOIN SL USING (project, path)
+  WHERE ext <> '.html' AND (F.project, F.path) NOT IN (SELECT (project, path) FROM SMALL))
+"""
+FILE_INDEX = f"""WITH {ALL_LINES}, {INDEX_CTE}
+SELECT project, path, language, size_bytes, line_count, array_to_string(imports, ',') AS imports,
+  array_to_string(functions, ',') AS functions, array_to_string(classes, ',') AS classes, state_lines AS global_state_lines,
+  state_lines <> '' AS has_global_state FROM IX"""
+PROJECT_TOTALS = f"""WITH {ALL_LINES}, {INDEX_CTE}
+SELECT project, count(*) AS total_files, sum(line_count)::BIGINT AS total_lines,
+  string_agg(DISTINCT language, ',' ORDER BY language) AS languages, count(*) FILTER (state_lines <> '') AS state_files
+FROM IX GROUP BY project"""
+# files that import one another: directory d<k % 7>, see fixtures.linked_files
+LINK_CTE = """
+D AS (SELECT doc_id, source AS project FROM documents),
+FL AS (
+  SELECT project, doc_id, 'lib/d' || doc_id % 7 || '/m' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' ELSE '.tsx' END AS path,
+    doc_id % 7 AS dir FROM D
+  UNION ALL SELECT DISTINCT project, NULL::BIGINT, 'lib/d' || k || '/shared/index.ts', k FROM D, range(7) r(k)
+  UNION ALL SELECT DISTINCT project, NULL::BIGINT, 'lib/base.js', NULL FROM D),
+ED AS (
+  SELECT project, path AS src_path, 'lib/d' || dir || '/shared/index.ts' AS dst_path FROM FL WHERE doc_id IS NOT NULL
+  UNION ALL SELECT project, path, 'lib/base.js' FROM FL WHERE doc_id IS NOT NULL
+  UNION ALL SELECT a.project, a.path, b.path FROM FL a JOIN FL b ON b.project = a.project AND b.doc_id = a.doc_id - 140 WHERE a.doc_id % 2 = 0)
+"""
+IMPORT_EDGES = f"WITH {LINK_CTE} SELECT * FROM ED"
+TOP_FILES = f"""WITH {LINK_CTE},
+DG AS (SELECT project, dst_path AS path, count(*) AS in_degree FROM ED GROUP BY ALL),
+W AS (SELECT FL.project, FL.path, coalesce(in_degree, 0) AS in_degree,
+  coalesce(in_degree, 0) * 10 + CASE WHEN doc_id IS NULL THEN 1 ELSE 4 END AS score FROM FL LEFT JOIN DG USING (project, path)),
+R AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, string_split(path, '/')) AS rank FROM W)
+SELECT project, path, CAST(rank AS INT) AS rank, in_degree, CAST(score AS BIGINT) AS score FROM R WHERE rank <= 20"""
+_py = lambda c: f"CASE WHEN {c} THEN 'True' ELSE 'False' END"
+ARCHITECTURE = f"""WITH {ALL_LINES}, {INDEX_CTE}, {PROJECTS}, M AS ({_manifest_rows}), {CONTEXT_CTE},
+T AS (SELECT project, count(*) AS nf, sum(line_count) AS nl, string_agg(DISTINCT language, ', ' ORDER BY language) AS langs FROM IX GROUP BY project),
+S AS (SELECT project, string_agg(path, ', ' ORDER BY rk) AS st FROM
+  (SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY string_split(path, '/')) AS rk FROM IX WHERE state_lines <> '') WHERE rk <= 5 GROUP BY project)
+SELECT project, concat_ws(chr(10), 'Project: ' || project,
+  'Type: ' || CASE WHEN is_web_app THEN 'web app' WHEN is_cli THEN 'CLI' ELSE 'library' END,
+  'Deployment: ' || coalesce(deployment, 'unknown'), 'Frameworks: ' || coalesce(nullif(replace(frameworks, ',', ', '), ''), 'none'),
+  'Languages: ' || langs, 'Files: ' || nf || ', Lines: ' || nl, 'Serverless: ' || {_py('is_serverless')},
+  'Files with global state: ' || st) AS summary
+FROM T LEFT JOIN CX USING (project) LEFT JOIN S USING (project)"""
+DIRECTORY_SUMMARY = f"""WITH {ALL_LINES},
+K AS (SELECT project, path, chr(10) || '--- ' || path || ' ---' || chr(10) || content || chr(10) AS chunk FROM F WHERE ext <> '.html'),
+R AS (SELECT *, sum(length(chunk)) OVER (PARTITION BY project ORDER BY string_split(path, '/') ROWS UNBOUNDED PRECEDING) AS running FROM K)
+SELECT project, path, CAST(running AS BIGINT) AS running, md5(chunk) AS chunk FROM R WHERE running <= 20000"""
+CONTEXT_PACK = f"""WITH {ALL_LINES}, {INDEX_CTE}, {PROJECTS}, M AS ({_manifest_rows}), {CONTEXT_CTE},
+T AS (SELECT project, count(*) AS nf, sum(line_count) AS nl, string_agg(DISTINCT language, ', ' ORDER BY language) AS langs FROM IX GROUP BY project),
+HEAD AS (SELECT project, ['PROJECT: ' || project, 'Files: ' || nf || ', Lines: ' || nl, 'Languages: ' || langs,
+  'Deployment: ' || coalesce(deployment, 'unknown'), 'Frameworks: ' || coalesce(nullif(replace(frameworks, ',', ', '), ''), 'none detected'),
+  'Serverless: ' || {_py('is_serverless')},
+  'Web app: ' || {_py('is_web_app')} || ', API: ' || {_py('is_api')} || ', CLI: ' || {_py('is_cli')},
+  'ORM: ' || {_py('has_orm')} || ', Template escaping: ' || {_py('has_template_escaping')}, ''] AS h
+  FROM T LEFT JOIN CX USING (project)),
+MARK AS (SELECT project, path, line_count, array_to_string(list_filter([
+  CASE WHEN state_lines <> '' THEN 'GLOBAL_STATE' END,
+  CASE WHEN len(classes) > 0 THEN 'classes:' || array_to_string(classes[1:3], ',') END,
+  CASE WHEN len(functions) > 0 THEN 'fns:' || len(functions) END], lambda x: x IS NOT NULL), ', ') AS marks FROM IX),
+FIXED AS (
+  SELECT project, 0 AS section, '' AS name, array_to_string(h, chr(10)) AS text, list_sum(list_transform(h, lambda x: length(x))) AS chars FROM HEAD
+  UNION ALL SELECT project, 1, path, t, length(t) FROM (SELECT project, path, '--- CONFIG: ' || path || ' ---' || chr(10) || left(content, 2000) || chr(10) AS t
+    FROM M WHERE path NOT LIKE 'README%' AND path <> 'index.html')
+  UNION ALL SELECT project, 2, path, t, length(t) FROM (SELECT project, path,
+    '  ' || path || ' (' || line_count || 'L)' || CASE WHEN marks <> '' THEN ' [' || marks || ']' ELSE '' END AS t FROM MARK)),
+USED AS (SELECT project, sum(chars) + 17 AS used FROM FIXED GROUP BY project),
+TOPF AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY line_count DESC, string_split(path, '/')) AS rk FROM IX),
+BODY AS (SELECT project, path, rk, '--- ' || path || ' ---' || chr(10) || content || chr(10) AS t FROM TOPF WHERE rk <= 30),
+RUN AS (SELECT *, used + sum(length(t)) OVER (PARTITION BY project ORDER BY rk ROWS UNBOUNDED PRECEDING) AS running FROM BODY JOIN USED USING (project))
+SELECT project, section, name, 0 AS pos, md5(text) AS text FROM FIXED
+UNION ALL SELECT project, 3, path, CAST(rk AS INT), md5(t) FROM RUN WHERE running <= 12000"""
+
+# ---- deep checks, each on whole lines
+_script = "language IN ('javascript', 'typescript')"
+
+_DL = "(SELECT * FROM L0 WHERE ext <> '.html' AND (project, path) NOT IN (SELECT (project, path) FROM SMALL))"
+_kind = "CASE " + " ".join(f"WHEN {rx('line', p)} THEN {q(n)}" for p, n in deep.STATE_KINDS) + " ELSE 'mutable state' END"
+_tv = f"try_cast(nullif(regexp_extract(line, {q('(?i)' + deep.TIMEOUT)}, 1), '') AS BIGINT)"
+_sec = f"(CASE WHEN {_tv} > 1000 THEN {_tv} // 1000 ELSE {_tv} END)"
+_limit = "(CASE deployment WHEN 'netlify' THEN 26 WHEN 'aws-lambda' THEN 900 ELSE 30 END)"
+_named = f"nullif(regexp_extract(line, {q(deep.ADD_NAMED)}, 1), '')"
+_event = f"coalesce({_named}, regexp_extract(line, {q(deep.ADD_ANY)}, 1))"
+_dirs = lambda dirs: "(" + " OR ".join(f"contains(path, {q(d)})" for d in dirs) + ")"
+_http = rx("line", deep.HTTP_CALL)
+DEEP_RULES = {
+    "serverless-stateful-code": ("critical", f"'Stateful ' || {_kind} || ' in serverless function'",
+        f"DL JOIN CX USING (project) WHERE is_serverless AND {_dirs(deep.SERVER_DIRS)} AND {STATE_TEST}"),
+    "timeout-exceeds-platform": ("major", f"'Timeout (' || {_sec} || 's) exceeds ' || deployment || ' limit (' || {_limit} || 's)'",
+        f"DL JOIN CX USING (project) WHERE is_serverless AND {_sec} > {_limit}"),
+    "recursive-serverless-invocation": ("critical", "'Possible recursive serverless invocation'",
+        f"DL JOIN CX USING (project) WHERE is_serverless AND {_dirs(deep.ROUTE_DIRS)} AND {rx('line', deep.SELF_CALL)}"),
+    "event-listener-leak": ("major", f"'Event listener ''' || {_event} || ''' never removed'",
+        f"DL WHERE {_script} AND {rx('line', deep.ADD_ANY)} AND ({_named} IS NULL OR NOT EXISTS (SELECT 1 FROM DL r WHERE r.project = DL.project "
+        f"AND r.path = DL.path AND regexp_extract(r.line, {q(deep.REMOVE)}, 1) = {_named.replace('line', 'DL.line')}))"),
+    "blob-url-leak": ("major", "'Blob URL created but never revoked'",
+        f"DL WHERE {_script} AND contains(line, 'createObjectURL') AND NOT EXISTS (SELECT 1 FROM DL r WHERE r.project = DL.project AND r.path = DL.path AND contains(r.line, 'revokeObjectURL'))"),
+    "useeffect-missing-cleanup": ("major", "'useEffect adds listener without cleanup'",
+        f"(SELECT *, string_agg(line, chr(10)) {frame(-1, 30)} AS ahead FROM DL) WHERE {_script} AND contains(line, 'useEffect') "
+        "AND contains(ahead, 'addEventListener') AND NOT contains(string_split(ahead, '}, [')[1], 'return')"),
+    "unguarded-async-handler": ("major", "'Async operation without re-entry guard'",
+        f"(SELECT *, bool_or({rx('line', GUARD)}) {frame(9, 20)} AS guarded FROM DL) WHERE {_script} AND {rx('line', deep.ASYNC_EVENT)} AND NOT guarded"),
+    "missing-api-timeout": ("major", "'External API call without timeout'",
+        f"(SELECT *, bool_or(contains(lower(line), 'timeout')) {frame(2, 5)} AS near FROM DL) WHERE {_http} AND NOT {rx('line', deep.CURSOR_FETCH)} "
+        f"AND NOT {rx('line', deep.NOT_CODE)} AND NOT near"),
+    "missing-filesize-validation": ("major", "'File upload without size validation'",
+        f"(SELECT project, path, min(line_no) FILTER ({rx('line', deep.FILE_INPUT)}) AS line_no FROM DL WHERE {_script} GROUP BY project, path "
+        f"HAVING line_no IS NOT NULL AND NOT bool_or({rx('line', deep.SIZE_CHECK)})) JOIN CX USING (project) WHERE is_web_app"),
+    "cors-wildcard-api": ("critical", "'CORS wildcard allows any website to use your API'",
+        "(SELECT project, arg_min(path, (prio, string_split(path, '/'), line_no)) AS path, arg_min(line_no, (prio, string_split(path, '/'), line_no)) AS line_no FROM ("
+        "SELECT project, path, length(split_part(content, '\"*\"', 1)) - length(replace(split_part(content, '\"*\"', 1), chr(10), '')) + 1 AS line_no, 0 AS prio "
+        "FROM M WHERE path = 'vercel.json' AND contains(content, '\"*\"') AND contains(lower(content), 'access-control') "
+        f"UNION ALL SELECT project, path, line_no, 1 FROM DL WHERE {rx('line', deep.CORS_ANY)}) GROUP BY project) JOIN CX USING (project) WHERE is_api"),
+}
+_DEEP_CTE = f"{LINES} DL AS {_DL}, {PROJECTS}, M AS ({_manifest_rows}), {CONTEXT_CTE}"
+_deep_part = lambda r: (
+    f"SELECT project, path AS file, CAST(line_no AS INT) AS line_no, {q(r)} AS rule_id, {q(DEEP_RULES[r][0])} AS severity, {DEEP_RULES[r][1]} AS title FROM {DEEP_RULES[r][2]}"
+)
+ASSETS = """
+A AS (
+  SELECT 'src' || p_partkey % 20 AS project, CASE p_partkey % 5 WHEN 0 THEN 'public' WHEN 1 THEN 'static' WHEN 2 THEN 'assets' WHEN 3 THEN 'dist' ELSE 'misc' END
+    || '/a' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.wasm' WHEN 1 THEN '.js' WHEN 2 THEN '.png' ELSE '.css' END AS path,
+    CAST(p_size AS BIGINT) * 262144 AS size_bytes FROM part)
+"""
+_uncached = (
+    "SELECT project, path AS file, CAST(NULL AS INT) AS line_no, 'missing-cache-headers' AS rule_id, 'major' AS severity, "
+    "'Large asset without cache headers (' || printf('%.1f', size_bytes / 1048576) || 'MB)' AS title FROM A "
+    "WHERE regexp_matches(path, '^(public|static|assets|dist)/.*(wasm|js|css)$') AND size_bytes >= 1048576 "
+    f"AND project NOT IN (SELECT project FROM M WHERE path = 'vercel.json' AND contains(lower(content), 'cache-control'))"
+)
+
+
+def deep_rule(rule_id: str) -> str:
+    if rule_id == "missing-cache-headers":
+        return f"WITH {MANIFEST}, {ASSETS} {_uncached}"
+    return f"WITH {_DEEP_CTE} {_deep_part(rule_id)}"
+
+
+DEEP_FINDINGS = (
+    f"WITH {_DEEP_CTE}, {ASSETS} " + "\nUNION ALL ".join(_deep_part(r) for r in DEEP_RULES) + f"\nUNION ALL {_uncached}"
+)
+_domain = _pack_rules(["api", "browser", "react", "serverless"]).replace("FROM L ", "FROM DL ")
+DEEP_SCAN = (
+    f"WITH {_DEEP_CTE}, {ASSETS}, DP AS ({_domain}) SELECT project, file, line_no, rule_id, severity, title FROM DP UNION ALL "
+    + "\nUNION ALL ".join(_deep_part(r) for r in DEEP_RULES) + f"\nUNION ALL {_uncached}"
+)
