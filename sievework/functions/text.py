@@ -38,10 +38,6 @@ def any_of(conds: Iterable[Column]) -> Column:
     return F.lit(False) if out is None else out
 
 
-def starts_with_any(col: Column, prefixes: Iterable[str]) -> Column:
-    return any_of(col.startswith(p) for p in prefixes)
-
-
 def strip(col: Column) -> Column:
     """Strip every Unicode white space, as Python does (``trim`` only strips blanks)."""
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
@@ -140,3 +136,20 @@ def line_at(content: Column, position: Column) -> Column:
 
 def count_char(col: Column, ch: str) -> Column:
     return F.length(col) - F.length(F.replace(col, F.lit(ch), F.lit("")))
+
+
+def fixed_point(amount: Column, unit: int, digits: int) -> Column:
+    """``amount / unit`` with ``digits`` decimals as text, ties to even.
+
+    Done on integers: the quotient of two longs is rounded exactly, whatever its double form.
+    """
+    scaled = amount.cast("long") * 10**digits
+    rest = F.pmod(scaled, F.lit(unit))
+    whole = ((scaled - rest) / unit).cast("long")
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (whole % 2 == 1))
+    rounded = whole + F.when(up, 1).otherwise(0)
+    if digits == 0:
+        return rounded.cast("string")
+    base = 10**digits
+    fraction = F.lpad((rounded % base).cast("string"), digits, "0")
+    return F.concat(((rounded - rounded % base) / base).cast("long").cast("string"), F.lit("."), fraction)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.predicates import both, case, group, has, match, text
-from sievework.functions.text import contains_any, dialect, line_at, suffix
+from sievework.functions.text import contains_any, dialect, fixed_point, line_at, suffix
 from sievework.operators.findings import dedupe
 from sievework.operators.index import state_line
 from sievework.operators.lines import IN_SCRIPT, Detector, describe, line_hits
@@ -257,7 +257,7 @@ def uncached_assets(assets: DataFrame, files: DataFrame) -> DataFrame:
         & (F.col("size_bytes") >= MEGABYTE)
     )
     hits = large.join(cached.select("project"), "project", "left_anti")
-    size = F.format_string("%.1f", F.col("size_bytes") / MEGABYTE)
+    size = fixed_point(F.col("size_bytes"), MEGABYTE, 1)
     return to_findings(
         hits, NO_CACHE, file=path, order=len(deep_detectors()),
         title=F.concat(F.lit("Large asset without cache headers ("), size, F.lit("MB)")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.schema import ASSERTION_STATES, ASSERTION_TYPES, FINDING
+from sievework.schema import ASSERTION_STATES, ASSERTION_TYPES
 
 # Sources of an intent, best first; importance above which a miss is major.
 SOURCES = ["cli", "spec_file", "git_commit"]
@@ -39,20 +39,26 @@ def assertion_results(assertions: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def fidelity(results: DataFrame) -> DataFrame:
-    """(intent_id, fidelity_raw, fidelity_score): weighted score in percent; 0 without weight."""
-    weight = F.sum("importance")
-    raw = F.when(weight != 0, F.sum(F.col("score") * F.col("importance")) / weight * 100).otherwise(0.0)
+    """(intent_id, fidelity_raw, fidelity_score): weighted score in percent; 0 without weight.
+
+    The sums are decimal, so the score does not depend on the order in which tasks add up.
+    """
+    def total(c: Column) -> Column:
+        return F.sum(c.cast("decimal(28,9)")).cast("double")
+
+    weight = total(F.col("importance"))
+    raw = F.when(weight != 0, total(F.col("score") * F.col("importance")) / weight * 100).otherwise(0.0)
     return (
         results.groupBy("intent_id").agg(F.count(F.lit(1)).alias("results"), raw.alias("fidelity_raw"))
         .withColumn("fidelity_score", F.bround("fidelity_raw", 1))
     )
 
 
-def intent_findings(results: DataFrame) -> DataFrame:
+def intent_findings(results: DataFrame, *keep: str) -> DataFrame:
     """Findings for assertions that failed or hold in part.
 
     ``results``: project, intent_id, idx, type, description, expect, importance, status,
-    evidence, location.
+    evidence, location; ``keep`` names columns of it to carry along.
     """
     status = known(F.col("status"), ASSERTION_STATES, "unknown")
     kind = known(F.col("type"), ASSERTION_TYPES, "behavior")
@@ -77,4 +83,5 @@ def intent_findings(results: DataFrame) -> DataFrame:
         F.col("evidence"),
         F.lit(0).alias("ord"),
         F.col("idx").cast("long").alias("seq"),
-    ).select(*FINDING)
+        *keep,
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.predicates import both, case, either, group, has, isin, match, text
-from sievework.functions.text import contains_any, dialect, file_name, has_part
+from sievework.functions.text import contains_any, dialect, file_name, fixed_point, has_part
 from sievework.operators.lines import Detector, describe, line_hits
 from sievework.schema import Rule, to_findings, union_all
 from sievework.sources.files import in_asset_dir, readmes
@@ -363,10 +363,10 @@ def persona_findings(
     rules = [Detector(r, "true", with_evidence=False) for _, r in PROJECT_RULES]
     parts.append(describe(checks, rules, "persona"))
     if assets is not None:
-        mb = F.col("size_bytes") / MEGABYTE
-        big = assets.where(in_asset_dir(F.col("path"), ASSET_DIRS) & (mb > LARGE_MB))
+        large = F.col("size_bytes") > LARGE_MB * MEGABYTE
+        big = assets.where(in_asset_dir(F.col("path"), ASSET_DIRS) & large)
         rows = big.join(who.where(F.col("audience") == "mobile"), "project")
-        title = F.concat(F.lit("Large asset ("), F.format_string("%.0f", mb), F.lit("MB) hurts mobile loading"))
+        title = F.concat(F.lit("Large asset ("), fixed_point(F.col("size_bytes"), MEGABYTE, 0), F.lit("MB) hurts mobile loading"))
         found = to_findings(rows, LARGE, file=F.col("path"), title=title, evidence=F.col("persona"))
         parts.append(
             found.withColumn("persona", F.col("evidence")).withColumn(

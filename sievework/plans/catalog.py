@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from sievework.operators import findings as fnd
 from sievework.operators import deep, external, fixes, history, imports, index, intent, journeys, persona, report
@@ -22,6 +25,7 @@ from sievework.functions.text import line_count
 from sievework.plans.scan import ScanOptions, deep_scan, persona_scan, scan
 from sievework.sources import files as src
 from sievework.sources.rules import BUILT_IN, built_in
+from sievework.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -405,3 +409,250 @@ def _(spark, sf):
 @query("deep_scan", sql.DEEP_SCAN)
 def _(spark, sf):
     return deep_scan(fx.project_files(spark, sf), fx.assets(spark, sf)).select(*_DEEP)
+
+
+# ---- personas ---------------------------------------------------------------------------
+
+
+def _persona_files(spark, sf):
+    return fx.project_files(spark, sf).unionByName(fx.style_files(spark, sf))
+
+
+@query("persona_signals", sql.PERSONA_SIGNALS)
+def _(spark, sf):
+    files = _persona_files(spark, sf)
+    return persona.project_profile(files, persona.project_signals(files))
+
+
+@query("personas", sql.PERSONAS)
+def _(spark, sf):
+    signals = fx.features(spark, sf).withColumn("app_type", persona.app_type())
+    people = persona.personas(signals).join(signals.select("project", "app_type"), "project")
+    return people.withColumn("devices", F.array_join("devices", ",")).drop("key_flows")
+
+
+@query("personas_by_name", sql.PERSONAS_FILTERED)
+def _(spark, sf):
+    return persona.personas(fx.features(spark, sf), "Admin").select("project", "name")
+
+
+@query("persona_samples", sql.SAMPLES)
+def _(spark, sf):
+    return persona.samples(fx.sample_files(spark, sf))
+
+
+def _persona_findings(spark, sf):
+    signals = fx.features(spark, sf, customers=False)
+    return persona.persona_findings(
+        _persona_files(spark, sf), signals, persona.personas(signals), fx.assets(spark, sf)
+    ).select(*_DEEP, "persona")
+
+
+@query("persona_findings", sql.PERSONA_FINDINGS)
+def _(spark, sf):
+    return _persona_findings(spark, sf)
+
+
+def _persona_query(rule_id: str) -> None:
+    @query("persona_" + rule_id.replace("-", "_"), sql.persona_rule(rule_id))
+    def _(spark, sf):
+        return _persona_findings(spark, sf).where(F.col("rule_id") == rule_id)
+
+
+for _name in sql.PERSONA_RULES:
+    _persona_query(_name)
+
+
+@query("persona_scan")
+def _(spark, sf):
+    return persona_scan(_persona_files(spark, sf), fx.assets(spark, sf)).select(*_DEEP, "persona")
+
+
+# ---- intent and reviews from elsewhere ---------------------------------------------------
+
+
+@query("fidelity", sql.FIDELITY)
+def _(spark, sf):
+    score = intent.fidelity(intent.assertion_results(*fx.assertion_rows(spark, sf)))
+    return score.select(
+        "intent_id", "results", F.col("fidelity_raw").alias("fidelity"),
+        fnd.score_gate(F.col("fidelity_raw"), fnd.FIDELITY_LIMITS).alias("gate"),
+    )
+
+
+@query("intent_findings", sql.INTENT_FINDINGS)
+def _(spark, sf):
+    results = intent.assertion_results(*fx.assertion_rows(spark, sf))
+    return intent.intent_findings(results, "intent_id").select(
+        "project", "file", "rule_id", "severity", "title", "description", "intent_id", "seq"
+    )
+
+
+@query("best_intent", sql.BEST_INTENT)
+def _(spark, sf):
+    return intent.best_intent(fx.intents(spark, sf))
+
+
+_REVIEW = ["project", "file", "line_no", "severity", "category", "title", "confidence", "rule_id", "seq"]
+
+
+@query("file_reviews", sql.FILE_REVIEWS)
+def _(spark, sf):
+    return external.file_reviews(fx.review_payloads(spark, sf, False)).select(*_REVIEW)
+
+
+@query("project_reviews", sql.PROJECT_REVIEWS)
+def _(spark, sf):
+    return external.project_reviews(fx.review_payloads(spark, sf, True)).select(*_REVIEW)
+
+
+@query("assertions", sql.ASSERTIONS)
+def _(spark, sf):
+    return external.assertions(fx.assertion_payloads(spark, sf))
+
+
+@query("step_evaluations", sql.STEP_EVALUATIONS)
+def _(spark, sf):
+    return external.step_evaluations(fx.step_payloads(spark, sf)).drop("reasoning")
+
+
+# ---- journeys ---------------------------------------------------------------------------
+
+
+def _steps(spark, sf):
+    """Journey steps numbered in time; a journey is split by the hour for numbering."""
+    return numbered(
+        fx.journey_events(spark, sf), ["journey_id"], F.date_trunc("hour", "ts"),
+        [F.col("ts"), F.col("event_id")], "step_num",
+    )
+
+
+@query("step_numbers", sql.STEP_NUMBERS)
+def _(spark, sf):
+    return _steps(spark, sf).select("event_id", "journey_id", "step_num")
+
+
+@query("journey_scores", sql.JOURNEY_SCORES)
+def _(spark, sf):
+    return journeys.journey_scores(fx.journey_events(spark, sf))
+
+
+@query("worst_journey", sql.WORST)
+def _(spark, sf):
+    scores = journeys.journey_scores(fx.journey_events(spark, sf))
+    user = F.split_part("journey_id", F.lit("-"), F.lit(1))
+    return journeys.worst_journey(scores.withColumn("user_key", user), "user_key")
+
+
+@query("step_history", sql.STEP_HISTORY)
+def _(spark, sf):
+    return journeys.step_history(_steps(spark, sf)).select(
+        "journey_id", "step_num", F.array_join("history", " ").alias("history")
+    )
+
+
+@query("top_frictions", sql.TOP_FRICTIONS)
+def _(spark, sf):
+    return journeys.top_frictions(_steps(spark, sf))
+
+
+# ---- fixes ------------------------------------------------------------------------------
+
+
+@query("fix_windows", sql.FIX_WINDOWS)
+def _(spark, sf):
+    files = fx.code_files(spark, sf)
+    return fixes.fix_windows(security_findings(files), files)
+
+
+def _usable(spark, sf):
+    files = fx.code_files(spark, sf)
+    found = security_findings(files)
+    return files, fixes.usable_fixes(fx.proposed_fixes(found), found, files)
+
+
+@query("usable_fixes", sql.USABLE_FIXES)
+def _(spark, sf):
+    return _usable(spark, sf)[1].select(
+        "project", "path", "line_no", "rule_id", F.round("confidence", 6).alias("confidence"), "severity", "title"
+    )
+
+
+@query("applied_fixes", sql.APPLIED_FIXES)
+def _(spark, sf):
+    return fixes.apply_fixes(*_usable(spark, sf)).withColumn("content", F.md5("content"))
+
+
+# ---- reports ----------------------------------------------------------------------------
+
+
+@query("report_json", sql.REPORT_JSON)
+def _(spark, sf):
+    records = report.json_records(security_findings(fx.code_files(spark, sf)))
+    fields = {
+        "rule_id": "$.rule_id", "file": "$.location.file", "line": "$.location.line", "total": "$.summary.total_issues",
+    }
+    return records.select("project", "record", *[F.get_json_object("body", p).alias(n) for n, p in fields.items()])
+
+
+@query("report_markdown", sql.REPORT_MARKDOWN)
+def _(spark, sf):
+    return report.markdown(security_findings(fx.code_files(spark, sf))).select("project", "section", "rank", "text")
+
+
+# ---- streams ----------------------------------------------------------------------------
+
+
+def _stream_root(spark: SparkSession) -> str:
+    """A fresh folder below the cluster's shared checkpoint folder; local only where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    base = shared or tempfile.mkdtemp(prefix="run-")
+    return f"{base}/streams/{uuid.uuid4().hex}"
+
+
+def _finish(started: StreamingQuery) -> None:
+    started.awaitTermination()
+
+
+@query("stream_scan", sql.SCAN_FINDINGS)
+def _(spark, sf):
+    root = _stream_root(spark)
+    versions = fx.code_files(spark, sf, fx.stream(spark, sf, "documents"), F.col("doc_id").alias("seq"))
+    context = project_context(fx.manifests(spark, sf))
+    options = ScanOptions(strictness="high")
+    _finish(jobs.scan_stream(versions, _packages(spark, sf), context, root, f"{root}/checkpoint", options))
+    return spark.read.parquet(f"{root}/findings").where(_not_parsed()).select(
+        "project", "file", "line_no", "rule_id", "severity", "category", "title", "evidence"
+    )
+
+
+@query("stream_dismissal_counts", sql.STREAM_DISMISSALS)
+def _(spark, sf):
+    root = _stream_root(spark)
+    counts = jobs.dismissal_counts(fx.dismissal_events(spark, sf, fx.stream(spark, sf, "events")))
+    _finish(jobs.run(counts, "", f"{root}/checkpoint", "update", jobs.keep_latest(f"{root}/counts")))
+    return jobs.read_latest(spark, f"{root}/counts", "rule_id", "file_pattern")
+
+
+@query("stream_issue_rate", sql.STREAM_RATE)
+def _(spark, sf):
+    root = _stream_root(spark)
+    rate = jobs.issue_rate(fx.issue_log(spark, sf, fx.stream(spark, sf, "events")))
+    _finish(jobs.run(rate, f"{root}/rate", f"{root}/checkpoint"))
+    return spark.read.parquet(f"{root}/rate")
+
+
+@query("stream_journeys", sql.STREAM_JOURNEYS)
+def _(spark, sf):
+    root = _stream_root(spark)
+    sessions = jobs.journey_sessions(fx.journey_events(spark, sf, fx.stream(spark, sf, "events")))
+    _finish(jobs.run(sessions, f"{root}/sessions", f"{root}/checkpoint"))
+    return spark.read.parquet(f"{root}/sessions")
+
+
+@query("stream_gate_alerts", sql.STREAM_GATES)
+def _(spark, sf):
+    root = _stream_root(spark)
+    issues = fx.issue_log(spark, sf, fx.stream(spark, sf, "events")).withColumn("engine", F.lit("code"))
+    _finish(jobs.run(issues, "", f"{root}/checkpoint", each=jobs.gate_alerts(f"{root}/alerts")))
+    return spark.read.parquet(f"{root}/alerts").drop("batch_id", "engines_run")

@@ -89,8 +89,11 @@ def code_path() -> Column:
     return F.concat(F.lit("src/"), "lang", api, F.lit("/f"), F.col("doc_id").cast("string"), ext)
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def code_files(
+    spark: SparkSession, sf_dir: str, documents: DataFrame | None = None, *keep: str
+) -> DataFrame:
     """One file per document, its lines replaced by templates in rotation."""
+    documents = table(spark, sf_dir, "documents") if documents is None else documents
     templates = F.array(*[F.lit(t) for t in TEMPLATES])
 
     def line(text: Column, i: Column) -> Column:
@@ -101,8 +104,8 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     content = F.array_join(F.transform(F.split("text", "\n", -1), line), "\n")
     return file_table(
-        table(spark, sf_dir, "documents").select(
-            F.col("source").alias("project"), code_path().alias("path"), content.alias("content")
+        documents.select(
+            F.col("source").alias("project"), code_path().alias("path"), content.alias("content"), *keep
         )
     )
 
@@ -245,7 +248,8 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return npm.unionByName(pypi)
 
 
-def issue_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def issue_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    events = table(spark, sf_dir, "events") if events is None else events
     e = F.col("event_id")
     ext = F.when(F.col("user_id") % 2 == 0, ".py").otherwise(".js")
     file = F.when(
@@ -259,8 +263,8 @@ def issue_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "security").when(F.col("event_type") == "purchase", "performance")
         .when(F.col("event_type") == "click", "ai_pattern").otherwise("logic")
     )
-    return table(spark, sf_dir, "events").select(
-        F.day("ts").alias("scan_id"),
+    return events.select(
+        F.day("ts").alias("scan_id"), "ts",
         F.concat(F.lit("src"), (F.col("user_id") % 5).cast("string")).alias("project"),
         F.concat(F.lit("rule"), (e % 4).cast("string")).alias("rule_id"),
         file.alias("file"), (e % 3).cast("int").alias("line"), severity.alias("severity"),
@@ -268,9 +272,10 @@ def issue_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dismissal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dismissal_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    events = table(spark, sf_dir, "events") if events is None else events
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").where((F.col("event_type") == "view") & (e % 17 == 1)).select(
+    return events.where((F.col("event_type") == "view") & (e % 17 == 1)).select(
         e.alias("seq"), "ts", F.concat(F.lit("rule"), (e % 4).cast("string")).alias("rule_id"),
         F.when(e % 12 != 0, F.concat(F.lit("F"), (F.col("user_id") % 13).cast("string"), F.lit("."))).alias("file_pattern"),
         F.concat(F.lit("reason "), F.col("user_id").cast("string")).alias("reason"),
@@ -286,8 +291,9 @@ def dismissal_clears(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def journey_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def journey_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Journey steps before they are numbered."""
+    events = table(spark, sf_dir, "events") if events is None else events
     t = F.col("event_type")
     feeling = (
         F.when(t.isin("signup", "purchase"), "smooth").when(t == "view", "confused")
@@ -295,28 +301,29 @@ def journey_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     friction = F.when(F.col("value") > 20, F.concat(F.lit("slow step "), t)).when(F.col("value") > 15, "")
     action = F.when(t == "purchase", "done").when((t == "error") & (F.col("value") > 10), "give_up").otherwise("click")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.col("user_id").cast("string"), F.lit("-"), F.day("ts").cast("string")).alias("journey_id"),
         "user_id", "ts", "event_id", feeling.alias("feeling"), friction.alias("friction"), action.alias("action"),
     )
 
 
 def assertion_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(assertions, results) per order."""
+    """(assertions, results) per order: one assertion per line number, one result per line."""
     names = ["dependency", "route", "behavior", "security", "function", "file", "pattern", "ui"]
-    kind = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("l_linenumber") % 8 + 1)
+    kind = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("idx") % 8 + 1)
     status = (
         F.when(F.col("l_returnflag") == "A", "pass").when(F.col("l_returnflag") == "N", "partial")
         .when(F.col("l_returnflag") == "R", "fail").otherwise("odd")
     )
     li = table(spark, sf_dir, "lineitem")
     key = [F.col("l_orderkey").alias("intent_id"), F.col("l_linenumber").alias("idx")]
-    asserted = li.select(
-        *key, F.concat(F.lit("src"), (F.col("l_suppkey") % 20).cast("string")).alias("project"),
-        kind.alias("type"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("description"),
-        F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("expect"),
-        (F.col("l_quantity") / 50).alias("importance"),
-    )
+    part, supplier = F.min("l_partkey").cast("string"), F.min("l_suppkey")
+    asserted = li.groupBy(*key).agg(
+        F.concat(F.lit("src"), (supplier % 20).cast("string")).alias("project"),
+        F.concat(F.lit("part "), part).alias("description"),
+        F.concat(F.lit("supplier "), supplier.cast("string")).alias("expect"),
+        (F.max("l_quantity") / 50).alias("importance"),
+    ).withColumn("type", kind)
     results = li.select(
         *key, status.alias("status"), (F.col("l_discount") * 10).alias("score"),
         F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus")).alias("evidence"),
@@ -360,3 +367,133 @@ def scan_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("project"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"),
         F.md5(text).alias("md5"),
     )
+
+
+# Features by number, so that every kind of persona occurs: (divisor, remainder).
+FEATURES = {
+    "has_video_audio": (5, 0), "has_file_upload": (7, 0), "has_dashboard": (2, 0), "has_data_tables": (3, 0),
+    "has_api_docs": (4, 1), "has_admin": (6, 2), "has_roles": (9, 4), "has_mobile_meta": (8, 3),
+    "has_responsive_css": (10, 7), "has_forms": (11, 1), "has_payments": (13, 5), "has_export": (3, 1),
+}
+
+
+def features(spark: SparkSession, sf_dir: str, customers: bool = True) -> DataFrame:
+    """Project features, for one project per customer or for the projects of ``documents``."""
+    if customers:
+        base = table(spark, sf_dir, "customer").select(
+            F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("project"), F.col("c_custkey").alias("k")
+        )
+    else:
+        base = table(spark, sf_dir, "documents").select(F.col("source").alias("project")).distinct().select(
+            "project", F.substring("project", 4, 10).cast("int").alias("k")
+        )
+    return base.select("project", *[(F.col("k") % d == r).alias(n) for n, (d, r) in FEATURES.items()])
+
+
+def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components with a route, a message and a text."""
+    d = F.col("doc_id")
+    flat = F.replace("text", F.lit("\n"), F.lit(" "))
+    content = F.concat(
+        F.lit('route: "/r'), (d % 45).cast("string"), F.lit('"\nmessage = "'),
+        F.substring(flat, F.lit(1), (d % 90 + 5).cast("int")), F.lit('"\n<b>'), F.upper("lang"),
+        F.lit(" text "), (d % 33).cast("string"), F.lit("</b>"),
+    )
+    return file_table(
+        table(spark, sf_dir, "documents").select(
+            F.col("source").alias("project"),
+            F.concat(F.lit("ui/f"), d.cast("string"), F.lit(".tsx")).alias("path"), content.alias("content"),
+        )
+    )
+
+
+def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    source = F.when(k % 4 == 0, "git_commit").when(k % 4 == 1, "spec_file").when(k % 4 == 2, "cli").otherwise("chat")
+    text = F.when(k % 3 == 0, "  ").otherwise(F.concat(F.lit("order "), k.cast("string")))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("project"), source.alias("source"), text.alias("text")
+    )
+
+
+def _in_text(body: Column) -> Column:
+    """JSON as reviewers send it: bare, fenced with and without a tag, or not at all."""
+    e = F.col("event_id") % 5
+    return (
+        F.when(e == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(e == 2, F.concat(F.lit("Here:\n```\n"), body, F.lit("\n```\nbye")))
+        .when(e == 3, "cannot say { more")
+        .otherwise(F.concat(F.lit(" "), body))
+    )
+
+
+def review_payloads(spark: SparkSession, sf_dir: str, whole_project: bool) -> DataFrame:
+    """(project, path, payload): three review entries per event."""
+    e = F.col("event_id")
+    path = F.concat(F.lit("src/f"), (F.col("user_id") % 13).cast("string"), F.lit(".js"))
+
+    def entry(seq: int) -> Column:
+        n = e + seq
+        nothing = F.lit(None).cast("string")
+        return F.struct(
+            F.when(n % 4 == 0, "Critical").when(n % 4 == 1, "INFO").when(n % 4 == 2, "blocker").alias("severity"),
+            F.when(n % 3 == 0, "security").when(n % 3 == 1, "import").otherwise("other").alias("category"),
+            (nothing if seq == 2 else F.concat_ws(" ", "event_type", e.cast("string"))).alias("title"),
+            (nothing if seq == 1 else path).alias("file"),
+            F.when(n % 6 != 0, n % 40).alias("line"),
+            F.when(n % 7 == 0, "1.5").when(n % 7 == 1, None).when(n % 7 == 2, "high").otherwise("0.25").alias("confidence"),
+        )
+
+    issues = F.array(*[entry(i) for i in range(3)])
+    body = F.to_json(issues) if whole_project else F.to_json(F.struct(issues.alias("issues")))
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("src"), (F.col("user_id") % 5).cast("string")).alias("project"), path.alias("path"),
+        _in_text(body).alias("payload"),
+    )
+
+
+def assertion_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+
+    def entry(i: int) -> Column:
+        n = e + i
+        return F.struct(
+            F.when(n % 4 == 0, "Route").when(n % 4 == 1, "UI").when(n % 4 == 2, "widget").alias("type"),
+            F.concat_ws(" ", "event_type", F.lit(str(i))).alias("description"),
+            F.concat(F.lit("expect "), e.cast("string")).alias("expect"),
+            F.when(n % 3 == 0, 0.5).when(n % 3 == 2, 2.5).alias("importance"),
+        )
+
+    body = F.to_json(F.array(*[entry(i) for i in range(3)]))
+    return table(spark, sf_dir, "events").select(e.alias("intent_id"), _in_text(body).alias("payload"))
+
+
+def step_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    body = F.to_json(
+        F.struct(
+            F.concat(F.lit("saw "), e.cast("string")).alias("observation"), F.col("event_type").alias("feeling"),
+            F.when(e % 2 == 0, "slow").alias("friction"), F.lit("click").alias("action"),
+        )
+    )
+    return table(spark, sf_dir, "events").select("event_id", _in_text(body).alias("payload"))
+
+
+def proposed_fixes(findings: DataFrame) -> DataFrame:
+    """A fix for each eval, certificate and SQL finding; the last kind matches nothing."""
+    rule = F.col("rule_id")
+    old = (
+        F.when(rule == "dangerous-eval", "result = eval(payload)").when(rule == "ssl-disabled", "verify=False ")
+        .otherwise("not in the file")
+    )
+    new = F.when(rule == "dangerous-eval", "result = json.loads(payload)").otherwise("verify=True")
+    return findings.where(rule.isin("dangerous-eval", "ssl-disabled", "sql-injection")).select(
+        "project", F.col("file").alias("path"), "line_no", "rule_id", old.alias("old_code"), new.alias("new_code"),
+        F.lit("safer").alias("explanation"), F.when(F.col("line_no") % 2 == 0, 0.95).otherwise(0.75).alias("confidence"),
+    )
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of files."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)

@@ -596,3 +596,275 @@ DEEP_SCAN = (
     f"WITH {_DEEP_CTE}, {ASSETS}, DP AS ({_domain}) SELECT project, file, line_no, rule_id, severity, title FROM DP UNION ALL "
     + "\nUNION ALL ".join(_deep_part(r) for r in DEEP_RULES) + f"\nUNION ALL {_uncached}"
 )
+
+# ---- personas
+STYLE_CTE = f"""
+SV AS (SELECT * FROM (VALUES {', '.join(f'({i}, {q(s)})' for i, s in enumerate(STYLES))}) v(k, style)),
+ST AS (SELECT source AS project, 'styles/s' || doc_id || '.css' AS path, '.css' AS ext, doc_id,
+  '/* ' || text || ' */' || chr(10) || style AS content FROM documents JOIN SV ON k = doc_id % 4)
+"""
+_PF = f"""{LINES} {PROJECTS}, M AS ({_manifest_rows}), {STYLE_CTE},
+PF AS (
+  SELECT project, path, ext, content FROM F UNION ALL SELECT project, path, ext, content FROM ST
+  UNION ALL SELECT project, path, '.html', content FROM M WHERE path = 'index.html')"""
+_sig = ",\n  ".join(
+    f"bool_or({has('lower(content)', words)}) AS {name}" for name, words in persona.SIGNAL_WORDS.items()
+)
+SIGNALS_CTE = f"""
+SG AS (
+  SELECT project, bool_or({has('lower(path)', ['admin', 'dashboard'])}) AS has_admin,
+  bool_or(contains(lower(content), 'dashboard') OR contains(lower(path), 'dashboard')) AS has_dashboard,
+  bool_or(contains(lower(content), 'viewport') AND contains(lower(content), 'width=device-width')) AS has_mobile_meta,
+  {_sig}
+  FROM PF GROUP BY project)
+"""
+APP_TYPE = """CASE WHEN has_api_docs AND NOT has_forms THEN 'developer-tool'
+  WHEN has_admin AND has_roles AND has_dashboard THEN 'b2b'
+  WHEN has_payments OR has_file_upload OR has_video_audio THEN 'consumer'
+  WHEN has_dashboard AND has_data_tables THEN 'b2b' ELSE 'consumer' END"""
+PERSONA_SIGNALS = f"""WITH {_PF}, {SIGNALS_CTE},
+RD AS (SELECT project, arg_min(content, CASE path WHEN 'README.md' THEN 0 ELSE 1 END) AS readme FROM M WHERE path LIKE 'README%' GROUP BY project)
+SELECT SG.*, coalesce(readme, '') AS readme_content, {APP_TYPE} AS app_type FROM SG LEFT JOIN RD USING (project)"""
+# signals as numbers of a project's documents, so that every kind of persona occurs
+_feature_cols = {
+    "has_video_audio": "k % 5 = 0", "has_file_upload": "k % 7 = 0", "has_dashboard": "k % 2 = 0",
+    "has_data_tables": "k % 3 = 0", "has_api_docs": "k % 4 = 1", "has_admin": "k % 6 = 2", "has_roles": "k % 9 = 4",
+    "has_mobile_meta": "k % 8 = 3", "has_responsive_css": "k % 10 = 7", "has_forms": "k % 11 = 1",
+    "has_payments": "k % 13 = 5", "has_export": "k % 3 = 1",
+}
+FEATURES_CTE = "FT AS (SELECT 'u' || c_custkey AS project, c_custkey AS k, " + ", ".join(
+    f"(c_custkey {e[2:]}) AS {n}" for n, e in _feature_cols.items()
+) + " FROM customer)"
+_people = " UNION ALL ".join(
+    f"SELECT project, {pos} AS slot, {q(name)} AS name, {q(role)} AS role, {q(level)} AS tech_level, {q(','.join(devices))} AS devices FROM FT WHERE {cond}"
+    for key, pos, cond in [
+        ("creator", 0, "has_video_audio OR has_file_upload"),
+        ("business", 0, "NOT (has_video_audio OR has_file_upload) AND has_dashboard AND has_data_tables"),
+        ("developer", 0, "NOT (has_video_audio OR has_file_upload) AND NOT (has_dashboard AND has_data_tables) AND has_api_docs"),
+        ("user", 0, "NOT (has_video_audio OR has_file_upload) AND NOT (has_dashboard AND has_data_tables) AND NOT has_api_docs"),
+        ("admin", 1, "has_admin OR has_roles"), ("visitor", 2, "true"), ("mobile", 3, "has_mobile_meta OR has_responsive_css"),
+    ]
+    for name, role, level, devices in [persona.PERSONAS[key]]
+)
+PEOPLE_CTE = f"""{FEATURES_CTE}, PP0 AS ({_people}),
+PP AS (SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY slot) - 1 AS INT) AS pos, name, role, tech_level, devices FROM PP0)"""
+PERSONAS = f"WITH {PEOPLE_CTE} SELECT PP.*, {APP_TYPE} AS app_type FROM PP JOIN FT USING (project)"
+PERSONAS_FILTERED = f"""WITH {PEOPLE_CTE},
+MT AS (SELECT *, contains(lower(name), 'admin') AS hit, bool_or(contains(lower(name), 'admin')) OVER (PARTITION BY project) AS any_hit FROM PP)
+SELECT project, name FROM MT WHERE hit OR NOT any_hit"""
+_found = " UNION ALL ".join(
+    f"SELECT project, {q(kind)} AS kind, unnest(regexp_extract_all(content, {q(pattern)}, 1)[1:20]) AS value FROM PF{where}"
+    for kind, pattern, where in [
+        ("page_routes", persona.ROUTES, ""), ("error_messages", persona.MESSAGES, ""),
+        ("ui_text_samples", persona.UI_TEXT, " WHERE ext IN ('.tsx', '.html')"),
+    ]
+)
+_sample_files = """
+PF AS (SELECT source AS project, '.tsx' AS ext, 'route: "/r' || doc_id % 45 || '"' || chr(10) || 'message = "' || left(replace(text, chr(10), ' '), 5 + doc_id % 90)
+  || '"' || chr(10) || '<b>' || upper(lang) || ' text ' || doc_id % 33 || '</b>' AS content FROM documents)"""
+SAMPLES = f"""WITH {_sample_files}, V AS (SELECT DISTINCT * FROM ({_found})),
+R AS (SELECT *, row_number() OVER (PARTITION BY project, kind ORDER BY value) AS rank FROM V)
+SELECT project, kind, value, CAST(rank AS INT) AS rank FROM R WHERE rank <= CASE kind WHEN 'page_routes' THEN 30 ELSE 20 END"""
+
+_near = "substr(content, greatest(strpos(content, line) - 1 - 200, 0) + 1, strpos(content, line) - 1 + 200 - greatest(strpos(content, line) - 1 - 200, 0))"
+_touch = " OR ".join(f"contains({_near}, {q(t)})" for t in persona.TOUCH)
+_unf = "CASE " + " ".join(f"WHEN {rx('line', p)} THEN {q(t)}" for p, t in persona.UNFRIENDLY) + " END"
+_who = lambda cond: f"JOIN PP USING (project) WHERE {cond}"
+_nontech, _mobile = "tech_level = 'non-technical'", "contains(devices, 'mobile')"
+_null = "CAST(NULL AS VARCHAR)"
+PERSONA_RULES = {
+    "ui-jargon": ("major", f"'Technical jargon in UI: ''' || regexp_extract(line, {q(persona.JARGON)}, 1) || ''''", "line_no", "name",
+        f"L0 {_who(_nontech)} AND ext IN ('.tsx', '.html') AND {rx('line', persona.JARGON)}"),
+    "raw-error-code": ("major", "'Raw error code shown to user'", "line_no", "name",
+        f"L0 {_who(_nontech)} AND ext IN ('.tsx', '.html') AND {rx('line', persona.ERROR_CODE, True)}"),
+    "hover-only-interaction": ("minor", "'Hover-only interaction (no touch equivalent)'", "line_no", "name",
+        "(SELECT project, path, min(line_no) AS line_no FROM (SELECT *, unnest(string_split(content, chr(10))) AS line, "
+        "generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM ST) WHERE contains(line, ':hover') AND NOT contains(line, '@media') "
+        f"AND NOT ({_touch}) GROUP BY project, path) {_who(_mobile)}"),
+    "unfriendly-error": ("minor", _unf, "line_no", _null,
+        f"L0 WHERE ext <> '.html' AND NOT {rx('line', persona.COMMENTED)} AND {_unf} IS NOT NULL"),
+    "missing-loading-state": ("major", "'Data fetching without loading indicator'", "NULL", _null,
+        f"F WHERE ext = '.tsx' AND {rx('content', persona.FETCHES)} AND NOT {rx('content', persona.LOADING, True)}"),
+    "missing-empty-state": ("minor", "'List rendering without empty state'", "NULL", _null,
+        f"F WHERE ext = '.tsx' AND {rx('content', persona.RENDERS)} AND NOT {rx('content', persona.EMPTY, True)}"),
+    "missing-viewport": ("major", "'No viewport meta tag for mobile'", "NULL", "name",
+        "(SELECT project, CAST(NULL AS VARCHAR) AS path FROM PF GROUP BY project HAVING bool_or(ext = '.html') "
+        f"AND NOT bool_or(ext = '.html' AND contains(content, 'viewport') AND contains(content, 'width=device-width'))) {_who(_mobile)}"),
+    "missing-api-docs": ("major", "'API routes exist but no API documentation'", "NULL", "name",
+        "(SELECT project, CAST(NULL AS VARCHAR) AS path FROM PF GROUP BY project HAVING bool_or(contains(path, 'api/') AND ext IN ('.py', '.js'))) "
+        + _who("tech_level = 'developer'")),
+    "missing-export": ("minor", "'No data export functionality'", "NULL", "name",
+        "(SELECT project, CAST(NULL AS VARCHAR) AS path FROM (SELECT DISTINCT project FROM PF) JOIN FT USING (project) WHERE NOT has_export) "
+        + _who("name = 'Administrator'")),
+    "large-asset-mobile": ("major", "'Large asset (' || printf('%.0f', size_bytes / 1048576) || 'MB) hurts mobile loading'", "NULL", "name",
+        f"A {_who(_mobile)} AND regexp_matches(path, '^(public|static|assets)/') AND size_bytes > 5242880"),
+}
+# the personas of a project follow from its number, as in FEATURES_CTE
+_FT_PROJECT = FEATURES_CTE.replace("'u' || c_custkey AS project, c_custkey AS k", f"project, {_number} AS k").replace(
+    "c_custkey", _number
+).replace("FROM customer", "FROM PRJ")
+_PERSONA_CTE = f"{_PF}, {_FT_PROJECT}, PP0 AS ({_people}), PP AS (SELECT * FROM PP0), {ASSETS}"
+_persona_part = lambda r: (
+    f"SELECT project, path AS file, CAST({PERSONA_RULES[r][2]} AS INT) AS line_no, {q(r)} AS rule_id, {q(PERSONA_RULES[r][0])} AS severity, "
+    f"{PERSONA_RULES[r][1]} AS title, {PERSONA_RULES[r][3]} AS persona FROM {PERSONA_RULES[r][4]}"
+)
+PERSONA_FINDINGS = f"WITH {_PERSONA_CTE} " + "\nUNION ALL ".join(_persona_part(r) for r in PERSONA_RULES)
+
+
+def persona_rule(rule_id: str) -> str:
+    return f"WITH {_PERSONA_CTE} {_persona_part(rule_id)}"
+
+
+# ---- intent
+INTENT_CTE = """
+AA AS (
+  SELECT l_orderkey AS intent_id, l_linenumber AS idx, 'src' || min(l_suppkey) % 20 AS project,
+    CASE l_linenumber % 8 WHEN 0 THEN 'dependency' WHEN 1 THEN 'route' WHEN 2 THEN 'behavior' WHEN 3 THEN 'security'
+      WHEN 4 THEN 'function' WHEN 5 THEN 'file' WHEN 6 THEN 'pattern' ELSE 'ui' END AS type,
+    'part ' || min(l_partkey) AS description, 'supplier ' || min(l_suppkey) AS expect, max(l_quantity) / 50 AS importance
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+AS0 AS (
+  SELECT AA.*, CASE l_returnflag WHEN 'A' THEN 'pass' WHEN 'N' THEN 'partial' WHEN 'R' THEN 'fail' ELSE 'odd' END AS status,
+    l_discount * 10 AS score, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS evidence,
+    CASE WHEN l_partkey % 3 = 0 THEN 'src/p' || l_partkey || '.py' END AS location
+  FROM AA JOIN lineitem ON l_orderkey = intent_id AND l_linenumber = idx)
+"""
+_dec = lambda e: f"CAST(sum(CAST({e} AS DECIMAL(28, 9))) AS DOUBLE)"
+FIDELITY = f"""WITH {INTENT_CTE},
+S AS (SELECT intent_id, count(*) AS results, CASE WHEN sum(importance) <> 0 THEN {_dec('score * importance')} / {_dec('importance')} * 100 ELSE 0.0 END AS f FROM AS0 GROUP BY 1)
+SELECT intent_id, results, f AS fidelity, CASE WHEN f < 40 THEN 2 WHEN f < 70 THEN 1 ELSE 0 END AS gate FROM S"""
+INTENT_FINDINGS = f"""WITH {INTENT_CTE}
+SELECT project, location AS file, 'intent-' || type AS rule_id, CASE WHEN importance > 0.7 THEN 'major' ELSE 'minor' END AS severity,
+  'Intent not met: ' || description AS title, 'Expected: ' || expect || chr(10) || 'Status: ' || status || chr(10) || 'Evidence: ' || coalesce(evidence, 'None found') AS description,
+  intent_id, CAST(idx AS BIGINT) AS seq FROM AS0 WHERE status IN ('fail', 'partial')"""
+BEST_INTENT = """
+WITH C AS (
+  SELECT 'p' || o_custkey AS project, CASE o_orderkey % 4 WHEN 0 THEN 'git_commit' WHEN 1 THEN 'spec_file' WHEN 2 THEN 'cli' ELSE 'chat' END AS source,
+    CASE WHEN o_orderkey % 3 = 0 THEN '  ' ELSE 'order ' || o_orderkey END AS text FROM orders),
+R AS (SELECT project, source, trim(text) AS text, CASE source WHEN 'cli' THEN 1 WHEN 'spec_file' THEN 2 WHEN 'git_commit' THEN 3 END AS rk FROM C),
+B AS (SELECT project, min((rk, source, text)) FILTER (rk IS NOT NULL AND text <> '') AS b FROM R GROUP BY project)
+SELECT project, coalesce(b[2], 'none') AS source, coalesce(b[3], '') AS text FROM B"""
+
+# ---- reviews taken in as data (payloads are built from events, see fixtures)
+_REVIEWS = """
+E AS (SELECT event_id AS e, 'src' || user_id % 5 AS project, 'src/f' || user_id % 13 || '.js' AS path, event_type AS t, value FROM events),
+I AS (
+  SELECT *, CAST(unnest([0, 1, 2]) AS BIGINT) AS seq FROM E WHERE e % 5 <> 3),
+R AS (
+  SELECT *, CASE (e + seq) % 4 WHEN 0 THEN 'Critical' WHEN 1 THEN 'INFO' WHEN 2 THEN 'blocker' END AS severity,
+    CASE (e + seq) % 3 WHEN 0 THEN 'security' WHEN 1 THEN 'import' ELSE 'other' END AS category,
+    CASE WHEN seq <> 2 THEN t || ' ' || e END AS title, CASE WHEN (e + seq) % 6 <> 0 THEN (e + seq) % 40 END AS line,
+    CASE (e + seq) % 7 WHEN 0 THEN '1.5' WHEN 1 THEN NULL WHEN 2 THEN 'high' ELSE '0.25' END AS confidence FROM I)
+"""
+_conf = "CASE WHEN confidence IS NULL THEN 0.7::DOUBLE ELSE 0.25::DOUBLE END"
+_usable = "(confidence IS NULL OR confidence = '0.25')"
+FILE_REVIEWS = f"""WITH {_REVIEWS}
+SELECT project, CASE WHEN coalesce(line, 0) <> 0 THEN path END AS file, CAST(nullif(line, 0) AS INT) AS line_no,
+  CASE severity WHEN 'Critical' THEN 'critical' WHEN 'INFO' THEN 'info' ELSE 'minor' END AS severity,
+  CASE category WHEN 'security' THEN 'security' WHEN 'import' THEN 'import' ELSE 'logic' END AS category,
+  coalesce(title, 'LLM-detected issue') AS title, {_conf} AS confidence, 'llm-review' AS rule_id, seq
+FROM R WHERE {_usable}"""
+PROJECT_REVIEWS = f"""WITH {_REVIEWS}
+SELECT project, CASE WHEN seq <> 1 THEN path END AS file, CASE WHEN seq <> 1 THEN CAST(nullif(line, 0) AS INT) END AS line_no,
+  CASE severity WHEN 'Critical' THEN 'critical' WHEN 'INFO' THEN 'info' ELSE 'major' END AS severity,
+  CASE category WHEN 'security' THEN 'security' ELSE 'logic' END AS category,
+  coalesce(title, 'Deep analysis finding') AS title, {_conf} AS confidence, 'holistic-review' AS rule_id, seq
+FROM R WHERE {_usable}"""
+ASSERTIONS = """
+WITH E AS (SELECT event_id AS e, event_type AS t FROM events WHERE event_id % 5 <> 3),
+I AS (SELECT *, CAST(unnest([0, 1, 2]) AS INT) AS idx FROM E)
+SELECT e AS intent_id, idx, CASE (e + idx) % 4 WHEN 0 THEN 'route' WHEN 1 THEN 'ui' ELSE 'behavior' END AS type,
+  t || ' ' || idx AS description, 'expect ' || e AS expect, CASE (e + idx) % 3 WHEN 0 THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS importance
+FROM I WHERE (e + idx) % 3 <> 2"""
+STEP_EVALUATIONS = """
+SELECT event_id, CASE WHEN event_id % 5 = 3 THEN 'confused' ELSE event_type END AS feeling,
+  CASE WHEN event_id % 5 = 3 THEN 'scroll' ELSE 'click' END AS action,
+  CASE WHEN event_id % 5 = 3 THEN 'Evaluation failed' ELSE 'saw ' || event_id END AS observation,
+  CASE WHEN event_id % 5 <> 3 AND event_id % 2 = 0 THEN 'slow' END AS friction,
+  CASE WHEN event_id % 5 = 3 THEN '' END AS target
+FROM events"""
+
+# ---- journeys
+STEPS = """
+SP AS (
+  SELECT user_id || '-' || extract(day FROM ts) AS journey_id, user_id, ts, event_id,
+    CAST(row_number() OVER (PARTITION BY user_id, extract(day FROM ts) ORDER BY ts, event_id) AS INT) AS step_num,
+    CASE event_type WHEN 'signup' THEN 'smooth' WHEN 'purchase' THEN 'smooth' WHEN 'view' THEN 'confused' WHEN 'click' THEN 'frustrated' ELSE 'lost' END AS feeling,
+    CASE WHEN value > 20 THEN 'slow step ' || event_type WHEN value > 15 THEN '' END AS friction,
+    CASE WHEN event_type = 'purchase' THEN 'done' WHEN event_type = 'error' AND value > 10 THEN 'give_up' ELSE 'click' END AS action
+  FROM events)
+"""
+_agg = """count(*) AS steps, count(*) FILTER (friction <> '') AS friction_count, count(*) FILTER (feeling = 'smooth') AS smooth_count,
+  bool_or(action = 'done') AS task_completed, bool_or(action = 'give_up') AS gave_up,
+  sum(CASE feeling WHEN 'smooth' THEN 100 WHEN 'confused' THEN 50 WHEN 'frustrated' THEN 20 ELSE 0 END) // count(*) AS mean"""
+_score = """CAST(floor(CASE WHEN task_completed THEN 1::DOUBLE ELSE 0.7::DOUBLE END * CASE WHEN gave_up THEN least(mean, 30) ELSE mean END) AS INT) AS experience_score"""
+JOURNEYS_CTE = f"{STEPS}, JA AS (SELECT journey_id, {_agg} FROM SP GROUP BY 1), JS AS (SELECT * EXCLUDE (mean), {_score} FROM JA)"
+STEP_NUMBERS = f"WITH {STEPS} SELECT event_id, journey_id, step_num FROM SP"
+JOURNEY_SCORES = f"WITH {JOURNEYS_CTE} SELECT * FROM JS"
+WORST = f"""WITH {JOURNEYS_CTE}
+SELECT split_part(journey_id, '-', 1) AS user_key, min(experience_score) AS worst,
+  CASE WHEN min(experience_score) < 30 THEN 2 WHEN min(experience_score) < 60 THEN 1 ELSE 0 END AS gate FROM JS GROUP BY 1"""
+STEP_HISTORY = f"""WITH {STEPS}
+SELECT journey_id, step_num, coalesce(array_to_string(list(feeling || '/' || action) OVER (PARTITION BY journey_id ORDER BY step_num ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), ' '), '') AS history FROM SP"""
+TOP_FRICTIONS = f"""WITH {STEPS}, R AS (SELECT *, row_number() OVER (PARTITION BY journey_id ORDER BY step_num) AS rank FROM SP WHERE friction <> '')
+SELECT journey_id, CAST(rank AS INT) AS rank, step_num, friction FROM R WHERE rank <= 5"""
+
+# ---- fixes
+_FIXES = f"""
+FX0 AS (
+  SELECT project, file AS path, line_no, rule_id, title, severity FROM SEC WHERE rule_id IN ('dangerous-eval', 'ssl-disabled', 'sql-injection')),
+FX AS (
+  SELECT *, CASE rule_id WHEN 'dangerous-eval' THEN 'result = eval(payload)' WHEN 'ssl-disabled' THEN 'verify=False ' ELSE 'not in the file' END AS old_code,
+    CASE rule_id WHEN 'dangerous-eval' THEN 'result = json.loads(payload)' ELSE 'verify=True' END AS new_code,
+    CASE WHEN line_no % 2 = 0 THEN 0.95::DOUBLE ELSE 0.75::DOUBLE END AS given FROM FX0),
+FC AS (
+  SELECT FX.*, content, CASE WHEN contains(content, old_code) OR contains(regexp_replace(content, '[ \\t]+(\\n|$)', '\\1', 'g'), rtrim(old_code)) THEN given
+    ELSE greatest(0, given - 0.3::DOUBLE) END AS confidence
+  FROM FX JOIN F USING (project, path))
+"""
+FIX_WINDOWS = f"""WITH {ALL_LINES}, {security_cte()},
+W AS (SELECT DISTINCT project, file AS path, line_no AS place FROM SEC)
+SELECT W.project, W.path, place AS line_no, string_agg(L.line_no || ': ' || line, chr(10) ORDER BY L.line_no) AS context
+FROM W JOIN L ON L.project = W.project AND L.path = W.path AND L.line_no BETWEEN place - 10 AND place + 10 GROUP BY ALL"""
+USABLE_FIXES = f"""WITH {ALL_LINES}, {security_cte()}, {_FIXES}
+SELECT project, path, line_no, rule_id, round(confidence, 6) AS confidence, severity, title FROM FC WHERE confidence >= 0.7"""
+# every fix of the kept ones replaces the first 'eval' line that is left; a trailing blank makes
+# the other fix match nothing
+APPLIED_FIXES = f"""WITH {ALL_LINES}, {security_cte()}, {_FIXES},
+K AS (SELECT project, path, count(*) FILTER (rule_id = 'dangerous-eval') AS evals, count(*) AS tried FROM FC WHERE confidence >= 0.7 GROUP BY ALL),
+N AS (SELECT L.*, sum(CASE WHEN contains(line, 'result = eval(payload)') THEN 1 ELSE 0 END) OVER (PARTITION BY project, path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS nth FROM L)
+SELECT project, path, md5(string_agg(CASE WHEN nth <= evals THEN replace(line, 'result = eval(payload)', 'result = json.loads(payload)') ELSE line END, chr(10) ORDER BY line_no)) AS content,
+  CAST(least(any_value(evals), sum(CASE WHEN contains(line, 'result = eval(payload)') THEN 1 ELSE 0 END)) AS INT) AS applied, CAST(any_value(tried) AS INT) AS tried
+FROM N JOIN K USING (project, path) GROUP BY project, path"""
+
+# ---- reports
+REPORT_JSON = f"""WITH {ALL_LINES}, {security_cte()}, {SUMMARY_CTE.format('SEC')}
+SELECT project, 'summary' AS record, NULL AS rule_id, NULL AS file, NULL AS line, CAST(total_issues AS VARCHAR) AS total FROM SUMMARY
+UNION ALL SELECT project, 'issue', rule_id, file, CAST(line_no AS VARCHAR), NULL FROM SEC"""
+_why = "CASE rule_id " + " ".join(f"WHEN {q(k)} THEN {q(v[0])}" for k, v in security.ADVICE.items()) + " END"
+_fix = "CASE rule_id " + " ".join(f"WHEN {q(k)} THEN {q(v[1])}" for k, v in security.ADVICE.items()) + " END"
+REPORT_MARKDOWN = f"""WITH {ALL_LINES}, {security_cte()}, {SUMMARY_CTE.format('SEC')}
+SELECT project, 0 AS section, 0 AS rank, '# Code Report' || chr(10) || '**Project:** ' || project || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10)
+  || '| Severity | Count |' || chr(10) || '|----------|-------|' || chr(10) || '| Critical | ' || critical || ' |' || chr(10) || '| Major | ' || major || ' |' || chr(10)
+  || '| Minor | ' || minor || ' |' || chr(10) || '| Info | ' || info || ' |' || chr(10) || '| **Total** | **' || total_issues || '** |' || chr(10) AS text FROM SUMMARY
+UNION ALL SELECT project, 2, 0, '## Issues' || chr(10) FROM SUMMARY
+UNION ALL SELECT project, 3, 0, '### [!!!] CRITICAL (' || critical || ')' || chr(10) FROM SUMMARY WHERE critical > 0
+UNION ALL SELECT project, 3, 1, '### [!!] MAJOR (' || major || ')' || chr(10) FROM SUMMARY WHERE major > 0
+UNION ALL SELECT project, 3, CASE severity WHEN 'critical' THEN 0 ELSE 1 END, '- **[SECURITY]** ' || title || ' `' || file || ':' || line_no || '`' || chr(10)
+  || '  ' || {_why} || chr(10) || '  > Fix: ' || {_fix} || chr(10) FROM SEC"""
+
+# ---- streams
+STREAM_DISMISSALS = f"""WITH {DISMISSAL_EVENTS} SELECT rule_id, file_pattern, count(*) AS count, count(*) >= 3 AS auto_suppress FROM DE GROUP BY ALL"""
+STREAM_RATE = """WITH W AS (
+  SELECT 'src' || user_id % 5 AS project, date_trunc('hour', ts) AS window_start, count(*) AS total_issues,
+    count(*) FILTER (event_type = 'error') AS critical, count(*) FILTER (event_type = 'purchase') AS major,
+    count(*) FILTER (event_type = 'click') AS minor, count(*) FILTER (event_type NOT IN ('error', 'purchase', 'click')) AS info
+  FROM events GROUP BY ALL)
+SELECT * FROM W WHERE window_start + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"""
+STREAM_JOURNEYS = f"""WITH {STEPS},
+G AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM SP),
+N AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM G),
+JA AS (SELECT user_id, k, min(ts) AS session_start, max(ts) AS last_ts, {_agg} FROM N GROUP BY user_id, k)
+SELECT user_id, session_start, steps, friction_count, smooth_count, task_completed, gave_up, {_score} FROM JA
+WHERE last_ts + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"""
+STREAM_GATES = f"WITH {LOG}, {SUMMARY_CTE.format('LOG')} SELECT * FROM SUMMARY WHERE gate > 0"
