@@ -38,6 +38,16 @@ def salted_anti_join(
     return l.join(r, on, "left_anti").drop("_salt")
 
 
+def join_key(key: str, applies: Column, *spread: str) -> Column:
+    """``key`` where a row takes part in a join, else a value no key equals.
+
+    Rows that only pass through keep their own, evenly hashed places; a null would send them
+    all to one task.
+    """
+    filler = F.concat(F.lit("\u0001"), F.xxhash64(*spread).cast("string"))
+    return F.when(applies, F.col(key)).otherwise(filler)
+
+
 def budget_prefix(
     df: DataFrame,
     keys: Sequence[str],

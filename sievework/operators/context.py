@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions.skew import join_key
 from sievework.functions.text import any_of, contains_any
 from sievework.sources.files import dependency_names
 
@@ -150,19 +151,14 @@ def adjust_severity(findings: DataFrame, context: DataFrame) -> DataFrame:
 
     The context has one row per project.  Spark broadcasts it only when it measures it below
     its threshold; otherwise a project with very many findings is split by the skew join.
-    Findings of the rules that are never adjusted do not take part in the join.
+    Findings of the rules that are never adjusted pass through without a partner.
     """
-    touched = F.col("rule_id").isin(*ADJUSTED_RULES)
-    dims = context.select(
-        F.col("project").alias("_p"), "frameworks", *CONTEXT_FLAGS
-    )
+    touched = F.coalesce(F.col("rule_id").isin(*ADJUSTED_RULES), F.lit(False))
+    dims = context.select(F.col("project").alias("_p"), "frameworks", *CONTEXT_FLAGS)
     cols = {c: F.coalesce(F.col(c), F.lit(False)) for c in CONTEXT_FLAGS}
     cols["frameworks"] = F.coalesce("frameworks", F.array().cast("array<string>"))
-    j = findings.where(touched).join(dims, F.col("project") == F.col("_p"), "left")
+    keyed = findings.withColumn("_k", join_key("project", touched, "file", "line_no", "rule_id"))
+    j = keyed.join(dims, F.col("_k") == F.col("_p"), "left")
     j = j.withColumn("_new", adjusted_severity(F.col("rule_id"), cols))
-    changed = j.where(F.coalesce(F.col("_new"), F.lit("")) != "suppress").withColumn(
-        "severity", F.coalesce("_new", "severity")
-    )
-    return changed.select(*findings.columns).unionByName(
-        findings.where(~touched | F.col("rule_id").isNull())
-    )
+    kept = j.where(F.coalesce("_new", F.lit("")) != "suppress")
+    return kept.withColumn("severity", F.coalesce("_new", "severity")).select(*findings.columns)

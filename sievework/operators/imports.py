@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.predicates import isin, starts
+from sievework.functions.skew import join_key
 from sievework.functions.text import (
     contains_any,
     dialect,
@@ -17,7 +18,8 @@ from sievework.functions.text import (
     stem,
     suffix,
 )
-from sievework.operators.lines import SCRIPT, explode_lines
+from sievework.operators.lines import SCRIPT, Detector, describe, explode_lines
+from sievework.operators.pyfacts import AST_RULES, ast_candidates
 from sievework.schema import FILE, Rule, to_findings
 
 # The running interpreter names its own library; modules that later versions dropped and a few
@@ -69,36 +71,38 @@ def local_entries(files: DataFrame) -> DataFrame:
     return modules.unionByName(folders).distinct()
 
 
-def python_imports(facts: DataFrame) -> DataFrame:
-    return facts.where(F.col("kind") == "import").select(
-        *FILE, "line_no", F.col("name").alias("module"),
-        F.split_part("name", F.lit("."), F.lit(1)).alias("root"), "idx", "seq",
-    )
-
-
 def unknown_python_imports(
-    facts: DataFrame, files: DataFrame, packages: DataFrame, importable: list[str] = ()
+    rows: DataFrame, files: DataFrame, packages: DataFrame, importable: list[str] = ()
 ) -> DataFrame:
-    """Imports left after the standard library, the installed and the local modules.
+    """``rows`` of Python facts without the imports that resolve.
 
-    The literal list goes first and the two joins see only what is left; ``packages`` has
-    (project, ecosystem, name).  A project with many files repeats few names per directory,
-    and Spark splits a hot key of an anti join by itself.
+    The standard library is a literal list and goes first; the joins with the installed
+    packages (project, ecosystem, name), the modules at the project root and those beside the
+    importing file see only what is left.  Other facts pass through.
     """
-    known = [*STDLIB, *importable]
-    left = python_imports(facts).where(f"NOT {isin('root', known)}")
-    left = left.withColumn("_name", F.lower("root")).withColumn("_dir", parent_dir(F.col("path")))
+    is_import = F.col("kind") == "import"
+    root = F.split_part("name", F.lit("."), F.lit(1))
+    left = rows.withColumn("_root", root).where(
+        f"kind <> 'import' OR NOT {isin('_root', [*STDLIB, *importable])}"
+    )
+    left = left.withColumns(
+        {
+            "_k": join_key("project", is_import, "path", "idx"),
+            "_low": F.lower("_root"),
+            "_dir": parent_dir(F.col("path")),
+        }
+    )
     pypi = packages.where(F.col("ecosystem") == "pypi").select(
-        "project", F.lower("name").alias("_name")
+        F.col("project").alias("_k"), F.lower("name").alias("_low")
     )
     entries = local_entries(files)
-    top = entries.where("dir = ''").select("project", F.col("name").alias("root"))
-    near = entries.select("project", F.col("dir").alias("_dir"), F.col("name").alias("root"))
+    top = entries.where("dir = ''").select(F.col("project").alias("_k"), F.col("name").alias("_root"))
+    near = entries.select(F.col("project").alias("_k"), F.col("dir").alias("_dir"), F.col("name").alias("_root"))
     return (
-        left.join(pypi, ["project", "_name"], "left_anti")
-        .join(top, ["project", "root"], "left_anti")
-        .join(near, ["project", "_dir", "root"], "left_anti")
-        .drop("_name", "_dir")
+        left.join(pypi, ["_k", "_low"], "left_anti")
+        .join(top, ["_k", "_root"], "left_anti")
+        .join(near, ["_k", "_dir", "_root"], "left_anti")
+        .drop("_k", "_low", "_dir", "_root")
     )
 
 
@@ -144,6 +148,53 @@ def _finding(df: DataFrame, name: str, language: str, why: Column, idx: Column,
     )
 
 
+def script_import_findings(files: DataFrame, packages: DataFrame, order: int = 0) -> DataFrame:
+    why = F.concat(F.lit("Package '"), F.col("package"), F.lit("' is not in node_modules or package.json"))
+    return _finding(unknown_script_imports(files, packages), "spec", "javascript", why, F.col("seq"), order)
+
+
+def python_findings(
+    facts: DataFrame, files: DataFrame | None, packages: DataFrame | None,
+    importable: list[str] = (), rules: bool = True, order: int = 0,
+) -> DataFrame:
+    """Import and structure findings of Python files from one evaluation of their facts.
+
+    ``files`` are those local modules are looked up in; without them imports are not checked.
+    """
+    rows = ast_candidates(facts)
+    if files is not None:
+        rows = unknown_python_imports(rows, files, packages, importable)
+        is_import = F.col("kind") == "import"
+        rows = rows.withColumn("rule", F.when(is_import, UNKNOWN.rule_id).otherwise(F.col("rule")))
+    else:
+        rows = rows.where("kind <> 'import'")
+    if not rules:
+        rows = rows.where("kind = 'import'")
+    rules_said = [UNKNOWN, *AST_RULES]
+    ids = F.array(*[F.lit(r.rule_id) for r in rules_said])
+    quoted = (
+        "CASE WHEN rule = 'hallucinated-import' THEN concat('Import \\'', name, '\\' not found in installed python packages') END"
+    )
+    found = rows.where(F.col("rule").isNotNull()).select(
+        *FILE, "line_no", (F.array_position(ids, F.col("rule")) - 1).cast("int").alias("det"),
+        F.expr(quoted).alias("line"), F.when(F.col("rule") == "nested-loop-on2", F.col("end_line")).alias("last"),
+        "name",
+        F.when(F.col("kind") == "import", F.col("walk") * 4096 + F.col("seq")).otherwise(F.col("walk")).alias("walk"),
+    )
+    titles = {
+        UNKNOWN.rule_id: "concat('Hallucinated import: ', name)",
+        "io-in-loop": "concat('I/O operation in loop: ', name)",
+    }
+    detectors = [
+        Detector(r, "true", with_evidence=r is UNKNOWN, title=titles.get(r.rule_id)) for r in rules_said
+    ]
+    return (
+        describe(found, detectors, "last", "walk")
+        .withColumns({"end_line": F.col("last"), "seq": F.col("walk"), "ord": F.col("ord") + order})
+        .drop("last", "walk")
+    )
+
+
 def import_findings(
     files: DataFrame, facts: DataFrame, packages: DataFrame,
     importable: list[str] = (), entries_from: DataFrame | None = None, order: int = 0,
@@ -153,14 +204,5 @@ def import_findings(
     ``entries_from`` are the files local modules are looked up in (default: ``files``).
     """
     lookup = files if entries_from is None else entries_from
-    py = unknown_python_imports(facts, lookup, packages, list(importable))
-    js = unknown_script_imports(files, packages)
-    py_why = F.concat(
-        F.lit("Module '"), F.col("module"), F.lit("' is not installed and not in standard library")
-    )
-    js_why = F.concat(
-        F.lit("Package '"), F.col("package"), F.lit("' is not in node_modules or package.json")
-    )
-    return _finding(py, "module", "python", py_why, F.col("idx") * 1000 + F.col("seq"), order).unionByName(
-        _finding(js, "spec", "javascript", js_why, F.col("seq"), order)
-    )
+    py = python_findings(facts, lookup, packages, list(importable), rules=False, order=order)
+    return py.unionByName(script_import_findings(files, packages, order))

@@ -11,11 +11,11 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.text import any_of, contains_any
-from sievework.schema import FILE, Rule, to_findings, union_all
+from sievework.functions.predicates import either, has, text
+from sievework.schema import FILE, Rule
 
 FACT_COLUMNS = [
     "project", "path", "idx", "kind", "name", "line_no", "loops", "loop", "plain_loop", "is_data", "seq",
@@ -108,9 +108,7 @@ def _facts_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 def py_facts(files: DataFrame) -> DataFrame:
     """Facts of the .py files; files without an import or a loop never reach Python."""
-    py = files.where(
-        (F.col("ext") == ".py") & contains_any(F.col("content"), ["import", "for", "while"])
-    )
+    py = files.where(f"ext = '.py' AND {has('content', 'import', 'for', 'while')}")
     return py.select(*FILE, "content").mapInPandas(_facts_of_batches, FACTS_DDL)
 
 
@@ -122,57 +120,61 @@ CONCAT = Rule("concat-in-loop", "minor", "performance", 0.6, "code", "Concatenat
               "Repeated += copies what was built so far.", "Append to a list and join once.")
 
 
-def first_nested_loops(facts: DataFrame) -> DataFrame:
-    """(project, path, idx, line_no, end_line): loops over data whose first inner loop is too.
+AST_RULES = [NESTED, IO_LOOP, CONCAT]
+
+
+def with_first_inner(facts: DataFrame) -> DataFrame:
+    """Facts with ``inner``: the first loop nested in a loop (in walk order), null for the rest.
 
-    The pairs come from the ancestors each inner loop carries: one aggregation, no self-join.
+    A nested loop is sent once to itself and once to each loop around it, and the rows of one
+    place are put together: one aggregation for the containment, no self-join, and the facts
+    are computed once for all rules.
     """
-    loops = facts.where(F.col("kind") == "for")
-    inner = F.struct(F.col("idx").alias("at"), F.col("line_no").alias("line_no"), F.col("is_data").alias("is_data"))
-    own = loops.select(
-        *FILE, "idx", "line_no", "is_data", F.lit(None).cast("struct<at:int,line_no:int,is_data:boolean>").alias("inner")
-    )
-    pairs = loops.where(F.size("loops") > 0).select(
-        *FILE,
-        F.explode("loops").alias("idx"),
-        F.lit(None).cast("int").alias("line_no"),
-        F.lit(None).cast("boolean").alias("is_data"),
-        inner.alias("inner"),
+    place = F.struct(F.col("idx").alias("at"), "line_no", "is_data")
+    own = F.struct("kind", "name", "line_no", "loop", "plain_loop", "is_data", "seq")
+    none_own, none_inner = F.lit(None).cast(_OWN), F.lit(None).cast(_INNER)
+    to_self = F.array(F.struct("idx", own.alias("own"), none_inner.alias("inner")))
+    to_outer = F.transform(
+        "loops", lambda o: F.struct(o.alias("idx"), none_own.alias("own"), place.cast(_INNER).alias("inner"))
     )
+    sent = facts.select(*FILE, F.explode(F.concat(to_self.cast(_SENT), to_outer.cast(_SENT))).alias("s"))
+    # the aliases of one import statement share a place and stay apart
+    part = F.coalesce("s.own.seq", F.lit(0))
     return (
-        own.unionByName(pairs)
-        .groupBy(*FILE, "idx")
-        .agg(
-            F.max("line_no").alias("line_no"),
-            F.bool_or("is_data").alias("is_data"),
-            F.min("inner").alias("inner"),
-        )
-        .where(F.col("is_data") & F.col("inner.is_data"))
-        .select(*FILE, "idx", "line_no", F.col("inner.line_no").alias("end_line"))
+        sent.groupBy(*FILE, F.col("s.idx").alias("idx"), part.alias("part"))
+        .agg(F.max("s.own").alias("own"), F.min("s.inner").alias("inner"))
+        .select(*FILE, "idx", "own.*", "inner")
     )
 
 
-def _first_per_line(df: DataFrame, *order: str) -> DataFrame:
-    key = F.struct(*order)
-    return df.groupBy(*FILE, "line_no").agg(
-        F.min_by("name", key).alias("name"), F.min(key).alias("key")
-    )
+_OWN = "struct<kind:string,name:string,line_no:int,loop:int,plain_loop:int,is_data:boolean,seq:int>"
+_INNER = "struct<at:int,line_no:int,is_data:boolean>"
+_SENT = f"array<struct<idx:int,own:{_OWN},inner:{_INNER}>>"
 
 
-def ast_findings(facts: DataFrame, order: int = 0) -> DataFrame:
-    nested = first_nested_loops(facts)
-    io = _first_per_line(
-        facts.where((F.col("kind") == "call") & any_of(F.col("name").endswith(c) for c in IO_CALLS)),
-        "loop", "idx",
+def _order(first: str) -> Column:
+    """Walk order within a file: the loop it was reached from, then the node."""
+    return F.col(first).cast("long") * (1 << 31) + F.col("idx")
+
+
+def ast_candidates(facts: DataFrame) -> DataFrame:
+    """(project, path, line_no, end_line, rule, name, seq, …): what each fact gives rise to.
+
+    ``rule`` is null for facts without a finding; a line may have several candidates of one
+    rule, of which the dedupe keeps the first.
+    """
+    f = with_first_inner(facts)
+    io = F.expr(either(f"endswith(name, {text(c)})" for c in IO_CALLS))
+    kind = F.col("kind")
+    rule = (
+        F.when((kind == "for") & F.col("is_data") & F.col("inner.is_data"), NESTED.rule_id)
+        .when((kind == "call") & io, IO_LOOP.rule_id)
+        .when(kind == "append", CONCAT.rule_id)
+    )
+    seq = F.when(kind == "call", _order("loop")).when(kind == "append", _order("plain_loop")).otherwise(
+        F.col("idx").cast("long")
     )
-    grown = _first_per_line(facts.where(F.col("kind") == "append"), "plain_loop", "idx")
-    file, line = F.col("path"), F.col("line_no")
-    return union_all(
-        [
-            to_findings(nested, NESTED, file=file, line_no=line, end_line=F.col("end_line"),
-                        order=order, seq=F.col("idx")),
-            to_findings(io, IO_LOOP, file=file, line_no=line, order=order + 1,
-                        title=F.concat(F.lit("I/O operation in loop: "), F.col("name"))),
-            to_findings(grown, CONCAT, file=file, line_no=line, order=order + 2),
-        ]
+    return f.select(
+        *FILE, "line_no", F.col("inner.line_no").alias("end_line"), rule.alias("rule"), "kind", "name",
+        "idx", "seq", seq.alias("walk"),
     )

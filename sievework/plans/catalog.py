@@ -16,7 +16,7 @@ from sievework.operators.context import adjust_severity, project_context
 from sievework.operators.lines import line_findings, line_signals
 from sievework.operators.loops import loop_detectors, loop_findings
 from sievework.operators.packs import pack_detectors, pack_findings
-from sievework.operators.pyfacts import ast_findings, py_facts
+from sievework.operators.pyfacts import py_facts
 from sievework.operators.security import security_detectors, security_findings
 from sievework.plans import fixtures as fx
 from sievework.plans import oracles as sql
@@ -124,7 +124,8 @@ def _(spark, sf):
 
 @query("ast_findings", sql.AST_FINDINGS)
 def _(spark, sf):
-    return ast_findings(py_facts(fx.py_files(spark, sf))).select(
+    facts = py_facts(fx.py_files(spark, sf))
+    return fnd.dedupe(imports.python_findings(facts, None, None)).select(
         "project", "file", "line_no", "end_line", "rule_id", "severity", "title"
     )
 

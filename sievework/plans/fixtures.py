@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.functions.predicates import text
 from sievework.sources.files import file_table
 
 # Lines put in place of prose; a line not covered keeps its text.
@@ -79,6 +80,10 @@ SLOTS = 67
 EXTS = [".py", ".js", ".tsx", ".html"]
 
 
+def _texts(values: list[str]) -> Column:
+    return F.expr(f"array({', '.join(text(v) for v in values)})")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -94,13 +99,13 @@ def code_files(
 ) -> DataFrame:
     """One file per document, its lines replaced by templates in rotation."""
     documents = table(spark, sf_dir, "documents") if documents is None else documents
-    templates = F.array(*[F.lit(t) for t in TEMPLATES])
+    templates = _texts(TEMPLATES)
 
-    def line(text: Column, i: Column) -> Column:
+    def line(old: Column, i: Column) -> Column:
         slot = (F.col("doc_id") * 7 + i + 1) % SLOTS
         return F.when(
             slot < len(TEMPLATES), F.element_at(templates, (slot + 1).cast("int"))
-        ).otherwise(text)
+        ).otherwise(old)
 
     content = F.array_join(F.transform(F.split("text", "\n", -1), line), "\n")
     return file_table(
@@ -120,7 +125,7 @@ STYLES = [
 
 def style_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One style sheet per document: its text as a comment, then one of four rules."""
-    style = F.element_at(F.array(*[F.lit(s) for s in STYLES]), (F.col("doc_id") % 4 + 1).cast("int"))
+    style = F.element_at(_texts(STYLES), (F.col("doc_id") % 4 + 1).cast("int"))
     return file_table(
         table(spark, sf_dir, "documents").select(
             F.col("source").alias("project"),
@@ -145,7 +150,7 @@ SNIPPETS = [
 
 def py_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Python file per document: three snippets in turn; every eleventh does not parse."""
-    snippets = F.array(*[F.lit(s) for s in SNIPPETS])
+    snippets = _texts(SNIPPETS)
 
     def pick(step: int) -> Column:
         return F.element_at(snippets, ((F.col("doc_id") + step) % len(SNIPPETS) + 1).cast("int"))

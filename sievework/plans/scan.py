@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions.predicates import both
 from sievework.operators.context import adjust_severity, project_context
 from sievework.operators.deep import deep_findings
-from sievework.operators.findings import by_strictness, dedupe
+from sievework.operators.findings import STRICTNESS, by_strictness, dedupe
 from sievework.operators.history import unsuppressed
-from sievework.operators.imports import import_findings
+from sievework.operators.imports import python_findings, script_import_findings
 from sievework.operators.lines import line_findings
 from sievework.operators.loops import loop_detectors
 from sievework.operators.packs import pack_detectors
 from sievework.operators.persona import persona_findings, personas, project_signals
-from sievework.operators.pyfacts import ast_findings, py_facts
+from sievework.operators.pyfacts import py_facts
 from sievework.operators.security import security_detectors
 from sievework.schema import FINDING, union_all
-from sievework.sources.files import changed_files, changed_since, pack_files, source_files
+from sievework.sources.files import (
+    changed_files,
+    changed_since,
+    is_pack_file,
+    is_source,
+    source_files,
+)
 from sievework.sources.rules import LineRuleSpec, built_in
 
 
@@ -37,39 +44,51 @@ class ScanOptions:
     rules: Sequence[LineRuleSpec] = field(default_factory=built_in)
 
 
+def line_rules(files: DataFrame, options: ScanOptions) -> DataFrame | None:
+    """Security, loop and pack rules in one pass over the lines.
+
+    Built-in detectors see source files, the packs their own set; strictness applies to the
+    former only.
+    """
+    allowed = STRICTNESS.get(options.strictness, STRICTNESS["medium"])
+    own = [
+        *(security_detectors() if options.security else []),
+        *(loop_detectors() if options.performance else []),
+    ]
+    detectors = [replace(d, match=both("in_source", d.match)) for d in own if d.rule.severity in allowed]
+    detectors += [replace(d, match=both("in_packs", d.match)) for d in pack_detectors(options.rules)]
+    if not detectors:
+        return None
+    marked = files.withColumns(
+        {"in_source": is_source(options.ignore), "in_packs": is_pack_file(F.col("path"))}
+    ).where("in_source OR in_packs")
+    return line_findings(marked, detectors, "in_source", "in_packs").drop("in_source", "in_packs")
+
+
 def code_findings(files: DataFrame, packages: DataFrame, options: ScanOptions = ScanOptions(),
-                  entries_from: DataFrame | None = None) -> DataFrame:
-    """Built-in detectors on source files, filtered by strictness.
+                  lookup: DataFrame | None = None) -> DataFrame:
+    """Findings of all detectors, not yet deduplicated.
 
-    Security, loop and pack rules share one pass over the lines.  Facts of Python files and
-    imports of scripts read their own languages only.
+    Three reads of the files, each of its own languages: the line rules, the facts of Python
+    files, the imports of scripts.  Local modules are looked up in ``lookup`` (default: the
+    same files).
     """
+    lookup = files if lookup is None else lookup
     src = source_files(files, options.ignore)
-    parts = []
-    detectors = []
-    if options.security:
-        detectors += security_detectors()
-    if options.performance:
-        detectors += loop_detectors()
-    n = len(detectors)
-    if detectors:
-        parts.append(line_findings(src, detectors))
-    if options.performance or options.ai_patterns:
-        facts = py_facts(src)
-        if options.ai_patterns:
-            parts.append(
-                import_findings(src, facts, packages, list(options.importable),
-                                files if entries_from is None else entries_from, order=-1)
+    parts = [line_rules(files, options)]
+    first = -1  # imports come before the line rules
+    checked = []
+    if options.ai_patterns or options.performance:
+        checked.append(
+            python_findings(
+                py_facts(src), lookup if options.ai_patterns else None, packages,
+                list(options.importable), rules=options.performance, order=first,
             )
-        if options.performance:
-            parts.append(ast_findings(facts, n))
-    return by_strictness(union_all(parts), options.strictness) if parts else None
-
-
-def rule_findings(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Rule packs; strictness does not apply to them."""
-    found = line_findings(pack_files(files), pack_detectors(options.rules))
-    return found.withColumn("ord", F.col("ord") + 1000)
+        )
+    if options.ai_patterns:
+        checked.append(script_import_findings(src, packages, first))
+    parts += [by_strictness(c, options.strictness) for c in checked]
+    return union_all([p for p in parts if p is not None])
 
 
 def scan(
@@ -89,10 +108,8 @@ def scan(
         todo = changed_files(todo, changes, options.ignore)
     if state is not None:
         todo = changed_since(todo, state)
-    parts = [p for p in (code_findings(todo, packages, options, files),) if p is not None]
-    if options.rules:
-        parts.append(rule_findings(todo, options))
-    found = dedupe(union_all([*parts, *[e.select(*FINDING) for e in extra]]))
+    parts = [code_findings(todo, packages, options, files), *[e.select(*FINDING) for e in extra]]
+    found = dedupe(union_all(parts))
     context = project_context(files) if context is None else context
     found = adjust_severity(found, context)
     return found if dismissed is None else unsuppressed(found, dismissed)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.text import (
-    any_of,
+    contains_any,
     glob_match,
     has_part,
     line_count,
@@ -134,9 +134,7 @@ def file_table(df: DataFrame) -> DataFrame:
 def ignored(path: Column, ignore: Iterable[str] = ()) -> Column:
     """In an ignored directory, a bundled script, or matched by a user pattern."""
     parts = path_parts(path)
-    bundle = suffix(path).isin(*BUNDLE_EXTS) & any_of(
-        F.lower(stem(path)).contains(m) for m in BUNDLE_MARKS
-    )
+    bundle = suffix(path).isin(*BUNDLE_EXTS) & contains_any(F.lower(stem(path)), BUNDLE_MARKS)
     test = (
         has_part(path, IGNORE_DIRS)
         | F.exists(parts, lambda p: p.endswith(".egg-info"))
@@ -155,15 +153,19 @@ def minified(content: Column) -> Column:
     return (F.length(content) / n > 500) & (n < 50)
 
 
-def source_files(files: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
-    """Files a code scan looks at."""
-    return files.where(
+def is_source(ignore: Iterable[str] = ()) -> Column:
+    return (
         F.col("ext").isin(*EXT_LANGUAGE)
         & ~ignored(F.col("path"), ignore)
         & ~minified(F.col("content"))
     )
 
 
+def source_files(files: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
+    """Files a code scan looks at."""
+    return files.where(is_source(ignore))
+
+
 def index_files(files: DataFrame) -> DataFrame:
     """Files the project index looks at."""
     return files.where(
@@ -173,10 +175,14 @@ def index_files(files: DataFrame) -> DataFrame:
     )
 
 
+def is_pack_file(path: Column) -> Column:
+    hidden = F.exists(path_parts(path), lambda p: p.startswith("."))
+    return ~hidden & ~has_part(path, PACK_SKIP_DIRS)
+
+
 def pack_files(files: DataFrame) -> DataFrame:
     """Files the rule packs look at: no hidden and no build directories."""
-    hidden = F.exists(path_parts(F.col("path")), lambda p: p.startswith("."))
-    return files.where(~hidden & ~has_part(F.col("path"), PACK_SKIP_DIRS))
+    return files.where(is_pack_file(F.col("path")))
 
 
 def unchanged(files: DataFrame, state: DataFrame) -> DataFrame:
