@@ -7,16 +7,21 @@ few fact rows.  What is a finding is decided on the facts, relationally.
 from __future__ import annotations
 
 import ast
+import sys
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.predicates import either, has, text
 from sievework.schema import FILE, Rule
 
+# executors need no copy of this package: the parser travels with the job
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FACT_COLUMNS = [
     "project", "path", "idx", "kind", "name", "line_no", "loops", "loop", "plain_loop", "is_data", "seq",
 ]

@@ -88,6 +88,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, spread over the cores where the input has fewer splits than there are cores.
+
+    A large table has many splits and is not shuffled.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def code_path() -> Column:
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTS]), (F.col("doc_id") % 4 + 1).cast("int"))
     api = F.when(F.col("doc_id") % 5 == 0, "/api").otherwise("")
@@ -95,10 +105,10 @@ def code_path() -> Column:
 
 
 def code_files(
-    spark: SparkSession, sf_dir: str, documents: DataFrame | None = None, *keep: str
+    spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, *keep: str
 ) -> DataFrame:
     """One file per document, its lines replaced by templates in rotation."""
-    documents = table(spark, sf_dir, "documents") if documents is None else documents
+    docs = documents(spark, sf_dir) if docs is None else docs
     templates = _texts(TEMPLATES)
 
     def line(old: Column, i: Column) -> Column:
@@ -109,7 +119,7 @@ def code_files(
 
     content = F.array_join(F.transform(F.split("text", "\n", -1), line), "\n")
     return file_table(
-        documents.select(
+        docs.select(
             F.col("source").alias("project"), code_path().alias("path"), content.alias("content"), *keep
         )
     )
@@ -127,7 +137,7 @@ def style_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One style sheet per document: its text as a comment, then one of four rules."""
     style = F.element_at(_texts(STYLES), (F.col("doc_id") % 4 + 1).cast("int"))
     return file_table(
-        table(spark, sf_dir, "documents").select(
+        documents(spark, sf_dir).select(
             F.col("source").alias("project"),
             F.concat(F.lit("styles/s"), F.col("doc_id").cast("string"), F.lit(".css")).alias("path"),
             F.concat(F.lit("/* "), "text", F.lit(" */\n"), style).alias("content"),
@@ -157,7 +167,7 @@ def py_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     broken = F.when(F.col("doc_id") % 11 == 0, "def broken(:\n").otherwise("")
     return file_table(
-        table(spark, sf_dir, "documents").select(
+        documents(spark, sf_dir).select(
             F.col("source").alias("project"),
             F.concat(F.lit("app/"), "lang", F.lit("/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
             F.concat(pick(0), pick(3), pick(5), broken).alias("content"),
@@ -405,7 +415,7 @@ def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" text "), (d % 33).cast("string"), F.lit("</b>"),
     )
     return file_table(
-        table(spark, sf_dir, "documents").select(
+        documents(spark, sf_dir).select(
             F.col("source").alias("project"),
             F.concat(F.lit("ui/f"), d.cast("string"), F.lit(".tsx")).alias("path"), content.alias("content"),
         )
