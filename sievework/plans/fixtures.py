@@ -99,8 +99,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_path() -> Column:
-    ext = F.element_at(F.array(*[F.lit(e) for e in EXTS]), (F.col("doc_id") % 4 + 1).cast("int"))
-    api = F.when(F.col("doc_id") % 5 == 0, "/api").otherwise("")
+    pick = F.floor(F.col("doc_id") / 7) % 4 + 1
+    ext = F.element_at(F.array(*[F.lit(e) for e in EXTS]), pick.cast("int"))
+    api = F.when(F.col("doc_id") % 3 == 0, "/api").otherwise("")
     return F.concat(F.lit("src/"), "lang", api, F.lit("/f"), F.col("doc_id").cast("string"), ext)
 
 

@@ -34,8 +34,8 @@ def rx(col: str, pattern: str, ignore_case: bool = False) -> str:
     return f"regexp_matches({col}, {q(('(?i)' if ignore_case else '') + pattern)})"
 
 
-EXT = "CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.tsx' ELSE '.html' END"
-PATH = f"'src/' || lang || CASE WHEN doc_id % 5 = 0 THEN '/api' ELSE '' END || '/f' || doc_id || {EXT}"
+EXT = "CASE doc_id // 7 % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.tsx' ELSE '.html' END"
+PATH = f"'src/' || lang || CASE WHEN doc_id % 3 = 0 THEN '/api' ELSE '' END || '/f' || doc_id || {EXT}"
 
 _tpl = ", ".join(f"({i}, {q(t)})" for i, t in enumerate(TEMPLATES))
 LINES = f"""
