@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions.predicates import both, case, either, has, isin, text
 from sievework.functions.skew import join_key
-from sievework.functions.text import any_of, contains_any
 from sievework.sources.files import dependency_names
 
 # Platforms in order of precedence (file names, platform, serverless, listed as).
@@ -47,78 +47,67 @@ def project_context(files: DataFrame) -> DataFrame:
     per task.  Only manifest paths pass the pushed-down filter; a project without any has
     the default context (all false), which the joins fill in.
     """
-    path, content = F.col("path"), F.col("content")
-    lower = F.lower(content)
-    in_py = path.isin(*PY_MANIFESTS)
-    is_pkg = path == "package.json"
-    deps = F.when(is_pkg, dependency_names(content, ["dependencies", "devDependencies"]))
-
-    def says(word: str) -> Column:
-        return in_py & lower.contains(word)
-
-    def depends(names: list[str]) -> Column:
-        return F.coalesce(F.arrays_overlap("deps", F.array(*[F.lit(n) for n in names])), F.lit(False))
+    in_py, is_pkg = isin("path", PY_MANIFESTS), "path = 'package.json'"
+
+    def says(*words: str) -> str:
+        return both(in_py, has("lower(content)", *words))
+
+    def depends(*names: str) -> str:
+        return f"arrays_overlap(deps, array({', '.join(text(n) for n in names)}))"
+
+    functions = "from_json(get_json_object(content, '$.functions'), 'map<string,string>')"
+    flags = {
+        **{f"on_{p.replace('-', '_')}": isin("path", names) for names, p, _, _ in PLATFORMS},
+        "edge": both("path = 'vercel.json'", f"exists(map_values({functions}), v -> contains(lower(v), 'edge'))"),
+        **{f"fw_{f}": says(f) for f in PY_FRAMEWORKS},
+        **{f"fw_{f}": depends(*names) for f, names in JS_FRAMEWORKS.items()},
+        "orm": either([says(*PY_ORMS), depends(*JS_ORMS)]),
+        "csrf": depends(*JS_CSRF),
+        "cors": depends("cors"),
+        "pkg": is_pkg,
+        "cli": either(
+            [
+                both(is_pkg, "get_json_object(content, '$.bin') IS NOT NULL"),
+                both(isin("path", CLI_MANIFESTS), has("content", "[project.scripts]", "console_scripts")),
+            ]
+        ),
+        "page": isin("path", INDEX_PAGES),
+    }
+    flags["on_vercel"] = either([flags["on_vercel"], "startswith(path, '.vercel/')"])
 
     # the dependency list is parsed once, for the manifest only
-    wanted = path.isin(*CONTEXT_FILES) | path.startswith(".vercel/")
-    seen = files.where(wanted).select("project", "path", "content").withColumn("deps", deps)
-    flags: dict[str, Column] = {}
-    for names, platform, _, _ in PLATFORMS:
-        hit = path.isin(*names)
-        if platform == "vercel":
-            hit = hit | path.startswith(".vercel/")
-        flags[f"on_{platform}"] = hit
-    functions = F.from_json(F.get_json_object(content, "$.functions"), "map<string,string>")
-    flags["edge"] = (path == "vercel.json") & F.exists(
-        F.map_values(functions), lambda v: F.lower(v).contains("edge")
+    deps = F.when(F.col("path") == "package.json", dependency_names(F.col("content"), ["dependencies", "devDependencies"]))
+    seen = files.where(either([isin("path", CONTEXT_FILES), "startswith(path, '.vercel/')"])).select(
+        "project", "path", "content", deps.alias("deps")
     )
-    for f in PY_FRAMEWORKS:
-        flags[f"fw_{f}"] = says(f)
-    for f, names in JS_FRAMEWORKS.items():
-        flags[f"fw_{f}"] = depends(names)
-    flags["orm"] = any_of(says(w) for w in PY_ORMS) | depends(JS_ORMS)
-    flags["csrf"] = depends(JS_CSRF)
-    flags["cors"] = depends(["cors"])
-    flags["pkg"] = is_pkg
-    flags["cli"] = (
-        is_pkg & F.get_json_object(content, "$.bin").isNotNull()
-    ) | (path.isin(*CLI_MANIFESTS) & contains_any(content, ["[project.scripts]", "console_scripts"]))
-    flags["page"] = path.isin(*INDEX_PAGES)
     agg = seen.groupBy("project").agg(
-        *[F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()],
+        *[F.expr(f"bool_or(coalesce({sql}, false)) AS {name}") for name, sql in flags.items()]
     )
 
-    def fw(names: list[str]) -> Column:
-        return any_of(F.col(f"fw_{n}") for n in names)
-
-    deployment, config = F.lit(None).cast("string"), F.lit(None).cast("string")
-    serverless = F.lit(False)
-    for _, platform, no_server, listed in reversed(PLATFORMS):
-        on = F.col(f"on_{platform}")
-        deployment = F.when(on, platform).otherwise(deployment)
-        config = F.when(on, listed).otherwise(config)
-        serverless = F.when(on, F.lit(no_server)).otherwise(serverless)
-    order = [*PY_FRAMEWORKS, *JS_FRAMEWORKS]
-    frameworks = F.array_compact(F.array(*[F.when(F.col(f"fw_{f}"), f) for f in order]))
-    is_api = fw(SERVER_FRAMEWORKS)
-    return agg.select(
+    def fw(names: list[str]) -> str:
+        return either(f"fw_{n}" for n in names)
+
+    def by_platform(value) -> str:
+        return case(*[(f"on_{p.replace('-', '_')}", value(p, no_server, listed)) for _, p, no_server, listed in PLATFORMS])
+
+    frameworks = ", ".join(f"CASE WHEN fw_{f} THEN {text(f)} END" for f in [*PY_FRAMEWORKS, *JS_FRAMEWORKS])
+    ui, api = fw(UI_FRAMEWORKS), fw(SERVER_FRAMEWORKS)
+    return agg.selectExpr(
         "project",
-        deployment.alias("deployment"),
-        serverless.alias("is_serverless"),
-        ((deployment == "vercel") & F.col("edge")).alias("_edge"),
-        (fw(UI_FRAMEWORKS) | is_api | F.col("page")).alias("is_web_app"),
-        F.col("cli").alias("is_cli"),
-        F.lit(False).alias("is_library"),
-        is_api.alias("is_api"),
-        frameworks.alias("frameworks"),
-        F.col("orm").alias("has_orm"),
-        (fw(UI_FRAMEWORKS) | F.col("fw_django")).alias("has_template_escaping"),
-        (F.col("csrf") | F.col("fw_django")).alias("has_csrf_protection"),
-        F.col("cors").alias("has_cors_configured"),
-        F.array_compact(F.array(config, F.when(F.col("pkg"), "package.json"))).alias("config_files"),
-    ).select(
-        "*", F.coalesce("_edge", F.lit(False)).alias("has_edge_runtime")
-    ).drop("_edge")
+        f"{by_platform(lambda p, *_: text(p))} AS deployment",
+        f"coalesce({by_platform(lambda p, no_server, _: str(no_server).lower())}, false) AS is_serverless",
+        "on_vercel AND edge AS has_edge_runtime",
+        f"{ui} OR {api} OR page AS is_web_app",
+        "cli AS is_cli",
+        "false AS is_library",
+        f"{api} AS is_api",
+        f"array_compact(array({frameworks})) AS frameworks",
+        "orm AS has_orm",
+        f"{ui} OR fw_django AS has_template_escaping",
+        "csrf OR fw_django AS has_csrf_protection",
+        "cors AS has_cors_configured",
+        f"array_compact(array({by_platform(lambda p, _, listed: text(listed))}, CASE WHEN pkg THEN 'package.json' END)) AS config_files",
+    )
 
 
 def project_languages(files: DataFrame) -> DataFrame:
