@@ -224,7 +224,7 @@ def context_pack(
 ) -> DataFrame:
     """(project, section, name, pos, text): overview, configs, file tree, heaviest files.
 
-    Rows, not one string: the tree has a line per file, so a pack can be larger than a row
+    ``index`` is read by several branches and should be a stored table.  Rows, not one string: the tree has a line per file, so a pack can be larger than a row
     should be.  The heaviest files stop at the first that would pass ``max_chars``.
     """
     p = FILE

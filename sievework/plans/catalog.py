@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +23,7 @@ from sievework.functions.text import line_count
 from sievework.plans.scan import ScanOptions, deep_scan, persona_scan, scan
 from sievework.sources import files as src
 from sievework.sources.rules import BUILT_IN, built_in
+from sievework.sources.stage import shared_folder, staged
 from sievework.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -352,7 +351,7 @@ def _(spark, sf):
 @query("top_files", sql.TOP_FILES)
 def _(spark, sf):
     files = fx.linked_files(spark, sf)
-    ix = index.file_index(files)
+    ix = staged(index.file_index(files))
     return index.top_files(ix, index.import_edges(ix, files)).select(
         "project", "path", "rank", "in_degree", "score"
     )
@@ -361,7 +360,7 @@ def _(spark, sf):
 @query("architecture_summary", sql.ARCHITECTURE)
 def _(spark, sf):
     context = project_context(fx.manifests(spark, sf))
-    return index.architecture_summary(index.file_index(fx.code_files(spark, sf)), context)
+    return index.architecture_summary(staged(index.file_index(fx.code_files(spark, sf))), context)
 
 
 @query("directory_summary", sql.DIRECTORY_SUMMARY)
@@ -372,9 +371,9 @@ def _(spark, sf):
 @query("context_pack", sql.CONTEXT_PACK)
 def _(spark, sf):
     files = fx.project_files(spark, sf)
-    ix = index.file_index(files)
+    ix = staged(index.file_index(files))
     edges = index.import_edges(ix, files)
-    context = project_context(files)
+    context = project_context(fx.manifests(spark, sf))
     return index.context_pack(files, ix, edges, context, 12_000).withColumn("text", F.md5("text"))
 
 
@@ -568,7 +567,7 @@ def _(spark, sf):
 
 def _usable(spark, sf):
     files = fx.code_files(spark, sf)
-    found = security_findings(files)
+    found = staged(security_findings(files))
     return files, fixes.usable_fixes(fx.proposed_fixes(found), found, files)
 
 
@@ -589,7 +588,7 @@ def _(spark, sf):
 
 @query("report_json", sql.REPORT_JSON)
 def _(spark, sf):
-    records = report.json_records(security_findings(fx.code_files(spark, sf)))
+    records = report.json_records(staged(security_findings(fx.code_files(spark, sf))))
     fields = {
         "rule_id": "$.rule_id", "file": "$.location.file", "line": "$.location.line", "total": "$.summary.total_issues",
     }
@@ -598,17 +597,14 @@ def _(spark, sf):
 
 @query("report_markdown", sql.REPORT_MARKDOWN)
 def _(spark, sf):
-    return report.markdown(security_findings(fx.code_files(spark, sf))).select("project", "section", "rank", "text")
+    return report.markdown(staged(security_findings(fx.code_files(spark, sf)))).select("project", "section", "rank", "text")
 
 
 # ---- streams ----------------------------------------------------------------------------
 
 
 def _stream_root(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder; local only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="run-")
-    return f"{base}/streams/{uuid.uuid4().hex}"
+    return shared_folder(spark, "streams")
 
 
 def _finish(started: StreamingQuery) -> None:

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # JS template literals hold ${...}; never rewrite them inside SQL text
     "spark.sql.variable.substitute": "false",
+    # rows hold whole files; keep the batches sent to Python small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
     # call-site capture costs more than the call itself when plans are built from many columns
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
