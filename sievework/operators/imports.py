@@ -52,23 +52,26 @@ UNKNOWN = Rule("hallucinated-import", "critical", "import", 0.9, "code", "Halluc
 
 
 def local_entries(files: DataFrame) -> DataFrame:
-    """(project, dir, name): importable things by directory — sub-directories and .py files."""
+    """(project, dir, name): importable things by directory — sub-directories and .py files.
+
+    Each path gives its module and the directories on its way, in one pass over the paths;
+    the copies collapse before the shuffle.
+    """
     path = F.col("path")
-    modules = files.where((suffix(path) == ".py") | (suffix(path) == "")).select(
-        "project", parent_dir(path).alias("dir"),
-        F.when(suffix(path) == ".py", stem(path)).otherwise(file_name(path)).alias("name"),
-    )
-    dirs = files.select("project", parent_dir(path).alias("dir")).where("dir <> ''").distinct()
-    p = path_parts(F.col("dir"))
-    levels = F.transform(
-        F.sequence(F.lit(1), F.size(p)),
-        lambda i: F.struct(
-            F.array_join(F.slice(p, F.lit(1), i - 1), "/").alias("dir"),
-            F.element_at(p, i).alias("name"),
+    parts = path_parts(path)
+    module = F.when(
+        suffix(path).isin(".py", ""),
+        F.struct(
+            parent_dir(path).alias("dir"),
+            F.when(suffix(path) == ".py", stem(path)).otherwise(file_name(path)).alias("name"),
         ),
     )
-    folders = dirs.select("project", F.explode(levels).alias("e")).select("project", "e.dir", "e.name")
-    return modules.unionByName(folders).distinct()
+    folders = F.transform(
+        F.slice(parts, F.lit(1), F.size(parts) - 1),
+        lambda part, i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("dir"), part.alias("name")),
+    )
+    every = F.concat(F.array_compact(F.array(module)), folders)
+    return files.select("project", F.explode(every).alias("e")).select("project", "e.dir", "e.name").distinct()
 
 
 def unknown_python_imports(
@@ -90,21 +93,25 @@ def unknown_python_imports(
             "_k": join_key("project", is_import, "path", "idx"),
             "_low": F.lower("_root"),
             "_dir": parent_dir(F.col("path")),
+            # the project root; not a literal, so that both lookups keep the same join and
+            # Spark shuffles the entries once
+            "_top": F.substring("path", 1, 0),
         }
     )
     pypi = packages.where(F.col("ecosystem") == "pypi").select(
         F.col("project").alias("_k"), F.lower("name").alias("_low")
     )
-    entries = local_entries(files)
-    top = entries.where("dir = ''").select(F.col("project").alias("_k"), F.col("name").alias("_root"))
-    near = entries.select(F.col("project").alias("_k"), F.col("dir").alias("_dir"), F.col("name").alias("_root"))
-    return (
-        left.join(pypi, ["_k", "_low"], "left_anti")
-        .join(top, ["_k", "_root"], "left_anti")
-        .join(near, ["_k", "_dir", "_root"], "left_anti")
-        .drop("_k", "_low", "_dir", "_root")
+    entries = local_entries(files).select(
+        F.col("project").alias("e_project"), F.col("dir").alias("e_dir"), F.col("name").alias("e_name")
     )
 
+    def lookup(df: DataFrame, directory: str) -> DataFrame:
+        on = (df["_k"] == entries["e_project"]) & (df[directory] == entries["e_dir"]) & (df["_root"] == entries["e_name"])
+        return df.join(entries, on, "left_anti")
+
+    left = left.join(pypi, ["_k", "_low"], "left_anti")
+    return lookup(lookup(left, "_top"), "_dir").drop("_k", "_low", "_dir", "_top", "_root")
+
 
 def package_name(spec: Column) -> Column:
     """First path segment, or two for '@scope/name'."""

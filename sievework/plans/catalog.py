@@ -142,7 +142,9 @@ def _not_parsed():
 
 @query("scan_findings", sql.SCAN_FINDINGS)
 def _(spark, sf):
-    found = scan(fx.project_files(spark, sf), _packages(spark, sf), ScanOptions(strictness="high"))
+    context = project_context(fx.manifests(spark, sf))
+    options = ScanOptions(strictness="high")
+    found = scan(fx.project_files(spark, sf), _packages(spark, sf), options, context)
     return found.where(_not_parsed()).select(
         "project", "file", "line_no", "rule_id", "severity", "category", "title", "evidence"
     )
@@ -150,8 +152,9 @@ def _(spark, sf):
 
 @query("scan_low_strictness", sql.SCAN_LOW)
 def _(spark, sf):
-    files = fx.project_files(spark, sf)
-    found = scan(files, _packages(spark, sf), ScanOptions(strictness="low", rules=[]))
+    context = project_context(fx.manifests(spark, sf))
+    options = ScanOptions(strictness="low", rules=[])
+    found = scan(fx.project_files(spark, sf), _packages(spark, sf), options, context)
     return found.where(_not_parsed()).select("project", "file", "line_no", "rule_id", "severity")
 
 

@@ -259,9 +259,11 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Installed packages: express everywhere but in projects whose number divides by four."""
     projects = table(spark, sf_dir, "documents").select(F.col("source").alias("project")).distinct()
     number = F.substring("project", 4, 10).cast("int")
-    npm = projects.where(number % 4 != 0).select("project", F.lit("npm").alias("ecosystem"), F.lit("express").alias("name"))
-    pypi = projects.where(number % 3 == 0).select("project", F.lit("pypi").alias("ecosystem"), F.lit("Quantum_Widget").alias("name"))
-    return npm.unionByName(pypi)
+    def entry(cond: Column, ecosystem: str, name: str) -> Column:
+        return F.when(cond, F.struct(F.lit(ecosystem).alias("ecosystem"), F.lit(name).alias("name")))
+
+    rows = F.array(entry(number % 4 != 0, "npm", "express"), entry(number % 3 == 0, "pypi", "Quantum_Widget"))
+    return projects.select("project", F.explode(F.array_compact(rows)).alias("e")).select("project", "e.*")
 
 
 def issue_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:

@@ -270,28 +270,25 @@ def dependency_names(content: Column, keys: Iterable[str]) -> Column:
 
 def npm_packages(files: DataFrame) -> DataFrame:
     """(project, ecosystem, name) declared in package manifests or present in node_modules."""
-    declared = files.where(F.col("path") == "package.json").select(
-        "project", F.explode(dependency_names(F.col("content"), DEPENDENCY_KEYS)).alias("name")
+    path = F.col("path")
+    found = F.when(path == "package.json", dependency_names(F.col("content"), DEPENDENCY_KEYS)).otherwise(
+        F.array(node_module_name(path))
     )
     return (
-        declared.unionByName(node_module_names(files))
+        files.where((path == "package.json") | path.startswith("node_modules/"))
+        .select("project", F.lit("npm").alias("ecosystem"), F.explode(found).alias("name"))
+        .where(F.col("name").isNotNull() & ~F.col("name").startswith("."))
         .distinct()
-        .select("project", F.lit("npm").alias("ecosystem"), "name")
     )
 
 
-def node_module_names(files: DataFrame) -> DataFrame:
-    """Package directories seen below the top-level node_modules; '@scope/name' for scopes."""
-    p = path_parts(F.col("path"))
-    scoped = F.element_at(p, 2).startswith("@")
-    name = F.when(
-        scoped & (F.size(p) > 3), F.concat_ws("/", F.element_at(p, 2), F.try_element_at(p, F.lit(3)))
-    ).when(~scoped & (F.size(p) > 2), F.element_at(p, 2))
-    return (
-        files.where(F.col("path").startswith("node_modules/"))
-        .select("project", name.alias("name"))
-        .where(F.col("name").isNotNull() & ~F.col("name").startswith("."))
-    )
+def node_module_name(path: Column) -> Column:
+    """Package a path below the top-level node_modules belongs to; '@scope/name' for scopes."""
+    p = path_parts(path)
+    scoped = F.try_element_at(p, F.lit(2)).startswith("@")
+    return F.when(
+        scoped & (F.size(p) > 3), F.concat_ws("/", F.try_element_at(p, F.lit(2)), F.try_element_at(p, F.lit(3)))
+    ).when(~scoped & (F.size(p) > 2), F.try_element_at(p, F.lit(2)))
 
 
 def installed_packages(listing: DataFrame) -> DataFrame:
