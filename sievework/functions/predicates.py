@@ -12,10 +12,11 @@ from sievework.functions.text import dialect
 
 
 def text(value: str | None) -> str:
-    """A SQL string literal."""
+    """A SQL string literal; a '${' in it is not taken for a session variable."""
     if value is None:
         return "CAST(NULL AS STRING)"
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("${", "\\u0024{")
+    return f"'{escaped}'"
 
 
 def isin(col: str, values: Iterable[str]) -> str:

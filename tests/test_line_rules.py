@@ -160,3 +160,18 @@ def test_rule_files(tmp_path):
     assert [r.rule_id for r in out.rules] == ["one"]
     assert len(out.errors) == 2
     assert len(load_rule_dirs([]).rules) == 22
+
+
+def test_dollar_braces_are_not_session_variables(spark, files):
+    from pyspark.sql import functions as F
+
+    from sievework.functions.predicates import text
+
+    odd = "a${n}'\\\\'\\n$\\{b} \"x\" ${env:HOME}"
+    spark.conf.set("spark.sql.variable.substitute", "true")
+    try:
+        assert spark.range(1).select(F.expr(text(odd))).first()[0] == odd
+        rule = check_rule({"id": "v", "pattern": "${n}"})
+        assert line_findings(files({"a.js": "`${n}`"}), pack_detectors([rule])).count() == 1
+    finally:
+        spark.conf.set("spark.sql.variable.substitute", "false")
