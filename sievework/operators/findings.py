@@ -45,12 +45,16 @@ def dedupe(findings: DataFrame, once_per_project: tuple[str, ...] = ()) -> DataF
     )
 
 
+def report_order() -> list[Column]:
+    """Most severe first, then project, path order, line."""
+    return [
+        severity_rank("severity"), F.col("project"), path_parts(F.coalesce("file", F.lit(""))),
+        F.coalesce("line_no", F.lit(0)), F.col("rule_id"),
+    ]
+
+
 def in_order(findings: DataFrame) -> DataFrame:
-    """Most severe first, then path order, then line."""
-    return findings.orderBy(
-        severity_rank("severity"), "project", path_parts(F.coalesce("file", F.lit(""))),
-        F.coalesce("line_no", F.lit(0)), "rule_id",
-    )
+    return findings.orderBy(*report_order())
 
 
 def summary(findings: DataFrame, *keys: str) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sievework.operators import findings as fnd
 from sievework.operators import deep, external, fixes, history, imports, index, intent, journeys, persona, report
-from sievework.operators.context import adjust_severity, project_context
+from sievework.operators.context import adjust_severity, project_context, project_languages
 from sievework.operators.lines import line_findings, line_signals
 from sievework.operators.loops import loop_detectors, loop_findings
 from sievework.operators.packs import pack_detectors, pack_findings
@@ -656,3 +656,37 @@ def _(spark, sf):
     issues = fx.issue_log(spark, sf, fx.stream(spark, sf, "events")).withColumn("engine", F.lit("code"))
     _finish(jobs.run(issues, "", f"{root}/checkpoint", each=jobs.gate_alerts(f"{root}/alerts")))
     return spark.read.parquet(f"{root}/alerts").drop("batch_id", "engines_run")
+
+
+# ---- further faces of the same operators -------------------------------------------------
+
+
+@query("scan_change_set", sql.SCAN_CHANGE_SET)
+def _(spark, sf):
+    changed = src.parse_name_status(fx.changes(spark, sf))
+    found = scan(
+        fx.code_files(spark, sf), _packages(spark, sf), ScanOptions(strictness="high"),
+        project_context(fx.manifests(spark, sf)), changes=changed,
+    )
+    return found.where(_not_parsed()).select("project", "file", "line_no", "rule_id", "severity")
+
+
+@query("project_languages", sql.PROJECT_LANGUAGES)
+def _(spark, sf):
+    return project_languages(fx.code_files(spark, sf)).withColumn("languages", F.array_join("languages", ","))
+
+
+@query("deep_useeffect_parity", sql.EFFECT_PARITY)
+def _(spark, sf):
+    files = fx.project_files(spark, sf)
+    context = project_context(fx.manifests(spark, sf))
+    found = deep.code_checks(files, context, parity=True, only=("useeffect-missing-cleanup",))
+    return found.select("project", "file", "line_no")
+
+
+@query("findings_in_order", sql.ORDERED)
+def _(spark, sf):
+    """The first page of the ordered findings; the limit is what the report shows."""
+    first = fnd.in_order(security_findings(fx.code_files(spark, sf))).limit(100)
+    place = F.row_number().over(Window.orderBy(*fnd.report_order()))
+    return first.select("project", "file", "line_no", "rule_id", place.cast("long").alias("place"))

@@ -868,3 +868,19 @@ JA AS (SELECT user_id, k, min(ts) AS session_start, max(ts) AS last_ts, {_agg} F
 SELECT user_id, session_start, steps, friction_count, smooth_count, task_completed, gave_up, {_score} FROM JA
 WHERE last_ts + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"""
 STREAM_GATES = f"WITH {LOG}, {SUMMARY_CTE.format('LOG')} SELECT * FROM SUMMARY WHERE gate > 0"
+
+# ---- further faces of the same operators
+SCAN_CHANGE_SET = f"""WITH {_scan_cte()}
+SELECT a.project, a.file, a.line_no, a.rule_id, a.severity FROM ADJ a JOIN F ON F.project = a.project AND F.path = a.file
+WHERE F.doc_id % 3 = 0 AND F.doc_id % 7 <> 1"""
+PROJECT_LANGUAGES = f"""WITH {ALL_LINES}
+SELECT project, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM F WHERE language IS NOT NULL GROUP BY project"""
+EFFECT_PARITY = f"""WITH {_DEEP_CTE}
+SELECT project, path AS file, line_no FROM (SELECT *, coalesce(string_agg(line, chr(10)) {frame(-1, 30)}, '') AS ahead FROM DL)
+WHERE {_script} AND contains(line, 'useEffect') AND CASE WHEN contains(ahead, '}}, [')
+  THEN contains(ahead, 'addEventListener') AND NOT contains(string_split(ahead, '}}, [')[1], 'return') ELSE ahead <> '' END"""
+# rank of each finding in the order severity, project, path by component, line, rule
+ORDERED = f"""WITH {ALL_LINES}, {security_cte()}
+SELECT project, file, line_no, rule_id,
+  row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 ELSE 1 END, project, string_split(file, '/'), line_no, rule_id) AS place
+FROM SEC ORDER BY place LIMIT 100"""

@@ -194,9 +194,12 @@ def changed_since(files: DataFrame, state: DataFrame) -> DataFrame:
     """Files that are new or differ from ``state`` (project, path, md5).
 
     ``state`` holds the latest md5 per path, so a file that goes back to an older text is
-    scanned again.
+    scanned again.  The comparison reads keys and hashes only; content is joined for what
+    changed.  Both joins are on (project, path), the bucketing of a stored file table.
     """
-    return files.join(state.select(*FILE, "md5"), [*FILE, "md5"], "left_anti")
+    old = state.select(*FILE, F.col("md5").alias("old_md5"))
+    keys = files.select(*FILE, "md5").join(old, FILE, "left").where(~F.col("md5").eqNullSafe(F.col("old_md5")))
+    return files.join(keys.select(*FILE), FILE, "left_semi")
 
 
 def next_state(files: DataFrame, state: DataFrame) -> DataFrame:
