@@ -12,7 +12,6 @@ from sievework.operators.index import (
 )
 from sievework.operators.lines import GUARD, LOOP_OPEN
 from sievework.plans.fixtures import MANIFESTS, SLOTS, SNIPPETS, STYLES, TEMPLATES
-from sievework.sources import files as source
 from sievework.sources.rules import BUILT_IN, LANGUAGE_EXTS
 
 
@@ -296,12 +295,6 @@ ADJ AS (SELECT * REPLACE (coalesce(adj, severity) AS severity) FROM ADJ0 WHERE a
 """
 
 
-_scan_parts = f"""
-SECL AS (SELECT * FROM SEC), PK AS ({_pack_rules(BUILT_IN)}),
-DET AS (SELECT * FROM SEC UNION ALL SELECT * FROM LOOPF UNION ALL SELECT * FROM JSF),
-"""
-
-
 def _scan_cte(severities=("critical", "major", "minor", "info"), rules: bool = True) -> str:
     # detectors run on source files that are not minified, packs on all source files
     packs = f"UNION ALL SELECT * FROM ({_pack_rules(BUILT_IN).replace('FROM L ', 'FROM L0 ')})" if rules else ""
