@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import oracles as sql
+from sievework.llm.lengths import encoded_lengths, histogram
+from sievework.llm.packing import packed_documents
 from sievework.llm.quality import BASE_RULES, POLICIES, Policy, ablations, fails, judge, ledger
 from sievework.llm.sharding import byte_shards
 from sievework.llm.ship import ship
@@ -51,3 +54,13 @@ def _(spark, sf):
 @query("op2_rule_ablations", sql.RULE_ABLATIONS)
 def _(spark, sf):
     return ablations(ledger(table(spark, sf, "documents")), POLICIES["v2"])
+
+
+@query("op9_length_histogram")
+def _(spark, sf):
+    return histogram(encoded_lengths(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op10_island_packing")
+def _(spark, sf):
+    return packed_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
