@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import oracles as sql
 from sievework.llm.lengths import encoded_lengths, histogram
+from sievework.llm.neardup import Similarity, near_duplicates
 from sievework.llm.packing import packed_documents
 from sievework.llm.quality import BASE_RULES, POLICIES, Policy, ablations, fails, judge, ledger
 from sievework.llm.sharding import byte_shards
@@ -64,3 +65,9 @@ def _(spark, sf):
 @query("op10_island_packing")
 def _(spark, sf):
     return packed_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_multi_index_neardup", sql.NEAR_DUPLICATES)
+def _(spark, sf):
+    found = near_duplicates(table(spark, sf, "documents"), Similarity(3, 85))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
