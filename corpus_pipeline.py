@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sievework.llm.decontaminate import drop_leaked
+from sievework.llm.neardup import Similarity, drop_near_duplicates
+from sievework.llm.packing import packed_documents
 from sievework.llm.quality import keep_good
 from sievework.llm.ship import ship
 from sievework.sources.stage import shared_folder
@@ -15,7 +19,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: five-word shingles, similarity 0.8 or more."""
+    ship(spark)
+    return drop_near_duplicates(docs, Similarity(5, 80))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of ``benchmark``."""
+    ship(spark)
+    return drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents' pieces and the sequence and place of each."""
+    ship(spark)
+    return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
 #: No SQL: similarity of latent vectors and a packing search cannot be stated in it.
 ORACLE_SQL = None

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import oracles as sql
+from sievework.llm.decontaminate import leaks
 from sievework.llm.lengths import encoded_lengths, histogram
 from sievework.llm.neardup import Similarity, near_duplicates
 from sievework.llm.packing import packed_documents
@@ -71,3 +72,8 @@ def _(spark, sf):
 def _(spark, sf):
     found = near_duplicates(table(spark, sf, "documents"), Similarity(3, 85))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query("op8_latent_leaks")
+def _(spark, sf):
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
