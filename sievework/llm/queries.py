@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from sievework.llm import oracles as sql
 from sievework.llm.decontaminate import leaks
+from sievework.llm.hmm import hmm_scores
 from sievework.llm.lengths import encoded_lengths, histogram
 from sievework.llm.neardup import Similarity, near_duplicates
 from sievework.llm.packing import packed_documents
 from sievework.llm.quality import BASE_RULES, POLICIES, Policy, ablations, fails, judge, ledger
 from sievework.llm.sharding import byte_shards
 from sievework.llm.ship import ship
+from sievework.llm.urls import verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +79,13 @@ def _(spark, sf):
 @query("op8_latent_leaks")
 def _(spark, sf):
     return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op7_url_regression")
+def _(spark, sf):
+    return verdicts(table(spark, sf, "pages"))
+
+
+@query("op6_hidden_markov_scores")
+def _(spark, sf):
+    return hmm_scores(table(spark, sf, "documents"))
