@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sievework.llm import oracles as sql
 from sievework.llm.decontaminate import leaks
 from sievework.llm.hmm import hmm_scores
+from sievework.llm.html import main_texts
 from sievework.llm.lengths import encoded_lengths, histogram
 from sievework.llm.neardup import Similarity, near_duplicates
 from sievework.llm.packing import packed_documents
@@ -89,3 +90,8 @@ def _(spark, sf):
 @query("op6_hidden_markov_scores")
 def _(spark, sf):
     return hmm_scores(table(spark, sf, "documents"))
+
+
+@query("op5_boosted_main_text")
+def _(spark, sf):
+    return main_texts(table(spark, sf, "pages"))
