@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import texts as tx
 from sievework.llm import tokens as tk
+from sievework.sources.stage import staged
 
 #: Lengths per group of the histogram; running sums are taken inside a group, then over the groups.
 GROUP = 1024
@@ -34,7 +35,7 @@ def histogram(lengths: DataFrame) -> DataFrame:
     groups before, so no task holds the whole histogram.  An empty table gives no rows; a null or
     empty text has length 0; repeated rows each count.
     """
-    counts = lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs"))
+    counts = staged(lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")))
     counts = counts.withColumn("part", F.expr(f"length div {GROUP}"))
     own = Window.partitionBy("part").orderBy("length").rowsBetween(Window.unboundedPreceding, 0)
     inside = counts.select(

@@ -12,6 +12,7 @@ from sievework.llm import oracles as sql
 from sievework.llm.decontaminate import leaks
 from sievework.llm.hmm import hmm_scores
 from sievework.llm.html import main_texts
+from sievework.llm.idfiles import encoded_documents
 from sievework.llm.lengths import encoded_lengths, histogram
 from sievework.llm.neardup import Similarity, near_duplicates
 from sievework.llm.packing import packed_documents
@@ -95,3 +96,8 @@ def _(spark, sf):
 @query("op5_boosted_main_text")
 def _(spark, sf):
     return main_texts(table(spark, sf, "pages"))
+
+
+@query("op4_mixed_range_coder")
+def _(spark, sf):
+    return encoded_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
