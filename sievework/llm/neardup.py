@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, log, sqrt
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,10 @@ from sievework.sources.stage import staged
 FUNCTIONS, CHUNKS, CHUNK = 64, 9, 6
 #: Bytes kept of a shingle's hash.
 WIDTH = 6
+#: Slots of the tables that travel to every task.
+FILTER = 1 << 18
+#: Words of 64 bits that say in which slots a set has an odd number of shingles.
+ODD = 8
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 2**32, FUNCTIONS, dtype=np.uint32) | np.uint32(1)
@@ -190,12 +194,88 @@ def _unpacked(raw) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
+def _sets_of(rows: DataFrame, profile: DataFrame) -> DataFrame:
+    """``profile`` narrowed to about the rows wanted (a few more), before anything is shuffled.
+
+    The filter is the set of the wanted rows' hashes modulo FILTER, a table of at most FILTER numbers.
+    """
+    slot = F.pmod(F.xxhash64("row"), F.lit(FILTER)).alias("slot")
+    wanted = rows.select(slot).distinct()
+    return profile.withColumn("slot", slot).join(F.broadcast(wanted), "slot", "left_semi").select("row", "shingles")
+
+
 def confirmed(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of rows whose full shingle sets are similar enough."""
-    sets = profile.select("row", "shingles")
-    b = pairs.join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("set_b")), "b")
-    ab = b.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("set_a")), "a")
-    return staged(ab.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"))
+    side = lambda s: _sets_of(pairs.select(F.col(s).alias("row")), profile).select(F.col("row").alias(s), F.col("shingles").alias(f"set_{s}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return staged(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"))
+
+
+def _slots(batches):
+    """How many shingles of this partition fall into each slot."""
+    total = np.zeros(FILTER, np.int64)
+    for batch in batches:
+        for raw in batch.column("shingles"):
+            np.add.at(total, (_unpacked(raw.as_buffer()) % np.uint64(FILTER)).astype(np.int64), 1)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "times"])
+
+
+def _prefixes(times, percent: int):
+    """The first shingles of each set in the order of rarity, as many as two similar sets cannot both miss."""
+
+    def run(batches):
+        common = times.value
+        for batch in batches:
+            out = [[] for _ in range(3 + ODD)]
+            for raw in batch.column("shingles"):
+                x = _unpacked(raw.as_buffer())
+                x = x[np.lexsort((x, common[(x % np.uint64(FILTER)).astype(np.int64)]))]
+                n = len(x) + (percent * len(x)) // -100 + 1  # size - ceil(percent of it) + 1
+                odd = np.bincount(((x >> np.uint64(20)) % np.uint64(64 * ODD)).astype(np.int64), minlength=64 * ODD) & 1
+                odd = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+                for col, part in zip(out, (x[:n].view(np.int64), np.arange(n), np.full(n, len(x)), *(np.full(n, v) for v in odd)), strict=True):
+                    col.append(part)
+            each = np.array([len(x) for x in out[0]], np.int64)
+            at = pa.array(np.repeat(np.arange(len(each)), each))
+            cols = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out]
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(at), *cols], names=["row", "shingle", "place", "n", *_odd()])
+
+    return run
+
+
+def _odd(side: str = "") -> list[str]:
+    return [f"odd{k}{side}" for k in range(ODD)]
+
+
+def _apart(open_rows: DataFrame, profile: DataFrame, like: Similarity) -> DataFrame:
+    """Pairs (a, b) of rows in different components whose sets may be similar enough.
+
+    Prefix filter: put the shingles of all sets into one order, rare ones first.  Two sets as similar as asked share a
+    shingle among the first n - ceil(percent * n) + 1 of each, and from the places of the first one they
+    share follows how large their intersection can be at most.  In as many of 512 slots as the counts of two sets differ in
+    being odd, so many shingles at least are in one set only.  So copies that have each been
+    altered in their own way, and are as far from each other as they are many, do not meet.  The order is by counts in
+    FILTER slots, a table of fixed size; any order gives exact results.
+    """
+    spark = profile.sparkSession
+    sets = staged(_sets_of(open_rows, profile).join(open_rows, "row").select("row", "shingles"))
+    counts = sets.select("shingles").mapInArrow(_slots, "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
+    times = np.zeros(FILTER, np.int64)
+    times[counts["slot"].to_numpy()] = counts["times"].to_numpy()
+    del counts
+    kinds = "row long, shingle long, place long, n long, " + ", ".join(f"{c} long" for c in _odd())
+    prefix = sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(times), like.percent), kinds)
+    prefix = staged(prefix.join(open_rows, "row"))
+    shared = prefix.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle")
+    prefix = prefix.join(shared, "shingle")
+    side = lambda s: prefix.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("row", "place", "n", "component", "sketch", *_odd())))
+    p = like.percent
+    room = f"{100 + p} * least(n_a - place_a, n_b - place_b) >= {p} * (n_a + n_b)"
+    differ = " + ".join(f"bit_count({a} ^ {b})" for a, b in zip(_odd("_a"), _odd("_b"), strict=True))
+    few = f"bit_count(sketch_a ^ sketch_b) <= {like.bits} AND {100 + p} * ({differ}) <= {100 - p} * (n_a + n_b)"
+    met = side("a").join(side("b"), "shingle").where(f"component_a < component_b AND {room} AND {few}")
+    return met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
 
 
 def links(profile: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
@@ -210,7 +290,6 @@ def links(profile: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
     pair under the signature distance is lost.  Keys are dealt by range of (key, order), which
     splits a key that very many rows share; the first rows of its pieces are linked afterwards.
     """
-    near = f"100 * least(n_a, n_b) >= {like.percent} * greatest(n_a, n_b) AND bit_count(sk_a ^ sk_b) <= {like.bits}"
     classes = staged(
         profile.where("node IS NOT NULL").groupBy("node").agg(
             F.min("row").alias("row"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"),
@@ -229,19 +308,12 @@ def links(profile: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
     edges = confirmed(tested, profile, like.percent)
 
     comp = connected(edges)
-    groups = stars.where("kind = 1").select("key", F.col("a").alias("row"), F.col("sketch").alias("sk"), "n")
+    groups = stars.where("kind = 1").select("key", F.col("a").alias("row"), "sketch")
     groups = groups.join(comp.withColumnRenamed("vertex", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     groups = staged(groups)
     apart = groups.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    groups = groups.join(apart, "key", "left_semi")
-    step = log(100 / like.percent)  # sizes of a linked pair lie in the same or in neighbouring bands
-    groups = groups.withColumn("band", F.floor(F.log("n") / step).cast("int"))
-    side = lambda s: groups.select(
-        "key", "band", F.col("row").alias(s), F.col("sk").alias(f"sk_{s}"), F.col("n").alias(f"n_{s}"), F.col("component").alias(f"c_{s}")
-    )
-    left = side("a").withColumn("band", F.explode(F.expr("array(band - 1, band, band + 1)")))
-    rest = left.join(side("b"), ["key", "band"]).where(f"c_a < c_b AND {near}")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    open_rows = staged(groups.join(apart, "key", "left_semi").select("row", "sketch", "component").distinct())
+    rest = _apart(open_rows, profile, like).join(tested, ["a", "b"], "left_anti")
     return classes.select("node", "row", "least"), edges.union(confirmed(staged(rest), profile, like.percent))
 
 
