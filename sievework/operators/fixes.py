@@ -59,17 +59,19 @@ def usable_fixes(
 ) -> DataFrame:
     """Fixes of known findings with checked confidence, at or above the bar.
 
-    ``fixes``: project, path, line_no, rule_id, old_code, new_code, explanation, confidence.
+    ``fixes``: project, path, line_no, rule_id, old_code, new_code, explanation, confidence.  A fix without a
+    line belongs to the finding of its file without one.
     """
+    none = F.lit(-1)  # no line has this number
     about = findings.select(
-        "project", F.col("file").alias("path"), "line_no", "rule_id", "title", "severity"
+        "project", F.col("file").alias("path"), F.coalesce("line_no", none).alias("_line"), "rule_id", "title", "severity"
     )
     conf = checked_confidence(F.col("old_code"), F.col("content"), F.col("confidence"))
     return (
-        fixes.join(about, [*FILE, "line_no", "rule_id"])
+        fixes.withColumn("_line", F.coalesce("line_no", none)).join(about, [*FILE, "_line", "rule_id"])
         .join(files.select(*FILE, "content"), FILE)
         .withColumn("confidence", conf)
-        .drop("content")
+        .drop("content", "_line")
         .where(F.col("confidence") >= min_confidence)
     )
 
@@ -89,9 +91,9 @@ def apply_fixes(files: DataFrame, fixes: DataFrame) -> DataFrame:
     """(project, path, content, applied, tried): files with their fixes applied in line order.
 
     Each fix replaces the first occurrence of its old code in the text as left by the ones
-    before it.  Files without fixes are not returned; nothing is overwritten.
+    before it; without new code the old is deleted.  Files without fixes are not returned; nothing is overwritten.
     """
-    step = F.struct("line_no", "rule_id", F.coalesce("old_code", F.lit("")).alias("old"), F.col("new_code").alias("new"))
+    step = F.struct("line_no", "rule_id", F.coalesce("old_code", F.lit("")).alias("old"), F.coalesce("new_code", F.lit("")).alias("new"))
     plan = fixes.groupBy(*FILE).agg(F.array_sort(F.collect_list(step)).alias("plan"))
     start = F.struct(F.col("content").alias("text"), F.lit(0).alias("applied"))
 

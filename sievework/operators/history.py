@@ -135,28 +135,28 @@ def carry_forward(findings: DataFrame, log: DataFrame, skipped: DataFrame) -> Da
 
 
 def dismissal_state(events: DataFrame, clears: DataFrame | None = None) -> DataFrame:
-    """(rule_id, file_pattern, reason, count, last_ts, auto_suppress) from dismissal events.
+    """(project, rule_id, file_pattern, reason, count, last_ts, auto_suppress) from dismissal events.
 
-    ``events``: seq, ts, rule_id, file_pattern, reason.  ``clears``: seq, rule_id,
+    ``events``: project, seq, ts, rule_id, file_pattern, reason.  ``clears``: project, seq, rule_id,
     file_pattern; without a pattern it clears every pattern of the rule.  Only events after
-    the last clear count, and the first reason stays.
+    the last clear of the same project count, and the first reason stays.
     """
     pattern = F.coalesce("file_pattern", F.lit(""))
     live = events.withColumn("file_pattern", pattern)
     if clears is not None:
-        c = clears.select("rule_id", F.col("seq").alias("at"), pattern.alias("pattern"))
-        whole = c.where("pattern = ''").groupBy("rule_id").agg(F.max("at").alias("at_rule"))
+        c = clears.select("project", "rule_id", F.col("seq").alias("at"), pattern.alias("pattern"))
+        whole = c.where("pattern = ''").groupBy("project", "rule_id").agg(F.max("at").alias("at_rule"))
         some = (
-            c.where("pattern <> ''").groupBy("rule_id", F.col("pattern").alias("file_pattern"))
+            c.where("pattern <> ''").groupBy("project", "rule_id", F.col("pattern").alias("file_pattern"))
             .agg(F.max("at").alias("at_pattern"))
         )
         last = F.greatest(F.coalesce("at_rule", F.lit(-1)), F.coalesce("at_pattern", F.lit(-1)))
         live = (
-            live.join(whole, "rule_id", "left")
-            .join(some, ["rule_id", "file_pattern"], "left")
+            live.join(whole, ["project", "rule_id"], "left")
+            .join(some, ["project", "rule_id", "file_pattern"], "left")
             .where(F.col("seq") > last)
         )
-    return live.groupBy("rule_id", "file_pattern").agg(
+    return live.groupBy("project", "rule_id", "file_pattern").agg(
         F.min_by(F.coalesce("reason", F.lit("")), "seq").alias("reason"),
         F.count(F.lit(1)).alias("count"),
         F.max("ts").alias("last_ts"),
@@ -165,21 +165,21 @@ def dismissal_state(events: DataFrame, clears: DataFrame | None = None) -> DataF
 
 
 def dismissals(state: DataFrame) -> DataFrame:
-    return state.orderBy(F.col("count").desc(), "rule_id", "file_pattern")
+    return state.orderBy("project", F.col("count").desc(), "rule_id", "file_pattern")
 
 
 def unsuppressed(findings: DataFrame, state: DataFrame) -> DataFrame:
-    """Findings no silenced dismissal covers.
+    """Findings no silenced dismissal of their project covers.
 
     A dismissal covers a rule, or the files whose path contains its pattern (LIKE wildcards,
     ASCII case ignored).  There are few rule ids, so the join is spread by a salt.
     """
     escaped = F.replace(F.col("file_pattern"), F.lit("\\"), F.lit("\\\\"))
     silent = state.where("auto_suppress").select(
-        F.col("rule_id").alias("r_rule_id"),
+        F.col("project").alias("r_project"), F.col("rule_id").alias("r_rule_id"),
         F.concat(F.lit("%"), ascii_lower(escaped), F.lit("%")).alias("like_pattern"),
         (F.col("file_pattern") == "").alias("whole_rule"),
     ).distinct()
     f = findings.withColumn("_path", ascii_lower(F.coalesce("file", F.lit(""))))
     covered = F.col("whole_rule") | F.like(F.col("_path"), F.col("like_pattern"))
-    return salted_anti_join(f, silent, ["rule_id"], covered, findings.columns).drop("_path")
+    return salted_anti_join(f, silent, ["project", "rule_id"], covered, findings.columns).drop("_path")

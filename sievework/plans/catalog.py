@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,7 +19,8 @@ from sievework.operators.security import security_detectors, security_findings
 from sievework.plans import fixtures as fx
 from sievework.plans import oracles as sql
 from sievework.functions.skew import numbered, previous_value
-from sievework.functions.text import line_count
+from sievework.functions.text import line_count, path_parts
+from sievework.schema import severity_rank
 from sievework.plans.scan import ScanOptions, deep_scan, persona_scan, scan
 from sievework.sources import files as src
 from sievework.sources.rules import BUILT_IN, built_in
@@ -217,8 +218,7 @@ def _(spark, sf):
 
 @query("next_state", sql.NEXT_STATE)
 def _(spark, sf):
-    seen = fx.text_files(spark, sf).where(F.substring("path", 2, 20).cast("long") % 5 == 0)
-    return src.next_state(seen, fx.scan_state(spark, sf))
+    return src.next_state(fx.text_files(spark, sf), fx.scan_state(spark, sf))
 
 
 @query("name_status", sql.CHANGES)
@@ -229,8 +229,7 @@ def _(spark, sf):
 @query("changed_files", sql.CHANGED)
 def _(spark, sf):
     changed = src.parse_name_status(fx.changes(spark, sf))
-    files = fx.code_files(spark, sf).where(F.col("ext") != ".html")
-    return src.changed_files(files, changed).select("project", "path")
+    return src.changed_files(fx.code_files(spark, sf), changed).select("project", "path")
 
 
 @query("config_files", sql.CONFIG_FILES)
@@ -298,10 +297,13 @@ def _(spark, sf):
 
 @query("carry_forward", sql.CARRY_FORWARD)
 def _(spark, sf):
+    """Every scan takes over the last one's rows of its unchanged files: here scan n is read as scan n + 1."""
     log = _log(spark, sf)
-    now = log.where("scan_id = 2").select("project", "rule_id", "file", "line", "severity")
-    skipped = log.where("file LIKE '%.py'").select("project", F.col("file").alias("path"))
-    return history.carry_forward(now, log.where("scan_id = 1"), skipped)
+    per_scan = F.concat("project", F.lit("@"), F.col("scan_id").cast("string"))
+    now = log.withColumn("project", per_scan).select("project", "rule_id", "file", "line", "severity")
+    before = log.withColumn("project", F.concat("project", F.lit("@"), (F.col("scan_id") + 1).cast("string")))
+    skipped = before.where("file LIKE '%.py'").select("project", F.col("file").alias("path"))
+    return history.carry_forward(now, before, skipped)
 
 
 @query("dismissal_state", sql.DISMISSALS)
@@ -631,7 +633,7 @@ def _(spark, sf):
     root = _stream_root(spark)
     counts = jobs.dismissal_counts(fx.dismissal_events(spark, sf, fx.stream(spark, sf, "events")))
     _finish(jobs.run(counts, "", f"{root}/checkpoint", "update", jobs.keep_latest(f"{root}/counts")))
-    return jobs.read_latest(spark, f"{root}/counts", "rule_id", "file_pattern")
+    return jobs.read_latest(spark, f"{root}/counts", "project", "rule_id", "file_pattern")
 
 
 @query("stream_issue_rate", sql.STREAM_RATE)
@@ -654,8 +656,8 @@ def _(spark, sf):
 def _(spark, sf):
     root = _stream_root(spark)
     issues = fx.issue_log(spark, sf, fx.stream(spark, sf, "events")).withColumn("engine", F.lit("code"))
-    _finish(jobs.run(issues, "", f"{root}/checkpoint", each=jobs.gate_alerts(f"{root}/alerts")))
-    return spark.read.parquet(f"{root}/alerts").drop("batch_id", "engines_run")
+    _finish(jobs.run(jobs.gate_counts(issues), "", f"{root}/checkpoint", "update", jobs.keep_latest(f"{root}/counts")))
+    return jobs.gate_alerts(spark, f"{root}/counts")
 
 
 # ---- further faces of the same operators -------------------------------------------------
@@ -686,7 +688,8 @@ def _(spark, sf):
 
 @query("findings_in_order", sql.ORDERED)
 def _(spark, sf):
-    """The first page of the ordered findings; the limit is what the report shows."""
-    first = fnd.in_order(security_findings(fx.code_files(spark, sf))).limit(100)
-    place = F.row_number().over(Window.orderBy(*fnd.report_order()))
-    return first.select("project", "file", "line_no", "rule_id", place.cast("long").alias("place"))
+    """Every finding with its place in its project's report, a project being split by severity and folder."""
+    found = security_findings(fx.code_files(spark, sf))
+    folder = F.struct(severity_rank("severity"), F.slice(path_parts("file"), 1, 3))
+    placed = numbered(found, ["project"], folder, fnd.report_order(), "place")
+    return placed.select("project", "file", "line_no", "rule_id", F.col("place").cast("long").alias("place"))

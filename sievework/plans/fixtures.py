@@ -293,8 +293,8 @@ def issue_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
 def dismissal_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     events = table(spark, sf_dir, "events") if events is None else events
     e = F.col("event_id")
-    return events.where((F.col("event_type") == "view") & (e % 17 == 1)).select(
-        e.alias("seq"), "ts", F.concat(F.lit("rule"), (e % 4).cast("string")).alias("rule_id"),
+    return events.where(F.col("event_type") == "view").select(
+        F.concat(F.lit("src"), (F.col("user_id") % 5).cast("string")).alias("project"), e.alias("seq"), "ts", F.concat(F.lit("rule"), (e % 4).cast("string")).alias("rule_id"),
         F.when(e % 12 != 0, F.concat(F.lit("F"), (F.col("user_id") % 13).cast("string"), F.lit("."))).alias("file_pattern"),
         F.concat(F.lit("reason "), F.col("user_id").cast("string")).alias("reason"),
     )
@@ -304,7 +304,7 @@ def dismissal_clears(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clears: every 101st event clears a pattern, every 997th a whole rule."""
     e = F.col("event_id")
     return table(spark, sf_dir, "events").where((e % 101 == 0) | (e % 997 == 0)).select(
-        e.alias("seq"), F.concat(F.lit("rule"), (e % 4).cast("string")).alias("rule_id"),
+        F.concat(F.lit("src"), (F.col("user_id") % 5).cast("string")).alias("project"), e.alias("seq"), F.concat(F.lit("rule"), (e % 4).cast("string")).alias("rule_id"),
         F.when(e % 997 != 0, F.concat(F.lit("F"), (F.col("user_id") % 13).cast("string"), F.lit("."))).alias("file_pattern"),
     )
 
@@ -414,7 +414,7 @@ def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = F.replace("text", F.lit("\n"), F.lit(" "))
     content = F.concat(
         F.lit('route: "/r'), (d % 45).cast("string"), F.lit('"\nmessage = "'),
-        F.substring(flat, F.lit(1), (d % 90 + 5).cast("int")), F.lit('"\n<b>'), F.upper("lang"),
+        flat, F.lit('"\n<b>'), F.upper("lang"),
         F.lit(" text "), (d % 33).cast("string"), F.lit("</b>"),
     )
     return file_table(

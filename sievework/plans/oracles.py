@@ -339,11 +339,11 @@ INCREMENTAL = f"""WITH a AS ({_TEXT_FILES}), b AS ({_STATE})
 SELECT a.project, a.path FROM a LEFT JOIN b USING (project, path) WHERE a.md5 IS DISTINCT FROM b.md5"""
 NEXT_STATE = f"""WITH a AS ({_TEXT_FILES}), b AS ({_STATE})
 SELECT project, path, coalesce(n.md5, b.md5) AS md5
-FROM (SELECT * FROM a WHERE substr(path, 2)::BIGINT % 5 = 0) n FULL JOIN b USING (project, path)"""
+FROM a n FULL JOIN b USING (project, path)"""
 UNCHANGED = f"""WITH a AS ({_TEXT_FILES}), b AS ({_STATE})
 SELECT project, path FROM a JOIN b USING (project, path) WHERE a.md5 = b.md5"""
 CHANGED = f"""WITH {ALL_LINES}
-SELECT project, path FROM F WHERE doc_id % 3 = 0 AND doc_id % 7 <> 1 AND ext <> '.html'"""
+SELECT project, path FROM F WHERE doc_id % 3 = 0 AND doc_id % 7 <> 1"""
 CHANGES = f"""SELECT source AS project, {PATH} AS path,
   CASE doc_id % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'D' WHEN 2 THEN 'R' ELSE 'M' END AS status,
   CASE WHEN doc_id % 7 = 2 THEN 'old/f' || doc_id END AS old_path
@@ -403,28 +403,28 @@ SELECT i.project, x.next_id, i.fingerprint, 'fixed'
 FROM I i JOIN NXT x USING (project, scan_id)
 WHERE NOT EXISTS (SELECT 1 FROM I k WHERE k.project = i.project AND k.scan_id = x.next_id AND k.fingerprint = i.fingerprint)"""
 CARRY_FORWARD = f"""WITH {LOG}
-SELECT project, rule_id, file, line, severity FROM LOG WHERE scan_id = 2
-UNION ALL SELECT project, rule_id, file, line, severity FROM LOG WHERE scan_id = 1 AND file LIKE '%.py'"""
+SELECT project || '@' || scan_id AS project, rule_id, file, line, severity FROM LOG
+UNION ALL SELECT project || '@' || (scan_id + 1), rule_id, file, line, severity FROM LOG WHERE file LIKE '%.py'"""
 DISMISSAL_EVENTS = """
 DE AS (
-  SELECT event_id AS seq, ts, 'rule' || event_id % 4 AS rule_id,
+  SELECT 'src' || user_id % 5 AS project, event_id AS seq, ts, 'rule' || event_id % 4 AS rule_id,
     CASE WHEN event_id % 12 = 0 THEN '' ELSE 'F' || user_id % 13 || '.' END AS file_pattern, 'reason ' || user_id AS reason
-  FROM events WHERE event_type = 'view' AND event_id % 17 = 1)
+  FROM events WHERE event_type = 'view')
 """
-_STATE_COLS = """rule_id, file_pattern, arg_min(reason, seq) AS reason, count(*) AS count, max(ts) AS last_ts,
+_STATE_COLS = """project, rule_id, file_pattern, arg_min(reason, seq) AS reason, count(*) AS count, max(ts) AS last_ts,
   count(*) >= 3 AS auto_suppress"""
-DISMISSALS = f"WITH {DISMISSAL_EVENTS} SELECT {_STATE_COLS} FROM DE GROUP BY rule_id, file_pattern"
+DISMISSALS = f"WITH {DISMISSAL_EVENTS} SELECT {_STATE_COLS} FROM DE GROUP BY project, rule_id, file_pattern"
 DISMISSALS_CLEARED = f"""WITH {DISMISSAL_EVENTS},
-CL AS (SELECT event_id AS seq, 'rule' || event_id % 4 AS rule_id,
+CL AS (SELECT 'src' || user_id % 5 AS project, event_id AS seq, 'rule' || event_id % 4 AS rule_id,
   CASE WHEN event_id % 997 = 0 THEN '' ELSE 'F' || user_id % 13 || '.' END AS pattern
   FROM events WHERE event_id % 101 = 0 OR event_id % 997 = 0)
 SELECT {_STATE_COLS} FROM DE d
-WHERE NOT EXISTS (SELECT 1 FROM CL c WHERE c.rule_id = d.rule_id AND c.seq >= d.seq AND (c.pattern = '' OR c.pattern = d.file_pattern))
-GROUP BY rule_id, file_pattern"""
+WHERE NOT EXISTS (SELECT 1 FROM CL c WHERE c.project = d.project AND c.rule_id = d.rule_id AND c.seq >= d.seq AND (c.pattern = '' OR c.pattern = d.file_pattern))
+GROUP BY project, rule_id, file_pattern"""
 UNSUPPRESSED = f"""WITH {LOG}, {DISMISSAL_EVENTS},
-ST AS (SELECT {_STATE_COLS} FROM DE GROUP BY rule_id, file_pattern)
+ST AS (SELECT {_STATE_COLS} FROM DE GROUP BY project, rule_id, file_pattern)
 SELECT seq, project, rule_id, file, line FROM LOG l
-WHERE NOT EXISTS (SELECT 1 FROM ST s WHERE s.auto_suppress AND s.rule_id = l.rule_id
+WHERE NOT EXISTS (SELECT 1 FROM ST s WHERE s.auto_suppress AND s.project = l.project AND s.rule_id = l.rule_id
   AND (s.file_pattern = '' OR lower(coalesce(l.file, '')) LIKE '%' || lower(s.file_pattern) || '%'))"""
 
 # ---- project index
@@ -653,7 +653,7 @@ _found = " UNION ALL ".join(
     ]
 )
 _sample_files = """
-PF AS (SELECT source AS project, '.tsx' AS ext, 'route: "/r' || doc_id % 45 || '"' || chr(10) || 'message = "' || left(replace(text, chr(10), ' '), 5 + doc_id % 90)
+PF AS (SELECT source AS project, '.tsx' AS ext, 'route: "/r' || doc_id % 45 || '"' || chr(10) || 'message = "' || replace(text, chr(10), ' ')
   || '"' || chr(10) || '<b>' || upper(lang) || ' text ' || doc_id % 33 || '</b>' AS content FROM documents)"""
 SAMPLES = f"""WITH {_sample_files}, V AS (SELECT DISTINCT * FROM ({_found})),
 R AS (SELECT *, row_number() OVER (PARTITION BY project, kind ORDER BY value) AS rank FROM V)
@@ -847,7 +847,7 @@ UNION ALL SELECT project, 3, CASE severity WHEN 'critical' THEN 0 ELSE 1 END, '-
   || '  ' || {_why} || chr(10) || '  > Fix: ' || {_fix} || chr(10) FROM SEC"""
 
 # ---- streams
-STREAM_DISMISSALS = f"""WITH {DISMISSAL_EVENTS} SELECT rule_id, file_pattern, count(*) AS count, count(*) >= 3 AS auto_suppress FROM DE GROUP BY ALL"""
+STREAM_DISMISSALS = f"""WITH {DISMISSAL_EVENTS} SELECT project, rule_id, file_pattern, count(*) AS count, count(*) >= 3 AS auto_suppress FROM DE GROUP BY ALL"""
 STREAM_RATE = """WITH W AS (
   SELECT 'src' || user_id % 5 AS project, date_trunc('hour', ts) AS window_start, count(*) AS total_issues,
     count(*) FILTER (event_type = 'error') AS critical, count(*) FILTER (event_type = 'purchase') AS major,
@@ -860,7 +860,8 @@ N AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 JA AS (SELECT user_id, k, min(ts) AS session_start, max(ts) AS last_ts, {_agg} FROM N GROUP BY user_id, k)
 SELECT user_id, session_start, steps, friction_count, smooth_count, task_completed, gave_up, {_score} FROM JA
 WHERE last_ts + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"""
-STREAM_GATES = f"WITH {LOG}, {SUMMARY_CTE.format('LOG')} SELECT * FROM SUMMARY WHERE gate > 0"
+STREAM_GATES = f"""WITH {LOG}, {SUMMARY_CTE.format('LOG').replace('SELECT project,', 'SELECT project, scan_id,').replace('GROUP BY project', 'GROUP BY project, scan_id')}
+SELECT * FROM SUMMARY WHERE gate > 0"""
 
 # ---- further faces of the same operators
 SCAN_CHANGE_SET = f"""WITH {_scan_cte()}
@@ -875,5 +876,5 @@ WHERE {_script} AND contains(line, 'useEffect') AND CASE WHEN contains(ahead, '}
 # rank of each finding in the order severity, project, path by component, line, rule
 ORDERED = f"""WITH {ALL_LINES}, {security_cte()}
 SELECT project, file, line_no, rule_id,
-  row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 ELSE 1 END, project, string_split(file, '/'), line_no, rule_id) AS place
-FROM SEC ORDER BY place LIMIT 100"""
+  row_number() OVER (PARTITION BY project ORDER BY CASE severity WHEN 'critical' THEN 0 ELSE 1 END, string_split(file, '/'), line_no, rule_id) AS place
+FROM SEC"""

@@ -95,24 +95,26 @@ def scan(
     files: DataFrame, packages: DataFrame, options: ScanOptions = ScanOptions(),
     context: DataFrame | None = None, dismissed: DataFrame | None = None,
     state: DataFrame | None = None, changes: DataFrame | None = None,
-    extra: Iterable[DataFrame] = (),
+    extra: Iterable[DataFrame] = (), intent: DataFrame | None = None, lookup: DataFrame | None = None,
 ) -> DataFrame:
     """Findings of a code scan: detect, dedupe, weigh by context, drop the silenced ones.
 
     ``state`` limits the scan to files changed since it, ``changes`` to a change set; local
-    modules are still looked up among all ``files``.  ``extra`` are findings from elsewhere
-    (reviews, intent).
+    modules are still looked up among ``lookup`` (project, path), by default all ``files``.  ``extra`` are findings from
+    reviews, treated like the scan's own.  ``intent`` findings have no place in a file; they are
+    added as they are, after the other steps.
     """
     todo = files
     if changes is not None:
         todo = changed_files(todo, changes, options.ignore)
     if state is not None:
         todo = changed_since(todo, state)
-    parts = [code_findings(todo, packages, options, files), *[e.select(*FINDING) for e in extra]]
+    parts = [code_findings(todo, packages, options, files if lookup is None else lookup), *[e.select(*FINDING) for e in extra]]
     found = dedupe(union_all(parts))
     context = project_context(files) if context is None else context
     found = adjust_severity(found, context)
-    return found if dismissed is None else unsuppressed(found, dismissed)
+    found = found if dismissed is None else unsuppressed(found, dismissed)
+    return found if intent is None else found.unionByName(intent.select(*found.columns))
 
 
 def deep_scan(

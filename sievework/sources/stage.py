@@ -11,10 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
-    That folder is on shared storage, so a lost executor loses nothing.  Only where it is unset
-    (tests, a laptop) a local temporary folder stands in.
+    That folder is on shared storage, so a lost executor loses nothing.  Where it is unset, a folder that the
+    caller gave with ``setCheckpointDir`` is taken; in local mode, where one machine does all,
+    a temporary folder.  A cluster without either is an error, since executors would write to
+    their own disks.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if base is None and context._jsc.sc().getCheckpointDir().isDefined():
+        base = context._jsc.sc().getCheckpointDir().get()
+    if base is None and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        base = tempfile.mkdtemp(prefix="run-")
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
 
 

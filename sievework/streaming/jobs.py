@@ -15,6 +15,7 @@ from sievework.operators.history import SUPPRESS_AFTER
 from sievework.plans.scan import ScanOptions, scan
 from sievework.schema import FILE, SEVERITY_RANK
 from sievework.sources.files import changed_since
+from sievework.sources.stage import staged
 
 
 def run(
@@ -44,7 +45,9 @@ def _replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def _read_before(spark: SparkSession, path: str, batch_id: int, empty: str) -> DataFrame:
     try:
         return spark.read.schema(f"{empty}, batch_id bigint").parquet(path).where(F.col("batch_id") < batch_id)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], f"{empty}, batch_id bigint")
 
 
@@ -63,26 +66,28 @@ def scan_stream(
     ``versions`` is a stream of file rows with a ``seq`` that orders the versions of a path.
     A file is complete inside one row, so a micro-batch is scanned by the batch job; only
     files whose md5 differs from the last one are scanned, also when an older text returns.
+    Local modules are looked up among all paths seen so far.  What is to be scanned is written
+    once, since several detectors read it.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        names = [c for c in batch.columns if c not in FILE]
-        newest = (
-            batch.groupBy(*FILE).agg(F.max_by(F.struct(*names), "seq").alias("v")).select(*FILE, "v.*")
-        )
+        last = batch.groupBy(*FILE).agg(F.max("seq").alias("seq"))  # contents move only in the join
+        newest = batch.join(last, [*FILE, "seq"]).dropDuplicates(FILE)
         state = latest_state(spark, f"{root}/state", batch_id)
-        todo = changed_since(newest, state)
-        _replace_batch(scan(todo, packages, options, context=context), f"{root}/findings", batch_id)
+        todo = staged(changed_since(newest, state))
+        known = todo.select(*FILE).union(state.select(*FILE)).distinct()
+        found = scan(todo, packages, options, context=context, lookup=known)
+        _replace_batch(found, f"{root}/findings", batch_id)
         _replace_batch(todo.select(*FILE, "md5"), f"{root}/state", batch_id)
 
     return run(versions, "", checkpoint, each=each, trigger=trigger)
 
 
 def dismissal_counts(events: DataFrame) -> DataFrame:
-    """Running dismissal counts per rule and pattern (update mode)."""
+    """Running dismissal counts per project, rule and pattern (update mode)."""
     return (
-        events.groupBy("rule_id", F.coalesce("file_pattern", F.lit("")).alias("file_pattern"))
+        events.groupBy("project", "rule_id", F.coalesce("file_pattern", F.lit("")).alias("file_pattern"))
         .agg(F.count(F.lit(1)).alias("count"))
         .withColumn("auto_suppress", F.col("count") >= SUPPRESS_AFTER)
     )
@@ -126,11 +131,13 @@ def journey_sessions(steps: DataFrame, gap: str = "6 hours", late: str = "10 min
     )
 
 
-def gate_alerts(root: str) -> Callable[[DataFrame, int], None]:
-    """Writer that keeps, per micro-batch, the projects whose findings fail the gate."""
+def gate_counts(issues: DataFrame) -> DataFrame:
+    """Running counts of each scan of a project (update mode), the same whatever the size of a micro-batch."""
+    return summary(issues, "project", "scan_id").drop("engines_run")
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        gated = summary(batch).withColumn("gate", findings_gate(F.col("critical"), F.col("major")))
-        _replace_batch(gated.where(F.col("gate") > 0), root, batch_id)
 
-    return each
+def gate_alerts(spark: SparkSession, root: str) -> DataFrame:
+    """Scans whose findings so far fail the gate, from the counts kept by ``keep_latest``."""
+    counts = read_latest(spark, root, "project", "scan_id")
+    gated = counts.withColumn("gate", findings_gate(F.col("critical"), F.col("major")))
+    return gated.where(F.col("gate") > 0)

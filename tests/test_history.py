@@ -57,11 +57,12 @@ EVENTS = "seq long, ts timestamp_ntz, rule_id string, file_pattern string, reaso
 
 def _events(spark, *rows):
     df = spark.createDataFrame([(i, r, p, f"why {i}") for i, (r, p) in rows], "seq long, rule_id string, file_pattern string, reason string")
+    df = df.withColumn("project", F.lit("p"))
     return df.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
 
 
 def _kept(spark, state):
-    f = spark.createDataFrame([("r", "src/App.py"), ("r", "lib/x_y.js"), ("r", None), ("s", "src/App.py")], "rule_id string, file string")
+    f = spark.createDataFrame([("r", "src/App.py"), ("r", "lib/x_y.js"), ("r", None), ("s", "src/App.py")], "rule_id string, file string").withColumn("project", F.lit("p"))
     return sorted((r.rule_id, r.file or "") for r in history.unsuppressed(f.withColumn("line_no", F.lit(1)), state).collect())
 
 
@@ -85,11 +86,34 @@ def test_pattern_dismissal(spark, pattern, gone):
 
 def test_clear(spark):
     events = _events(spark, *[(i, ("r", None)) for i in range(3)], (3, ("q", "a")), (9, ("q", "a")))
-    clears = spark.createDataFrame([(5, "r", None), (5, "q", "a")], "seq long, rule_id string, file_pattern string")
+    clears = spark.createDataFrame([(5, "r", None), (5, "q", "a")], "seq long, rule_id string, file_pattern string").withColumn("project", F.lit("p"))
     got = {r.rule_id: r["count"] for r in history.dismissal_state(events, clears).collect()}
     assert got == {"q": 1}
 
 
+def test_dismissals_stay_in_their_project(spark):
+    state = history.dismissal_state(_events(spark, *[(i, ("r", None)) for i in range(3)]))
+    found = spark.createDataFrame([("p", "r"), ("q", "r")], "project string, rule_id string").withColumns({"file": F.lit("f"), "line_no": F.lit(1)})
+    assert [r.project for r in history.unsuppressed(found, state).collect()] == ["q"]
+    others = _events(spark, *[(i, ("r", None)) for i in range(3)]).withColumn("project", F.lit("q"))
+    clears = spark.createDataFrame([(9, "r", None, "p")], "seq long, rule_id string, file_pattern string, project string")
+    state = history.dismissal_state(_events(spark, *[(i, ("r", None)) for i in range(3)]).unionByName(others), clears)
+    assert [(r.project, r["count"]) for r in state.collect()] == [("q", 3)]
+
+
+def test_fixes_without_line_or_new_code(spark, files):
+    from sievework.operators import fixes
+
+    table = files({"a.py": "x = eval(y)\nz"})
+    schema = "project string, path string, line_no int, rule_id string, old_code string, new_code string, explanation string, confidence double"
+    wanted = spark.createDataFrame([("p", "a.py", None, "r", "eval(y)", None, "", 0.9), ("p", "a.py", 3, "r", "z", "", "", 0.9)], schema)
+    found = spark.createDataFrame([("p", "a.py", None, "r", "t", "major")], "project string, file string, line_no int, rule_id string, title string, severity string")
+    usable = fixes.usable_fixes(wanted, found, table)
+    assert [(r.line_no, r.rule_id) for r in usable.collect()] == [(None, "r")]
+    done = fixes.apply_fixes(table, usable).first()
+    assert (done.content, done.applied, done.tried) == ("x = \nz", 1, 1)
+
+
 def test_fidelity(spark):
     rows = [("a", 1.0, 1.0), ("a", 0.0, 0.5), ("zero", 1.0, 0.0)]
     got = {r.intent_id: r.fidelity_score for r in intent.fidelity(spark.createDataFrame(rows, "intent_id string, score double, importance double")).collect()}

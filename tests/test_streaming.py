@@ -56,14 +56,41 @@ def test_scan_stream_equals_batch(spark, files, tmp_path):
     assert sorted(got.select(batch.columns).collect()) == sorted(batch.collect())
 
 
+def test_local_modules_of_earlier_batches_are_known(spark, files, tmp_path):
+    src, root = str(tmp_path / "in"), str(tmp_path / "out")
+    packages = spark.createDataFrame([("none", "npm", "none")], "project string, ecosystem string, name string")
+    context = project_context(files({"x": ""}))
+    for i, table in enumerate([{"util.py": "x = 1", "a.py": "import util"}, {"a.py": "import util\nimport nowhere_to_be_found"}]):
+        table = files(table).withColumn("seq", F.lit(i))
+        table.coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(table.schema).parquet(src)
+        jobs.scan_stream(stream, packages, context, root, f"{root}/cp").awaitTermination()
+    found = spark.read.parquet(f"{root}/findings").collect()
+    assert [(r.file, r.line_no, r.batch_id) for r in found] == [("a.py", 2, 1)]
+
+
+def test_gates_do_not_depend_on_the_batch_size(spark, tmp_path):
+    rows = [("p", 1, "major", i % 3) for i in range(5)] + [("p", 2, "critical", 2), ("q", 1, "minor", 0)]
+    issues = spark.createDataFrame(rows, "project string, scan_id int, severity string, part int").withColumn("engine", F.lit("code"))
+    src = str(tmp_path / "in")
+    _parts(issues, src, 3)
+    for n in (1, 3):
+        out = str(tmp_path / f"out{n}")
+        stream = spark.readStream.schema(issues.schema).option("maxFilesPerTrigger", n).parquet(src)
+        jobs.run(jobs.gate_counts(stream), "", f"{out}/cp", "update", jobs.keep_latest(f"{out}/c")).awaitTermination()
+        got = sorted((r.project, r.scan_id, r.total_issues, r.gate) for r in jobs.gate_alerts(spark, f"{out}/c").collect())
+        assert got == [("p", 1, 5, 1), ("p", 2, 1, 2)]
+
+
 def test_dismissal_counts(spark, tmp_path):
     rows = [(i, f"r{i % 4}", None if i % 3 else "p", "why", i % 3) for i in range(60)]
-    events = spark.createDataFrame(rows, "seq long, rule_id string, file_pattern string, reason string, part int").withColumn("ts", F.current_timestamp())
+    events = spark.createDataFrame(rows, "seq long, rule_id string, file_pattern string, reason string, part int")
+    events = events.withColumns({"ts": F.current_timestamp(), "project": F.concat(F.lit("p"), (F.col("seq") % 2).cast("string"))})
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     _parts(events, src, 3)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
     jobs.run(jobs.dismissal_counts(stream), "", f"{out}/cp", "update", jobs.keep_latest(f"{out}/c")).awaitTermination()
-    got = jobs.read_latest(spark, f"{out}/c", "rule_id", "file_pattern")
+    got = jobs.read_latest(spark, f"{out}/c", "project", "rule_id", "file_pattern")
     want = dismissal_state(events).select(got.columns)
     assert sorted(got.collect()) == sorted(want.collect())
 
