@@ -14,7 +14,7 @@ from sievework.llm import texts as tx
 from sievework.sources.stage import staged
 
 #: Latent states; words that are symbols of their own; buckets of all other words; words whose counts travel with the job.
-STATES, OWN, BUCKETS, COMMON = 8, 16_384, 4_096, 262_144
+STATES, OWN, BUCKETS, COMMON = 8, 16_384, 4_096, 131_072
 END = OWN + BUCKETS
 SYMBOLS = END + 1
 #: Passes of Baum-Welch over all training texts, after rounds on a bounded sample that set the start.
@@ -126,9 +126,10 @@ def maximised(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, share: n
 class Lexicon:
     """Symbols and counts of the most frequent words."""
 
-    def __init__(self, words: list[bytes], counts: list[int]):
-        self.words = pa.array(words, pa.large_binary())
-        self.counts = np.array(counts, np.int64)
+    def __init__(self, table: pa.Table):
+        table = table.sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
+        self.words = pa.concat_arrays([c.cast(pa.large_binary()) for c in table["word"].chunks] or [pa.array([], pa.large_binary())])
+        self.counts = table["n"].to_numpy()
 
     def find(self, unique: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Place among the frequent words (-1: none) and symbol of each word."""
@@ -154,6 +155,19 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _common(counts: DataFrame) -> DataFrame:
+    """The most frequent words, at most COMMON: those above the least count for which there are no more."""
+    step = F.floor(F.log2("n") * 32).cast("int")
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()  # 32 rows for each doubling of a count
+    room, least = COMMON, 1 << 30
+    for r in sorted(steps, key=lambda r: -r.step):
+        room -= r.words
+        if room < 0:
+            break
+        least = r.step
+    return counts.where(step >= least)
+
+
 def _encoded(lexicon):
     """Symbols of each text, its known part among frequent words, and its rare words with their counts."""
 
@@ -302,7 +316,7 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     share for all unseen words.  Expected counts are summed over all training texts, whole sequences each, in
     every pass; the forward recursion is exact and scaled, in double precision.
 
-    Counts of the 262,144 most frequent words travel with the job, a fixed bound; each text's other words meet their
+    Counts of the most frequent words, at most 131,072, travel with the job, a fixed bound; each text's other words meet their
     counts in a join.  A null or empty text is the end alone.  A null id counts as an empty text for the
     split.  Repeated rows and ids are texts of their own; an empty table gives no rows; without training texts
     all counts are 0.  Other columns are not read.
@@ -314,8 +328,7 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = words + texts, kinds + (texts > 0)
 
-    common = counts.orderBy(F.desc("n"), "word").limit(COMMON).toPandas()
-    lexicon = spark.sparkContext.broadcast(Lexicon(common["word"].map(bytes).tolist(), common["n"].tolist()))
+    lexicon = spark.sparkContext.broadcast(Lexicon(_common(counts).toArrow()))
     encoded = staged(narrow.mapInArrow(_encoded(lexicon), _ENCODED).withColumn("row", F.monotonically_increasing_id()))
     model = spark.sparkContext.broadcast(_trained(encoded))
 
