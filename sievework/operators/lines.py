@@ -47,7 +47,6 @@ IN_SCRIPT = isin("language", SCRIPT_LANGUAGES)
 # Many predicates in one whole-stage method pass the size up to which the JVM compiles a method,
 # and run several times slower.  A term that whole-stage generation does not take makes Spark
 # generate the filter by itself, in small methods.  The term is false for every line of text.
-SPLIT_ABOVE = 10
 SPLIT = "exists(array(line), x -> x = '\\0')"
 
 
@@ -237,9 +236,7 @@ def line_hits(files: DataFrame, detectors: Sequence[Detector], *keep: str) -> Da
     flags = {
         name: f"CASE WHEN g_{n} THEN {flag} END" for n in needs for name, flag in SIGNALS[n].flags.items()
     }
-    wanted = [f"({f}) IS NOT NULL" for f in flags.values()] + [d.match for d in detectors]
-    if len(wanted) > SPLIT_ABOVE:
-        wanted.append(SPLIT)
+    wanted = [f"({f}) IS NOT NULL" for f in flags.values()] + [d.match for d in detectors] + [SPLIT]
     hits = ", ".join(f"CASE WHEN {d.match} THEN {i} END" for i, d in enumerate(detectors))
     slim = lines.where(either(wanted)).select(
         *FILE, "ext", *keep, "line_no", F.expr(f"array_compact(array({hits})) AS hits"), "line",

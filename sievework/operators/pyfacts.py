@@ -105,8 +105,9 @@ def _facts_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         for project, path, content in zip(batch["project"], batch["path"], batch["content"]):
             try:
                 rows += [(project, path, *fact) for fact in file_facts(content)]
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
-                continue  # a file that cannot be parsed has no facts
+            except (SyntaxError, ValueError, RecursionError) as e:
+                # said, not passed over; no rule looks at this kind
+                rows.append((project, path, -1, "unparsed", type(e).__name__, getattr(e, "lineno", None) or 1, [], None, None, None, 0))
         out = pd.DataFrame(rows, columns=FACT_COLUMNS)
         yield out.astype({"loop": "Int32", "plain_loop": "Int32", "is_data": "boolean"})
 

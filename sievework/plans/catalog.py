@@ -370,7 +370,7 @@ def _(spark, sf):
 
 @query("directory_summary", sql.DIRECTORY_SUMMARY)
 def _(spark, sf):
-    return index.directory_summary(fx.code_files(spark, sf), 20_000).withColumn("chunk", F.md5("chunk"))
+    return index.directory_summary(fx.code_files(spark, sf)).withColumn("chunk", F.md5("chunk"))
 
 
 @query("context_pack", sql.CONTEXT_PACK)
@@ -379,7 +379,7 @@ def _(spark, sf):
     ix = staged(index.file_index(files))
     edges = index.import_edges(ix, files)
     context = project_context(fx.manifests(spark, sf))
-    return index.context_pack(files, ix, edges, context, 12_000).withColumn("text", F.md5("text"))
+    return index.context_pack(files, ix, edges, context).withColumn("text", F.md5("text"))
 
 
 # ---- deep checks ------------------------------------------------------------------------

@@ -490,7 +490,7 @@ FROM T LEFT JOIN CX USING (project) LEFT JOIN S USING (project)"""
 DIRECTORY_SUMMARY = f"""WITH {ALL_LINES},
 K AS (SELECT project, path, chr(10) || '--- ' || path || ' ---' || chr(10) || content || chr(10) AS chunk FROM F WHERE ext <> '.html'),
 R AS (SELECT *, sum(length(chunk)) OVER (PARTITION BY project ORDER BY string_split(path, '/') ROWS UNBOUNDED PRECEDING) AS running FROM K)
-SELECT project, path, CAST(running AS BIGINT) AS running, md5(chunk) AS chunk FROM R WHERE running <= 20000"""
+SELECT project, path, CAST(running AS BIGINT) AS running, md5(chunk) AS chunk FROM R WHERE running <= 50000"""
 CONTEXT_PACK = f"""WITH {ALL_LINES}, {INDEX_CTE}, {PROJECTS}, M AS ({_manifest_rows}), {CONTEXT_CTE},
 T AS (SELECT project, count(*) AS nf, sum(line_count) AS nl, string_agg(DISTINCT language, ', ' ORDER BY language) AS langs FROM IX GROUP BY project),
 HEAD AS (SELECT project, ['PROJECT: ' || project, 'Files: ' || nf || ', Lines: ' || nl, 'Languages: ' || langs,
@@ -514,7 +514,7 @@ TOPF AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY line_count D
 BODY AS (SELECT project, path, rk, '--- ' || path || ' ---' || chr(10) || content || chr(10) AS t FROM TOPF WHERE rk <= 30),
 RUN AS (SELECT *, used + sum(length(t)) OVER (PARTITION BY project ORDER BY rk ROWS UNBOUNDED PRECEDING) AS running FROM BODY JOIN USED USING (project))
 SELECT project, section, name, 0 AS pos, md5(text) AS text FROM FIXED
-UNION ALL SELECT project, 3, path, CAST(rk AS INT), md5(t) FROM RUN WHERE running <= 12000"""
+UNION ALL SELECT project, 3, path, CAST(rk AS INT), md5(t) FROM RUN WHERE running <= 100000"""
 
 # ---- deep checks, each on whole lines
 _script = "language IN ('javascript', 'typescript')"

@@ -8,6 +8,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import SparkSession
+
 try:
     import yaml
 except ImportError:  # JSON rule files still load
@@ -171,6 +175,7 @@ class RuleSet:
 
 def java_regex(regex: str) -> str:
     """Spell the few Python constructs that Java reads differently."""
+    regex = _java_groups(regex)
     out, in_class, i = "", False, 0
     while i < len(regex):
         ch = regex[i]
@@ -178,10 +183,6 @@ def java_regex(regex: str) -> str:
             out += r"\z" if regex[i + 1] == "Z" and not in_class else regex[i : i + 2]
             i += 2
             continue
-        if not in_class and regex.startswith("(?P<", i):
-            out += "(?<"
-            i += 4
-            continue
         if in_class and ch in "[&":
             out += "\\" + ch
         else:
@@ -206,6 +207,30 @@ def wildcard_regex(pattern: str) -> str:
     return r"\S+".join(re.escape(part) for part in re.split(r"\$[A-Z_]+", pattern))
 
 
+def _compiles(rule_id: str, regex: str) -> None:
+    """Raises ValueError if Java, which matches the lines, does not take the pattern (asked where a session runs)."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(java_regex(regex))
+    except (Py4JJavaError, PySparkException) as e:
+        raise ValueError(f"{rule_id}: {e}".split("\n")[0]) from e
+
+
+def _group_name(name: str) -> str:
+    if re.fullmatch("[A-Za-z][A-Za-z0-9]*", name):
+        return name
+    return "g" + re.sub("[^A-Za-z0-9]", lambda m: f"x{ord(m[0]):x}", name)
+
+
+def _java_groups(regex: str) -> str:
+    """Named groups, references to them and open lower bounds as Java writes them."""
+    regex = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{_group_name(m[1])}>", regex)
+    regex = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{_group_name(m[1])}>", regex)
+    return re.sub(r"(?<!\\)\{,(\d+)\}", r"{0,\1}", regex)
+
+
 def check_rule(raw: dict, source: str = "built-in") -> LineRuleSpec:
     """Validate one rule; raises ValueError with the reason it cannot be used."""
     rule_id = raw.get("id", "custom-rule")
@@ -224,6 +249,7 @@ def check_rule(raw: dict, source: str = "built-in") -> LineRuleSpec:
         re.compile(regex)
     except re.error as e:
         raise ValueError(f"{rule_id}: {e}") from e
+    _compiles(rule_id, regex)
     exclude = raw.get("pattern-not") or raw.get("regex-not")
     if exclude:
         try:

@@ -175,3 +175,22 @@ def test_dollar_braces_are_not_session_variables(spark, files):
         assert line_findings(files({"a.js": "`${n}`"}), pack_detectors([rule])).count() == 1
     finally:
         spark.conf.set("spark.sql.variable.substitute", "false")
+
+
+def test_user_rules_are_compiled_by_java(spark, files):
+    """Group names with underscores, open lower bounds and back references match; a broken rule is listed, not fatal."""
+    from sievework.operators.packs import pack_findings
+    from sievework.sources.rules import check_rules
+
+    rules = check_rules(
+        [
+            {"id": "named", "regex": r"(?P<my_name>ab)-(?P=my_name)"},
+            {"id": "open", "regex": r"x{,2}yz"},
+            {"id": "python-only", "regex": r"(?P<a>b)(?(a)c|d)"},
+        ],
+        "user",
+    )
+    assert [r.rule_id for r in rules.rules] == ["named", "open"]
+    assert [s for s, _ in rules.errors] == ["user"]
+    found = pack_findings(files({"a.js": "ab-ab\nab-ac\nxxyz"}), rules.rules).collect()
+    assert sorted((r.rule_id, r.line_no) for r in found) == [("named", 1), ("open", 3)]
