@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.predicates import both, case, group, has, match, text
+from sievework.functions.skew import join_key
 from sievework.functions.text import contains_any, dialect, fixed_point, line_at, suffix
 from sievework.operators.findings import dedupe
 from sievework.operators.index import state_line
@@ -192,6 +193,7 @@ def deep_detectors(parity: bool = False) -> list[Detector]:
 
 
 NEEDS_SERVERLESS = ["serverless-stateful-code", "timeout-exceeds-platform", "recursive-serverless-invocation"]
+NEEDS_CONTEXT = [*NEEDS_SERVERLESS, "missing-filesize-validation", "cors-wildcard-api"]
 
 
 def code_checks(
@@ -208,7 +210,10 @@ def code_checks(
     hits = line_hits(with_file_facts(index_files(files)), detectors, *FILE_FACTS)
     flags = ["is_serverless", "is_web_app", "is_api"]
     dims = context.select(F.col("project").alias("_p"), "deployment", *flags)
-    h = hits.drop(*FILE_FACTS).join(dims, F.col("project") == F.col("_p"), "left")
+    # only some rules look at the context; the other hits get places of their own in the join
+    asked = F.col("det").isin(*[i for i, d in enumerate(detectors) if d.rule.rule_id in NEEDS_CONTEXT])
+    h = hits.drop(*FILE_FACTS).withColumn("_k", join_key("project", asked, "path", "line_no", "det"))
+    h = h.join(dims, F.col("_k") == F.col("_p"), "left").drop("_k")
     h = h.withColumns({f: F.coalesce(f, F.lit(False)) for f in flags})
     ids = [d.rule.rule_id for d in detectors]
 

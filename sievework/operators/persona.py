@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.predicates import both, case, either, group, has, isin, match, text
+from sievework.functions.skew import join_key
 from sievework.functions.text import contains_any, dialect, file_name, fixed_point, has_part
 from sievework.operators.lines import Detector, describe, line_hits
 from sievework.schema import Rule, to_findings, union_all
@@ -346,9 +347,13 @@ def persona_findings(
     detectors = [d for _, d in pairs]
     hits = line_hits(with_file_facts(files), detectors, *FACTS).drop(*FACTS)
     audience = F.element_at(F.array(*[F.lit(a or "") for a, _ in pairs]), F.col("det") + 1)
+    # findings for everyone only pass through the join and must not share a key in it
+    told = hits.withColumn("audience", audience)
+    told = told.withColumn("_who", join_key("project", F.col("audience") != "", "path", "line_no", "det"))
+    people_of = who.withColumnsRenamed({"project": "_project", "audience": "_audience"})
+    on = (F.col("_who") == F.col("_project")) & (F.col("audience") == F.col("_audience"))
     j = (
-        hits.withColumn("audience", audience)
-        .join(who, ["project", "audience"], "left")
+        told.join(people_of, on, "left").drop("_who", "_project", "_audience")
         .where((F.col("audience") == "") | F.col("persona").isNotNull())
     )
     parts = [describe(j, detectors, "persona")]

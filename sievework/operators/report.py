@@ -19,8 +19,13 @@ VERSION = "1.0.0"
 ORDER = ["project", "section", "rank", "file_key", "line_key", "sub"]
 
 
-def json_records(findings: DataFrame, target: Column | None = None) -> DataFrame:
-    """(project, record, body): one summary record per project and one per finding."""
+def json_records(
+    findings: DataFrame, target: Column | None = None, timestamp: str | None = None, duration_ms: int | None = None,
+) -> DataFrame:
+    """(project, record, body): one summary record per project and one per finding.
+
+    ``timestamp`` (ISO text) and ``duration_ms`` of the scan are known to the caller; null ones are left out.
+    """
     s = summary(findings)
     counts = F.struct("total_issues", *SEVERITY_RANK, "engines_run")
     head = s.select(
@@ -28,7 +33,8 @@ def json_records(findings: DataFrame, target: Column | None = None) -> DataFrame
         F.to_json(
             F.struct(
                 F.lit(VERSION).alias("version"), "project",
-                (F.col("project") if target is None else target).alias("target"), counts.alias("summary"),
+                (F.col("project") if target is None else target).alias("target"), F.lit(timestamp).alias("timestamp"),
+                F.lit(duration_ms).cast("long").alias("duration_ms"), counts.alias("summary"),
             )
         ).alias("body"),
     )
@@ -76,18 +82,20 @@ def finding_text() -> Column:
 
 def markdown(
     findings: DataFrame, results: DataFrame | None = None, scores: DataFrame | None = None,
-    heading: str = "Code Report",
+    heading: str = "Code Report", timestamp: str | None = None, duration_ms: int | None = None,
 ) -> DataFrame:
     """Rows (project, section, rank, file_key, line_key, sub, text); sorted by these columns the
     texts of a project are its report.
 
     ``results``: project, idx, description, expect, status, evidence; ``scores``: project,
-    raw_intent, fidelity_score.
+    raw_intent, fidelity_score.  ``timestamp`` and ``duration_ms`` of the scan appear in the head if given.
     """
     s = summary(findings)
+    said = [f"**Date:** {timestamp}"] if timestamp else []
+    said += [f"**Duration:** {duration_ms}ms"] if duration_ms is not None else []
     table = F.concat_ws(
         "\n",
-        F.lit(f"# {heading}"), F.concat(F.lit("**Project:** "), "project"), F.lit(""),
+        F.lit(f"# {heading}"), F.concat(F.lit("**Project:** "), "project"), *[F.lit(x) for x in said], F.lit(""),
         F.lit("## Summary"), F.lit(""), F.lit("| Severity | Count |"), F.lit("|----------|-------|"),
         *[F.concat(F.lit(f"| {name.capitalize()} | "), F.col(name), F.lit(" |")) for name in SEVERITY_RANK],
         F.concat(F.lit("| **Total** | **"), F.col("total_issues"), F.lit("** |")), F.lit(""),
