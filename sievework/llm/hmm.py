@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import texts as tx
+from sievework.llm.sampling import bounded_sample
 from sievework.sources.stage import staged
 
 #: Latent states; words that are symbols of their own; buckets of all other words; words whose counts travel with the job.
@@ -20,7 +21,7 @@ SYMBOLS = END + 1
 #: Passes of Baum-Welch over all training texts, after rounds on a bounded sample that set the start.
 PASSES, SAMPLE_ROUNDS, SAMPLE_TEXTS, SAMPLE_TOKENS = 2, 12, 1_000, 2_000
 #: Tokens whose forward variables are held at a time (a longer text alone).
-HELD = 2_000_000
+HELD = 1_000_000
 #: Weight of the symbols' overall shares in each state's emissions.
 PRIOR = 200.0
 
@@ -144,7 +145,7 @@ def buckets(words: pa.Array) -> np.ndarray:
 
 
 def _counted(batches):
-    for _, texts in tx.parts(batches, limit=8_000_000):
+    for _, texts in tx.parts(batches, limit=4_000_000):
         numbered = tx.words(*tx.raw(texts), lower=True).array().dictionary_encode()
         n = np.bincount(numbered.indices.to_numpy(), minlength=len(numbered.dictionary))
         yield pa.RecordBatch.from_arrays([numbered.dictionary.cast(pa.binary()), pa.array(n.astype(np.int64))], names=["word", "n"])
@@ -174,7 +175,7 @@ def _encoded(lexicon):
     def run(batches):
         lex = lexicon.value
         logs = np.log10(lex.counts + 1.0)
-        for batch, texts in tx.parts(batches, limit=8_000_000):
+        for batch, texts in tx.parts(batches, limit=4_000_000):
             w = tx.words(*tx.raw(texts), lower=True)
             numbered = w.array().dictionary_encode()
             which = numbered.indices.to_numpy()
@@ -250,13 +251,13 @@ def _e_step(model):
     return run
 
 
-def _trained(encoded: DataFrame) -> Model:
+def _trained(encoded: DataFrame, texts: int) -> Model:
     """Baum-Welch over all training texts, from a start found on a bounded sample."""
     spark = encoded.sparkSession
     train = encoded.where(~F.col("held_out"))
     rng = np.random.default_rng(1)
-    sample = train.where(F.col("n_tokens") <= SAMPLE_TOKENS).orderBy(F.xxhash64("symbols"), "symbols").limit(SAMPLE_TEXTS)
-    seqs = [np.frombuffer(r.symbols, "<u2") for r in sample.select("symbols").collect()]
+    sample = bounded_sample(train.where(F.col("n_tokens") <= SAMPLE_TOKENS), "symbols", SAMPLE_TEXTS, texts)
+    seqs = [np.frombuffer(r.symbols, "<u2") for r in sample.collect()]
     share = np.ones(SYMBOLS)
     for s in seqs:
         share += np.bincount(s, minlength=SYMBOLS)
@@ -330,7 +331,7 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     lexicon = spark.sparkContext.broadcast(Lexicon(_common(counts).toArrow()))
     encoded = staged(narrow.mapInArrow(_encoded(lexicon), _ENCODED).withColumn("row", F.monotonically_increasing_id()))
-    model = spark.sparkContext.broadcast(_trained(encoded))
+    model = spark.sparkContext.broadcast(_trained(encoded, texts))
 
     own = lexicon.value.words.slice(0, OWN)
 

@@ -1,4 +1,4 @@
-"""Makes this package importable in the Python workers."""
+"""Prepares a session for the corpus operators."""
 
 from __future__ import annotations
 
@@ -8,11 +8,15 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Rows hold whole documents; a batch sent to Python has at most so many.
+BATCH_ROWS = 2000
+
 _done: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package's source to the job once, so that tasks import it wherever they run."""
+    """Adds the package's source to the job once, so that tasks import it wherever they run, and bounds Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _done:
         return

@@ -17,7 +17,7 @@ from sievework.llm import texts as tx
 
 #: Text bytes whose pieces are looked up together, and how many pieces a worker remembers.
 BATCH_BYTES = 8_000_000
-REMEMBERED = 1_200_000
+REMEMBERED = 400_000
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
