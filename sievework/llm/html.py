@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.boosting import Boosted, fit
+from sievework.llm.sampling import bounded_sample
 
 #: Pages whose paragraphs fill the labelled pages, and how many of these are made.
 SAMPLE_PAGES, LABELLED_PAGES = 300, 600
@@ -356,7 +357,7 @@ def labelled(texts: list[str], pages: int = LABELLED_PAGES) -> tuple[np.ndarray,
 def trained(pages: DataFrame, html_col: str = "html") -> Boosted:
     """Trees fitted to labelled pages whose prose comes from a bounded sample of ``pages``."""
     sample = pages.select(F.col(html_col).alias("html")).where(F.length("html").between(200, 20_000))
-    rows = sample.orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
+    rows = bounded_sample(sample, "html", SAMPLE_PAGES, pages.count()).collect()
     texts = [" ".join(run for node in parse(r.html) for _, run in node.runs) for r in rows]
     return fit(*labelled([t for t in texts if t.count(" ") > 20]))
 
