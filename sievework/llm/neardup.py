@@ -20,8 +20,8 @@ from sievework.sources.stage import staged
 FUNCTIONS, CHUNKS, CHUNK = 64, 9, 6
 #: Bytes kept of a shingle's hash.
 WIDTH = 6
-#: Slots of the tables that travel to every task.
-FILTER = 1 << 18
+#: Slots of the tables that travel to every task: of wanted rows, and of shingle counts.
+FILTER, COUNTED = 1 << 20, 1 << 18
 #: Words of 64 bits that say in which slots a set has an odd number of shingles.
 ODD = 8
 
@@ -213,10 +213,10 @@ def confirmed(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
 
 def _slots(batches):
     """How many shingles of this partition fall into each slot."""
-    total = np.zeros(FILTER, np.int64)
+    total = np.zeros(COUNTED, np.int64)
     for batch in batches:
         for raw in batch.column("shingles"):
-            np.add.at(total, (_unpacked(raw.as_buffer()) % np.uint64(FILTER)).astype(np.int64), 1)
+            np.add.at(total, (_unpacked(raw.as_buffer()) % np.uint64(COUNTED)).astype(np.int64), 1)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "times"])
 
@@ -230,7 +230,7 @@ def _prefixes(times, percent: int):
             out = [[] for _ in range(3 + ODD)]
             for raw in batch.column("shingles"):
                 x = _unpacked(raw.as_buffer())
-                x = x[np.lexsort((x, common[(x % np.uint64(FILTER)).astype(np.int64)]))]
+                x = x[np.lexsort((x, common[(x % np.uint64(COUNTED)).astype(np.int64)]))]
                 n = len(x) + (percent * len(x)) // -100 + 1  # size - ceil(percent of it) + 1
                 odd = np.bincount(((x >> np.uint64(20)) % np.uint64(64 * ODD)).astype(np.int64), minlength=64 * ODD) & 1
                 odd = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
@@ -256,12 +256,12 @@ def _apart(open_rows: DataFrame, profile: DataFrame, like: Similarity) -> DataFr
     share follows how large their intersection can be at most.  In as many of 512 slots as the counts of two sets differ in
     being odd, so many shingles at least are in one set only.  So copies that have each been
     altered in their own way, and are as far from each other as they are many, do not meet.  The order is by counts in
-    FILTER slots, a table of fixed size; any order gives exact results.
+    COUNTED slots, a table of fixed size; any order gives exact results.
     """
     spark = profile.sparkSession
     sets = staged(_sets_of(open_rows, profile).join(open_rows, "row").select("row", "shingles"))
     counts = sets.select("shingles").mapInArrow(_slots, "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
-    times = np.zeros(FILTER, np.int64)
+    times = np.zeros(COUNTED, np.int64)
     times[counts["slot"].to_numpy()] = counts["times"].to_numpy()
     del counts
     kinds = "row long, shingle long, place long, n long, " + ", ".join(f"{c} long" for c in _odd())
