@@ -156,6 +156,24 @@ def test_leaks_of_the_tables_like_shared_runs_of_words(spark):
     assert {r.doc_id for r in decontaminate.leaks(docs, bench).collect()} == want
 
 
+def test_leak_of_a_passage_that_a_third_of_the_documents_share(spark, table):
+    sf = "/root/testdata/sf0.01"
+    texts = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").where("item_id = 0")
+    passage, docs, want = bench.first().text.split(), [], []
+    for i, (_, text) in enumerate(texts[:600]):
+        words = (text or "").split()[:200]
+        if i % 3 == 0:
+            at = len(words) * (i % 7) // 6
+            words[at:at] = passage
+            want.append(i)
+        docs.append((i, " ".join(words)))
+    docs = table(DOCS, docs).repartition(4).cache()
+    found = {r.doc_id for r in decontaminate.leaks(docs, bench).collect()}
+    assert found >= set(want) and len(found) <= len(want) + 2
+    assert decontaminate.drop_leaked(docs, bench).count() == 600 - len(found)
+
+
 def test_common_subsequence():
     rng = random.Random(4)
     for _ in range(50):
