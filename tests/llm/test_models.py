@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from conftest_llm import DOCS, LONG, ODD
 
 from sievework.llm import boosting, decontaminate, hmm, html, urls
@@ -174,6 +175,29 @@ def test_leak_of_a_passage_that_a_third_of_the_documents_share(spark, table):
     assert decontaminate.drop_leaked(docs, bench).count() == 600 - len(found)
 
 
+def test_leaks_of_short_and_long_items(spark, table):
+    """Copies of items of any length are found in prose, scattered words of a short one are not."""
+    sf = "/root/testdata/sf0.01"
+    texts = [r.text.split() for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect() if r.text]
+    pool = [t for t in texts if len(t) > 700]
+    for n in (6, 10, 12, 500):
+        items = [(k, " ".join(pool[k][k * 7 : k * 7 + n])) for k in range(20)]
+        docs = []
+        for i in range(120):
+            words = texts[500 + i][:400]
+            at = len(words) * (i % 11) // 10
+            docs.append((i, " ".join([*words[:at], *items[i % 20][1].split(), *words[at:]])))
+        found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(table(DOCS, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+        assert found >= {(i, i % 20) for i in range(120)}
+    short = [(0, "Who wrote it?"), (1, "Name the oldest river of all")]
+    apart = " ".join(f"{w} " + " ".join(f"f{j}{k}" for k in range(7)) for j, w in enumerate("who wrote it? name the oldest river of all".split()))
+    items = decontaminate._items([{"item_id": i, "text": t} for i, t in short])
+    shared = decontaminate.Shared(items, np.zeros(decontaminate.TERMS, np.int64))
+    look = lambda text: {w[1] for w in shared.windows(decontaminate.Cut.of(pa.array([text.encode()], pa.large_binary())))}
+    assert look(apart) == set()
+    assert look(f"{apart} who wrote it? and name the oldest river of all") == {0, 1}
+
+
 def test_common_subsequence():
     rng = random.Random(4)
     for _ in range(50):
