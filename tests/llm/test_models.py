@@ -198,6 +198,17 @@ def test_leaks_of_short_and_long_items(spark, table):
     assert look(f"{apart} who wrote it? and name the oldest river of all") == {0, 1}
 
 
+def test_bad_bytes_leave_the_case_of_their_neighbours_alone(spark, table):
+    texts = ["ÀB Σ".encode(), b"Ab \xff\xc3 \xc3\x89C\xe2\x82", b"", b"PLAIN"]
+    got = decontaminate.lowered(pa.array(texts, pa.large_binary())).to_pylist()
+    assert got == ["àb σ".encode(), b"ab \xff\xc3 \xc3\xa9c\xe2\x82", b"", b"plain"]
+    item = "Which old bridge crossed the slow river behind the town hall? The narrow stone one."
+    rows = [(1, item.upper()), *((i, f"some other words of text {i} stand here") for i in range(2, 20))]
+    docs = table(DOCS, rows).selectExpr("doc_id", "if(doc_id = 9, cast(X'41FF42C3' AS string), text) AS text").coalesce(1)
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.leaks(docs, bench).collect()] == [1]
+
+
 def test_common_subsequence():
     rng = random.Random(4)
     for _ in range(50):
