@@ -27,7 +27,7 @@ AGREE = 1.5
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 OPAQUE = {
     "script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "textarea", "select",
-    "option", "button", "title", "map",
+    "option", "datalist", "button", "title", "map",
 }
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
 INLINE = {
@@ -60,15 +60,60 @@ class Node:
     link_chars: int = 0
 
 
+def _tags(page: str):
+    """(start, end, match, tag, whether it ends an element) of every tag; the content of raw elements belongs to their start tag."""
+    pos = 0
+    while (m := _TOKEN.search(page, pos)) is not None:
+        pos = m.end()
+        tag, end = (m.group(2) or "").lower(), bool(m.group(1))
+        if tag in RAW and not end and not m.group(3).endswith("/"):
+            stop = re.compile(rf"</{tag}[\s/>]", re.I).search(page, pos)
+            pos = len(page) if stop is None else page.find(">", stop.start()) + 1 or len(page)
+        yield m.start(), pos, m, tag, end
+
+
+def _closed(tags) -> dict[int, int]:
+    """Where each opaque element ends that has an end tag of its own, by its start.
+
+    It has none if an element around it ends first or the page does, or if a further button or option starts in it.
+    """
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+
+    def pop_to(tag: str) -> int:
+        while True:
+            top, start = stack.pop()
+            count[top] -= 1
+            if top == tag:
+                return start
+
+    for start, stop, m, tag, end in tags:
+        if not tag or tag in VOID or tag in RAW or tag in INLINE:
+            continue
+        if end:
+            if count.get(tag):
+                begun = pop_to(tag)
+                if tag in OPAQUE:
+                    out[begun] = stop
+        elif not m.group(3).endswith("/") or tag not in OPAQUE:
+            if tag in ("button", "option") and count.get(tag):
+                pop_to(tag)
+            stack.append((tag, start))
+            count[tag] = count.get(tag, 0) + 1
+    return out
+
+
 def parse(page: str) -> list[Node]:
     """The block elements of a page, parents first, with the text that stands directly in each.
 
     Inline elements are part of the text around them; a line break is white space; scripts, styles and other
     elements without readable text are left out.  Tags that are missing or out of place are
-    repaired as far as the text needs it: a new paragraph ends the last, an end tag closes what is open inside.
+    repaired as far as the text needs it: a new paragraph ends the last, an end tag closes what is open inside,
+    and of a button or the like without its end tag the text up to the next block is left out.
     """
     nodes = [Node("html", -1, 0)]
-    open_, order, links, opaque = [0], 0, 0, []
+    open_, order, links, label = [0], 0, 0, False
     text: list[str] = []
 
     def flush():
@@ -82,47 +127,45 @@ def parse(page: str) -> list[Node]:
                 order += 1
 
     def say(part: str):
-        if part and not opaque:
+        if part and not label:
             text.append(part)
             if links:
                 nodes[open_[-1]].link_chars += len(part)
 
+    tags = list(_tags(page))
+    closed = _closed(tags) if any(t[3] in OPAQUE and t[3] not in RAW for t in tags) else {}
     pos = 0
-    while True:
-        m = _TOKEN.search(page, pos)
-        if m is None:
-            say(page[pos:])
-            break
-        say(page[pos : m.start()])
-        pos = m.end()
-        tag = (m.group(2) or "").lower()
+    for start, stop, m, tag, end in tags:
+        if start < pos:
+            continue
+        say(page[pos:start])
+        pos = stop
         if not tag:
             continue
         if tag == "br":
             say(" ")
             continue
-        end = bool(m.group(1))
         if tag in OPAQUE:
-            if end:
-                if tag in opaque:
-                    del opaque[opaque.index(tag) :]
-            elif not m.group(3).endswith("/"):
-                if tag in RAW:
-                    stop = re.compile(rf"</{tag}[\s/>]", re.I).search(page, pos)
-                    pos = len(page) if stop is None else page.find(">", stop.start()) + 1 or len(page)
-                else:
-                    opaque.append(tag)
+            if start in closed:
+                pos = closed[start]
+            elif end:
+                label = False
+            elif tag not in RAW and not m.group(3).endswith("/"):
+                say(" ")
+                label = True
             say(" ")
             continue
-        if opaque or tag in VOID:
-            if tag == "hr" and not opaque:
+        if tag in VOID:
+            if tag == "hr":
                 flush()
+                label = False
             continue
         if tag in INLINE:
             if tag == "a":
                 links = 0 if end else 1
             continue
         flush()
+        label = False
         if end:
             for k in range(len(open_) - 1, 0, -1):
                 if nodes[open_[k]].tag == tag:
@@ -143,6 +186,7 @@ def parse(page: str) -> list[Node]:
                 node.tokens += _NAME.findall((a.group(2) or a.group(3) or a.group(4) or "").lower())
         nodes.append(node)
         open_.append(len(nodes) - 1)
+    say(page[pos:])
     flush()
     return nodes
 

@@ -257,6 +257,33 @@ def test_pages_keep_the_article_only(table):
     assert html.main_texts(table("page_id long, url string, html string", [])).count() == 0
 
 
+def test_elements_without_end_tag_do_not_swallow_the_page():
+    words = lambda page: " ".join(run for node in html.parse(page) for _, run in node.runs)
+    after = "<article><h1>Title</h1><p>The river rose.</p></article>"
+    left = "Title The river rose."
+    for before in (
+        "<form><input list=x><datalist id=x><option value=a><option value=b>B</datalist></form>",
+        "<datalist id=x><option value=a>A",
+        "<option value=a>A<option value=b>B",
+        "<div><select><option>A<option>B</div>",
+        "<div><button>Menu</div>",
+        "<button>Menu",
+        "<button>Menu <b>now</b>",
+        "<div><button>Menu<svg><path/></div>",
+        "<div><object data=x>No<video src=y>No</div>",
+        "<svg><g><path d=z>",
+        "<button><p>Menu</p><h3>Open</h3></button>",
+        "<div><object>No<object><p>no</p></object><p>no</p></object></div>",
+        "<svg/><button/>",
+    ):
+        assert words(f"<html><body>{before}{after}</body></html>") == left, before
+    assert words(f"<body><div><button><div>Menu</div></div>{after}") == f"Menu {left}"
+    assert words(f"<body><button>Menu{after}<p>See <button>Share</button> it.</p>") == f"{left} See it."
+    assert words("<p>See <svg><title>t</title><text>no</text></svg>it") == "See it"
+    many = "<svg><button><object>" * 20_000
+    assert words(f"<body>{many}{after}") == left
+
+
 def test_written_pages_held_out():
     """Blocks of pages that the trees have not seen are told apart, and no choice contradicts an ancestor's."""
     model = boosting.fit(*html.labelled([], 250))
