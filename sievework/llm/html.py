@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-import zlib
 from dataclasses import dataclass, field
 from random import Random
 
@@ -18,8 +17,6 @@ from sievework.llm.sampling import bounded_sample
 
 #: Pages whose paragraphs fill the labelled pages, and how many of these are made.
 SAMPLE_PAGES, LABELLED_PAGES = 300, 600
-#: Hashed attribute tokens, of the node and of those around it.
-TOKENS = 192
 #: What a node gains, in log-odds, by being what the container around it is.
 AGREE = 1.5
 
@@ -191,12 +188,7 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
-def _bucket(token: str) -> int:
-    return zlib.crc32(token.encode()) % TOKENS
-
-
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
-WIDTH = len(TAGS) + 1 + 2 * TOKENS + 18
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -224,10 +216,11 @@ def features(nodes: list[Node]) -> np.ndarray:
     for i, node in enumerate(nodes):
         x[i, _TAG_AT.get(node.tag, len(TAGS))] = 1
         for t in node.tokens:
-            x[i, base + _bucket(t)] = 1
+            if t in _NAME_AT:
+                x[i, base + _NAME_AT[t]] = 1
         p = node.parent
         if p >= 0:
-            x[i, base + TOKENS : base + 2 * TOKENS] = np.maximum(x[p, base : base + TOKENS], x[p, base + TOKENS : base + 2 * TOKENS])
+            x[i, base + NAMES : base + 2 * NAMES] = np.maximum(x[p, base : base + NAMES], x[p, base + NAMES : base + 2 * NAMES])
             same[p, node.tag] = same.get((p, node.tag), 0) + 1
             place[i] = seen[p]
             seen[p] += 1
@@ -235,7 +228,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     page = max(chars[0], 1)
     for i, node in enumerate(nodes):
         p = max(node.parent, 0)
-        x[i, base + 2 * TOKENS :] = (
+        x[i, base + 2 * NAMES :] = (
             node.depth, np.log1p(chars[i]), np.log1p(own[i]), links[i] / max(chars[i], 1), stops[i] / max(words[i], 1),
             chars[i] / size[i], words[i] / max(blocks[i], 1), chars[i] / page, np.log1p(size[i]), kids[i], kids[p],
             place[i] / max(kids[p], 1), same.get((node.parent, node.tag), 1) / max(kids[p], 1), chars[i] / max(longest[p], 1),
@@ -287,6 +280,11 @@ PARTS = {
     "comments": ("comments", "comment", "replies", "discussion", "disqus", "responses", "comment-list", "reader-comments"),
     "share": ("share", "social", "tags", "meta", "byline", "author-box", "tools", "share-buttons"),
 }
+WRAPPERS = ("wrapper", "container", "content")
+#: A column for each word of these names, of the node and of those around it; a word that the labelled pages lack says nothing.
+_NAME_AT = {t: i for i, t in enumerate(sorted({t for name in (*CONTENT, *WRAPPERS, "item", *(n for kind in PARTS.values() for n in kind)) for t in _NAME.findall(name)}))}
+NAMES = len(_NAME_AT)
+WIDTH = len(TAGS) + 1 + 2 * NAMES + 18
 FILLER = (
     "the house stood near a quiet river and people came to see it in summer while others stayed at home and read about the old town "
     "its market its school and its long history of trade with the north and the south"
@@ -370,7 +368,7 @@ class _Writer:
         else:
             inner = self.element("section", inner, True, rng.choice((*CONTENT, "")))
         if rng.random() < 0.3:
-            inner = self.element(rng.choice(("div", "main")), inner, True, rng.choice(("", "wrapper", "container", "content")))
+            inner = self.element(rng.choice(("div", "main")), inner, True, rng.choice(("", *WRAPPERS)))
         return inner
 
     def page(self) -> str:

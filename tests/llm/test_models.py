@@ -284,6 +284,23 @@ def test_elements_without_end_tag_do_not_swallow_the_page():
     assert words(f"<body>{many}{after}") == left
 
 
+def test_names_that_the_trees_have_not_seen_say_nothing():
+    """An article's blocks are judged the same under any unknown class, and known names do not share a column."""
+    prose = "The river rose in the night and the town was quietly waiting for news of it. " * 3
+    rows = {}
+    for name in ("qzqz", "intro", "single", "rich", "primary", "news", "hentry", "chapter", "lede"):
+        rows[name] = html.features(html.parse(f"<body><div class='{name}'><h1>Title</h1><p class='{name}'>{prose}</p></div></body>"))
+        assert (rows[name] == rows["qzqz"]).all(), name
+    at = lambda name: html.features(html.parse(f"<body><div class='{name}'><p>{prose}</p></div></body>")).tobytes()
+    known = [re.split("[^a-z]", n) for n in (*html.CONTENT, *(n for kind in html.PARTS.values() for n in kind))]
+    known = {w for ws in known for w in ws}
+    assert len({at(w) for w in known}) == len(known)
+    model = boosting.fit(*html.labelled([], 250))
+    page = f"<body><div class='menu'><a href=x>Menu</a></div><div class='intro single'><h1>Title</h1><p class='news'>{prose}</p></div></body>"
+    nodes = html.parse(page)
+    assert prose.strip() in html.main_text(nodes, html.decode(nodes, model(html.features(nodes))))
+
+
 def test_written_pages_held_out():
     """Blocks of pages that the trees have not seen are told apart, and no choice contradicts an ancestor's."""
     model = boosting.fit(*html.labelled([], 250))
