@@ -102,15 +102,29 @@ _PROFILE = "doc_id long, file string, line long, n_shingles long, node binary, s
 
 
 def with_place(docs: DataFrame) -> DataFrame:
-    """``docs`` with the file and row each comes from, which name a row whatever its columns hold."""
+    """``docs`` with the file and row each comes from, which name a row whatever its columns hold.
+
+    They are the last two columns, under names that no column has.
+    """
     try:
-        return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_line"))
+        return _placed(docs)
     except AnalysisException:  # not read from Parquet files: write it, then read it
-        return with_place(staged(docs))
+        return _placed(staged(docs))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in ("_file", "_line"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    place = docs.metadataColumn("_metadata")  # the reader's, also beside a column of that name
+    return docs.select("*", place["file_path"].alias(names[0]), place["row_index"].alias(names[1]))
 
 
 def profiles(placed: DataFrame, like: Similarity, id_col: str, text_col: str) -> DataFrame:
-    narrow = placed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col("_file").alias("file"), F.col("_line").alias("line"))
+    file, line = placed.columns[-2:]
+    narrow = placed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(file).alias("file"), F.col(line).alias("line"))
     return staged(narrow.mapInArrow(_profiles(like.width), _PROFILE).withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -349,5 +363,6 @@ def _grouped(placed: DataFrame, like: Similarity, id_col: str, text_col: str) ->
 def drop_near_duplicates(docs: DataFrame, like: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, its columns as they are."""
     placed = with_place(docs)
-    gone = _grouped(placed, like, id_col, text_col).where(~F.col("chosen")).select(F.col("file").alias("_file"), F.col("line").alias("_line"))
-    return placed.join(gone, ["_file", "_line"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    file, line = placed.columns[-2:]
+    gone = _grouped(placed, like, id_col, text_col).where(~F.col("chosen")).select(F.col("file").alias(file), F.col("line").alias(line))
+    return placed.join(gone, [file, line], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

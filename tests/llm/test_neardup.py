@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 from conftest_llm import DOCS, LONG, ODD
+from pyspark.sql import functions as F
 
 from sievework.llm import neardup as nd
 from sievework.llm.components import connected
@@ -86,6 +87,19 @@ def test_odd_rows(table, spark):
     assert nd.drop_near_duplicates(table(DOCS, [])).count() == 0
 
 
+def test_columns_named_like_the_place_of_a_row(spark, tmp_path):
+    """Columns _file, _line and _metadata pass through, from memory and from Parquet files."""
+    schema = "doc_id long, text string, _file string, _LINE long, _metadata struct<file_path: string, row_index: long>"
+    rows = [(i, f"the same five words {i // 2} stand in here", "f", 1, ("p", 1)) for i in range(10)]
+    df = spark.createDataFrame(rows, schema)
+    df.write.parquet(str(tmp_path / "docs"))
+    plain = df.withColumn("_metadata", F.lit("x"))
+    for docs in (df, plain, spark.read.parquet(str(tmp_path / "docs"))):
+        kept = nd.drop_near_duplicates(docs, nd.Similarity(3, 85))
+        assert kept.schema.names == docs.schema.names
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 6, 8]
+
+
 def test_hot_group_of_edits_costs_few_pairs(spark):
     """Copies edited each in its own way stay apart without being paired with each other."""
     rng = random.Random(1)
