@@ -14,6 +14,7 @@ from sievework.llm.hmm import hmm_scores
 from sievework.llm.html import main_texts
 from sievework.llm.idfiles import encoded_documents
 from sievework.llm.lengths import encoded_lengths, histogram
+from sievework.llm.middle import fill_in_middle, restored
 from sievework.llm.neardup import Similarity, near_duplicates
 from sievework.llm.packing import packed_documents
 from sievework.llm.quality import BASE_RULES, POLICIES, Policy, ablations, fails, judge, ledger
@@ -101,3 +102,12 @@ def _(spark, sf):
 @query("op4_mixed_range_coder")
 def _(spark, sf):
     return encoded_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op11_fill_in_middle", sql.FILL_IN_MIDDLE)
+def _(spark, sf):
+    made = fill_in_middle(table(spark, sf, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored(F.col("form"), F.col("output")).cast("binary"), 256).alias("restored_sha256"),
+    )
