@@ -97,3 +97,23 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
        sha256(t) AS restored_sha256
 FROM pieces
 """
+
+REPEATED_PHRASES = rf"""
+WITH worded AS (
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents
+),
+windows AS (
+  SELECT row_no, doc_id, unnest(range(1, len(ws) - 48)) AS i, unnest([md5(array_to_string(ws[j:j + 49], ' ')) FOR j IN range(1, len(ws) - 48)]) AS win
+  FROM worded WHERE len(ws) >= 50
+),
+firsts AS (SELECT win, min(doc_id) AS owner FROM windows GROUP BY win),
+gone AS (
+  SELECT DISTINCT row_no, i + k AS i
+  FROM windows JOIN firsts USING (win), (SELECT unnest(range(50)) AS k) WHERE owner < doc_id
+),
+lost AS (SELECT row_no, list(i) AS places FROM gone GROUP BY row_no)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN places IS NULL THEN ws WHEN len(places) = len(ws) THEN []
+         ELSE list_where(ws, [NOT list_contains(places, j) FOR j IN range(1, len(ws) + 1)]) END, ' ')) AS kept_sha256
+FROM worded LEFT JOIN lost USING (row_no)
+"""

@@ -17,6 +17,7 @@ from sievework.llm.lengths import encoded_lengths, histogram
 from sievework.llm.middle import fill_in_middle, restored
 from sievework.llm.neardup import Similarity, near_duplicates
 from sievework.llm.packing import packed_documents
+from sievework.llm.passages import repeated_passages
 from sievework.llm.quality import BASE_RULES, POLICIES, Policy, ablations, fails, judge, ledger
 from sievework.llm.sharding import byte_shards
 from sievework.llm.ship import ship
@@ -111,3 +112,8 @@ def _(spark, sf):
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
         F.sha2(restored(F.col("form"), F.col("output")).cast("binary"), 256).alias("restored_sha256"),
     )
+
+
+@query("op12_repeated_phrases", sql.REPEATED_PHRASES)
+def _(spark, sf):
+    return repeated_passages(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
