@@ -117,3 +117,43 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n
          ELSE list_where(ws, [NOT list_contains(places, j) FOR j IN range(1, len(ws) + 1)]) END, ' ')) AS kept_sha256
 FROM worded LEFT JOIN lost USING (row_no)
 """
+
+#: crc32 of the id's decimal digits, bit by bit: a digit's code is mixed in, then eight shifts (-1) follow.
+_CRC32 = """xor(4294967295::BIGINT, list_reduce(
+    [4294967295::BIGINT] || flatten([[ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(conv_id::VARCHAR, '')]),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+
+PREFIX_TRIE = f"""
+WITH numbered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (SELECT DISTINCT conv_id FROM numbered),
+cuts AS (SELECT conv_id AS c, conv_id - conv_id % 100 AS src, {_CRC32} % 6 AS h FROM convs),
+joined AS (
+  SELECT c, 0 AS own, i, role, text FROM cuts JOIN numbered ON numbered.conv_id = src WHERE i <= h
+  UNION ALL SELECT c, 1, i, role, text FROM cuts JOIN numbered ON numbered.conv_id = c WHERE i > h
+),
+turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d, md5(role || chr(1) || text) AS k, length(text) AS n FROM joined),
+starts AS (
+  SELECT c, 0 AS d, 0 AS n, '' AS p FROM cuts
+  UNION ALL SELECT c, d, n, array_to_string(list(k) OVER (PARTITION BY c ORDER BY d), '') FROM turns
+),
+lens AS (SELECT c, max(d) AS len FROM starts GROUP BY c),
+nodes AS (
+  SELECT p, min(c) AS conv_id, any_value(d) AS depth, any_value(n) AS n, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CASE WHEN d = len THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends
+  FROM starts JOIN lens USING (c) GROUP BY p
+),
+family AS (SELECT p, left(p, greatest(length(p) - 32, 0)) AS up, depth FROM nodes),
+kids AS (SELECT up, count(*) AS k FROM family WHERE depth > 0 GROUP BY up),
+full_nodes AS (SELECT nodes.*, coalesce(k, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.up = nodes.p),
+under AS (
+  SELECT left(x.p, 32 * s.s) AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * n) AS saved
+  FROM full_nodes x, LATERAL (SELECT unnest(range(depth + 1)) AS s) s GROUP BY 1
+)
+SELECT x.conv_id, x.depth::BIGINT AS depth, CASE WHEN x.depth > 0 THEN a.conv_id END AS parent_conv_id, x.n_convs, x.n_children, n_leaves,
+       saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM full_nodes x JOIN under USING (p) JOIN family f ON f.p = x.p JOIN nodes a ON a.p = f.up
+"""

@@ -18,6 +18,7 @@ from sievework.llm.middle import fill_in_middle, restored
 from sievework.llm.neardup import Similarity, near_duplicates
 from sievework.llm.packing import packed_documents
 from sievework.llm.passages import repeated_passages
+from sievework.llm.prefixes import prefix_trie, sequences, with_shared_starts
 from sievework.llm.quality import BASE_RULES, POLICIES, Policy, ablations, fails, judge, ledger
 from sievework.llm.sharding import byte_shards
 from sievework.llm.ship import ship
@@ -117,3 +118,8 @@ def _(spark, sf):
 @query("op12_repeated_phrases", sql.REPEATED_PHRASES)
 def _(spark, sf):
     return repeated_passages(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op13_prefix_trie", sql.PREFIX_TRIE)
+def _(spark, sf):
+    return prefix_trie(with_shared_starts(sequences(table(spark, sf, "conversations"))))
