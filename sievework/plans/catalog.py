@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sievework.operators import findings as fnd
-from sievework.operators import deep, external, fixes, history, imports, index, intent, journeys, persona, report
+from sievework.operators import deep, external, fixes, history, imports, index, intent, journeys, persona, report, ruletable
 from sievework.operators.context import adjust_severity, project_context, project_languages
 from sievework.operators.lines import line_findings, line_signals
 from sievework.operators.loops import loop_detectors, loop_findings
@@ -87,6 +87,15 @@ def _(spark, sf):
     )
 
 
+@query("large_rule_table", sql.LARGE_RULE_TABLE)
+def _(spark, sf):
+    """Five rules of every document against the lines of all of them."""
+    rules = ruletable.rule_table(fx.user_rules(spark, sf))
+    return ruletable.table_findings(fx.code_files(spark, sf), rules).select(
+        "project", "file", "line_no", "rule_id", "severity", "category", "title", "evidence"
+    )
+
+
 # ---- imports and Python structure -------------------------------------------------------
 
 

@@ -196,6 +196,41 @@ def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_table(own.unionByName(common))
 
 
+#: Rules that each document gives, and what tells them apart: (languages, files, severity).
+RULE_KINDS = [
+    (None, None, "error"), (["python"], None, "warning"), (["javascript", "typescript"], None, "minor"),
+    (None, ["src/*/api/*"], "info"), (None, None, "major"),
+]
+
+
+def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules as users write them, five per document: two neighbouring words of each fifth of its text.
+
+    The last one leaves out lines with the text's first word.  Documents with too few words give fewer.
+    """
+    words = F.filter(F.split("text", r"[ \t\r\n]+"), lambda w: w != "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
+    n = F.size("words")
+
+    def word(at: Column) -> Column:
+        return F.regexp_replace(F.try_element_at("words", at), r"([!-/:-@\[-`{-~])", r"\\$1")
+
+    def rule(j: int) -> Column:
+        at = (F.floor(n * j / 5) + 1).cast("int")
+        languages, files, severity = RULE_KINDS[j]
+        return F.struct(
+            (F.col("doc_id") * 5 + j).alias("rule_no"),
+            F.concat(F.lit("pair-"), F.col("doc_id").cast("string"), F.lit(f"-{j}")).alias("id"),
+            F.concat(F.lit(r"(?:^|[ \t])"), word(at), F.lit(r"[ \t]+"), word(at + 1), F.lit(r"(?:[ \t]|$)")).alias("regex"),
+            (word(F.lit(1)) if j == 4 else F.lit(None).cast("string")).alias("regex-not"),
+            F.lit(languages).cast("array<string>").alias("languages"), F.lit(files).cast("array<string>").alias("files"),
+            F.lit(severity).alias("severity"), F.lit("style").alias("category"),
+        )
+
+    each = docs.select(F.explode(F.array(*[rule(j) for j in range(5)])).alias("r")).select("r.*")
+    return each.where(F.col("regex").isNotNull())
+
+
 def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Installed script packages: a plain and a scoped one per document."""
     docs = table(spark, sf_dir, "documents")

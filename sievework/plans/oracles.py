@@ -11,7 +11,7 @@ from sievework.operators.index import (
     PY_STATE, PY_STATE_SKIP,
 )
 from sievework.operators.lines import GUARD, LOOP_OPEN
-from sievework.plans.fixtures import MANIFESTS, SLOTS, SNIPPETS, STYLES, TEMPLATES
+from sievework.plans.fixtures import MANIFESTS, RULE_KINDS, SLOTS, SNIPPETS, STYLES, TEMPLATES
 from sievework.sources.rules import BUILT_IN, LANGUAGE_EXTS
 
 
@@ -344,6 +344,34 @@ UNCHANGED = f"""WITH a AS ({_TEXT_FILES}), b AS ({_STATE})
 SELECT project, path FROM a JOIN b USING (project, path) WHERE a.md5 = b.md5"""
 CHANGED = f"""WITH {ALL_LINES}
 SELECT project, path FROM F WHERE doc_id % 3 = 0 AND doc_id % 7 <> 1"""
+_SEVERITY = {"error": "critical", "warning": "major"}
+_KINDS = ", ".join(
+    f"({j}, {'NULL' if not langs else '[' + ', '.join(q(e) for x in langs for e in LANGUAGE_EXTS[x]) + ']'}, "
+    f"{q(_SEVERITY.get(severity, severity))}, {str(bool(globs)).lower()})"
+    for j, (langs, globs, severity) in enumerate(RULE_KINDS)
+)
+#: Neighbouring words of rules and of lines meet by equality.
+LARGE_RULE_TABLE = f"""
+WITH {LINES}
+kinds AS (SELECT * FROM (VALUES {_KINDS}) v(j, exts, severity, in_api)),
+texts AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda w: w <> '') AS ws FROM documents),
+rules AS (
+  SELECT 'pair-' || doc_id || '-' || j AS rule_id, kinds.*, ws[len(ws) * j // 5 + 1] AS a, ws[len(ws) * j // 5 + 2] AS b,
+         CASE WHEN j = 4 THEN ws[1] END AS unless
+  FROM texts, kinds WHERE ws[len(ws) * j // 5 + 2] IS NOT NULL
+),
+tokens AS (
+  SELECT project, path, ext, line_no, line, unnest(string_split_regex(line, '[ \\t]+')) AS a,
+         unnest(string_split_regex(line, '[ \\t]+')[2:]) AS b
+  FROM L0 WHERE ext <> '.html'
+),
+pairs AS (SELECT DISTINCT * FROM tokens WHERE b IS NOT NULL)
+SELECT project, path AS file, line_no, rule_id, severity, 'style' AS category, rule_id AS title, left({STRIP}, 200) AS evidence
+FROM pairs JOIN rules USING (a, b)
+WHERE (exts IS NULL OR list_contains(exts, ext)) AND (NOT in_api OR regexp_full_match(path, 'src/.*/api/.*'))
+  AND (unless IS NULL OR NOT contains(line, unless))
+"""
+
 CHANGES = f"""SELECT source AS project, {PATH} AS path,
   CASE doc_id % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'D' WHEN 2 THEN 'R' ELSE 'M' END AS status,
   CASE WHEN doc_id % 7 = 2 THEN 'old/f' || doc_id END AS old_path

@@ -165,6 +165,7 @@ class LineRuleSpec:
     confidence: float = 0.8
     hints: tuple[str, ...] = ()
     source: str = "built-in"
+    python: str = ""  # the regex as the rule has it
 
 
 @dataclass
@@ -275,6 +276,7 @@ def check_rule(raw: dict, source: str = "built-in") -> LineRuleSpec:
         confidence=float(raw.get("confidence", 0.8)),
         hints=tuple(raw.get("hints") or ()),
         source=source,
+        python=regex,
     )
 
 
