@@ -51,12 +51,8 @@ UNKNOWN = Rule("hallucinated-import", "critical", "import", 0.9, "code", "Halluc
                "Nothing installed or local has this name.", "Check the name, then install it or drop the import.")
 
 
-def local_entries(files: DataFrame) -> DataFrame:
-    """(project, dir, name): importable things by directory — sub-directories and .py files.
-
-    Each path gives its module and the directories on its way, in one pass over the paths;
-    the copies collapse before the shuffle.
-    """
+def path_entries(files: DataFrame, *keep: str) -> DataFrame:
+    """(project, dir, name, keep…): what each path makes importable, its module and the directories on its way."""
     path = F.col("path")
     parts = path_parts(path)
     module = F.when(
@@ -71,7 +67,15 @@ def local_entries(files: DataFrame) -> DataFrame:
         lambda part, i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("dir"), part.alias("name")),
     )
     every = F.concat(F.array_compact(F.array(module)), folders)
-    return files.select("project", F.explode(every).alias("e")).select("project", "e.dir", "e.name").distinct()
+    return files.select("project", *keep, F.explode(every).alias("e")).select("project", "e.dir", "e.name", *keep)
+
+
+def local_entries(files: DataFrame) -> DataFrame:
+    """(project, dir, name): importable things by directory — sub-directories and .py files.
+
+    One pass over the paths; the copies collapse before the shuffle.  Entries are taken as they are.
+    """
+    return files if "dir" in files.columns else path_entries(files).distinct()
 
 
 def unknown_python_imports(

@@ -625,14 +625,18 @@ def _finish(started: StreamingQuery) -> None:
     started.awaitTermination()
 
 
-@query("stream_scan", sql.SCAN_FINDINGS)
+@query("stream_scan", sql.at_step(sql.SCAN_FINDINGS, 3))
 def _(spark, sf):
+    """Four steps of the tree, a micro-batch each: files change, change back, move and go."""
     root = _stream_root(spark)
-    versions = fx.code_files(spark, sf, fx.stream(spark, sf, "documents"), F.col("doc_id").alias("seq"))
     context = project_context(fx.manifests(spark, sf))
-    options = ScanOptions(strictness="high")
-    _finish(jobs.scan_stream(versions, _packages(spark, sf), context, root, f"{root}/checkpoint", options))
-    return spark.read.parquet(f"{root}/findings").where(_not_parsed()).select(
+    packages, options = _packages(spark, sf), ScanOptions(strictness="high")
+    for step in range(4):
+        arrived = fx.versions_at(spark, sf, step)
+        arrived.write.mode("append").parquet(f"{root}/in")
+        versions = spark.readStream.schema(arrived.schema).parquet(f"{root}/in")
+        _finish(jobs.scan_stream(versions, packages, context, root, f"{root}/checkpoint", options))
+    return jobs.current_findings(spark, root, 4).where(_not_parsed()).select(
         "project", "file", "line_no", "rule_id", "severity", "category", "title", "evidence"
     )
 

@@ -98,22 +98,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
 
 
-def code_path() -> Column:
+def code_path(top: Column | None = None) -> Column:
     pick = F.floor(F.col("doc_id") / 7) % 4 + 1
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTS]), pick.cast("int"))
     api = F.when(F.col("doc_id") % 3 == 0, "/api").otherwise("")
-    return F.concat(F.lit("src/"), "lang", api, F.lit("/f"), F.col("doc_id").cast("string"), ext)
+    return F.concat(F.lit("src/") if top is None else top, "lang", api, F.lit("/f"), F.col("doc_id").cast("string"), ext)
 
 
 def code_files(
-    spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, *keep: str
+    spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, *keep: str | Column, shift: Column | int = 0, top: Column | None = None
 ) -> DataFrame:
     """One file per document, its lines replaced by templates in rotation."""
     docs = documents(spark, sf_dir) if docs is None else docs
     templates = _texts(TEMPLATES)
 
     def line(old: Column, i: Column) -> Column:
-        slot = (F.col("doc_id") * 7 + i + 1) % SLOTS
+        slot = (F.col("doc_id") * 7 + shift + i + 1) % SLOTS
         return F.when(
             slot < len(TEMPLATES), F.element_at(templates, (slot + 1).cast("int"))
         ).otherwise(old)
@@ -121,11 +121,39 @@ def code_files(
     content = F.array_join(F.transform(F.split("text", "\n", -1), line), "\n")
     return file_table(
         docs.select(
-            F.col("source").alias("project"), code_path().alias("path"), content.alias("content"), *keep
+            F.col("source").alias("project"), code_path(top).alias("path"), content.alias("content"), *keep
         )
     )
 
 
+# The tree in four steps, as SQL over doc_id that Spark and DuckDB read alike: what a file's lines are shifted by,
+# which files there are, and which have moved.
+SHIFT = [
+    "0", "CASE WHEN doc_id % 3 = 1 THEN 5 ELSE 0 END", "CASE WHEN doc_id % 6 = 1 THEN 5 ELSE 0 END",
+    "CASE WHEN doc_id % 6 = 1 THEN 5 WHEN doc_id % 7 = 2 THEN 9 ELSE 0 END",
+]
+ALIVE = ["doc_id % 10 <> 4", *["doc_id % 10 <> 3"] * 3]
+TOP = [*["'src/'"] * 2, *["CASE WHEN doc_id % 10 = 7 THEN 'moved/' ELSE 'src/' END"] * 2]
+
+
+def tree_at(spark: SparkSession, sf_dir: str, step: int, *keep: str | Column) -> DataFrame:
+    """All files as they are at a step."""
+    docs = documents(spark, sf_dir).where(ALIVE[step])
+    return code_files(spark, sf_dir, docs, *keep, shift=F.expr(SHIFT[step]), top=F.expr(TOP[step]))
+
+
+def versions_at(spark: SparkSession, sf_dir: str, step: int) -> DataFrame:
+    """What a step sends to a stream: files that are new or changed, every fifth one again as it is, and paths that are gone."""
+    same = " AND ".join(f"({a[step]}) = ({a[step - 1]})" for a in (SHIFT, ALIVE, TOP)) if step else "false"
+    now = tree_at(spark, sf_dir, step, F.expr(f"NOT ({same}) OR doc_id % 5 = 0").alias("sent")).where("sent").drop("sent")
+    now = now.withColumns({"seq": F.lit(step).cast("long"), "deleted": F.lit(False)})
+    if not step:
+        return now
+    gone = f"NOT ({ALIVE[step]}) OR ({TOP[step]}) <> ({TOP[step - 1]})"
+    old = tree_at(spark, sf_dir, step - 1, F.expr(gone).alias("gone")).where("gone").drop("gone")
+    return now.unionByName(old.withColumns({"seq": F.lit(step).cast("long"), "deleted": F.lit(True), "content": F.lit(None).cast("string")}))
+
+
 STYLES = [
     "a:hover { color: red }\nb { top: 0 }",
     "@media (hover: hover) {\na:hover { color: red }\n}",

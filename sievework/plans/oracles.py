@@ -11,7 +11,7 @@ from sievework.operators.index import (
     PY_STATE, PY_STATE_SKIP,
 )
 from sievework.operators.lines import GUARD, LOOP_OPEN
-from sievework.plans.fixtures import MANIFESTS, RULE_KINDS, SLOTS, SNIPPETS, STYLES, TEMPLATES
+from sievework.plans.fixtures import ALIVE, MANIFESTS, RULE_KINDS, SHIFT, SLOTS, SNIPPETS, STYLES, TEMPLATES, TOP
 from sievework.sources.rules import BUILT_IN, LANGUAGE_EXTS
 
 
@@ -55,6 +55,20 @@ F AS (
   FROM L0 GROUP BY project, path, ext, language),
 SMALL AS (SELECT project, path FROM F WHERE length(content) / n > 500 AND n < 50),
 """
+
+
+def at_step(answer: str, step: int) -> str:
+    """``answer`` for the tree as it is at a step."""
+    for old, new in (
+        ("(doc_id * 7 + line_no)", f"(doc_id * 7 + ({SHIFT[step]}) + line_no)"), (f"{PATH} AS path", PATH.replace("'src/'", TOP[step], 1) + " AS path"),
+        ("generate_subscripts(string_split(text, chr(10)), 1) AS line_no\n  FROM documents)",
+         f"generate_subscripts(string_split(text, chr(10)), 1) AS line_no\n  FROM documents WHERE {ALIVE[step]})"),
+    ):
+        assert answer.count(old) == 1, old
+        answer = answer.replace(old, new)
+    return answer
+
+
 # every line / only lines of source files (known extension, not minified)
 ALL_LINES = LINES + "L AS (SELECT * FROM L0)"
 SOURCE_LINES = LINES + (

@@ -100,7 +100,7 @@ def scan(
     """Findings of a code scan: detect, dedupe, weigh by context, drop the silenced ones.
 
     ``state`` limits the scan to files changed since it, ``changes`` to a change set; local
-    modules are still looked up among ``lookup`` (project, path), by default all ``files``.  ``extra`` are findings from
+    modules are still looked up among ``lookup`` (project, path; or project, dir, name), by default all ``files``.  ``extra`` are findings from
     reviews, treated like the scan's own.  ``intent`` findings have no place in a file; they are
     added as they are, after the other steps.
     """

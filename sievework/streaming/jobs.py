@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from sievework.operators.findings import findings_gate, summary
 from sievework.operators.journeys import journey_aggregates, with_score
 from sievework.operators.history import SUPPRESS_AFTER
+from sievework.operators.imports import path_entries
 from sievework.plans.scan import ScanOptions, scan
-from sievework.schema import FILE, SEVERITY_RANK
-from sievework.sources.files import changed_since
+from sievework.schema import FILE, FINDING, FINDING_DDL, SEVERITY_RANK
 from sievework.sources.stage import staged
+from sievework.streaming.state import KeyedTable
 
 
 def run(
@@ -42,19 +42,20 @@ def _replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
-def _read_before(spark: SparkSession, path: str, batch_id: int, empty: str) -> DataFrame:
-    try:
-        return spark.read.schema(f"{empty}, batch_id bigint").parquet(path).where(F.col("batch_id") < batch_id)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], f"{empty}, batch_id bigint")
+def file_state(spark: SparkSession, root: str) -> KeyedTable:
+    """What each live path had last: its version, md5 and the batch that scanned it."""
+    return KeyedTable(spark, f"{root}/state", "project string, path string", "seq long, md5 string, scanned long", FILE)
 
 
-def latest_state(spark: SparkSession, path: str, before: int) -> DataFrame:
-    """(project, path, md5): the md5 each path had last, from batches before ``before``."""
-    log = _read_before(spark, path, before, "project string, path string, md5 string")
-    return log.groupBy(*FILE).agg(F.max_by("md5", "batch_id").alias("md5"))
+def module_state(spark: SparkSession, root: str) -> KeyedTable:
+    """How many live files give each importable thing of a directory."""
+    return KeyedTable(spark, f"{root}/modules", "project string, dir string, name string", "files long", ["project"])
+
+
+def _moved_modules(paths: DataFrame, by: str) -> DataFrame:
+    """(project, dir, name, change): what paths that come (1) or go (-1) do to the modules."""
+    each = path_entries(paths, by)
+    return each.groupBy("project", "dir", "name").agg(F.sum(by).alias("change"))
 
 
 def scan_stream(
@@ -63,25 +64,49 @@ def scan_stream(
 ) -> StreamingQuery:
     """Scan file versions as they arrive.
 
-    ``versions`` is a stream of file rows with a ``seq`` that orders the versions of a path.
-    A file is complete inside one row, so a micro-batch is scanned by the batch job; only
-    files whose md5 differs from the last one are scanned, also when an older text returns.
-    Local modules are looked up among all paths seen so far.  What is to be scanned is written
-    once, since several detectors read it.
+    ``versions`` is a stream of file rows with a ``seq`` that orders the versions of a path and, optionally, a
+    flag ``deleted``.  A file is complete inside one row, so a micro-batch is scanned by the batch job;
+    only files whose md5 differs from the last one are scanned, also when an older text returns.  A
+    version older than the last one of its path is late and ignored; a deleted path is forgotten.  Local modules are looked up among
+    the live paths, those of this batch included.  State is kept per path and per module
+    (``KeyedTable``); a batch reads the buckets its own paths and projects fall into.
     """
+    flagged = versions if "deleted" in versions.columns else versions.withColumn("deleted", F.lit(False))
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        last = batch.groupBy(*FILE).agg(F.max("seq").alias("seq"))  # contents move only in the join
-        newest = batch.join(last, [*FILE, "seq"]).dropDuplicates(FILE)
-        state = latest_state(spark, f"{root}/state", batch_id)
-        todo = staged(changed_since(newest, state))
-        known = todo.select(*FILE).union(state.select(*FILE)).distinct()
-        found = scan(todo, packages, options, context=context, lookup=known)
+        files, modules = file_state(spark, root), module_state(spark, root)
+        keys = batch.select(*FILE, "seq", "md5", F.coalesce("deleted", F.lit(False)).alias("deleted"))
+        newest = keys.groupBy(*FILE).agg(F.max_by(F.struct("seq", "md5", "deleted"), "seq").alias("n")).select(*FILE, "n.*")
+        before = files.before(batch_id, newest).withColumnsRenamed({"seq": "old_seq", "md5": "old_md5"}).drop("scanned")
+        known = F.col("old_seq").isNotNull()
+        moved = newest.join(before, FILE, "left").where(~known | (F.col("seq") > F.col("old_seq"))).select(
+            *FILE, "seq", "md5", "deleted", known.alias("known"), (~F.col("deleted") & ~F.col("md5").eqNullSafe(F.col("old_md5"))).alias("changed")
+        )
+        moved = staged(moved.where(F.col("changed") | (F.col("deleted") & F.col("known"))))  # contents move in this join only
+        todo = batch.join(moved.where("changed").select(*FILE, "seq"), [*FILE, "seq"]).dropDuplicates(FILE)
+        todo = staged(todo.drop("deleted"))
+
+        step = F.when(F.col("deleted"), -1).when(~F.col("known"), 1)
+        steps = _moved_modules(moved.withColumn("step", step).where("step IS NOT NULL"), "step")
+        had = modules.before(batch_id, moved)
+        now = steps.join(had, ["project", "dir", "name"], "left").where("change <> 0")
+        now = staged(now.select("project", "dir", "name", (F.coalesce("files", F.lit(0)) + F.col("change")).alias("files")))
+        lookup = had.join(now, ["project", "dir", "name"], "left_anti").unionByName(now.where("files > 0"))
+
+        found = scan(todo, packages, options, context=context, lookup=lookup.drop("files"))
         _replace_batch(found, f"{root}/findings", batch_id)
-        _replace_batch(todo.select(*FILE, "md5"), f"{root}/state", batch_id)
+        modules.put(now.withColumn("gone", F.col("files") <= 0), batch_id)
+        files.put(moved.select(*FILE, "seq", "md5", F.lit(batch_id).cast("long").alias("scanned"), F.col("deleted").alias("gone")), batch_id)
+
+    return run(flagged, "", checkpoint, each=each, trigger=trigger)
+
 
-    return run(versions, "", checkpoint, each=each, trigger=trigger)
+def current_findings(spark: SparkSession, root: str, batches: int) -> DataFrame:
+    """Findings of the files as they are after the first ``batches`` micro-batches; those of older versions are left out."""
+    live = file_state(spark, root).before(batches).select("project", F.col("path").alias("file"), F.col("scanned").alias("batch_id"))
+    found = spark.read.schema(f"{FINDING_DDL}, batch_id long").parquet(f"{root}/findings")
+    return found.join(live, ["project", "file", "batch_id"]).select(*FINDING)
 
 
 def dismissal_counts(events: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 """Streams give what the batch jobs give."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from sievework.operators.context import project_context
 from sievework.operators.history import dismissal_state
 from sievework.plans.scan import ScanOptions, scan
 from sievework.streaming import jobs
+from sievework.streaming.state import KeyedTable
 
 
 def _parts(df, folder, n):
@@ -27,7 +30,7 @@ def test_versions_are_scanned_when_they_change(spark, files, tmp_path):
         jobs.scan_stream(stream, packages, context, root, f"{root}/cp", ScanOptions(rules=[])).awaitTermination()
     found = spark.read.parquet(f"{root}/findings")
     assert sorted((r.file, r.batch_id) for r in found.collect()) == [("a.py", 0), ("a.py", 3), ("b.py", 4)]
-    state = {r.path: r.md5 for r in jobs.latest_state(spark, f"{root}/state", 99).collect()}
+    state = {r.path: r.md5 for r in jobs.file_state(spark, root).before(5).collect()}
     assert state["a.py"] == files({"a.py": "eval(a)"}).first().md5
 
 
@@ -108,3 +111,77 @@ def test_late_issues_are_dropped(spark, tmp_path):
     jobs.run(jobs.issue_rate(stream), out, f"{out}-cp").awaitTermination()
     got = sorted((str(r.window_start), r.total_issues, r.critical) for r in spark.read.parquet(out).collect())
     assert got == [("2024-01-01 00:00:00", 1, 1), ("2024-01-01 05:00:00", 1, 1)]
+
+
+def test_keyed_table_equals_a_dictionary_and_stays_small(spark, tmp_path):
+    r, want = random.Random(3), {}
+    table = KeyedTable(spark, str(tmp_path), "k string", "v long", ["k"], every=3, buckets=4)
+    for batch in range(10):
+        keys = r.sample("abcdefghij", 4)
+        changes = [(k, None, True) if r.random() < 0.3 else (k, 10 * batch + i, False) for i, k in enumerate(keys)]
+        assert {x.k: x.v for x in table.before(batch).collect()} == want
+        some = spark.createDataFrame([(k,) for k in keys[:2]], "k string")
+        seen = {x.k: x.v for x in table.before(batch, some).collect()}
+        assert all(want.get(k) == seen.get(k) for k in keys[:2]) and seen.items() <= want.items()
+        changed = spark.createDataFrame(changes, "k string, v long, gone boolean")
+        if batch % 2:  # a batch that failed half way is repeated
+            table.put(spark.createDataFrame([("z", 1, False)], changed.schema), batch)
+        table.put(changed, batch)
+        for k, v, gone in changes:
+            want.pop(k, None) if gone else want.__setitem__(k, v)
+    assert {x.k: x.v for x in table.before(10).collect()} == want
+    rows = sum(spark.read.parquet(str(p)).count() for p in tmp_path.glob("*/slot-*") if list(p.glob("bucket=*")))
+    assert rows <= 2 * 10 + 6 * 4  # two whole states and six deltas, whatever the number of batches
+
+
+def _tree(spark, root, packages, context, files, steps):
+    """Feeds the steps one by one; returns the current findings after each."""
+    seen = []
+    for i, (now, gone) in enumerate(steps):
+        rows = files({**now, **{p: None for p in gone}}).withColumn("seq", F.lit(i))
+        rows = rows.withColumn("deleted", F.col("path").isin(list(gone)))
+        rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        jobs.scan_stream(stream, packages, context, root, f"{root}/cp", ScanOptions(strictness="high")).awaitTermination()
+        seen.append(sorted((r.file, r.line_no, r.rule_id) for r in jobs.current_findings(spark, root, i + 1).collect()))
+    return seen
+
+
+def test_changes_back_deletions_and_moved_modules_equal_the_batch_scan(spark, files, tmp_path):
+    root = str(tmp_path)
+    packages = spark.createDataFrame([("none", "npm", "none")], "project string, ecosystem string, name string")
+    context = project_context(files({"x": ""}))
+    use = "import util\nimport lib.deep\n"
+    steps = [
+        ({"a.py": "eval(a)", "util.py": "x = 1", "lib/deep.py": "y = 1", "use.py": use, "gone.js": "eval(g)"}, ()),
+        ({"a.py": "x"}, ("gone.js",)),
+        ({"a.py": "eval(a)", "sub/util.py": "x = 1", "use.py": use + "z = 2"}, ("util.py",)),
+        ({"a.py": "eval(a)", "sub/use.py": use}, ("lib/deep.py",)),
+        ({"use.py": use}, ()),
+    ]
+    seen = _tree(spark, root, packages, context, files, steps)
+    tree = {}
+    for i, (now, gone) in enumerate(steps):
+        tree = {p: c for p, c in {**tree, **now}.items() if p not in gone}
+        whole = scan(files(tree), packages, ScanOptions(strictness="high"), context=context)
+        want = sorted((r.file, r.line_no, r.rule_id) for r in whole.collect())
+        # an import is judged when its file is scanned: step 3 takes lib away from a file it does not send
+        if i == 3:
+            assert set(want) - set(seen[i]) == {("use.py", 2, "hallucinated-import")}
+            want = seen[i]
+        assert seen[i] == want
+    assert ("a.py", 1, "dangerous-eval") in seen[0] and ("a.py", 1, "dangerous-eval") not in seen[1] and seen[4]
+    assert {r.path for r in jobs.file_state(spark, root).before(5).collect()} == set(tree)
+    modules = {(r.dir, r.name): r.files for r in jobs.module_state(spark, root).before(5).collect()}
+    assert modules == {("", "a"): 1, ("", "use"): 1, ("", "sub"): 2, ("sub", "util"): 1, ("sub", "use"): 1}
+
+
+def test_late_versions_are_ignored(spark, files, tmp_path):
+    root = str(tmp_path)
+    packages = spark.createDataFrame([("none", "npm", "none")], "project string, ecosystem string, name string")
+    for seq, text in [(5, "x"), (3, "eval(old)"), (6, "eval(new)")]:
+        rows = files({"a.py": text}).withColumn("seq", F.lit(seq))
+        rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        jobs.scan_stream(stream, packages, project_context(files({"x": ""})), root, f"{root}/cp").awaitTermination()
+    assert [r.evidence for r in jobs.current_findings(spark, root, 3).collect()] == ["eval(new)"]
