@@ -21,9 +21,10 @@ from sievework.plans import oracles as sql
 from sievework.functions.skew import numbered, previous_value
 from sievework.functions.text import line_count, path_parts
 from sievework.schema import severity_rank
-from sievework.plans.scan import ScanOptions, deep_scan, persona_scan, scan
+from sievework.plans.scan import ScanOptions, deep_scan, incremental_scan, persona_scan, scan
 from sievework.sources import files as src
 from sievework.sources.rules import BUILT_IN, built_in
+from sievework.sources.sinks import read_issue_log, read_scans
 from sievework.sources.stage import shared_folder, staged
 from sievework.streaming import jobs
 
@@ -315,6 +316,17 @@ def _(spark, sf):
     return history.carry_forward(now, before, skipped)
 
 
+@query("incremental_delta", sql.INCREMENTAL_DELTA)
+def _(spark, sf):
+    """Four incremental scans of a tree that changes; the last one against the one before."""
+    root = shared_folder(spark, "history")
+    context = project_context(fx.manifests(spark, sf))
+    for step in range(4):
+        files = fx.tree_at(spark, sf, step)
+        incremental_scan(files, _packages(spark, sf), root, step, ScanOptions(strictness="high"), context=context)
+    return history.quality_delta(read_scans(spark, root), read_issue_log(spark, root)).drop("scan_mode")
+
+
 @query("dismissal_state", sql.DISMISSALS)
 def _(spark, sf):
     return history.dismissal_state(fx.dismissal_events(spark, sf))

@@ -323,6 +323,22 @@ ALLF AS (
 
 SCAN_FINDINGS = f"""WITH {_scan_cte()}
 SELECT project, file, line_no, rule_id, severity, category, title, evidence FROM ADJ"""
+_prints = "SELECT project, severity, rule_id || ':' || coalesce(file, 'None') || ':' || coalesce(line_no::VARCHAR, 'None') AS fp FROM {}"
+_counted = "SELECT project, count(*) AS n, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'major') AS m FROM {} GROUP BY project"
+#: Both scans whole: what an incremental scan takes over must not show.
+INCREMENTAL_DELTA = f"""
+WITH s3 AS ({at_step(SCAN_FINDINGS, 3)}), s2 AS ({at_step(SCAN_FINDINGS, 2)}),
+now AS ({_prints.format('s3')}), old AS ({_prints.format('s2')}),
+P AS (SELECT DISTINCT source AS project FROM documents WHERE {ALIVE[2]}),
+Q AS (SELECT DISTINCT source AS project FROM documents WHERE {ALIVE[3]}),
+CN AS ({_counted.format('now')}), CO AS ({_counted.format('old')}),
+NEW AS (SELECT project, count(*) AS k FROM now ANTI JOIN old USING (project, fp) GROUP BY project),
+FIXED AS (SELECT project, count(*) AS k FROM old ANTI JOIN now USING (project, fp) GROUP BY project)
+SELECT project, 3::BIGINT AS current_scan, 2::BIGINT AS previous_scan, coalesce(CN.n, 0) - coalesce(CO.n, 0) AS delta_total,
+       coalesce(CN.c, 0) - coalesce(CO.c, 0) AS delta_critical, coalesce(CN.m, 0) - coalesce(CO.m, 0) AS delta_major,
+       coalesce(NEW.k, 0) AS new_issues, coalesce(FIXED.k, 0) AS fixed_issues
+FROM P JOIN Q USING (project) LEFT JOIN CN USING (project) LEFT JOIN CO USING (project) LEFT JOIN NEW USING (project) LEFT JOIN FIXED USING (project)
+"""
 SCAN_LOW = f"""WITH {_scan_cte(('critical',), rules=False)}
 SELECT project, file, line_no, rule_id, severity FROM ADJ"""
 ADJUSTED = f"""WITH {ALL_LINES}, {security_cte()}, {MANIFEST}, {CONTEXT_CTE}, {adjusted('SEC')}

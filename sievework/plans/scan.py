@@ -12,7 +12,7 @@ from sievework.functions.predicates import both
 from sievework.operators.context import adjust_severity, project_context
 from sievework.operators.deep import deep_findings
 from sievework.operators.findings import STRICTNESS, by_strictness, dedupe
-from sievework.operators.history import unsuppressed
+from sievework.operators.history import carry_forward, unsuppressed
 from sievework.operators.imports import python_findings, script_import_findings
 from sievework.operators.lines import line_findings
 from sievework.operators.loops import loop_detectors
@@ -20,15 +20,18 @@ from sievework.operators.packs import pack_detectors
 from sievework.operators.persona import persona_findings, personas, project_signals
 from sievework.operators.pyfacts import py_facts
 from sievework.operators.security import security_detectors
-from sievework.schema import FINDING, union_all
+from sievework.schema import FILE, FINDING, union_all
 from sievework.sources.files import (
     changed_files,
     changed_since,
     is_pack_file,
     is_source,
     source_files,
+    unchanged,
 )
 from sievework.sources.rules import LineRuleSpec, built_in
+from sievework.sources.sinks import last_issues, last_state, save_scan
+from sievework.sources.stage import staged
 
 
 @dataclass(frozen=True)
@@ -117,6 +120,28 @@ def scan(
     return found if intent is None else found.unionByName(intent.select(*found.columns))
 
 
+def incremental_scan(
+    files: DataFrame, packages: DataFrame, root: str, scan_id: int, options: ScanOptions = ScanOptions(), scan_mode: str = "full",
+    context: DataFrame | None = None, dismissed: DataFrame | None = None, **report: object,
+) -> None:
+    """Scan what changed since each project's last complete scan in ``root`` and append the whole result as scan ``scan_id``.
+
+    Issues of files that did not change are taken over from the last scan, those of files that are gone
+    are not, so the log of every scan is complete and its delta shows no issue as fixed that is still there.
+    A project without a scan is scanned whole.  Issues taken over keep the severity they had; dismissals hold
+    for them too.  ``report`` goes to ``save_scan``.  A scan that is run again reads the scans before it only.
+    """
+    spark = files.sparkSession
+    state = staged(last_state(spark, root, scan_mode, scan_id))
+    found = scan(files, packages, options, context, dismissed, state=state)
+    skipped = unchanged(files.select(*FILE, "md5"), state)
+    kept = last_issues(spark, root, scan_mode, scan_id)
+    carried = carry_forward(kept.limit(0), kept, skipped)
+    if dismissed is not None:
+        carried = unsuppressed(carried, dismissed)
+    save_scan(found, root, scan_id, scan_mode, projects=files, carried=carried, state=files, **report)
+
+
 def deep_scan(
     files: DataFrame, assets: DataFrame | None = None, context: DataFrame | None = None,
     parity: bool = False,

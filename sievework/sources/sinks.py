@@ -3,6 +3,9 @@ run again after a failure leaves no duplicates."""
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +14,10 @@ from sievework.operators.report import ORDER, json_records, markdown
 from sievework.schema import FILE
 
 
-def _replace(df: DataFrame, path: str, *by: str, fmt: str = "parquet") -> None:
-    (
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*by).format(fmt).save(path)
-    )
+def _replace_scan(df: DataFrame, table: str, scan_mode: str, scan_id: int) -> None:
+    """Writes one scan's partition of a table, also if it has no rows."""
+    path = f"{table}/scan_mode={quote(scan_mode, safe='')}/scan_id={scan_id}"
+    df.drop("scan_mode", "scan_id").write.mode("overwrite").parquet(path)
 
 
 def write_files(files: DataFrame, table: str, buckets: int) -> None:
@@ -33,18 +35,26 @@ def write_files(files: DataFrame, table: str, buckets: int) -> None:
 def save_scan(
     findings: DataFrame, root: str, scan_id: int, scan_mode: str = "full",
     target: str = "", duration_ms: int | None = None, scores: DataFrame | None = None,
-    projects: DataFrame | None = None,
+    projects: DataFrame | None = None, carried: DataFrame | None = None, state: DataFrame | None = None,
 ) -> None:
-    """Append one scan: its issue rows, then one counting row per project.
+    """Append one scan: its issue rows, the state of its files, then one counting row per project.
 
     Partitioned by scan, so a delta reads two partitions and a repeated write replaces its own.
+    The counting rows are written last and make the scan visible: until then readers see the scans before it, so
+    a job that dies on the way leaves no half scan.
     ``projects`` lists the scanned projects, so that one without findings gets a row of zeros;
-    ``scores`` (project, fidelity_score) adds the fidelity score.
+    ``scores`` (project, fidelity_score) adds the fidelity score.  ``carried`` are log rows of files that an incremental
+    scan skipped, ``state`` (project, path, md5) is what the next one compares with.
     """
     issues = issue_rows(findings, F.lit(scan_id), scan_mode)
-    _replace(issues, f"{root}/issue_log", "scan_mode", "scan_id")
-    spark = findings.sparkSession
-    written = spark.read.parquet(f"{root}/issue_log").where(
+    if carried is not None:
+        issues = issues.unionByName(
+            carried.withColumns({"scan_id": F.lit(scan_id).cast("long"), "scan_mode": F.lit(scan_mode)}).select(*issues.columns)
+        )
+    _replace_scan(issues, f"{root}/issue_log", scan_mode, scan_id)
+    if state is not None:
+        _replace_scan(state.select(*FILE, "md5"), f"{root}/file_state", scan_mode, scan_id)
+    written = _rows(findings.sparkSession, f"{root}/issue_log", _LOG).where(
         (F.col("scan_id") == scan_id) & (F.col("scan_mode") == scan_mode)
     )
     rows = scan_rows(written)
@@ -65,15 +75,56 @@ def save_scan(
         rows = rows.withColumn("fidelity_score", F.lit(None).cast("double"))
     else:
         rows = rows.join(scores.select("project", "fidelity_score"), "project", "left")
-    _replace(rows, f"{root}/scans", "scan_mode", "scan_id")
+    _replace_scan(rows, f"{root}/scans", scan_mode, scan_id)
+
+
+_SCANS = (
+    "project string, total_issues long, critical long, major long, minor long, info long, timestamp timestamp, target string, "
+    "duration_ms long, fidelity_score double, scan_mode string, scan_id long"
+)
+_LOG = (
+    "project string, rule_id string, file string, line int, severity string, category string, title string, fingerprint string, "
+    "scan_mode string, scan_id long"
+)
+
+
+def _rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of the history; without rows before its first write."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def read_scans(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/scans").withColumn("scan_id", F.col("scan_id").cast("long"))
+    return _rows(spark, f"{root}/scans", _SCANS)
 
 
 def read_issue_log(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/issue_log").withColumn("scan_id", F.col("scan_id").cast("long"))
+    """Issue rows of the scans that are complete."""
+    complete = read_scans(spark, root).select("project", "scan_mode", "scan_id")
+    return _rows(spark, f"{root}/issue_log", _LOG).join(complete, ["project", "scan_mode", "scan_id"], "left_semi")
+
+
+def last_scans(spark: SparkSession, root: str, scan_mode: str, before: int) -> DataFrame:
+    """(project, scan_id): each project's latest complete scan before ``before``."""
+    scans = read_scans(spark, root).where((F.col("scan_mode") == scan_mode) & (F.col("scan_id") < before))
+    return scans.groupBy("project").agg(F.max("scan_id").alias("scan_id"))
+
+
+def last_state(spark: SparkSession, root: str, scan_mode: str, before: int) -> DataFrame:
+    """(project, path, md5) of the files at each project's latest complete scan before ``before``."""
+    states = _rows(spark, f"{root}/file_state", "project string, path string, md5 string, scan_mode string, scan_id long")
+    states = states.where((F.col("scan_mode") == scan_mode) & (F.col("scan_id") < before))
+    return states.join(last_scans(spark, root, scan_mode, before), ["project", "scan_id"], "left_semi").select(*FILE, "md5")
+
+
+def last_issues(spark: SparkSession, root: str, scan_mode: str, before: int) -> DataFrame:
+    """Issue rows of each project's latest complete scan before ``before``."""
+    log = _rows(spark, f"{root}/issue_log", _LOG).where((F.col("scan_mode") == scan_mode) & (F.col("scan_id") < before))
+    return log.join(last_scans(spark, root, scan_mode, before), ["project", "scan_id"], "left_semi")
 
 
 def write_json_report(findings: DataFrame, path: str, target: Column | None = None) -> None:
