@@ -262,6 +262,19 @@ def _(spark, sf):
     return src.installed_packages(fx.package_listing(spark, sf))
 
 
+@query("reject_counts", sql.REJECT_COUNTS)
+def _(spark, sf):
+    raw = src.judged(fx.raw_files(spark, sf), ["skip/me/"], fx.LEAST_LARGE)
+    return src.reject_counts(src.rejected(raw))
+
+
+@query("unparsed_files", sql.UNPARSED)
+def _(spark, sf):
+    files = fx.py_files(spark, sf)
+    raw = src.judged(files.select("project", "path", F.col("content").cast("binary").alias("content"), "size_bytes"))
+    return src.rejected(raw, py_facts(files))
+
+
 # ---- history and dismissals -------------------------------------------------------------
 
 

@@ -204,6 +204,26 @@ def py_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Where a document's file lies and what is done to its text, by number: (divisor, remainder, SQL).
+PLACES = [
+    (11, 0, "'node_modules/dep/i' || doc_id || '.js'"), (11, 1, "'src/app.min.js' || doc_id || '.js'"), (11, 2, "'img/p' || doc_id || '.png'"),
+    (11, 3, "'docs/guide' || doc_id || '.md'"), (11, 4, "'skip/me/f' || doc_id || '.py'"),
+]
+ELSEWHERE = "'src/f' || doc_id || '.ts'"
+LEAST_LARGE = 3000
+
+
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, path, size_bytes, content): every document as the bytes of a file, some of them bad, some on one line."""
+    path = " ".join(f"WHEN doc_id % {d} = {r} THEN {p}" for d, r, p in PLACES)
+    flat = F.when(F.col("doc_id") % 5 == 0, F.replace("text", F.lit("\n"), F.lit(" "))).otherwise(F.col("text"))
+    content = F.when(F.col("doc_id") % 13 == 0, F.concat(flat.cast("binary"), F.lit(b"\xff"))).otherwise(flat.cast("binary"))
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("project"), F.expr(f"CASE {path} ELSE {ELSEWHERE} END").alias("path"), content.alias("content")
+    )
+    return rows.withColumn("size_bytes", F.octet_length("content").cast("long"))
+
+
 def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripts that import a shared module of their directory, a module above it and, every
     second one, the file 140 documents before."""

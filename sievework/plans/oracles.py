@@ -11,7 +11,7 @@ from sievework.operators.index import (
     PY_STATE, PY_STATE_SKIP,
 )
 from sievework.operators.lines import GUARD, LOOP_OPEN
-from sievework.plans.fixtures import ALIVE, MANIFESTS, RULE_KINDS, SHIFT, SLOTS, SNIPPETS, STYLES, TEMPLATES, TOP
+from sievework.plans.fixtures import ALIVE, ELSEWHERE, LEAST_LARGE, MANIFESTS, PLACES, RULE_KINDS, SHIFT, SLOTS, SNIPPETS, STYLES, TEMPLATES, TOP
 from sievework.sources.rules import BUILT_IN, LANGUAGE_EXTS
 
 
@@ -402,6 +402,31 @@ WHERE (exts IS NULL OR list_contains(exts, ext)) AND (NOT in_api OR regexp_full_
   AND (unless IS NULL OR NOT contains(line, unless))
 """
 
+_place = " ".join(f"WHEN doc_id % {d} = {r} THEN {p}" for d, r, p in PLACES)
+REJECT_COUNTS = f"""
+WITH raw AS (
+  SELECT doc_id, source AS project, CASE {_place} ELSE {ELSEWHERE} END AS path,
+         CASE WHEN doc_id % 5 = 0 THEN replace(text, chr(10), ' ') ELSE text END AS body
+  FROM documents),
+sized AS (
+  SELECT *, strlen(body) + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS bytes,
+         length(regexp_replace(body, '\r\n', chr(10), 'g')) AS chars, len(string_split(regexp_replace(body, '\r\n?', chr(10), 'g'), chr(10))) AS n
+  FROM raw),
+why AS (
+  SELECT *, CASE WHEN starts_with(path, 'node_modules/') OR contains(path, '.min') OR starts_with(path, 'skip/') THEN 'ignored'
+    WHEN path LIKE '%.png' THEN 'unsupported' WHEN bytes > {LEAST_LARGE} THEN 'oversize' WHEN doc_id % 13 = 0 THEN 'undecodable'
+    WHEN path NOT LIKE '%.md' AND chars / n > 500 AND n < 50 THEN 'minified' END AS reason
+  FROM sized)
+SELECT project, reason, count(*) AS files, sum(bytes)::BIGINT AS bytes FROM why WHERE reason IS NOT NULL GROUP BY project, reason
+"""
+_snippet = "CASE ({}) % 8 " + " ".join(f"WHEN {i} THEN {len(t.encode())}" for i, t in enumerate(SNIPPETS)) + " END"
+UNPARSED = f"""
+SELECT source AS project, 'app/' || lang || '/m' || doc_id || '.py' AS path,
+       ({_snippet.format('doc_id')} + {_snippet.format('doc_id + 3')} + {_snippet.format('doc_id + 5')} + {len('def broken(:' + chr(10))})::BIGINT AS size_bytes,
+       'unparsed' AS reason
+FROM documents WHERE doc_id % 11 = 0
+"""
+
 CHANGES = f"""SELECT source AS project, {PATH} AS path,
   CASE doc_id % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'D' WHEN 2 THEN 'R' ELSE 'M' END AS status,
   CASE WHEN doc_id % 7 = 2 THEN 'old/f' || doc_id END AS old_path

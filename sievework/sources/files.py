@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.text import (
     contains_any,
+    file_name,
     glob_match,
     has_part,
     line_count,
@@ -70,29 +71,94 @@ MANIFEST_CHARS = 5000
 DEPENDENCY_KEYS = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root``, one row each; the first directory level is the project.
+# Text files the checks look at beside source files, and the size up to which a file is read.
+TEXT_EXTS = [".html", ".htm", ".css", ".scss", ".vue", ".svelte", ".json", ".toml", ".yml", ".yaml", ".md", ".txt"]
+MAX_BYTES = 10_000_000
 
-    Bytes that are not UTF-8 text are left out, line ends become '\\n' and the md5 is that of
-    the normalised text.  The file listing and reading are Spark's own.
+
+def path_reason(path: Column, size: Column, ignore: Iterable[str] = (), max_bytes: int = MAX_BYTES) -> Column:
+    """Why a file is left out, as far as its path and size tell: ignored, unsupported or oversize; null if it is read."""
+    known = suffix(path).isin(*EXT_LANGUAGE, *TEXT_EXTS) | file_name(path).isin(*CONFIG_NAMES, *README_NAMES)
+    return F.when(ignored(path, ignore), "ignored").when(~known, "unsupported").when(size > max_bytes, "oversize")
+
+
+def content_reason(path: Column, raw: Column) -> Column:
+    """Why a file is left out once its bytes are there: undecodable or minified; null if it is scanned."""
+    text = raw.cast("string")
+    return F.when(~F.is_valid_utf8(text), "undecodable").when(suffix(path).isin(*EXT_LANGUAGE) & minified(line_ends(text)), "minified")
+
+
+def line_ends(text: Column) -> Column:
+    return F.regexp_replace(text, r"\r\n?", "\n")
+
+
+def judged(raw: DataFrame, ignore: Iterable[str] = (), max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``raw`` (project, path, size_bytes, content as bytes) with the ``reason`` why a file is left out, or null.
+
+    A file without content is empty; one without path or size is judged by what it has.
+    """
+    early = path_reason(F.col("path"), F.col("size_bytes"), ignore, max_bytes)
+    return raw.withColumn("reason", F.coalesce(early, content_reason(F.col("path"), F.coalesce("content", F.lit(b"")))))
+
+
+def rejected(judged_files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """(project, path, size_bytes, reason) of the files left out, those that do not parse (``facts``) included."""
+    out = judged_files.where("reason IS NOT NULL").select(*FILE, "size_bytes", "reason")
+    if facts is None:
+        return out
+    broken = facts.where("kind = 'unparsed'").select(*FILE).distinct()
+    seen = judged_files.where("reason IS NULL").select(*FILE, "size_bytes")
+    return out.unionByName(seen.join(broken, FILE, "left_semi").withColumn("reason", F.lit("unparsed")))
+
+
+def reject_counts(ledger: DataFrame) -> DataFrame:
+    """Files and bytes left out, by project and reason."""
+    return ledger.groupBy("project", "reason").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
+
+
+def _binary(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+
+
+def _placed(found: DataFrame, root: str, *keep: Column) -> DataFrame:
+    rel = _below(F.col("path"), root.rstrip("/") + "/")
+    return found.select(
+        F.substring_index(rel, "/", 1).alias("project"), F.regexp_replace(rel, r"^[^/]*/", "").alias("path"),
+        F.col("length").alias("size_bytes"), *keep,
+    )
+
+
+def _read_judged(spark: SparkSession, root: str, ignore: Iterable[str], max_bytes: int) -> DataFrame:
+    """Files whose path and size pass, with their bytes and the ``reason`` that these give.
+
+    The first test is one on file metadata, so Spark leaves the other files out when it plans the read.
     """
     base = root.rstrip("/") + "/"
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(F.col("path").alias("uri"), "content")
-        .where(F.is_valid_utf8(F.col("content").cast("string")))
-    )
-    rel = _below(F.col("uri"), base)
-    content = F.regexp_replace(F.col("content").cast("string"), r"\r\n?", "\n")
-    return file_table(
-        raw.select(
-            F.substring_index(rel, "/", 1).alias("project"),
-            F.regexp_replace(rel, r"^[^/]*/", "").alias("path"),
-            content.alias("content"),
-        )
-    )
+    uri = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    inside = F.regexp_replace(_below(uri, base), r"^[^/]*/", "")
+    some = _binary(spark, root).where(path_reason(inside, F.col("_metadata.file_size"), ignore, max_bytes).isNull())
+    placed = _placed(some, root, F.col("content"))
+    return placed.withColumn("reason", content_reason(F.col("path"), F.col("content")))
+
+
+def read_tree(spark: SparkSession, root: str, ignore: Iterable[str] = (), max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The files below ``root`` that the checks look at, one row each; the first directory level is the project.
+
+    Files in ignored directories, of other kinds and above ``max_bytes`` are not read at all.  Of those read, bytes that
+    are not UTF-8 text are left out; ``read_rejects`` tells which and why.  Line ends become '\\n' and the
+    md5 is that of the normalised text.  The file listing and reading are Spark's own, which pass over empty files.
+    """
+    kept = _read_judged(spark, root, ignore, max_bytes).where("reason IS NULL OR reason = 'minified'")
+    return file_table(kept.select("project", "path", line_ends(F.col("content").cast("string")).alias("content")))
+
+
+def read_rejects(spark: SparkSession, root: str, ignore: Iterable[str] = (), max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(project, path, size_bytes, reason) of every file below ``root`` that ``read_tree`` leaves out or that is minified.
+
+    What the path and size tell comes from the listing alone; only the files ``read_tree`` reads are read here.
+    """
+    listed = read_assets(spark, root).withColumn("reason", path_reason(F.col("path"), F.col("size_bytes"), ignore, max_bytes))
+    return rejected(listed).unionByName(rejected(_read_judged(spark, root, ignore, max_bytes)))
 
 
 def _below(uri: Column, base: str) -> Column:
@@ -101,19 +167,7 @@ def _below(uri: Column, base: str) -> Column:
 
 def read_assets(spark: SparkSession, root: str) -> DataFrame:
     """(project, path, size_bytes) below ``root``; file bytes are never read."""
-    base = root.rstrip("/") + "/"
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path", "length")
-    )
-    rel = _below(F.col("path"), base)
-    return listing.select(
-        F.substring_index(rel, "/", 1).alias("project"),
-        F.regexp_replace(rel, r"^[^/]*/", "").alias("path"),
-        F.col("length").alias("size_bytes"),
-    )
+    return _placed(_binary(spark, root), root)
 
 
 def language_of(ext: Column) -> Column:
@@ -271,8 +325,15 @@ def dependency_names(content: Column, keys: Iterable[str]) -> Column:
     return F.array_distinct(F.flatten(F.array(*parts)))
 
 
-def npm_packages(files: DataFrame) -> DataFrame:
-    """(project, ecosystem, name) declared in package manifests or present in node_modules."""
+def npm_packages(files: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """(project, ecosystem, name) declared in package manifests or present in node_modules.
+
+    ``listing`` (project, path) adds paths that were listed but not read.
+    """
+    files = files.select(*FILE, "content")
+    if listing is not None:
+        inside = listing.where(F.col("path").startswith("node_modules/"))
+        files = files.unionByName(inside.select(*FILE, F.lit(None).cast("string").alias("content")))
     path = F.col("path")
     found = F.when(path == "package.json", dependency_names(F.col("content"), DEPENDENCY_KEYS)).otherwise(
         F.array(node_module_name(path))

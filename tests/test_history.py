@@ -250,6 +250,43 @@ def test_read_tree(spark, tmp_path):
     assert sizes == {"src/a+b c.py": 13, "bad.py": 3}
 
 
+def _files_read(df):
+    """Rows of ``df`` and the files its scans opened."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._jdf.queryExecution().executedPlan()
+        rows = list(plan.executeCollect())
+        leaves = plan.collectLeaves()
+        return len(rows), sum(leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_rejects_are_told_and_never_read(spark, tmp_path):
+    root = tmp_path / "in"
+    files = {
+        "p/src/a.py": b"x = 1", "p/src/b c+d.js": b"y\r\n", "p/node_modules/dep/i.js": b"z", "p/img/i.png": b"\x89PNG", "p/src/big.ts": b"1" * 3000,
+        "p/src/bad.py": b"\xff\xfe", "p/src/wide.js": b"w" * 900, "p/Dockerfile": b"FROM x", "p/dist/x.js": b"d", "p/skip me/q.py": b"q", "q/README": b"hi",
+        "p/src/x.min.js": b"m",
+    }
+    for path, data in files.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(data)
+    where = (str(root), ["skip me/"], 2000)
+    kept = src.read_tree(spark, *where)
+    assert sorted(r.path for r in kept.collect()) == ["Dockerfile", "README", "src/a.py", "src/b c+d.js", "src/wide.js"]
+    rows, opened = _files_read(kept)
+    assert (rows, opened) == (5, 6)  # those and the one that turns out to be no text
+    ledger = {r.path: (r.reason, r.size_bytes) for r in src.read_rejects(spark, *where).collect()}
+    assert ledger == {
+        "node_modules/dep/i.js": ("ignored", 1), "dist/x.js": ("ignored", 1), "skip me/q.py": ("ignored", 1), "src/x.min.js": ("ignored", 1),
+        "img/i.png": ("unsupported", 4), "src/big.ts": ("oversize", 3000), "src/bad.py": ("undecodable", 2), "src/wide.js": ("minified", 900),
+    }
+    packages = src.npm_packages(kept, src.read_assets(spark, str(root)))
+    assert [(r.project, r.name) for r in packages.collect()] == [("p", "dep")]
+
+
 def test_bucketed_files_need_no_exchange(spark, files):
     table = files([("p", f"f{i}.js", "eval(x)") for i in range(20)])
     sinks.write_files(table, "bucketed_files", 4)
