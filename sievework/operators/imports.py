@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +20,29 @@ from sievework.operators.lines import SCRIPT, Detector, describe, explode_lines
 from sievework.operators.pyfacts import AST_RULES, ast_candidates
 from sievework.schema import FILE, Rule, to_findings
 
-# The running interpreter names its own library; modules that later versions dropped and a few
-# names that are importable everywhere are fixed values.
-STDLIB = sorted(
-    set(sys.stdlib_module_names)
-    | {
-        "aifc", "asynchat", "asyncore", "audioop", "cgi", "cgitb", "chunk", "crypt", "distutils",
-        "imghdr", "imp", "lib2to3", "mailcap", "nis", "nntplib", "ossaudiodev", "pipes", "smtpd",
-        "sndhdr", "spwd", "sunau", "telnetlib", "uu", "xdrlib",
-        "test", "typing_extensions", "annotations",
-    }
-)
+# The standard library, whatever interpreter runs the job, and names importable everywhere.
+STDLIB = [
+    "abc", "aifc", "argparse", "array", "ast", "asyncio", "atexit", "base64", "binascii", "bisect", "builtins",
+    "calendar", "cgi", "cgitb", "chunk", "cmath", "cmd", "code", "codecs", "codeop", "collections", "colorsys",
+    "compileall", "concurrent", "configparser", "contextlib", "contextvars", "copy", "copyreg", "cProfile", "crypt",
+    "csv", "ctypes", "curses", "dataclasses", "datetime", "dbm", "decimal", "difflib", "dis", "distutils", "doctest",
+    "email", "encodings", "enum", "errno", "faulthandler", "fcntl", "filecmp", "fileinput", "fnmatch", "fractions",
+    "ftplib", "functools", "gc", "getopt", "getpass", "gettext", "glob", "graphlib", "grp", "gzip", "hashlib",
+    "heapq", "hmac", "html", "http", "idlelib", "imaplib", "imghdr", "imp", "importlib", "inspect", "io", "ipaddress",
+    "itertools", "json", "keyword", "lib2to3", "linecache", "locale", "logging", "lzma", "mailbox", "mailcap",
+    "marshal", "math", "mimetypes", "mmap", "modulefinder", "multiprocessing", "netrc", "nis", "nntplib", "numbers",
+    "operator", "optparse", "os", "ossaudiodev", "pathlib", "pdb", "pickle", "pickletools", "pipes", "pkgutil",
+    "platform", "plistlib", "poplib", "posix", "posixpath", "pprint", "profile", "pstats", "pty", "pwd", "py_compile",
+    "pyclbr", "pydoc", "queue", "quopri", "random", "re", "readline", "reprlib", "resource", "rlcompleter", "runpy",
+    "sched", "secrets", "select", "selectors", "shelve", "shlex", "shutil", "signal", "site", "smtpd", "smtplib",
+    "sndhdr", "socket", "socketserver", "spwd", "sqlite3", "ssl", "stat", "statistics", "string", "stringprep",
+    "struct", "subprocess", "sunau", "symtable", "sys", "sysconfig", "syslog", "tabnanny", "tarfile", "telnetlib",
+    "tempfile", "termios", "test", "textwrap", "threading", "time", "timeit", "tkinter", "token", "tokenize",
+    "tomllib", "trace", "traceback", "tracemalloc", "tty", "turtle", "turtledemo", "types", "typing", "unicodedata",
+    "unittest", "urllib", "uu", "uuid", "venv", "warnings", "wave", "weakref", "webbrowser", "winreg", "winsound",
+    "wsgiref", "xdrlib", "xml", "xmlrpc", "zipapp", "zipfile", "zipimport", "zlib", "_thread", "typing_extensions",
+    "annotations", "__future__",
+]
 
 # Modules that come with the script runtime, alias prefixes, import patterns.
 RUNTIME_MODULES = [
@@ -52,22 +62,26 @@ UNKNOWN = Rule("hallucinated-import", "critical", "import", 0.9, "code", "Halluc
 
 
 def path_entries(files: DataFrame, *keep: str) -> DataFrame:
-    """(project, dir, name, keep…): what each path makes importable, its module and the directories on its way."""
+    """(project, dir, name, keep…): what each path makes importable, its module and the directories on its way.
+
+    The project itself lies in the folder of all projects, which has no name: a package beside a checkout resolves.
+    """
     path = F.col("path")
     parts = path_parts(path)
     module = F.when(
         suffix(path).isin(".py", ""),
         F.struct(
-            parent_dir(path).alias("dir"),
+            F.col("project"), parent_dir(path).alias("dir"),
             F.when(suffix(path) == ".py", stem(path)).otherwise(file_name(path)).alias("name"),
         ),
     )
     folders = F.transform(
         F.slice(parts, F.lit(1), F.size(parts) - 1),
-        lambda part, i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("dir"), part.alias("name")),
+        lambda part, i: F.struct(F.col("project"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("dir"), part.alias("name")),
     )
-    every = F.concat(F.array_compact(F.array(module)), folders)
-    return files.select("project", *keep, F.explode(every).alias("e")).select("project", "e.dir", "e.name", *keep)
+    own = F.struct(F.lit("").alias("project"), F.lit("").alias("dir"), F.regexp_replace("project", r"\.py$", "").alias("name"))
+    every = F.concat(F.array_compact(F.array(module)), folders, F.array(own))
+    return files.select(*keep, F.explode(every).alias("e")).select("e.*", *keep)
 
 
 def local_entries(files: DataFrame) -> DataFrame:
@@ -84,8 +98,8 @@ def unknown_python_imports(
     """``rows`` of Python facts without the imports that resolve.
 
     The standard library is a literal list and goes first; the joins with the installed
-    packages (project, ecosystem, name), the modules at the project root and those beside the
-    importing file see only what is left.  Other facts pass through.
+    packages (project, ecosystem, name), the modules at the project root, those beside the
+    importing file and those beside the project see only what is left.  Other facts pass through.
     """
     is_import = F.col("kind") == "import"
     root = F.split_part("name", F.lit("."), F.lit(1))
@@ -109,12 +123,13 @@ def unknown_python_imports(
         F.col("project").alias("e_project"), F.col("dir").alias("e_dir"), F.col("name").alias("e_name")
     )
 
-    def lookup(df: DataFrame, directory: str) -> DataFrame:
-        on = (df["_k"] == entries["e_project"]) & (df[directory] == entries["e_dir"]) & (df["_root"] == entries["e_name"])
+    def lookup(df: DataFrame, project: Column, directory: str) -> DataFrame:
+        on = (project == entries["e_project"]) & (df[directory] == entries["e_dir"]) & (df["_root"] == entries["e_name"])
         return df.join(entries, on, "left_anti")
 
     left = left.join(pypi, ["_k", "_low"], "left_anti")
-    return lookup(lookup(left, "_top"), "_dir").drop("_k", "_low", "_dir", "_top", "_root")
+    left = lookup(lookup(left, F.col("_k"), "_top"), F.col("_k"), "_dir")
+    return lookup(left, F.when(is_import, "").otherwise(F.col("_k")), "_top").drop("_k", "_low", "_dir", "_top", "_root")
 
 
 def package_name(spec: Column) -> Column:

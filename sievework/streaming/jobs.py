@@ -89,7 +89,7 @@ def scan_stream(
 
         step = F.when(F.col("deleted"), -1).when(~F.col("known"), 1)
         steps = _moved_modules(moved.withColumn("step", step).where("step IS NOT NULL"), "step")
-        had = modules.before(batch_id, moved)
+        had = modules.before(batch_id, moved.select("project").union(spark.range(1).select(F.lit(""))))
         now = steps.join(had, ["project", "dir", "name"], "left").where("change <> 0")
         now = staged(now.select("project", "dir", "name", (F.coalesce("files", F.lit(0)) + F.col("change")).alias("files")))
         lookup = had.join(now, ["project", "dir", "name"], "left_anti").unionByName(now.where("files > 0"))

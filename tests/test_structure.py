@@ -207,3 +207,15 @@ def test_summaries(project):
     cut = context_pack(project, ix, import_edges(ix, project), context, fits).where("section = 3")
     assert cut.count() == 1
     assert context_pack(project, ix, import_edges(ix, project), context, fits - 1).where("section = 3").count() == 0
+
+
+def test_packages_beside_a_checkout_resolve(spark, files):
+    table = files([
+        ("p", "src/a.py", "import other\nimport lonely.part\nimport single\nimport inside\nimport nowhere_at_all\n"),
+        ("other", "setup.py", "import p"), ("lonely", "README", "x"), ("single.py", "single.py", "x = 1"), ("q", "inside/x.py", "import p.src"),
+    ])
+    none = spark.createDataFrame([], "project string, ecosystem string, name string")
+    found = import_findings(table, py_facts(table), none)
+    assert sorted((r.project, r.title) for r in found.collect()) == [
+        ("p", "Hallucinated import: inside"), ("p", "Hallucinated import: nowhere_at_all"),
+    ]
