@@ -142,21 +142,12 @@ def _(spark, sf):
 
 # ---- whole scans ------------------------------------------------------------------------
 
-_PARSED = ["nested-loop-on2", "io-in-loop", "concat-in-loop"]
-
-
-def _not_parsed():
-    """Leaves out what needs a Python parser, which the SQL side does not have."""
-    py_import = (F.col("rule_id") == "hallucinated-import") & F.col("file").endswith(".py")
-    return ~F.col("rule_id").isin(*_PARSED) & ~py_import
-
-
 @query("scan_findings", sql.SCAN_FINDINGS)
 def _(spark, sf):
     context = project_context(fx.manifests(spark, sf))
     options = ScanOptions(strictness="high")
-    found = scan(fx.project_files(spark, sf), _packages(spark, sf), options, context)
-    return found.where(_not_parsed()).select(
+    found = scan(fx.scan_files(spark, sf), _packages(spark, sf), options, context)
+    return found.select(
         "project", "file", "line_no", "rule_id", "severity", "category", "title", "evidence"
     )
 
@@ -165,8 +156,8 @@ def _(spark, sf):
 def _(spark, sf):
     context = project_context(fx.manifests(spark, sf))
     options = ScanOptions(strictness="low", rules=[])
-    found = scan(fx.project_files(spark, sf), _packages(spark, sf), options, context)
-    return found.where(_not_parsed()).select("project", "file", "line_no", "rule_id", "severity")
+    found = scan(fx.scan_files(spark, sf), _packages(spark, sf), options, context)
+    return found.select("project", "file", "line_no", "rule_id", "severity")
 
 
 @query("adjusted_findings", sql.ADJUSTED)
@@ -268,7 +259,7 @@ def _(spark, sf):
     return src.reject_counts(src.rejected(raw))
 
 
-@query("unparsed_files", sql.UNPARSED)
+@query("python_rejects", sql.UNPARSED)
 def _(spark, sf):
     files = fx.py_files(spark, sf)
     raw = src.judged(files.select("project", "path", F.col("content").cast("binary").alias("content"), "size_bytes"))
@@ -661,7 +652,7 @@ def _(spark, sf):
         arrived.write.mode("append").parquet(f"{root}/in")
         versions = spark.readStream.schema(arrived.schema).parquet(f"{root}/in")
         _finish(jobs.scan_stream(versions, packages, context, root, f"{root}/checkpoint", options))
-    return jobs.current_findings(spark, root, 4).where(_not_parsed()).select(
+    return jobs.current_findings(spark, root, 4).select(
         "project", "file", "line_no", "rule_id", "severity", "category", "title", "evidence"
     )
 
@@ -708,7 +699,7 @@ def _(spark, sf):
         fx.code_files(spark, sf), _packages(spark, sf), ScanOptions(strictness="high"),
         project_context(fx.manifests(spark, sf)), changes=changed,
     )
-    return found.where(_not_parsed()).select("project", "file", "line_no", "rule_id", "severity")
+    return found.select("project", "file", "line_no", "rule_id", "severity")
 
 
 @query("project_languages", sql.PROJECT_LANGUAGES)

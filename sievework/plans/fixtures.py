@@ -139,7 +139,8 @@ TOP = [*["'src/'"] * 2, *["CASE WHEN doc_id % 10 = 7 THEN 'moved/' ELSE 'src/' E
 def tree_at(spark: SparkSession, sf_dir: str, step: int, *keep: str | Column) -> DataFrame:
     """All files as they are at a step."""
     docs = documents(spark, sf_dir).where(ALIVE[step])
-    return code_files(spark, sf_dir, docs, *keep, shift=F.expr(SHIFT[step]), top=F.expr(TOP[step]))
+    code = code_files(spark, sf_dir, docs, *keep, shift=F.expr(SHIFT[step]), top=F.expr(TOP[step]))
+    return code.unionByName(py_files(spark, sf_dir, docs, *keep))
 
 
 def versions_at(spark: SparkSession, sf_dir: str, step: int) -> DataFrame:
@@ -149,9 +150,8 @@ def versions_at(spark: SparkSession, sf_dir: str, step: int) -> DataFrame:
     now = now.withColumns({"seq": F.lit(step).cast("long"), "deleted": F.lit(False)})
     if not step:
         return now
-    gone = f"NOT ({ALIVE[step]}) OR ({TOP[step]}) <> ({TOP[step - 1]})"
-    old = tree_at(spark, sf_dir, step - 1, F.expr(gone).alias("gone")).where("gone").drop("gone")
-    return now.unionByName(old.withColumns({"seq": F.lit(step).cast("long"), "deleted": F.lit(True), "content": F.lit(None).cast("string")}))
+    gone = tree_at(spark, sf_dir, step - 1).join(tree_at(spark, sf_dir, step).select("project", "path"), ["project", "path"], "left_anti")
+    return now.unionByName(gone.withColumns({"seq": F.lit(step).cast("long"), "deleted": F.lit(True), "content": F.lit(None).cast("string")}))
 
 
 STYLES = [
@@ -187,19 +187,21 @@ SNIPPETS = [
 ]
 
 
-def py_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Python file per document: three snippets in turn; every eleventh does not parse."""
+def py_files(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, *keep: str | Column) -> DataFrame:
+    """One Python file per document: three snippets in turn, then its text as comments; every eleventh does not parse."""
+    docs = documents(spark, sf_dir) if docs is None else docs
     snippets = _texts(SNIPPETS)
 
     def pick(step: int) -> Column:
         return F.element_at(snippets, ((F.col("doc_id") + step) % len(SNIPPETS) + 1).cast("int"))
 
     broken = F.when(F.col("doc_id") % 11 == 0, "def broken(:\n").otherwise("")
+    comment = F.concat(F.lit("# "), F.replace(F.translate("text", "\r\x00", "  "), F.lit("\n"), F.lit("\n# ")))
     return file_table(
-        documents(spark, sf_dir).select(
+        docs.select(
             F.col("source").alias("project"),
             F.concat(F.lit("app/"), "lang", F.lit("/m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
-            F.concat(pick(0), pick(3), pick(5), broken).alias("content"),
+            F.concat(pick(0), pick(3), pick(5), broken, comment).alias("content"), *keep,
         )
     )
 
@@ -333,6 +335,11 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_table(each.select("project", "m.path", "m.content"))
 
 
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What whole scans look at: sources, manifests and Python files that parse."""
+    return project_files(spark, sf_dir).unionByName(py_files(spark, sf_dir))
+
+
 def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files and manifests of all projects."""
     return code_files(spark, sf_dir).unionByName(manifests(spark, sf_dir))
