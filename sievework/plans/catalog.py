@@ -665,6 +665,21 @@ def _(spark, sf):
     return jobs.read_latest(spark, f"{root}/counts", "project", "rule_id", "file_pattern")
 
 
+@query("stream_dismissals_cleared", sql.DISMISSALS_CLEARED)
+def _(spark, sf):
+    """Dismissals and clears in three micro-batches, out of their order."""
+    root = _stream_root(spark)
+    events = fx.dismissal_events(spark, sf).withColumn("clear", F.lit(False))
+    clears = fx.dismissal_clears(spark, sf).withColumns({"ts": F.lit(None).cast("timestamp_ntz"), "reason": F.lit(None).cast("string")})
+    rows = events.unionByName(clears.withColumn("clear", F.lit(True)))
+    for step in (1, 2, 0):
+        rows.where(F.col("seq") % 3 == step).write.mode("append").parquet(f"{root}/in")
+        arrived = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        _finish(jobs.dismissal_stream(arrived, root, f"{root}/checkpoint"))
+    counts = jobs.DismissalState(spark, root).counts.before(3)
+    return counts.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+
+
 @query("stream_issue_rate", sql.STREAM_RATE)
 def _(spark, sf):
     root = _stream_root(spark)

@@ -118,6 +118,54 @@ def dismissal_counts(events: DataFrame) -> DataFrame:
     )
 
 
+class DismissalState:
+    """Dismissals and clears as they stand: the live dismissals, the last clear of every rule and pattern, the counts."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        spread = ["project", "rule_id"]
+        key = "project string, rule_id string, file_pattern string"
+        self.events = KeyedTable(spark, f"{root}/events", f"{key}, seq long", "ts timestamp, reason string", spread)
+        self.clears = KeyedTable(spark, f"{root}/clears", key, "at long", spread)
+        self.counts = KeyedTable(spark, f"{root}/counts", key, "reason string, count long, last_ts timestamp, auto_suppress boolean", spread)
+
+
+def dismissal_stream(rows: DataFrame, root: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keeps dismissal counts up to date over dismissals and clears, in whatever order they arrive.
+
+    ``rows`` is a stream of project, seq, ts, rule_id, file_pattern, reason and ``clear``, which is true for a
+    clear.  What counts is the sequence, not the arrival: a clear silences the dismissals before it also
+    if it comes late, and a late dismissal does not count if a clear after it is known.  The result is that
+    of ``dismissal_state`` over all rows so far.  A batch reads and writes the rules it touches.
+    """
+    key = ["project", "rule_id", "file_pattern"]
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        state = DismissalState(batch.sparkSession, root)
+        new = batch.withColumn("file_pattern", F.coalesce("file_pattern", F.lit("")))
+        touched = staged(new.select("project", "rule_id").distinct())
+        old_clears = state.clears.before(batch_id, touched)
+        cleared = new.where("clear").groupBy(*key).agg(F.max("seq").alias("at"))
+        clears = staged(old_clears.unionByName(cleared).groupBy(*key).agg(F.max("at").alias("at")))
+        had = state.events.before(batch_id, touched).join(touched, ["project", "rule_id"], "left_semi")
+        come = new.where("NOT clear").select(*key, "seq", F.col("ts").cast("timestamp").alias("ts"), "reason")
+        events = had.withColumn("had", F.lit(True)).unionByName(come.withColumn("had", F.lit(False)))
+        whole = clears.where("file_pattern = ''").select("project", "rule_id", F.col("at").alias("at_rule"))
+        some = clears.where("file_pattern <> ''").withColumnRenamed("at", "at_pattern")
+        last = F.greatest(F.coalesce("at_rule", F.lit(-1)), F.coalesce("at_pattern", F.lit(-1)))
+        judged = events.join(whole, ["project", "rule_id"], "left").join(some, key, "left").withColumn("gone", F.col("seq") <= last)
+        judged = staged(judged.select(*key, "seq", "ts", "reason", "had", "gone").dropDuplicates([*key, "seq"]))
+        now = judged.where("NOT gone").groupBy(*key).agg(
+            F.min_by(F.coalesce("reason", F.lit("")), "seq").alias("reason"), F.count(F.lit(1)).alias("count"), F.max("ts").alias("last_ts")
+        ).withColumn("auto_suppress", F.col("count") >= SUPPRESS_AFTER)
+        empty = judged.select(*key).distinct().join(now.select(*key), key, "left_anti")
+        zeros = empty.selectExpr(*key, "CAST(NULL AS STRING) AS reason", "0L AS count", "CAST(NULL AS TIMESTAMP) AS last_ts", "false AS auto_suppress")
+        state.counts.put(now.withColumn("gone", F.lit(False)).unionByName(zeros.withColumn("gone", F.lit(True))), batch_id)
+        state.clears.put(clears.join(touched, ["project", "rule_id"], "left_semi").withColumn("gone", F.lit(False)), batch_id)
+        state.events.put(judged.where("had = gone"), batch_id)  # new ones that count, old ones that no longer do
+
+    return run(rows, "", checkpoint, each=each, trigger=trigger)
+
+
 def keep_latest(root: str) -> Callable[[DataFrame, int], None]:
     """Writer for update mode: changed rows per batch; ``read_latest`` picks the newest."""
     return lambda batch, batch_id: _replace_batch(batch, root, batch_id)

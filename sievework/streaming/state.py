@@ -37,7 +37,7 @@ class KeyedTable:
     def _read(self, path: str, batch_id: int, buckets: list[int] | None) -> DataFrame:
         rows = self.spark.read.schema(f"{self.schema}, bucket int").parquet(path)
         rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
-        return rows.drop("bucket").withColumn("at", F.lit(batch_id))
+        return rows.drop("bucket").withColumn("_batch", F.lit(batch_id))
 
     def before(self, batch_id: int, touched: DataFrame | None = None) -> DataFrame:
         """Keys and values after all batches before ``batch_id``; of the buckets of ``touched`` only, if given."""
@@ -53,7 +53,7 @@ class KeyedTable:
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)
-        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*self.values, "gone"), "at").alias("v"))
+        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*self.values, "gone"), "_batch").alias("v"))
         return last.where(~F.col("v.gone")).select(*self.keys, *[f"v.{c}" for c in self.values])
 
     def put(self, changes: DataFrame, batch_id: int) -> None:
@@ -61,7 +61,7 @@ class KeyedTable:
         self._write(changes, self._delta(batch_id))
         if (batch_id + 1) % self.every == 0:
             old = self.before(batch_id).withColumn("gone", F.lit(False))
-            new = self._read(self._delta(batch_id), batch_id, None).drop("at")
+            new = self._read(self._delta(batch_id), batch_id, None).drop("_batch")
             kept = old.join(new.select(*self.keys), self.keys, "left_anti")
             self._write(kept.unionByName(new.where("NOT gone")), self._whole((batch_id + 1) // self.every))
 
