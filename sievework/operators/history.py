@@ -47,13 +47,22 @@ def latest_scans(scans: DataFrame, keys: list[str], n: int = 2) -> DataFrame:
     return scans.withColumn("age", F.row_number().over(w)).where(F.col("age") <= n)
 
 
-def scan_history(scans: DataFrame, limit: int = 20, project: str | None = None) -> DataFrame:
-    """Newest scans first."""
+def scan_history(scans: DataFrame, limit: int = 20, project: str | None = None, since: Column | None = None) -> DataFrame:
+    """Newest scans first; ``since`` leaves out older ones by their ``timestamp``."""
     rows = scans if project is None else scans.where(F.col("project") == project)
+    rows = rows if since is None else rows.where(F.col("timestamp") >= since)
     order = [F.col(c).desc() for c in ("timestamp", "scan_id") if c in scans.columns]
     return rows.orderBy(*order, "project").limit(limit)
 
 
+def ago(span: str, now: Column | None = None) -> Column:
+    """The time ``span`` before now, written as 12h, 7d or 2w."""
+    units = {"h": "hours", "d": "days", "w": "weeks"}
+    if not span[:-1].isdigit() or span[-1] not in units:
+        raise ValueError(f"{span!r} is no span such as 30d")
+    return (F.current_timestamp() if now is None else now) - F.expr(f"INTERVAL {int(span[:-1])} {units[span[-1]]}")
+
+
 def quality_delta(scans: DataFrame, log: DataFrame) -> DataFrame:
     """Latest scan against the one before, per project (and scan mode where there is one).
 

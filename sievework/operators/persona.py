@@ -90,6 +90,44 @@ FLOWS = {
     "visitor": ["land on homepage", "understand value prop", "sign up or try demo"],
     "mobile": ["open on phone", "navigate to main feature", "complete task with touch"],
 }
+# (description, goals, pain points)
+STORIES = {
+    "creator": (
+        "Creates and uploads content. Expects simple, visual workflows.",
+        ["Upload and process content quickly", "Get results without technical knowledge"],
+        ["Confusing error messages", "No progress feedback", "Too many options"],
+    ),
+    "business": (
+        "Uses dashboards and reports for decision-making.",
+        ["View key metrics at a glance", "Export data for presentations"],
+        ["Slow loading dashboards", "Can't find specific data", "No mobile access"],
+    ),
+    "developer": (
+        "Integrates with the API. Needs clear docs and fast responses.",
+        ["Integrate quickly", "Find the right endpoint", "Handle errors gracefully"],
+        ["Outdated docs", "Unclear error codes", "No code examples"],
+    ),
+    "user": (
+        "General user of the application.",
+        ["Complete their task quickly", "Understand what to do next"],
+        ["Confusing navigation", "No feedback on actions", "Unclear errors"],
+    ),
+    "admin": (
+        "Manages users, settings, and system configuration.",
+        ["Manage user accounts", "Configure system settings", "Monitor activity"],
+        ["No bulk operations", "Audit trail missing", "Role management unclear"],
+    ),
+    "visitor": (
+        "Has never seen this product before. Needs to understand what it does in seconds.",
+        ["Understand what this product does", "Try it out quickly", "Decide if it's worth using"],
+        ["No clear value proposition", "Complex signup", "No free trial or demo"],
+    ),
+    "mobile": (
+        "Accesses the app primarily on phone. Needs touch-friendly, fast-loading UI.",
+        ["Complete tasks on the go", "Quick access to key features"],
+        ["Tiny touch targets", "Slow loading on 4G", "Desktop-only features"],
+    ),
+}
 SIGNALS = ["has_admin", "has_dashboard", "has_mobile_meta", *SIGNAL_WORDS]
 
 
@@ -161,15 +199,16 @@ def app_type() -> Column:
 
 def _persona(key: str) -> Column:
     name, role, level, devices = PERSONAS[key]
+    description, goals, pains = STORIES[key]
+    lists = {"devices": devices, "key_flows": FLOWS[key], "goals": goals, "pain_points": pains}
     return F.struct(
-        F.lit(name).alias("name"), F.lit(role).alias("role"), F.lit(level).alias("tech_level"),
-        F.array(*[F.lit(d) for d in devices]).alias("devices"),
-        F.array(*[F.lit(f) for f in FLOWS[key]]).alias("key_flows"),
+        F.lit(name).alias("name"), F.lit(role).alias("role"), F.lit(level).alias("tech_level"), F.lit(description).alias("description"),
+        *[F.array(*[F.lit(x) for x in values]).alias(column) for column, values in lists.items()],
     )
 
 
 def personas(signals: DataFrame, name_filter: str | None = None) -> DataFrame:
-    """(project, pos, name, role, tech_level, devices, key_flows): up to four per project.
+    """(project, pos, name, role, tech_level, description, devices, key_flows, goals, pain_points): up to four per project.
 
     A filter keeps the names that contain it; a project without such a name keeps all.
     """

@@ -19,22 +19,47 @@ VERSION = "1.0.0"
 ORDER = ["project", "section", "rank", "file_key", "line_key", "sub"]
 
 
+def _per_project(df: DataFrame | None, name: str, *columns: str) -> DataFrame | None:
+    """(project, name): the other columns of a one-row-per-project table as one struct."""
+    if df is None:
+        return None
+    return df.select("project", F.struct(*(columns or [c for c in df.columns if c != "project"])).alias(name))
+
+
 def json_records(
     findings: DataFrame, target: Column | None = None, timestamp: str | None = None, duration_ms: int | None = None,
+    scores: DataFrame | None = None, results: DataFrame | None = None, architecture: DataFrame | None = None,
+    context: DataFrame | None = None,
 ) -> DataFrame:
-    """(project, record, body): one summary record per project and one per finding.
+    """(project, record, body): one summary record per project, one per finding, one per checked assertion.
 
-    ``timestamp`` (ISO text) and ``duration_ms`` of the scan are known to the caller; null ones are left out.
+    ``timestamp`` (ISO text) and ``duration_ms`` of the scan are known to the caller.  ``scores``: project, raw_intent,
+    fidelity_score; ``results`` as for ``markdown``; ``architecture``: project, architecture_summary;
+    ``context``: project and whatever ``project_context`` says.  What is not given or null is left out.
     """
     s = summary(findings)
-    counts = F.struct("total_issues", *SEVERITY_RANK, "engines_run")
+    extra = [
+        _per_project(scores, "_score", "raw_intent", "fidelity_score"), _per_project(architecture, "_built", "architecture_summary"),
+        _per_project(context, "_context"),
+    ]
+    for df in extra:
+        s = s if df is None else s.join(df, "project", "left")
+
+    def given(column: str, kind: str) -> Column:
+        return F.col(column) if column.split(".")[0] in s.columns else F.lit(None).cast(kind)
+
+    counts = F.struct(
+        "total_issues", *SEVERITY_RANK, given("_score.fidelity_score", "double").alias("fidelity_score"), "engines_run",
+        F.lit(duration_ms).cast("long").alias("scan_duration_ms"),
+    )
     head = s.select(
         "project", F.lit("summary").alias("record"),
         F.to_json(
             F.struct(
-                F.lit(VERSION).alias("version"), "project",
-                (F.col("project") if target is None else target).alias("target"), F.lit(timestamp).alias("timestamp"),
-                F.lit(duration_ms).cast("long").alias("duration_ms"), counts.alias("summary"),
+                F.lit(VERSION).alias("version"), F.lit(timestamp).alias("timestamp"), "project",
+                (F.col("project") if target is None else target).alias("target"), given("_score.raw_intent", "string").alias("intent"),
+                counts.alias("summary"), given("_built.architecture_summary", "string").alias("architecture_summary"),
+                given("_context", "struct<none:string>").alias("project_context"),
             )
         ).alias("body"),
     )
@@ -43,7 +68,11 @@ def json_records(
         "project", F.lit("issue").alias("record"),
         F.to_json(F.struct(*[c for c in located.columns if c != "project"])).alias("body"),
     )
-    return head.unionByName(each)
+    out = head.unionByName(each)
+    if results is not None:
+        checked = F.struct("idx", "description", "expect", F.lower("status").alias("status"), "evidence")
+        out = out.unionByName(results.select("project", F.lit("intent").alias("record"), F.to_json(checked).alias("body")))
+    return out
 
 
 def _upper(col: str) -> Column:
@@ -82,20 +111,22 @@ def finding_text() -> Column:
 
 def markdown(
     findings: DataFrame, results: DataFrame | None = None, scores: DataFrame | None = None,
-    heading: str = "Code Report", timestamp: str | None = None, duration_ms: int | None = None,
+    heading: str = "Code Report", timestamp: str | None = None, duration_ms: int | None = None, target: Column | None = None,
 ) -> DataFrame:
     """Rows (project, section, rank, file_key, line_key, sub, text); sorted by these columns the
     texts of a project are its report.
 
     ``results``: project, idx, description, expect, status, evidence; ``scores``: project,
-    raw_intent, fidelity_score.  ``timestamp`` and ``duration_ms`` of the scan appear in the head if given.
+    raw_intent, fidelity_score.  ``target`` (a column of what was scanned), ``timestamp`` and ``duration_ms`` of the scan
+    appear in the head if given.
     """
     s = summary(findings)
-    said = [f"**Date:** {timestamp}"] if timestamp else []
-    said += [f"**Duration:** {duration_ms}ms"] if duration_ms is not None else []
+    said = [F.concat(F.lit("**Target:** "), target)] if target is not None else []
+    said += [F.lit(f"**Date:** {timestamp}")] if timestamp else []
+    said += [F.lit(f"**Duration:** {duration_ms}ms")] if duration_ms is not None else []
     table = F.concat_ws(
         "\n",
-        F.lit(f"# {heading}"), F.concat(F.lit("**Project:** "), "project"), *[F.lit(x) for x in said], F.lit(""),
+        F.lit(f"# {heading}"), F.concat(F.lit("**Project:** "), "project"), *said, F.lit(""),
         F.lit("## Summary"), F.lit(""), F.lit("| Severity | Count |"), F.lit("|----------|-------|"),
         *[F.concat(F.lit(f"| {name.capitalize()} | "), F.col(name), F.lit(" |")) for name in SEVERITY_RANK],
         F.concat(F.lit("| **Total** | **"), F.col("total_issues"), F.lit("** |")), F.lit(""),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -341,9 +341,13 @@ def _(spark, sf):
     return history.dismissal_state(fx.dismissal_events(spark, sf), fx.dismissal_clears(spark, sf))
 
 
-@query("dismissals_by_count", sql.DISMISSALS)
+@query("dismissals_by_count", sql.DISMISSALS_PLACED)
 def _(spark, sf):
-    return history.dismissals(history.dismissal_state(fx.dismissal_events(spark, sf)))
+    """The list in its order, each project's part numbered along it."""
+    listed = history.dismissals(history.dismissal_state(fx.dismissal_events(spark, sf)))
+    along = Window.partitionBy("project").orderBy("at")
+    placed = listed.withColumn("at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(along).cast("long"))
+    return placed.drop("at")
 
 
 @query("unsuppressed_findings", sql.UNSUPPRESSED)
@@ -441,6 +445,16 @@ def _(spark, sf):
     return deep_scan(fx.project_files(spark, sf), fx.assets(spark, sf)).select(*_DEEP)
 
 
+@query("deep_in_order", sql.DEEP_ORDERED)
+def _(spark, sf):
+    """Every deep finding with its place in its project's list, a project being split by severity and folder."""
+    files = fx.project_files(spark, sf)
+    found = deep.deep_findings(files, project_context(fx.manifests(spark, sf)), fx.assets(spark, sf))
+    folder = F.struct(severity_rank("severity"), F.slice(path_parts(F.coalesce("file", F.lit(""))), 1, 3))
+    placed = numbered(found, ["project"], folder, fnd.report_order(), "place")
+    return placed.select("project", "file", "line_no", "rule_id", F.col("place").cast("long").alias("place"))
+
+
 # ---- personas ---------------------------------------------------------------------------
 
 
@@ -458,7 +472,8 @@ def _(spark, sf):
 def _(spark, sf):
     signals = fx.features(spark, sf).withColumn("app_type", persona.app_type())
     people = persona.personas(signals).join(signals.select("project", "app_type"), "project")
-    return people.withColumn("devices", F.array_join("devices", ",")).drop("key_flows")
+    lists = ["devices", "key_flows", "goals", "pain_points"]
+    return people.withColumns({c: F.array_join(c, "|") for c in lists})
 
 
 @query("personas_by_name", sql.PERSONAS_FILTERED)
@@ -493,7 +508,7 @@ for _name in sql.PERSONA_RULES:
     _persona_query(_name)
 
 
-@query("persona_scan")
+@query("persona_scan", sql.PERSONA_SCAN)
 def _(spark, sf):
     return persona_scan(_persona_files(spark, sf), fx.assets(spark, sf)).select(*_DEEP, "persona")
 
@@ -625,6 +640,37 @@ def _(spark, sf):
     return records.select("project", "record", *[F.get_json_object("body", p).alias(n) for n, p in fields.items()])
 
 
+def _checked_intent(spark, sf):
+    """Assertions and their score by project, for the report."""
+    rows = intent.assertion_results(*fx.assertion_rows(spark, sf))
+    scores = intent.fidelity(rows.withColumn("intent_id", F.col("project"))).select(
+        F.col("intent_id").alias("project"), F.concat(F.lit("keep "), "intent_id").alias("raw_intent"), "fidelity_score"
+    )
+    return rows.withColumn("idx", F.col("intent_id") * 100 + F.col("idx")), scores
+
+
+@query("report_json_full", sql.REPORT_JSON_FULL)
+def _(spark, sf):
+    """Every record with its whole body."""
+    found = staged(security_findings(fx.code_files(spark, sf)))
+    results, scores = _checked_intent(spark, sf)
+    records = report.json_records(
+        found, F.concat(F.lit("checkouts/"), "project"), "2024-05-06T07:08:09Z", 1234, scores=scores, results=results
+    )
+    return records.select("project", "record", "body")
+
+
+@query("report_markdown_full", sql.REPORT_MARKDOWN_FULL)
+def _(spark, sf):
+    """With target, date, duration, score and intent."""
+    found = staged(security_findings(fx.code_files(spark, sf)))
+    results, scores = _checked_intent(spark, sf)
+    lines = report.markdown(
+        found, results, scores, timestamp="2024-05-06", duration_ms=1234, target=F.concat(F.lit("checkouts/"), "project")
+    )
+    return lines.select("project", "section", "rank", "line_key", "text")
+
+
 @query("report_markdown", sql.REPORT_MARKDOWN)
 def _(spark, sf):
     return report.markdown(staged(security_findings(fx.code_files(spark, sf)))).select("project", "section", "rank", "text")

@@ -75,8 +75,13 @@ TEMPLATES = [
     'fs.writeFileSync("/tmp/out", err.message)',
     "let seen = new Set(); new XMLHttpRequest()",
     "rows.map((row, i) => <li key={i}>{row}</li>)",
+    'cursor.execute("SELECT * FROM t WHERE id = " + uid)',
+    'ddl = "CREATE TABLE t (id INT);',
+    "CREATE TABLE jobs (id INT);",
+    "res.json(error)",
+    "useEffect(() => { load() });",
 ]
-SLOTS = 67
+SLOTS = 71
 EXTS = [".py", ".js", ".tsx", ".html"]
 
 

@@ -532,6 +532,7 @@ DE AS (
 _STATE_COLS = """project, rule_id, file_pattern, arg_min(reason, seq) AS reason, count(*) AS count, max(ts) AS last_ts,
   count(*) >= 3 AS auto_suppress"""
 DISMISSALS = f"WITH {DISMISSAL_EVENTS} SELECT {_STATE_COLS} FROM DE GROUP BY project, rule_id, file_pattern"
+DISMISSALS_PLACED = f"""SELECT *, row_number() OVER (PARTITION BY project ORDER BY "count" DESC, rule_id, file_pattern) AS place FROM ({DISMISSALS})"""
 DISMISSALS_CLEARED = f"""WITH {DISMISSAL_EVENTS},
 CL AS (SELECT 'src' || user_id % 5 AS project, event_id AS seq, 'rule' || event_id % 4 AS rule_id,
   CASE WHEN event_id % 997 = 0 THEN '' ELSE 'F' || user_id % 13 || '.' END AS pattern
@@ -747,7 +748,9 @@ FEATURES_CTE = "FT AS (SELECT 'u' || c_custkey AS project, c_custkey AS k, " + "
     f"(c_custkey {e[2:]}) AS {n}" for n, e in _feature_cols.items()
 ) + " FROM customer)"
 _people = " UNION ALL ".join(
-    f"SELECT project, {pos} AS slot, {q(name)} AS name, {q(role)} AS role, {q(level)} AS tech_level, {q(','.join(devices))} AS devices FROM FT WHERE {cond}"
+    f"SELECT project, {pos} AS slot, {q(name)} AS name, {q(role)} AS role, {q(level)} AS tech_level, {q('|'.join(devices))} AS devices, "
+    f"{q(persona.STORIES[key][0])} AS description, {q('|'.join(persona.FLOWS[key]))} AS key_flows, "
+    f"{q('|'.join(persona.STORIES[key][1]))} AS goals, {q('|'.join(persona.STORIES[key][2]))} AS pain_points FROM FT WHERE {cond}"
     for key, pos, cond in [
         ("creator", 0, "has_video_audio OR has_file_upload"),
         ("business", 0, "NOT (has_video_audio OR has_file_upload) AND has_dashboard AND has_data_tables"),
@@ -758,7 +761,8 @@ _people = " UNION ALL ".join(
     for name, role, level, devices in [persona.PERSONAS[key]]
 )
 PEOPLE_CTE = f"""{FEATURES_CTE}, PP0 AS ({_people}),
-PP AS (SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY slot) - 1 AS INT) AS pos, name, role, tech_level, devices FROM PP0)"""
+PP AS (SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY slot) - 1 AS INT) AS pos,
+  name, role, tech_level, devices, description, key_flows, goals, pain_points FROM PP0)"""
 PERSONAS = f"WITH {PEOPLE_CTE} SELECT PP.*, {APP_TYPE} AS app_type FROM PP JOIN FT USING (project)"
 PERSONAS_FILTERED = f"""WITH {PEOPLE_CTE},
 MT AS (SELECT *, contains(lower(name), 'admin') AS hit, bool_or(contains(lower(name), 'admin')) OVER (PARTITION BY project) AS any_hit FROM PP)
@@ -819,6 +823,9 @@ _persona_part = lambda r: (
     f"SELECT project, path AS file, CAST({PERSONA_RULES[r][2]} AS INT) AS line_no, {q(r)} AS rule_id, {q(PERSONA_RULES[r][0])} AS severity, "
     f"{PERSONA_RULES[r][1]} AS title, {PERSONA_RULES[r][3]} AS persona FROM {PERSONA_RULES[r][4]}"
 )
+PERSONA_SCAN = f"WITH {_PF}, {SIGNALS_CTE}, FT AS (SELECT * FROM SG), PP0 AS ({_people}), PP AS (SELECT * FROM PP0), {ASSETS} " + "\nUNION ALL ".join(
+    _persona_part(r) for r in PERSONA_RULES
+)
 PERSONA_FINDINGS = f"WITH {_PERSONA_CTE} " + "\nUNION ALL ".join(_persona_part(r) for r in PERSONA_RULES)
 
 
@@ -996,3 +1003,42 @@ ORDERED = f"""WITH {ALL_LINES}, {security_cte()}
 SELECT project, file, line_no, rule_id,
   row_number() OVER (PARTITION BY project ORDER BY CASE severity WHEN 'critical' THEN 0 ELSE 1 END, string_split(file, '/'), line_no, rule_id) AS place
 FROM SEC"""
+DEEP_ORDERED = f"""
+SELECT project, file, line_no, rule_id, row_number() OVER (PARTITION BY project ORDER BY
+  CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 ELSE 3 END, string_split(coalesce(file, ''), '/'),
+  coalesce(line_no, 0), rule_id) AS place
+FROM ({DEEP_FINDINGS})"""
+_confidence = {d.rule.rule_id: d.rule.confidence for d in security.security_detectors()}
+_sure = "CASE rule_id " + " ".join(f"WHEN {q(k)} THEN {q(repr(v))}" for k, v in _confidence.items()) + " END"
+_SCORES = f"""
+SC AS (
+  SELECT project, 'keep ' || project AS raw_intent,
+         round_even(CASE WHEN sum(importance) <> 0 THEN {_dec('score * importance')} / {_dec('importance')} * 100 ELSE 0.0 END, 1) AS score
+  FROM AS0 GROUP BY project)"""
+_j = lambda e: f"to_json({e})::VARCHAR"
+REPORT_JSON_FULL = f"""WITH {ALL_LINES}, {security_cte()}, {SUMMARY_CTE.format('SEC')}, {INTENT_CTE}, {_SCORES}
+SELECT project, 'summary' AS record,
+  '{{"version":"1.0.0","timestamp":"2024-05-06T07:08:09Z","project":' || {_j('project')} || ',"target":' || {_j("'checkouts/' || project")}
+  || coalesce(',"intent":' || {_j('raw_intent')}, '') || ',"summary":{{"total_issues":' || total_issues || ',"critical":' || critical
+  || ',"major":' || major || ',"minor":' || minor || ',"info":' || info || coalesce(',"fidelity_score":' || {_j('score')}, '')
+  || ',"engines_run":["code"],"scan_duration_ms":1234}}}}' AS body
+FROM SUMMARY LEFT JOIN SC USING (project)
+UNION ALL SELECT project, 'issue',
+  '{{"id":' || {_j("'f-' || rule_id || '-' || file || ':' || line_no")} || ',"rule_id":' || {_j('rule_id')} || ',"severity":' || {_j('severity')}
+  || ',"category":"security","title":' || {_j('title')} || ',"description":' || {_j(_why)} || ',"suggestion":' || {_j(_fix)} || ',"confidence":' || {_sure}
+  || ',"engine":"code","evidence":' || {_j('evidence')} || ',"location":{{"file":' || {_j('file')} || ',"line":' || line_no || '}}}}'
+FROM SEC
+UNION ALL SELECT project, 'intent',
+  '{{"idx":' || (intent_id * 100 + idx) || ',"description":' || {_j('description')} || ',"expect":' || {_j('expect')} || ',"status":' || {_j('status')}
+  || coalesce(',"evidence":' || {_j('evidence')}, '') || '}}'
+FROM AS0"""
+REPORT_MARKDOWN_FULL = f"""WITH BASE AS ({REPORT_MARKDOWN}), {INTENT_CTE.strip()}, {_SCORES}
+SELECT project, section, rank,
+  CASE WHEN section = 3 AND starts_with(text, '### ') THEN -1 WHEN section = 3 THEN CAST(regexp_extract(text, ':(\\d+)`', 1) AS BIGINT) ELSE 0 END AS line_key,
+  replace(text, '**Project:** ' || project || chr(10), '**Project:** ' || project || chr(10) || '**Target:** checkouts/' || project || chr(10)
+    || '**Date:** 2024-05-06' || chr(10) || '**Duration:** 1234ms' || chr(10)) AS text
+FROM BASE
+UNION ALL SELECT project, 1, 0, 0, '**Prompt Fidelity Score:** ' || score || '/100' || chr(10) FROM SC
+UNION ALL SELECT project, 4, 0, 0, '## Intent Verification' || chr(10) || chr(10) || '**Intent:** ' || raw_intent || chr(10) || '**Fidelity Score:** ' || score || '/100' || chr(10) FROM SC
+UNION ALL SELECT project, 5, 0, intent_id * 100 + idx, '- [' || CASE status WHEN 'pass' THEN '+' WHEN 'fail' THEN 'x' WHEN 'partial' THEN '~' ELSE '?' END || '] '
+  || description || chr(10) || '  Expected: ' || expect || chr(10) || coalesce('  Found: ' || nullif(evidence, '') || chr(10), '') FROM AS0"""

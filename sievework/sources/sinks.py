@@ -127,9 +127,9 @@ def last_issues(spark: SparkSession, root: str, scan_mode: str, before: int) ->
     return log.join(last_scans(spark, root, scan_mode, before), ["project", "scan_id"], "left_semi")
 
 
-def write_json_report(findings: DataFrame, path: str, target: Column | None = None) -> None:
-    """JSON lines: summaries and findings, in separate folders."""
-    json_records(findings, target).select("record", F.col("body").alias("value")).write.mode(
+def write_json_report(findings: DataFrame, path: str, target: Column | None = None, **parts: object) -> None:
+    """JSON lines: summaries, findings and checked assertions, in separate folders; ``parts`` as for ``json_records``."""
+    json_records(findings, target, **parts).select("record", F.col("body").alias("value")).write.mode(
         "overwrite"
     ).partitionBy("record").text(path)
 

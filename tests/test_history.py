@@ -232,7 +232,9 @@ def test_save_scan_twice_is_once(files, spark, tmp_path):
 
 def test_report_files(files, spark, tmp_path):
     found = security_findings(files({"a.py": "eval(x)"}))
-    sinks.write_json_report(found, str(tmp_path / "json"))
+    sinks.write_json_report(found, str(tmp_path / "json"), timestamp="2024-01-01T00:00:00Z", duration_ms=7)
+    head = spark.read.json(str(tmp_path / "json" / "record=summary")).first()
+    assert (head.timestamp, head.summary.scan_duration_ms) == ("2024-01-01T00:00:00Z", 7)
     assert spark.read.json(str(tmp_path / "json")).count() == 2
     sinks.write_markdown_report(found, str(tmp_path / "md"))
     assert "## Issues" in [r.value for r in spark.read.text(str(tmp_path / "md")).collect()]
@@ -306,3 +308,33 @@ def test_whole_jobs_run(files):
     table = files({"vercel.json": "{}", "api/a.js": "let cache = {}", "ui/b.tsx": "<p>JSON</p>"})
     assert {r.rule_id for r in deep_scan(table).collect()} == {"serverless-stateful-code"}
     assert "ui-jargon" in {r.rule_id for r in persona_scan(table).collect()}
+
+
+def test_history_since(spark):
+    rows = [("p", i, f"2024-01-{i:02d} 00:00:00") for i in (1, 10, 20, 30)]
+    scans = spark.createDataFrame(rows, "project string, scan_id long, ts string").select("project", "scan_id", F.col("ts").cast("timestamp").alias("timestamp"))
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    assert [r.scan_id for r in history.scan_history(scans, since=history.ago("12d", now)).collect()] == [30, 20]
+    assert [r.scan_id for r in history.scan_history(scans, since=history.ago("3w", now)).collect()] == [30, 20, 10]
+    assert history.scan_history(scans, since=history.ago("30d")).count() == 0
+    for bad in ("30", "d", "5m"):
+        with pytest.raises(ValueError):
+            history.ago(bad)
+
+
+def test_json_report_has_all_parts(spark, files):
+    found = security_findings(files({"a.py": "eval(x)"}))
+    one = {n: spark.createDataFrame([("p", *v)], f"project string, {kinds}") for n, v, kinds in [
+        ("scores", ("do it", 61.5), "raw_intent string, fidelity_score double"), ("architecture", ("two files",), "architecture_summary string"),
+        ("context", (True, "flask"), "is_api boolean, frameworks string"),
+    ]}
+    results = spark.createDataFrame([("p", 0, "has a", "a", "PASS", None)], "project string, idx int, description string, expect string, status string, evidence string")
+    body = {r.record: json.loads(r.body) for r in report.json_records(found, timestamp="t", duration_ms=3, results=results, **one).collect()}
+    assert body["summary"]["summary"] == {
+        "total_issues": 1, "critical": 1, "major": 0, "minor": 0, "info": 0, "fidelity_score": 61.5, "engines_run": ["code"], "scan_duration_ms": 3,
+    }
+    assert {k: body["summary"][k] for k in ("intent", "architecture_summary", "project_context")} == {
+        "intent": "do it", "architecture_summary": "two files", "project_context": {"is_api": True, "frameworks": "flask"},
+    }
+    assert body["intent"] == {"idx": 0, "description": "has a", "expect": "a", "status": "pass"}
+    assert json.loads(report.json_records(found).where("record = 'summary'").first().body).keys() == {"version", "project", "target", "summary"}
