@@ -13,8 +13,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from sievework.functions.predicates import either, has, text
 from sievework.schema import FILE, Rule
@@ -23,11 +24,11 @@ from sievework.schema import FILE, Rule
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FACT_COLUMNS = [
-    "project", "path", "idx", "kind", "name", "line_no", "loops", "loop", "plain_loop", "is_data", "seq",
+    "project", "path", "idx", "kind", "name", "line_no", "loops", "loop", "plain_loop", "is_data", "seq", "inner_line", "inner_data",
 ]
 FACTS_DDL = (
     "project string, path string, idx int, kind string, name string, line_no int, "
-    "loops array<int>, loop int, plain_loop int, is_data boolean, seq int"
+    "loops array<int>, loop int, plain_loop int, is_data boolean, seq int, inner_line int, inner_data boolean"
 )
 
 # Names of calls that do input or output, and the largest harmless range.
@@ -99,17 +100,30 @@ def file_facts(content: str) -> Iterator[tuple]:
         todo.extend((child, *mine) for child in ast.iter_child_nodes(node))
 
 
+def facts_with_inner(content: str) -> Iterator[tuple]:
+    """Facts, each loop with line and kind of the first loop nested in it; a file that does not parse is one fact."""
+    try:
+        facts = list(file_facts(content))
+    except (SyntaxError, ValueError, RecursionError) as e:
+        # said, not passed over; no rule looks at this kind
+        yield (-1, "unparsed", type(e).__name__, getattr(e, "lineno", None) or 1, [], None, None, None, 0, None, None)
+        return
+    inner: dict[int, tuple] = {}  # facts come in the order of idx, so the first one met is the first in the walk
+    for _, kind, _, line_no, loops, _, _, is_data, _ in facts:
+        if kind == "for":
+            for outer in loops:
+                inner.setdefault(outer, (line_no, is_data))
+    for fact in facts:
+        yield (*fact, *(inner.get(fact[0], (None, None)) if fact[1] == "for" else (None, None)))
+
+
 def _facts_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for project, path, content in zip(batch["project"], batch["path"], batch["content"]):
-            try:
-                rows += [(project, path, *fact) for fact in file_facts(content)]
-            except (SyntaxError, ValueError, RecursionError) as e:
-                # said, not passed over; no rule looks at this kind
-                rows.append((project, path, -1, "unparsed", type(e).__name__, getattr(e, "lineno", None) or 1, [], None, None, None, 0))
+            rows += [(project, path, *fact) for fact in facts_with_inner(content)]
         out = pd.DataFrame(rows, columns=FACT_COLUMNS)
-        yield out.astype({"loop": "Int32", "plain_loop": "Int32", "is_data": "boolean"})
+        yield out.astype({"loop": "Int32", "plain_loop": "Int32", "is_data": "boolean", "inner_line": "Int32", "inner_data": "boolean"})
 
 
 def py_facts(files: DataFrame) -> DataFrame:
@@ -118,6 +132,23 @@ def py_facts(files: DataFrame) -> DataFrame:
     return py.select(*FILE, "content").mapInPandas(_facts_of_batches, FACTS_DDL)
 
 
+class PyFacts:
+    """Table function: the facts of one file."""
+
+    def eval(self, project: str, path: str, content: str) -> Iterator[tuple]:
+        if content is not None:
+            for fact in facts_with_inner(content):
+                yield (project, path, *fact)
+
+
+def register(spark: SparkSession, name: str = "py_facts") -> None:
+    """Makes the facts a table function: SELECT f.* FROM files, LATERAL py_facts(project, path, content) f.
+
+    Lateral, so that each file is parsed where its row is; ``py_facts`` the DataFrame function parses by batches.
+    """
+    spark.udtf.register(name, udtf(PyFacts, returnType=FACTS_DDL))
+
+
 NESTED = Rule("nested-loop-on2", "major", "performance", 0.7, "code", "Potential O(n²) nested loop",
               "A loop over data inside a loop over data.", "Index one side in a dict or set.")
 IO_LOOP = Rule("io-in-loop", "major", "performance", 0.8, "code", "I/O operation in loop",
@@ -129,35 +160,6 @@ CONCAT = Rule("concat-in-loop", "minor", "performance", 0.6, "code", "Concatenat
 AST_RULES = [NESTED, IO_LOOP, CONCAT]
 
 
-def with_first_inner(facts: DataFrame) -> DataFrame:
-    """Facts with ``inner``: the first loop nested in a loop (in walk order), null for the rest.
-
-    A nested loop is sent once to itself and once to each loop around it, and the rows of one
-    place are put together: one aggregation for the containment, no self-join, and the facts
-    are computed once for all rules.
-    """
-    place = F.struct(F.col("idx").alias("at"), "line_no", "is_data")
-    own = F.struct("kind", "name", "line_no", "loop", "plain_loop", "is_data", "seq")
-    none_own, none_inner = F.lit(None).cast(_OWN), F.lit(None).cast(_INNER)
-    to_self = F.array(F.struct("idx", own.alias("own"), none_inner.alias("inner")))
-    to_outer = F.transform(
-        "loops", lambda o: F.struct(o.alias("idx"), none_own.alias("own"), place.cast(_INNER).alias("inner"))
-    )
-    sent = facts.select(*FILE, F.explode(F.concat(to_self.cast(_SENT), to_outer.cast(_SENT))).alias("s"))
-    # the aliases of one import statement share a place and stay apart
-    part = F.coalesce("s.own.seq", F.lit(0))
-    return (
-        sent.groupBy(*FILE, F.col("s.idx").alias("idx"), part.alias("part"))
-        .agg(F.max("s.own").alias("own"), F.min("s.inner").alias("inner"))
-        .select(*FILE, "idx", "own.*", "inner")
-    )
-
-
-_OWN = "struct<kind:string,name:string,line_no:int,loop:int,plain_loop:int,is_data:boolean,seq:int>"
-_INNER = "struct<at:int,line_no:int,is_data:boolean>"
-_SENT = f"array<struct<idx:int,own:{_OWN},inner:{_INNER}>>"
-
-
 def _order(first: str) -> Column:
     """Walk order within a file: the loop it was reached from, then the node."""
     return F.col(first).cast("long") * (1 << 31) + F.col("idx")
@@ -169,18 +171,17 @@ def ast_candidates(facts: DataFrame) -> DataFrame:
     ``rule`` is null for facts without a finding; a line may have several candidates of one
     rule, of which the dedupe keeps the first.
     """
-    f = with_first_inner(facts)
     io = F.expr(either(f"endswith(name, {text(c)})" for c in IO_CALLS))
     kind = F.col("kind")
     rule = (
-        F.when((kind == "for") & F.col("is_data") & F.col("inner.is_data"), NESTED.rule_id)
+        F.when((kind == "for") & F.col("is_data") & F.col("inner_data"), NESTED.rule_id)
         .when((kind == "call") & io, IO_LOOP.rule_id)
         .when(kind == "append", CONCAT.rule_id)
     )
     seq = F.when(kind == "call", _order("loop")).when(kind == "append", _order("plain_loop")).otherwise(
         F.col("idx").cast("long")
     )
-    return f.select(
-        *FILE, "line_no", F.col("inner.line_no").alias("end_line"), rule.alias("rule"), "kind", "name",
+    return facts.select(
+        *FILE, "line_no", F.col("inner_line").alias("end_line"), rule.alias("rule"), "kind", "name",
         "idx", "seq", seq.alias("walk"),
     )

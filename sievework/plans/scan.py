@@ -13,14 +13,14 @@ from sievework.operators.context import adjust_severity, project_context
 from sievework.operators.deep import deep_findings
 from sievework.operators.findings import STRICTNESS, by_strictness, dedupe
 from sievework.operators.history import carry_forward, unsuppressed
-from sievework.operators.imports import python_findings, script_import_findings
-from sievework.operators.lines import line_findings
+from sievework.operators.imports import UNKNOWN, python_findings, script_import_findings
+from sievework.operators.lines import Detector, line_findings
 from sievework.operators.loops import loop_detectors
 from sievework.operators.packs import pack_detectors
 from sievework.operators.persona import persona_findings, personas, project_signals
-from sievework.operators.pyfacts import py_facts
+from sievework.operators.pyfacts import AST_RULES, py_facts
 from sievework.operators.security import security_detectors
-from sievework.schema import FILE, FINDING, union_all
+from sievework.schema import FILE, FINDING, FINDING_DDL, union_all
 from sievework.sources.files import (
     changed_files,
     changed_since,
@@ -47,12 +47,9 @@ class ScanOptions:
     rules: Sequence[LineRuleSpec] = field(default_factory=built_in)
 
 
-def line_rules(files: DataFrame, options: ScanOptions) -> DataFrame | None:
-    """Security, loop and pack rules in one pass over the lines.
-
-    Built-in detectors see source files, the packs their own set; strictness applies to the
-    former only.
-    """
+def line_detectors(options: ScanOptions) -> list[Detector]:
+    """Security, loop and pack rules.  Built-in detectors see source files, the packs their own set; strictness
+    applies to the former only."""
     allowed = STRICTNESS.get(options.strictness, STRICTNESS["medium"])
     own = [
         *(security_detectors() if options.security else []),
@@ -60,6 +57,12 @@ def line_rules(files: DataFrame, options: ScanOptions) -> DataFrame | None:
     ]
     detectors = [replace(d, match=both("in_source", d.match)) for d in own if d.rule.severity in allowed]
     detectors += [replace(d, match=both("in_packs", d.match)) for d in pack_detectors(options.rules)]
+    return detectors
+
+
+def line_rules(files: DataFrame, options: ScanOptions) -> DataFrame | None:
+    """The line rules in one pass over the lines."""
+    detectors = line_detectors(options)
     if not detectors:
         return None
     marked = files.withColumns(
@@ -68,17 +71,14 @@ def line_rules(files: DataFrame, options: ScanOptions) -> DataFrame | None:
     return line_findings(marked, detectors, "in_source", "in_packs").drop("in_source", "in_packs")
 
 
-def code_findings(files: DataFrame, packages: DataFrame, options: ScanOptions = ScanOptions(),
-                  lookup: DataFrame | None = None) -> DataFrame:
-    """Findings of all detectors, not yet deduplicated.
+def checked_findings(files: DataFrame, packages: DataFrame, options: ScanOptions = ScanOptions(),
+                     lookup: DataFrame | None = None) -> list[DataFrame]:
+    """Findings of Python facts and of script imports, each from a read of the files of its language.
 
-    Three reads of the files, each of its own languages: the line rules, the facts of Python
-    files, the imports of scripts.  Local modules are looked up in ``lookup`` (default: the
-    same files).
+    Local modules are looked up in ``lookup`` (default: the same files).
     """
     lookup = files if lookup is None else lookup
     src = source_files(files, options.ignore)
-    parts = [line_rules(files, options)]
     first = -1  # imports come before the line rules
     checked = []
     if options.ai_patterns or options.performance:
@@ -90,8 +90,25 @@ def code_findings(files: DataFrame, packages: DataFrame, options: ScanOptions =
         )
     if options.ai_patterns:
         checked.append(script_import_findings(src, packages, first))
-    parts += [by_strictness(c, options.strictness) for c in checked]
-    return union_all([p for p in parts if p is not None])
+    return [by_strictness(c, options.strictness) for c in checked]
+
+
+def code_findings(files: DataFrame, packages: DataFrame, options: ScanOptions = ScanOptions(), lookup: DataFrame | None = None,
+                  extra: Iterable[DataFrame] = ()) -> DataFrame | None:
+    """Findings of all detectors and reviews, the first of each (project, file, line, rule).
+
+    A line rule hits a line once.  So where no other detector shares its id, as among the built-in ones, line findings
+    have no doubles and are neither shuffled nor sorted for it; only the imports, facts and reviews are.
+    """
+    lines = line_rules(files, options)
+    others = [*checked_findings(files, packages, options, lookup), *[e.select(*FINDING) for e in extra]]
+    ids = [d.rule.rule_id for d in line_detectors(options)]
+    alone = len(set(ids)) == len(ids) and not extra and not set(ids) & {UNKNOWN.rule_id, *[r.rule_id for r in AST_RULES]}
+    if lines is None:
+        return dedupe(union_all(others)) if others else None
+    if alone:
+        return lines.select(*FINDING).unionByName(dedupe(union_all(others))) if others else lines.select(*FINDING)
+    return dedupe(union_all([lines, *others]))
 
 
 def scan(
@@ -112,8 +129,9 @@ def scan(
         todo = changed_files(todo, changes, options.ignore)
     if state is not None:
         todo = changed_since(todo, state)
-    parts = [code_findings(todo, packages, options, files if lookup is None else lookup), *[e.select(*FINDING) for e in extra]]
-    found = dedupe(union_all(parts))
+    found = code_findings(todo, packages, options, files if lookup is None else lookup, list(extra))
+    if found is None:
+        found = files.sparkSession.createDataFrame([], FINDING_DDL)
     context = project_context(files) if context is None else context
     found = adjust_severity(found, context)
     found = found if dismissed is None else unsuppressed(found, dismissed)

@@ -1,6 +1,7 @@
 """Python facts, imports, the project index and project context."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,9 +12,11 @@ from sievework.operators.imports import STDLIB, import_findings, python_findings
 from sievework.operators.index import (
     architecture_summary, context_pack, directory_summary, file_index, import_edges, top_files,
 )
-from sievework.operators.pyfacts import py_facts
+from sievework.operators.pyfacts import py_facts, register
 from sievework.operators.security import security_findings
+from sievework.plans.scan import ScanOptions, code_findings, scan
 from sievework.sources.files import config_files, ignored, npm_packages, readmes, source_files
+from sievework.sources.rules import built_in
 
 PERF = {
     "nested": ("\nfor user in users:\n    for perm in permissions:\n        pass\n", {("nested-loop-on2", 2, 3)}),
@@ -219,3 +222,33 @@ def test_packages_beside_a_checkout_resolve(spark, files):
     assert sorted((r.project, r.title) for r in found.collect()) == [
         ("p", "Hallucinated import: inside"), ("p", "Hallucinated import: nowhere_at_all"),
     ]
+
+
+def test_facts_as_a_table_function(spark, files):
+    table = files({"a.py": "for x in xs:\n    for y in ys:\n        open(y)\n", "b.py": "import a, b\n", "c.py": "def (:", "d.py": "import"})
+    register(spark)
+    table.createOrReplaceTempView("checkout")
+    got = spark.sql("SELECT f.* FROM checkout, LATERAL py_facts(project, path, content) f")
+    assert got.columns == py_facts(table).columns
+    want = {tuple(map(str, r)) for r in py_facts(table).collect()}
+    assert want <= {tuple(map(str, r)) for r in got.collect()}  # c.py has no word the other form looks for
+    assert spark.sql("SELECT f.kind FROM checkout, LATERAL py_facts(project, path, content) f WHERE f.path = 'c.py'").collect()[0].kind == "unparsed"
+    found = python_findings(py_facts(table), None, None)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert {(r.line_no, r.rule_id, r.end_line) for r in found.collect()} == {(1, "nested-loop-on2", 2), (3, "io-in-loop", None)}
+
+
+def test_line_findings_are_not_shuffled_for_doubles(spark, files):
+    table = files({"a.py": "eval(a)\nimport nothing_like_it, nothing_like_it\n", "b.js": "el.innerHTML = x"})
+    none = spark.createDataFrame([], "project string, ecosystem string, name string")
+    found = code_findings(table, none, ScanOptions(strictness="high"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("min_by") == 1 and "Union" in plan
+    assert sorted(r.rule_id for r in found.collect()) == ["dangerous-eval", "hallucinated-import", "xss-innerhtml"]
+    twice = [*built_in(), replace(built_in()[0], rule_id="dangerous-eval", regex="eval", exts=(), globs=(), hints=())]
+    found = code_findings(table, none, ScanOptions(strictness="high", rules=twice))
+    assert sorted(r.rule_id for r in found.collect()) == ["dangerous-eval", "hallucinated-import", "xss-innerhtml"]
+    assert code_findings(table, none, ScanOptions(security=False, performance=False, ai_patterns=False, rules=[])) is None
+    off = ScanOptions(security=False, performance=False, ai_patterns=False, rules=[])
+    assert scan(table, none, off, context=project_context(table)).count() == 0
