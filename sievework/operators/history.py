@@ -133,6 +133,52 @@ def lifecycle(scans: DataFrame, log: DataFrame) -> DataFrame:
     return both.select(*keys, "scan_id", "fingerprint", status.alias("status"))
 
 
+def _by_print(log: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, fingerprint, at): in how many rows of which scans each fingerprint stands.
+
+    On a log stored by (project, fingerprint) (``write_issue_table``) every group lies in one bucket and no log row moves.
+    """
+    return log.groupBy(*keys, "fingerprint").agg(F.collect_list("scan_id").alias("at"))
+
+
+def quality_delta_by_print(scans: DataFrame, log: DataFrame) -> DataFrame:
+    """``quality_delta`` for a log stored by fingerprint: the log is reduced where it lies, before anything meets it."""
+    keys = [k for k in SCAN_KEY if k in scans.columns]
+    ends = quality_delta(scans, log.limit(0)).drop("new_issues", "fixed_issues")
+    pair = ends.select(*keys, "current_scan", "previous_scan")
+    oldest = pair.agg(F.min("previous_scan")).first()[0]
+    per_print = _by_print(log.where(F.col("scan_id") >= F.lit(oldest)), keys).join(pair, keys)
+
+    def rows(scan: str) -> Column:
+        return F.size(F.filter("at", lambda x: x == F.col(scan))).cast("long")
+
+    now, before = rows("current_scan"), rows("previous_scan")
+    moved = per_print.groupBy(*keys).agg(
+        F.sum(F.when(before == 0, now).otherwise(0)).alias("new_issues"), F.sum(F.when(now == 0, before).otherwise(0)).alias("fixed_issues")
+    )
+    return ends.join(moved, keys, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("new_issues", "fixed_issues")})
+
+
+def lifecycle_by_print(scans: DataFrame, log: DataFrame) -> DataFrame:
+    """``lifecycle`` for a log stored by fingerprint.
+
+    Only one row per fingerprint, with the scans that have it, meets the list of its project's scans.
+    """
+    keys = [k for k in SCAN_KEY if k in scans.columns]
+    ids = scans.groupBy(*keys).agg(F.sort_array(F.collect_set("scan_id")).alias("ids"))
+    each = _by_print(log, keys).join(ids, keys)
+    status = F.transform(
+        "ids",
+        lambda scan, i: F.struct(
+            scan.alias("scan_id"), F.array_contains("at", scan).alias("here"),
+            ((i > 0) & F.array_contains("at", F.get("ids", i - 1))).alias("last"),
+        ),
+    )
+    seen = each.select(*keys, "fingerprint", F.explode(F.filter(status, lambda x: x["here"] | x["last"])).alias("s"))
+    said = F.when(~F.col("s.here"), "fixed").when(F.col("s.last"), "recurring").otherwise("new")
+    return seen.select(*keys, "s.scan_id", "fingerprint", said.alias("status"))
+
+
 def carry_forward(findings: DataFrame, log: DataFrame, skipped: DataFrame) -> DataFrame:
     """Log rows of files an incremental scan skipped, so they do not look fixed.
 

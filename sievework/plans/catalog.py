@@ -24,7 +24,7 @@ from sievework.schema import severity_rank
 from sievework.plans.scan import ScanOptions, deep_scan, incremental_scan, persona_scan, scan
 from sievework.sources import files as src
 from sievework.sources.rules import BUILT_IN, built_in
-from sievework.sources.sinks import read_issue_log, read_scans
+from sievework.sources.sinks import LifecycleTable, read_issue_log, read_scans
 from sievework.sources.stage import shared_folder, staged
 from sievework.streaming import jobs
 
@@ -309,6 +309,30 @@ def _(spark, sf):
     return history.lifecycle(history.scan_rows(log), log)
 
 
+@query("quality_delta_by_print", sql.DELTA)
+def _(spark, sf):
+    log = _log(spark, sf)
+    return history.quality_delta_by_print(history.scan_rows(log), log)
+
+
+@query("lifecycle_by_print", sql.LIFECYCLE)
+def _(spark, sf):
+    log = _log(spark, sf)
+    return history.lifecycle_by_print(history.scan_rows(log), log)
+
+
+@query("lifecycle_kept", sql.LIFECYCLE)
+def _(spark, sf):
+    """The scans of the log taken in one after the other."""
+    log = staged(_log(spark, sf).withColumn("scan_mode", F.lit("full")))
+    scans = staged(previous_value(history.scan_rows(log).select("project", "scan_mode", "scan_id"), ["project", "scan_mode"], "scan_id", "prev_id"))
+    kept = LifecycleTable(spark, shared_folder(spark, "lifecycle"), buckets=8)
+    for step, row in enumerate(scans.select("scan_id").distinct().orderBy("scan_id").collect()):  # one number per scan
+        of_scan = F.col("scan_id") == row.scan_id
+        kept.update(step, log.where(of_scan), scans.where(of_scan))
+    return kept.statuses().drop("scan_mode")
+
+
 @query("carry_forward", sql.CARRY_FORWARD)
 def _(spark, sf):
     """Every scan takes over the last one's rows of its unchanged files: here scan n is read as scan n + 1."""

@@ -1,4 +1,4 @@
-"""Keyed state of a stream as a compacted, bucketed table."""
+"""Keyed state that is kept up to date batch by batch, as a compacted, bucketed table."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.schema import union_all
+
 
 class KeyedTable:
     """The last value of every key, as of any of the latest micro-batches.
@@ -29,15 +31,15 @@ class KeyedTable:
         return F.pmod(F.xxhash64(*self.spread), F.lit(self.buckets)).cast("int")
 
     def _whole(self, number: int) -> str:
-        return f"{self.root}/whole/slot-{number % 2}"
+        return f"{self.root}/whole/slot={number % 2}"
 
     def _delta(self, batch_id: int) -> str:
-        return f"{self.root}/delta/slot-{batch_id % (2 * self.every)}"
+        return f"{self.root}/delta/slot={batch_id % (2 * self.every)}"
 
-    def _read(self, path: str, batch_id: int, buckets: list[int] | None) -> DataFrame:
-        rows = self.spark.read.schema(f"{self.schema}, bucket int").parquet(path)
-        rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
-        return rows.drop("bucket").withColumn("_batch", F.lit(batch_id))
+    def _read(self, kind: str, paths: list[str], buckets: list[int] | None) -> DataFrame:
+        reader = self.spark.read.schema(f"{self.schema}, slot int, bucket int").option("basePath", f"{self.root}/{kind}")
+        rows = reader.parquet(*paths)
+        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
 
     def before(self, batch_id: int, touched: DataFrame | None = None) -> DataFrame:
         """Keys and values after all batches before ``batch_id``; of the buckets of ``touched`` only, if given."""
@@ -46,13 +48,14 @@ class KeyedTable:
             found = touched.select(self._bucket().alias("b")).distinct().collect()
             buckets = None if len(found) == self.buckets else [r.b for r in found]
         whole = batch_id // self.every
-        parts = [self._read(self._whole(whole), -1, buckets)] if whole else []
-        parts += [self._read(self._delta(b), b, buckets) for b in range(whole * self.every, batch_id)]
+        first = whole * self.every
+        parts = [self._read("whole", [self._whole(whole)], buckets).withColumn("_batch", F.lit(-1))] if whole else []
+        if first < batch_id:
+            deltas = self._read("delta", [self._delta(b) for b in range(first, batch_id)], buckets)
+            parts.append(deltas.withColumn("_batch", F.pmod(F.col("slot") - first, F.lit(2 * self.every))))
         if not parts:
             return self.spark.createDataFrame([], self.schema).drop("gone")
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
+        rows = union_all(parts)
         last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*self.values, "gone"), "_batch").alias("v"))
         return last.where(~F.col("v.gone")).select(*self.keys, *[f"v.{c}" for c in self.values])
 
@@ -61,7 +64,7 @@ class KeyedTable:
         self._write(changes, self._delta(batch_id))
         if (batch_id + 1) % self.every == 0:
             old = self.before(batch_id).withColumn("gone", F.lit(False))
-            new = self._read(self._delta(batch_id), batch_id, None).drop("_batch")
+            new = self._read("delta", [self._delta(batch_id)], None).drop("slot", "bucket")
             kept = old.join(new.select(*self.keys), self.keys, "left_anti")
             self._write(kept.unionByName(new.where("NOT gone")), self._whole((batch_id + 1) // self.every))
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from sievework.operators.history import issue_rows, scan_rows
 from sievework.operators.report import ORDER, json_records, markdown
 from sievework.schema import FILE
+from sievework.sources.keyed import KeyedTable
+from sievework.sources.stage import staged
 
 
 def _replace_scan(df: DataFrame, table: str, scan_mode: str, scan_id: int) -> None:
@@ -32,6 +34,49 @@ def write_files(files: DataFrame, table: str, buckets: int) -> None:
     )
 
 
+def write_issue_table(log: DataFrame, table: str, buckets: int) -> None:
+    """Issue log by scan mode, bucketed and sorted by (project, fingerprint).
+
+    The questions that follow an issue through the scans (``quality_delta_by_print``, ``lifecycle_by_print``) then
+    need no exchange of log rows; a project of any size is spread over the buckets.
+    """
+    by = ["scan_mode"] if "scan_mode" in log.columns else []
+    log.write.mode("overwrite").partitionBy(*by).bucketBy(buckets, "project", "fingerprint").sortBy("project", "fingerprint").saveAsTable(table)
+
+
+class LifecycleTable:
+    """Lifecycle of issues kept up to date scan by scan: per fingerprint its first and last scan and how often it was seen.
+
+    One update reads the state and one scan's rows, not the log.  An update that is repeated gives the same.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        key = "project string, scan_mode string, fingerprint string"
+        self.spark, self.root = spark, root
+        self.state = KeyedTable(spark, f"{root}/prints", key, "first_scan long, last_scan long, seen long", ["project", "fingerprint"], buckets=buckets)
+
+    def update(self, step: int, issues: DataFrame, scans: DataFrame) -> None:
+        """Takes in one scan: update number ``step`` (0, 1, …), its log rows, and (project, scan_mode, scan_id, prev_id) of each project in it."""
+        keys = ["project", "scan_mode"]
+        now = issues.select(*keys, "fingerprint").distinct().withColumn("here", F.lit(True))
+        old = self.state.before(step).join(scans.select(*keys), keys, "left_semi")
+        both = staged(old.join(now, [*keys, "fingerprint"], "full").join(scans.select(*keys, "scan_id", "prev_id"), keys))
+        here, last = F.col("here").isNotNull(), F.coalesce(F.col("last_scan") == F.col("prev_id"), F.lit(False))
+        status = F.when(here & last, "recurring").when(here, "new").otherwise("fixed")
+        told = both.where(here | last).select(*keys, "scan_id", "fingerprint", status.alias("status"))
+        told.write.mode("overwrite").parquet(f"{self.root}/status/step={step}")
+        changed = both.where(here).select(
+            *keys, "fingerprint", F.coalesce("first_scan", "scan_id").alias("first_scan"), F.col("scan_id").alias("last_scan"),
+            (F.coalesce("seen", F.lit(0)) + 1).alias("seen"), F.lit(False).alias("gone"),
+        )
+        self.state.put(changed, step)
+
+    def statuses(self) -> DataFrame:
+        """(project, scan_mode, scan_id, fingerprint, status) of all scans taken in."""
+        schema = "project string, scan_mode string, scan_id long, fingerprint string, status string, step int"
+        return self.spark.read.schema(schema).parquet(f"{self.root}/status").drop("step")
+
+
 def save_scan(
     findings: DataFrame, root: str, scan_id: int, scan_mode: str = "full",
     target: str = "", duration_ms: int | None = None, scores: DataFrame | None = None,

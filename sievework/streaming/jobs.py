@@ -15,7 +15,7 @@ from sievework.operators.imports import path_entries
 from sievework.plans.scan import ScanOptions, scan
 from sievework.schema import FILE, FINDING, FINDING_DDL, SEVERITY_RANK
 from sievework.sources.stage import staged
-from sievework.streaming.state import KeyedTable
+from sievework.sources.keyed import KeyedTable
 
 
 def run(

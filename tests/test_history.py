@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import findings as fnd
 from sievework.operators import history, intent, journeys, report
+from sievework.functions.skew import previous_value
 from sievework.operators.security import security_findings
 from sievework.plans.scan import ScanOptions, deep_scan, persona_scan, scan
 from sievework.sources import files as src
@@ -338,3 +339,45 @@ def test_json_report_has_all_parts(spark, files):
     }
     assert body["intent"] == {"idx": 0, "description": "has a", "expect": "a", "status": "pass"}
     assert json.loads(report.json_records(found).where("record = 'summary'").first().body).keys() == {"version", "project", "target", "summary"}
+
+
+def test_lifecycle_kept_equals_the_whole_log_after_each_scan(spark, tmp_path):
+    rows = [("p", s, f"r{k}", "a.py", k, "major") for s in range(1, 7) for k in range(6) if (s * k + s) % 3 or k == s]
+    rows += [("q", s, "r", "b.py", s // 3, "minor") for s in (2, 5, 6)]
+    log = _log(spark, rows).withColumn("scan_mode", F.lit("full"))
+    kept = sinks.LifecycleTable(spark, str(tmp_path), buckets=2)
+    for step, scan_id in enumerate(range(1, 7)):
+        so_far = log.where(F.col("scan_id") <= scan_id)
+        scans = history.scan_rows(so_far)
+        prev = previous_value(scans.select("project", "scan_mode", "scan_id"), ["project", "scan_mode"], "scan_id", "prev_id")
+        for _ in range(2 if step == 3 else 1):  # an update that is repeated
+            kept.update(step, log.where(F.col("scan_id") == scan_id), prev.where(F.col("scan_id") == scan_id))
+        want = history.lifecycle(scans, so_far)
+        assert sorted(kept.statuses().select(want.columns).collect()) == sorted(want.collect())
+        assert sorted(history.lifecycle_by_print(scans, so_far).select(want.columns).collect()) == sorted(want.collect())
+    first = {(r.project, r.fingerprint): (r.first_scan, r.last_scan, r.seen) for r in kept.state.before(6).collect()}
+    assert first["q", "r:b.py:1"] == (5, 5, 1) and first["q", "r:b.py:2"] == (6, 6, 1)
+
+
+def test_a_log_stored_by_fingerprint_is_not_exchanged(spark):
+    rows = [("p", s, f"r{k}", "a.py", k, "major") for s in (1, 2, 3) for k in range(20) if (s + k) % 4]
+    log = _log(spark, rows)
+    sinks.write_issue_table(log, "issues_by_print", 4)
+    stored = spark.table("issues_by_print")
+    scans = history.scan_rows(log)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for by_print, plain in ((history.quality_delta_by_print, history.quality_delta), (history.lifecycle_by_print, history.lifecycle)):
+            found = by_print(scans, stored)
+            plan = found._jdf.queryExecution().sparkPlan().toString()
+            assert "issues_by_print" in plan
+            executed = found._jdf.queryExecution().executedPlan().toString().split("\n")
+            at = next(i for i, row in enumerate(executed) if "issues_by_print" in row)
+            above = executed[:at][::-1]
+            aggregates = [row for row in above if "Aggregate" in row][:2]
+            below = above[: above.index(aggregates[-1])]
+            assert not any("Exchange" in row for row in below)  # the log's groups are complete where they lie
+            assert sorted(found.collect(), key=str) == sorted(plain(scans, log).select(found.columns).collect(), key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE issues_by_print")

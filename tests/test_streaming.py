@@ -8,7 +8,7 @@ from sievework.operators.context import project_context
 from sievework.operators.history import dismissal_state
 from sievework.plans.scan import ScanOptions, scan
 from sievework.streaming import jobs
-from sievework.streaming.state import KeyedTable
+from sievework.sources.keyed import KeyedTable
 
 
 def _parts(df, folder, n):
@@ -130,7 +130,7 @@ def test_keyed_table_equals_a_dictionary_and_stays_small(spark, tmp_path):
         for k, v, gone in changes:
             want.pop(k, None) if gone else want.__setitem__(k, v)
     assert {x.k: x.v for x in table.before(10).collect()} == want
-    rows = sum(spark.read.parquet(str(p)).count() for p in tmp_path.glob("*/slot-*") if list(p.glob("bucket=*")))
+    rows = sum(spark.read.parquet(str(p)).count() for p in tmp_path.glob("*/slot=*") if list(p.glob("bucket=*")))
     assert rows <= 2 * 10 + 6 * 4  # two whole states and six deltas, whatever the number of batches
 
 
