@@ -12,6 +12,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from sievework.llm import texts as tx
 
@@ -35,7 +36,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        #: Strings that the tokenizer takes for one id wherever they stand; texts with one are encoded in one piece.
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.model = self.whole.model
         self.words_only = words_only
         self.letters = _byte_letters()
@@ -94,9 +96,20 @@ class Encoder:
             out.append(got)
         return out
 
+    def _uncut(self, texts: pa.Array) -> np.ndarray:
+        """The texts that hold a special string, in whatever case."""
+        out = np.zeros(len(texts), bool)
+        for special in self.special:
+            out |= pc.match_substring(texts, special.encode(), ignore_case=True).to_numpy(zero_copy_only=False)
+        return out
+
     def _pieces(self, texts: pa.Array):
         data, at = tx.raw(texts)
         cut = self.cuts(data, at)
+        uncut = self._uncut(texts)
+        if uncut.any():
+            row = np.searchsorted(at, cut, "right") - 1
+            cut = cut[~uncut[row] | (cut == at[row])]
         numbered = tx.binary(data, np.append(cut, len(data))).dictionary_encode()
         ids = self.look_up(numbered.dictionary.to_pylist())
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4

@@ -14,7 +14,8 @@ def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for name_of in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {name_of} AS SELECT * FROM '/root/testdata/sf0.001/{name_of}.parquet'")
     text, _, ok = compare(spark, con, name, "/root/testdata/sf0.001", queries.QUERIES, queries.ORACLES)
     assert ok, text
 

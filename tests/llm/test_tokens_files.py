@@ -14,14 +14,13 @@ NAMES = [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)]
 
 TRICKY = [
     "", " ", "a", " a", "a ", "  a  b ", "a\n b", "a \nb", "a\nb", "a\n\nb", "don't it's 'tis 's", "x's y're", "é à ü", "α Σας ΟΔΟΣ", "日本語 テスト",
-    "a 1 22 333 b2", "İ i̇ ǅ", "<|endoftext|> <|startoftext|>", "A\t B", "é a ́b", "　 x", "a|b | c", "à\u0085 b", "é—d … e",
+    "a 1 22 333 b2", "İ i̇ ǅ", "<|endoftext|> <|startoftext|>", "end <|endoftext|> more <|startoftext|>", "a <|ENDOFTEXT|> b c", "x<|endoftext|>y z  <| endoftext|>", "A\t B", "é a ́b", "　 x", "a|b | c", "à\u0085 b", "é—d … e",
     "﻿bom x", "ÀÉ Ü ß ẞ", "a,b ,c, d.\nE", "a\xa0 b", "x   y", "1.5 $3,000.", "ééé é", "zé é z",
 ]
 
 
 def ids_of(path, text):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids
 
 
@@ -34,7 +33,6 @@ def test_pieces_give_the_tokenizers_ids(spark, sf, name, words_only):
     ids, at = enc.ids(column)
     assert enc.lengths(column).tolist() == np.diff(at).tolist()
     ref = Tokenizer.from_file(path)
-    ref.encode_special_tokens = True
     for i, e in enumerate(ref.encode_batch(texts, add_special_tokens=False)):
         assert ids[at[i] : at[i + 1]].tolist() == e.ids, texts[i][:80]
 
