@@ -32,6 +32,8 @@ def parts(batches, column: str = "text", limit: int = 2_000_000) -> Iterator[tup
             end = max(at + 1, int(np.searchsorted(size, size[at] + limit, "right")) - 1)
             yield batch.slice(at, end - at), texts.slice(at, end - at)
             at = end
+    batch = texts = size = None
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no more than it needs
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
