@@ -207,10 +207,12 @@ def _persona(key: str) -> Column:
     )
 
 
-def personas(signals: DataFrame, name_filter: str | None = None) -> DataFrame:
+def personas(signals: DataFrame, name_filter: str | None = None, *keep: str) -> DataFrame:
     """(project, pos, name, role, tech_level, description, devices, key_flows, goals, pain_points): up to four per project.
 
-    A filter keeps the names that contain it; a project without such a name keeps all.
+    A filter keeps the names that contain it; a project without such a name keeps all.  ``keep`` names columns of
+    ``signals`` to carry along: Spark takes the personas for no larger than the flags they come from, so a join with
+    them would be broadcast.
     """
     has = F.col
     primary = (
@@ -230,7 +232,7 @@ def personas(signals: DataFrame, name_filter: str | None = None) -> DataFrame:
     if name_filter:
         wanted = F.filter(people, lambda p: F.lower(p["name"]).contains(name_filter.lower()))
         people = F.when(F.size(wanted) > 0, wanted).otherwise(people)
-    return signals.select("project", F.posexplode(people).alias("pos", "p")).select("project", "pos", "p.*")
+    return signals.select("project", F.posexplode(people).alias("pos", "p"), *keep).select("project", "pos", "p.*", *keep)
 
 
 def audiences(people: DataFrame) -> DataFrame:

@@ -494,8 +494,10 @@ def _(spark, sf):
 
 @query("personas", sql.PERSONAS)
 def _(spark, sf):
-    signals = fx.features(spark, sf).withColumn("app_type", persona.app_type())
-    people = persona.personas(signals).join(signals.select("project", "app_type"), "project")
+    signals = fx.features(spark, sf)
+    # flags and types meet before the long texts are there, sorted on disk: both grow with the projects
+    types = signals.select("project", persona.app_type().alias("app_type"))
+    people = persona.personas(signals.hint("merge").join(types, "project"), None, "app_type")
     lists = ["devices", "key_flows", "goals", "pain_points"]
     return people.withColumns({c: F.array_join(c, "|") for c in lists})
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievework.operators import external, fixes, persona
 from sievework.operators.context import project_context
 from sievework.operators.deep import code_checks, deep_findings
+from sievework.plans.catalog import QUERIES
 
 VERCEL = ("vercel.json", "{}")
 API = ("package.json", '{"dependencies": {"express": "4"}}')
@@ -178,3 +179,11 @@ def test_fixes(files, spark):
     assert (out.content, out.applied, out.tried) == ("x = 1  \ny = lit(a)\nz = eval(a)\n", 1, 3)
     windows = {r.line_no: r.context for r in fixes.fix_windows(found.where("line_no = 2 AND file = 'a.py'"), table, 1).collect()}
     assert windows == {2: "1: x = 1  \n2: y = eval(a)\n3: z = eval(a)"}
+
+
+def test_personas_are_not_broadcast(spark, tmp_path):
+    spark.range(50).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    df = QUERIES["personas"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert df.select("project").distinct().count() == 50
