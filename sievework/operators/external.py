@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +23,39 @@ _ISSUE = "array<struct<severity:string,category:string,title:string,description:
 _ASSERTION = "array<struct<type:string,description:string,expect:string,importance:string>>"
 
 
-def json_text(text: Column, last: bool = False) -> Column:
-    """Content of the first (or last) ```json fence, else of the first plain fence, else all."""
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is mentioned."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _unfenced(text: Column, last: bool) -> Column:
     tagged = F.split(text, "```json")
     body = (
         F.when(text.contains("```json"), F.element_at(tagged, -1) if last else F.try_element_at(tagged, F.lit(2)))
         .when(text.contains("```"), F.try_element_at(F.split(text, "```"), F.lit(2)))
         .otherwise(text)
     )
-    return strip(F.element_at(F.split(body, "```"), 1))
+    return strip(F.substring_index(body, "```", 1))
+
+
+def json_text(text: Column, last: bool = False) -> Column:
+    """Content of the first (or last) ```json fence, else of the first plain fence, else all."""
+    return _once(text, lambda t: _unfenced(t, last))
+
+
+def _list_of(payload: Column, kind: str) -> Column:
+    """The JSON list in a payload; null for anything else."""
+    return _once(json_text(payload), lambda t: F.when(t.startswith("["), F.from_json(t, kind)))
+
+
+def _entries(raw: DataFrame, body: Column, *keep: str, at: str, name: str) -> DataFrame:
+    """A row per entry of the list ``body``; no rows for null and for an empty list.
+
+    The plain generator makes Spark filter on the size of the list below it, where all that the list is parsed from
+    is written out again at each mention; the outer one does not, so each payload is parsed once.
+    """
+    each = raw.select(*keep, body.alias("_body")).select(*keep, F.posexplode_outer("_body").alias(at, name))
+    return each.where(F.col(at).isNotNull())
 
 
 def _fraction(value: Column, default: float) -> Column:
@@ -73,9 +99,7 @@ def file_reviews(payloads: DataFrame) -> DataFrame:
     The payload is an object with a list ``issues``; anything else gives no rows.
     """
     body = F.from_json(json_text(F.col("payload")), f"struct<issues:{_ISSUE}>")
-    raw = payloads.select("project", "path", body.alias("b")).select(
-        "project", "path", F.posexplode("b.issues").alias("seq", "i")
-    )
+    raw = _entries(payloads, body["issues"], "project", "path", at="seq", name="i")
     line = _line(F.col("i")["line"])
     return _findings(raw, "minor", FILE_CATEGORIES, F.col("path"), line.isNotNull(),
                      "LLM-detected issue", "llm", "llm-review")
@@ -83,11 +107,7 @@ def file_reviews(payloads: DataFrame) -> DataFrame:
 
 def project_reviews(payloads: DataFrame) -> DataFrame:
     """Findings of reviews of a whole project; ``payloads``: project, payload (a JSON list)."""
-    text = json_text(F.col("payload"))
-    body = F.when(text.startswith("["), F.from_json(text, _ISSUE))
-    raw = payloads.select("project", body.alias("b")).select(
-        "project", F.posexplode("b").alias("seq", "i")
-    )
+    raw = _entries(payloads, _list_of(F.col("payload"), _ISSUE), "project", at="seq", name="i")
     file = F.col("i")["file"]
     return _findings(raw, "major", PROJECT_CATEGORIES, file, F.coalesce(file, F.lit("")) != "",
                      "Deep analysis finding", "deep-holistic", "holistic-review")
@@ -95,11 +115,7 @@ def project_reviews(payloads: DataFrame) -> DataFrame:
 
 def assertions(payloads: DataFrame) -> DataFrame:
     """(intent_id, idx, type, description, expect, importance) from JSON lists of assertions."""
-    text = json_text(F.col("payload"))
-    body = F.when(text.startswith("["), F.from_json(text, _ASSERTION))
-    raw = payloads.select("intent_id", body.alias("b")).select(
-        "intent_id", F.posexplode("b").alias("idx", "a")
-    )
+    raw = _entries(payloads, _list_of(F.col("payload"), _ASSERTION), "intent_id", at="idx", name="a")
     a = F.col("a")
     return raw.select(
         "intent_id", "idx",

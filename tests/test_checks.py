@@ -187,3 +187,13 @@ def test_personas_are_not_broadcast(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert df.select("project").distinct().count() == 50
+
+
+@pytest.mark.parametrize("name", ["assertions", "file_reviews", "project_reviews"])
+def test_payloads_are_parsed_once(spark, tmp_path, name):
+    rows = spark.range(20).selectExpr("id AS event_id", "id % 7 AS user_id", "'click' AS event_type", "1.0D AS value")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    df = QUERIES[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    assert df.count() > 0
