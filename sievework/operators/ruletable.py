@@ -3,8 +3,9 @@
 Every regex of a table is analysed once for literals that each of its matches contains.  The rarest run of
 GRAM characters of each literal is its key in the index.  A line is cut into its runs of GRAM characters; those
 that no rule asks for are dropped at once, the others meet the index in an equi-join, and a rule's regex
-is only tried on lines that contain its literals.  Rules without a literal, or with such as
-many lines hold, are evaluated in the shared line pass, as many at a time as one projection holds.
+is only tried on lines that contain its literals.  Rules without a literal, and those with the most frequent ones, are
+tried on every line, as many at a time as one projection holds.  Equal regexes are tried once, on distinct lines; what
+they find is then joined with the rules and with the places of the lines.
 """
 
 from __future__ import annotations
@@ -17,19 +18,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import dialect, glob_regex
-from sievework.operators.lines import evidence, explode_lines, line_findings
-from sievework.operators.packs import PACK_EXTS, pack_detector
+from sievework.operators.lines import evidence, explode_lines
+from sievework.operators.packs import PACK_EXTS
 from sievework.schema import FINDING, union_all
 from sievework.sources.literals import GRAM, needles
-from sievework.sources.rules import LineRuleSpec, check_rule
+from sievework.sources.rules import check_rule
 from sievework.sources.stage import staged
 
 #: Places of the filter that drops runs no rule asks for (one byte each, part of the plan).
 SLOTS = 1 << 17
 #: Characters of a line that are cut at once, files that tell rare runs from frequent ones, rules of one line pass.
 BLOCK, SAMPLE, PER_PASS = 256, 200, 150
-#: Share of the lines above which a rule's literals do not narrow the search.
-OFTEN = 0.02
+#: Share of the lines above which a rule's literals do not narrow the search, and rules of one test that meet a line at a time.
+OFTEN, TOGETHER = 0.02, 500
 
 _RAW = (
     "rule_no long, id string, regex string, pattern string, `regex-not` string, languages array<string>, files array<string>, "
@@ -77,7 +78,10 @@ def rule_table(raw: DataFrame) -> DataFrame:
     """
     kinds = dict(zip(_NAMES, [c.rsplit(" ", 1)[1] for c in _RAW.split(", ")], strict=True))
     given = [F.col(f"`{n}`").cast(kinds[n]) if n in raw.columns else F.lit(None).cast(kinds[n]) for n in _NAMES]
-    return raw.select(*[c.alias(n) for c, n in zip(given, _NAMES, strict=True)]).mapInArrow(_checked, _CHECKED)
+    given = raw.select(*[c.alias(n) for c, n in zip(given, _NAMES, strict=True)])
+    # a rule is short and its check is long, so few splits of rules are dealt over all cores
+    tasks = 4 * raw.sparkSession.sparkContext.defaultParallelism
+    return given.repartition(tasks, "rule_no", "regex").mapInArrow(_checked, _CHECKED)
 
 
 def _grams(text: Column) -> Column:
@@ -96,26 +100,17 @@ def _slot(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(SLOTS)).cast("int")
 
 
-def literal_index(rules: DataFrame, files: DataFrame) -> DataFrame:
-    """(rule_no, n, needles, others, keys): for each rule with literals the best of its sets, the rest, and the runs that are its keys.
+def literal_keys(literals: DataFrame, files: DataFrame) -> DataFrame:
+    """(needle, gram, n): for each literal the run that is its key, the one that the fewest lines of SAMPLE files hold.
 
-    Which set and which run of a literal are taken only matters for speed: those that the fewest lines of SAMPLE
-    files hold.  ``n`` is their share of these lines.
+    ``n`` is their share of these lines.  Which run is taken only matters for speed.
     """
-    each = rules.select("rule_no", "sets", F.posexplode("sets").alias("at", "needles"))
-    each = each.select("rule_no", "sets", "at", "needles", F.explode("needles").alias("needle"))
-    each = each.withColumn("gram", F.explode(F.array_distinct(_grams(F.col("needle")))))
+    grams = literals.select("needle", F.explode(F.array_distinct(_grams(F.col("needle")))).alias("gram"))
     lines = staged(explode_lines(files.limit(SAMPLE)).select(F.array_distinct(_grams(F.col("line"))).alias("grams")))
     total = max(1, lines.count())
     often = lines.select(F.explode("grams").alias("gram")).groupBy("gram").agg((F.count("*") / total).alias("n"))
     rank = F.struct(F.coalesce("n", F.lit(0.0)).alias("n"), "gram")
-    key = each.join(often, "gram", "left").groupBy("rule_no", "sets", "at", "needles", "needle").agg(F.min(rank).alias("key"))
-    of_set = key.groupBy("rule_no", "sets", "at", "needles").agg(
-        F.sum("key.n").alias("n"), F.collect_list(F.struct("needle", F.col("key.gram").alias("gram"))).alias("keys")
-    )
-    best = of_set.groupBy("rule_no").agg(F.min_by(F.struct("sets", "at", "needles", "n", "keys"), F.struct("n", "at")).alias("b"))
-    others = F.filter("b.sets", lambda x, i: i != F.col("b.at"))
-    return best.select("rule_no", "b.n", "b.needles", others.alias("others"), "b.keys")
+    return grams.join(often, "gram", "left").groupBy("needle").agg(F.min(rank).alias("key")).select("needle", "key.gram", "key.n")
 
 
 def _asked_for(index: DataFrame) -> Column:
@@ -131,30 +126,43 @@ def _asked_for(index: DataFrame) -> Column:
     return test
 
 
-def _candidates(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Lines with the rules of which they contain a literal of every set, each pair once."""
-    keyed = staged(rules.select(
-        F.explode("keys").alias("key"), "rule_no", "test", "test_not", "exts", "path_test", "needles", "others"
-    ).select("key.*", "rule_no", "test", "test_not", "exts", "path_test", "needles", "others"))
-    asked = _asked_for(keyed)
-    lines = explode_lines(files).select("project", "path", "ext", "line_no", "line")
-    hits = lines.withColumn("gram", F.explode(F.array_distinct(F.filter(_grams(F.col("line")), asked))))
+def _joined(patterns: DataFrame, literals: DataFrame, keys: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line_id, pattern, chunks): lines that match a pattern, found through its literals, each pair once.
 
-    def held(needle: Column) -> Column:
+    ``literals`` has the literals (pattern, at, needle) of the patterns' sets.  Lines meet the literals, each once however
+    many patterns share it.  A pattern then meets the lines of the set of its that the fewest lines hold, all counted.
+    """
+    asked = _asked_for(keys)
+    grams = lines.withColumn("gram", F.explode(F.array_distinct(F.filter(_grams(F.col("line")), asked))))
+    held = staged(grams.join(keys.select("needle", "gram"), "gram").where(F.contains("line", "needle")).select("needle", "line_id"))
+    counts = held.groupBy("needle").agg(F.count("*").alias("held"))
+    of_set = literals.join(counts, "needle", "left").groupBy("pattern", "at").agg(F.sum(F.coalesce("held", F.lit(0))).alias("held"))
+    best = of_set.groupBy("pattern").agg(F.min_by("at", F.struct("held", "at")).alias("at"), F.min("held").alias("held")).where("held > 0")
+    others = F.filter("sets", lambda x, i: i != F.col("at"))
+    needles = F.element_at("sets", F.col("at") + 1)
+    used = staged(patterns.join(best, "pattern").select("pattern", "chunks", "test", needles.alias("needles"), others.alias("others")))
+    used = used.withColumn("needle", F.explode("needles"))
+    meets = held.join(used.select("needle").distinct(), "needle", "left_semi").join(lines, "line_id")
+
+    def here(needle: Column) -> Column:
         return F.contains(F.col("line"), needle)
 
-    first = F.try_element_at(F.filter("needles", held), F.lit(1))
-    others = F.forall("others", lambda some: F.exists(some, held))
-    here = ((F.size("exts") == 0) | F.array_contains("exts", F.col("ext"))) & held(F.col("needle"))
-    return hits.join(keyed, "gram").where(here).where((first == F.col("needle")) & others)
+    first = F.try_element_at(F.filter("needles", here), F.lit(1))
+    alike = meets.join(used, "needle").where((first == F.col("needle")) & F.forall("others", lambda some: F.exists(some, here)))
+    return alike.where(F.rlike("line", F.col("test"))).select("line_id", "pattern", "chunks")
 
 
-def _specs(rules: DataFrame) -> Iterator[tuple[int, LineRuleSpec]]:
-    """The rules as the line pass takes them."""
-    names = [f.name for f in fields(LineRuleSpec)]
-    for row in rules.orderBy("rule_no").toLocalIterator():
-        values = {k: tuple(v) if isinstance(v, list) else v for k, v in row.asDict().items() if k in names}
-        yield row.rule_no, LineRuleSpec(**values)
+def _passed(patterns: DataFrame, lines: DataFrame) -> list[DataFrame]:
+    """(line_id, pattern, chunks) as ``_joined``, by trying every pattern on every line, PER_PASS patterns in a pass."""
+    parts, chunk = [], []
+    for row in [*patterns.select("pattern", "chunks", "test").orderBy("pattern").toLocalIterator(), None]:
+        if row is not None:
+            chunk.append(row)
+        if chunk and (row is None or len(chunk) == PER_PASS):
+            tests = [F.when(F.rlike("line", F.lit(r.test)), F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.chunks).alias("chunks"))) for r in chunk]
+            parts.append(lines.select("line_id", F.explode(F.array_compact(F.array(*tests))).alias("m")).select("line_id", "m.*"))
+            chunk = []
+    return parts
 
 
 def table_findings(files: DataFrame, rules: DataFrame, exts: Sequence[str] = PACK_EXTS) -> DataFrame:
@@ -164,27 +172,45 @@ def table_findings(files: DataFrame, rules: DataFrame, exts: Sequence[str] = PAC
     """
     rules = staged(rules.where("error IS NULL").drop("error"))
     seen = files.where(F.col("ext").isin(*exts))
-    index = staged(literal_index(rules, seen))
-    indexed = rules.join(index.where(F.col("n") <= OFTEN), "rule_no")
-    found = _candidates(seen, indexed).where(
-        (F.col("path_test").isNull() | F.rlike("path", F.col("path_test")))
-        & F.rlike("line", F.col("test")) & (F.col("test_not").isNull() | ~F.rlike("line", F.col("test_not")))
+    # a test that many rules share and a line that many files hold meet once
+    patterns = staged(
+        rules.groupBy("test", "sets").agg(F.ceil(F.count("*") / TOGETHER).cast("long").alias("chunks")).withColumn("pattern", F.monotonically_increasing_id())
+    )
+    places = explode_lines(seen).select("project", "path", "ext", "line_no", "line")
+    lines = staged(places.select("line").distinct().withColumn("line_id", F.monotonically_increasing_id()))
+    literals = staged(
+        patterns.select("pattern", F.posexplode("sets").alias("at", "needles")).select("pattern", "at", F.explode("needles").alias("needle"))
+    )
+    keys = staged(literal_keys(literals.select("needle").distinct(), seen))
+    share = literals.join(keys.select("needle", "n"), "needle").groupBy("pattern", "at").agg(F.sum("n").alias("n")).groupBy("pattern").agg(F.min("n").alias("n"))
+    patterns = staged(patterns.join(share, "pattern", "left").withColumn("rare", F.coalesce(F.col("n") <= OFTEN, F.lit(False))))
+    # a pass is cheaper for literals that many lines hold, but there is only one for them: their number may grow
+    frequent = staged(patterns.where("NOT rare AND n IS NOT NULL").orderBy(F.desc("n"), "pattern").limit(PER_PASS))
+    plain = patterns.where("n IS NULL").unionByName(frequent)
+    joined = patterns.where("n IS NOT NULL").join(frequent.select("pattern"), "pattern", "left_anti")
+    own = literals.join(joined.select("pattern"), "pattern", "left_semi")
+    matches = staged(union_all([_joined(joined, own, keys, lines), *_passed(plain, lines)]))
+
+    said = ["rule_id", "severity", "category", "message", "description", "suggestion", "confidence"]
+    numbered = rules.join(patterns.select("test", "sets", "pattern", "chunks", "rare"), ["test", "sets"])
+    numbered = numbered.withColumn("chunk", F.pmod(F.xxhash64("rule_no", "rule_id", "test_not"), F.col("chunks")))
+    scope = ["pattern", "chunk", "rule_no", "test_not", "exts", "path_test"]
+    # rules found by literals get the texts of all that have their number
+    by_number = numbered.where("rare AND rule_no IS NOT NULL").select(*scope).join(rules.select("rule_no", *said), "rule_no")
+    told = by_number.select(*scope, *said).unionByName(numbered.where("NOT rare OR rule_no IS NULL").select(*scope, *said))
+
+    held = lines.join(matches.select("line_id").distinct(), "line_id", "left_semi")
+    placed = places.join(held, "line").withColumn("evidence", evidence(F.col("line")))
+    # a pattern of many rules is dealt in parts, so that its lines do not meet all of them in one task
+    spread = matches.select("line_id", "pattern", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    found = spread.join(told, ["pattern", "chunk"]).join(placed, "line_id").where(
+        ((F.size("exts") == 0) | F.array_contains("exts", F.col("ext")))
+        & (F.col("path_test").isNull() | F.rlike("path", F.col("path_test")))
+        & (F.col("test_not").isNull() | ~F.rlike("line", F.col("test_not")))
     )
-    told = rules.select("rule_no", "rule_id", "severity", "category", "message", "description", "suggestion", "confidence")
     none = F.lit(None)
     columns = {
         "file": F.col("path"), "line_no": F.col("line_no").cast("int"), "end_line": none.cast("int"), "title": F.col("message"),
-        "engine": F.lit("rules"), "evidence": evidence(F.col("line")), "ord": F.col("rule_no").cast("int"), "seq": F.lit(0).cast("long"),
+        "engine": F.lit("rules"), "ord": F.col("rule_no").cast("int"), "seq": F.lit(0).cast("long"),
     }
-    parts = [found.join(told, "rule_no").select(*[columns.get(c, F.col(c)).alias(c) for c in FINDING])]
-    chunk: list[tuple[int, LineRuleSpec]] = []
-    plain = rules.join(index.where(F.col("n") <= OFTEN), "rule_no", "left_anti")
-    for item in [*_specs(plain), None]:
-        if item is not None:
-            chunk.append(item)
-        if chunk and (item is None or len(chunk) == PER_PASS):
-            numbers = F.array(*[F.lit(n).cast("int") for n, _ in chunk])
-            own = line_findings(seen, [pack_detector(s, exts) for _, s in chunk])
-            parts.append(own.withColumn("ord", F.element_at(numbers, F.col("ord") + 1)).select(*FINDING))
-            chunk = []
-    return union_all(parts)
+    return found.select(*[columns.get(c, F.col(c)).alias(c) for c in FINDING])
