@@ -16,10 +16,8 @@ from sievework.llm import texts as tx
 
 #: Hashed terms, directions sampled, leading ones left out (they tell languages apart, not passages), and the seed.
 TERMS, SAMPLED, LEADING, SEED = 1 << 14, 96, 16, 7
-#: Texts the space is fitted on, at most about so many, chosen by hash; all texts are searched.
-FITTED = 20_000
-#: Parts of the sample that are multiplied on their own.
-SKETCHES = 12
+#: Passages whose part of the matrix is multiplied at a time.
+TOGETHER = 32
 #: Words of a segment; passages of 4 segments make the matrix, windows of 2 and 4 are searched.
 SEGMENT, PASSAGE = 12, 4
 SCALES = (2, 4)
@@ -96,26 +94,28 @@ def _sketch(batches):
     """Of this partition's passage-term matrix T: passages per term, and T'(T times the test matrix)."""
     test = _test_matrix()
     df, g, passages = np.zeros(TERMS, np.int64), np.zeros((TERMS, SAMPLED), np.float64), 0
+    place = np.zeros(TERMS, np.int64)
     for _, texts in tx.parts(batches, limit=600_000):
         cut = Cut.of(texts)
         if not len(cut.starts):
             continue
         opens = np.flatnonzero(cut.place % PASSAGE == 0)
-        y = np.add.reduceat(cut.sums(test), opens, axis=0)
         passages += len(opens)
         bounds = np.append(cut.starts[opens], len(cut.hashes))
         terms = cut.terms
-        for a in range(0, len(opens), CHUNK_WORDS // (SEGMENT * PASSAGE)):
-            b = min(len(opens), a + CHUNK_WORDS // (SEGMENT * PASSAGE))
-            size = np.diff(bounds[a : b + 1])
-            own = np.repeat(np.arange(b - a), size)
-            key = terms[bounds[a] : bounds[b]] * (b - a) + own
-            key.sort()
-            term, who = np.divmod(key, b - a)
-            heads = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-            g[term[heads]] += np.add.reduceat(y[a + who], heads, axis=0)
-            new = np.append(True, key[1:] != key[:-1])
-            df += np.bincount(term[new], minlength=TERMS)
+        # few passages at a time, as a dense matrix of the terms they hold: two matrix products and no sort
+        for a in range(0, len(opens), TOGETHER):
+            b = min(len(opens), a + TOGETHER)
+            here = terms[bounds[a] : bounds[b]]
+            seen = np.zeros(TERMS, bool)
+            seen[here] = True
+            used = np.flatnonzero(seen)
+            place[used] = np.arange(len(used))
+            own = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+            counts = np.bincount(own * len(used) + place[here], minlength=(b - a) * len(used)).reshape(b - a, len(used))
+            held = counts.astype(np.float32)
+            g[used] += held.T @ (held @ test[used])
+            df[used] += np.count_nonzero(counts, axis=0)
     if passages:
         used = np.flatnonzero(df)
         cols = [pa.array(used.astype(np.int32)), pa.array(df[used]), *(pa.array(g[used, k]) for k in range(SAMPLED))]
@@ -134,19 +134,18 @@ class Space:
 
 
 def latent_space(docs: DataFrame, text_col: str = "text") -> Space:
-    """A vector for each hashed term, from a randomised SVD of the TF-IDF matrix of the passages of a bounded sample.
+    """A vector for each hashed term, from a randomised SVD of the TF-IDF matrix of the passages of all texts.
 
-    The sample holds about FITTED texts, those with the least hashes; a smaller table is taken whole.  It only
-    shapes the space that ranks candidates; every text of the table is searched in it.  One pass: every task multiplies its part of A'A with the test matrix, and the TERMS x SAMPLED sums
+    One pass: every task multiplies its part of A'A with the test matrix, and the TERMS x SAMPLED sums
     meet on the driver, whose size does not depend on the data.  Since the idf weights are known only
     then, the test matrix is scaled by them afterwards, on both sides.  The
     singular vectors follow from the product by the Nystroem formula.  Terms are returned as
     idf * V / sigma without the leading directions, which all texts of a language share.
     """
     kinds = "term int, df long, " + ", ".join(f"g{k} double" for k in range(SAMPLED))
-    share = min(1.0, FITTED / max(1, docs.count()))
-    chosen = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    parts = chosen.repartition(SKETCHES).mapInArrow(_sketch, kinds)  # the sample is bounded; each part sends up to TERMS rows
+    # each task sends up to TERMS rows, so there are two tasks for each core, not one for each split
+    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    parts = docs.select(F.col(text_col).alias("text")).coalesce(tasks).mapInArrow(_sketch, kinds)
     summed = parts.groupBy("term").agg(F.sum("df").alias("df"), *(F.sum(f"g{k}").alias(f"g{k}") for k in range(SAMPLED)))
     got = summed.toPandas()
     out, df = np.zeros((TERMS, SAMPLED), np.float32), np.zeros(TERMS, np.int64)

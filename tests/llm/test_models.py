@@ -141,6 +141,13 @@ def test_leaks_are_the_planted_passages(spark, table):
     assert decontaminate.leaks(table(DOCS, []), bench).count() == 0
 
 
+def test_latent_space_counts_every_text(spark):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "concat('common w', id) AS text")
+    term = decontaminate.Cut.of(pa.array([b"common"], pa.large_binary())).terms[0]
+    space = decontaminate.latent_space(docs)
+    assert space.df[term] >= 40_000 and space.df.sum() >= 79_000
+
+
 def test_leaks_of_the_tables_like_shared_runs_of_words(spark):
     """Every document with eight words of an item in a row is found, no other."""
     sf = "/root/testdata/sf0.01"
