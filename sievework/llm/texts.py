@@ -6,6 +6,7 @@ found on the UTF-8 bytes.  Every helper works on whole texts; batches are cut be
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: The C library's call that gives freed memory back, where it has one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Multiplier of the polynomial hash of a word's bytes (2^64 / golden ratio, odd).
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -33,7 +36,14 @@ def parts(batches, column: str = "text", limit: int = 2_000_000) -> Iterator[tup
             yield batch.slice(at, end - at), texts.slice(at, end - at)
             at = end
     batch = texts = size = None
-    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no more than it needs
+    release()  # a worker that waits for its next task holds no more than it needs
+
+
+def release() -> None:
+    """Gives freed memory back to the system: that of Arrow's pool, and that which the C library keeps of numpy's arrays."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -16,9 +16,9 @@ import pyarrow.compute as pc
 
 from sievework.llm import texts as tx
 
-#: Text bytes whose pieces are looked up together, and how many pieces a worker remembers.
-BATCH_BYTES = 8_000_000
-REMEMBERED = 400_000
+#: Text bytes whose pieces are looked up together, and how many pieces a worker remembers: both bound its memory.
+BATCH_BYTES = 2_000_000
+REMEMBERED = 200_000
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
