@@ -104,3 +104,10 @@ def test_empty_tables(spark, files):
     assert table_findings(files({"a.py": "evil("}), rule_table(raw_table(spark, []))).count() == 0
     only = spark.createDataFrame([(0, "evil")], "rule_no long, regex string")
     assert [r.rule_id for r in table_findings(files({"a.py": "evil("}), rule_table(only)).collect()] == ["custom-rule"]
+
+
+def test_equal_regexes_are_tried_once(spark, files):
+    rules = [{"id": f"r{i}", "regex": "a.c"} for i in range(300)]
+    found = table_findings(files({"a.py": "abc\nxyz\nabc"}), rule_table(raw_table(spark, rules)))
+    assert "a.c" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.line_no, r.ord) for r in found.collect()) == [(n, i) for n in (1, 3) for i in range(300)]
