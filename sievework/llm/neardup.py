@@ -18,6 +18,8 @@ from sievework.sources.stage import staged
 
 #: Minwise hash functions; the first CHUNKS * CHUNK are the signature's slots of 16 bits each.
 FUNCTIONS, CHUNKS, CHUNK = 64, 9, 6
+#: Rows whose keys are made at a time.
+KEYED = 1000
 #: Bytes kept of a shingle's hash.
 WIDTH = 6
 #: Slots of the tables that travel to every task: of wanted rows, and of shingle counts.
@@ -60,8 +62,8 @@ def _sets(texts: pa.Array, width: int):
     return sh[new], tx.sums(new, at)
 
 
-def _signatures(sh: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sketch and index keys of the rows that have shingles."""
+def _minwise(sh: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketch and slots of the rows that have shingles."""
     starts = np.concatenate([[0], np.cumsum(n)])[:-1][n > 0]
     x = sh.astype(np.uint32)
     slots = np.empty((FUNCTIONS, len(starts)), np.uint32)
@@ -70,9 +72,33 @@ def _signatures(sh: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     slots = ((slots ^ (slots >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(16)
     bits = (slots & np.uint32(1)).astype(np.uint64) << np.arange(FUNCTIONS, dtype=np.uint64)[:, None]
     sketch = np.bitwise_or.reduce(bits, axis=0)
-    part = slots[: CHUNKS * CHUNK].astype(np.uint64).reshape(CHUNKS, CHUNK, -1) * _C[:, :, None]
+    return sketch, slots[: CHUNKS * CHUNK].T.astype("<u2")
+
+
+def _index_keys(slots: np.ndarray) -> np.ndarray:
+    """Index keys of rows of slots; the last bit says in which of two orders a key's rows are read."""
+    part = slots.T.astype(np.uint64).reshape(CHUNKS, CHUNK, -1) * _C[:, :, None]
     keys = tx.mix(part.sum(axis=1, dtype=np.uint64)[:, None, :] - part + _D[:, :, None])
-    return sketch, keys.reshape(CHUNKS * CHUNK, -1).T
+    order = np.arange(CHUNKS, dtype=np.uint64)[:, None, None] & np.uint64(1)
+    return ((keys & ~np.uint64(1)) | order).reshape(CHUNKS * CHUNK, -1).T
+
+
+def _signatures(sh: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketch and index keys of the rows that have shingles."""
+    sketch, slots = _minwise(sh, n)
+    return sketch, _index_keys(slots)
+
+
+def _keyed(batches):
+    """The rows of ``batches`` once for each of their keys."""
+    for whole in batches:
+        for a in range(0, whole.num_rows, KEYED):
+            batch = whole.slice(a, KEYED)
+            slots = np.frombuffer(b"".join(batch.column("slots").to_pylist()), "<u2").reshape(-1, CHUNKS * CHUNK)
+            keys = pa.array(np.ascontiguousarray(_index_keys(slots)).reshape(-1).view(np.int64))
+            at = pa.array(np.repeat(np.arange(batch.num_rows), CHUNKS * CHUNK))
+            rest = [batch.column(c).take(at) for c in ("row", "sketch", "n")]
+            yield pa.RecordBatch.from_arrays([keys, *rest], names=["key", "row", "sketch", "n"])
 
 
 def _profiles(width: int):
@@ -84,21 +110,19 @@ def _profiles(width: int):
             sets = tx.binary(packed, at).cast(pa.binary())
             has = n > 0
             node = pa.array([xxhash.xxh3_128_digest(s) if s else None for s in sets.to_pylist()], pa.binary())
-            sketch, keys = np.zeros(len(n), np.uint64), np.zeros((len(n), CHUNKS * CHUNK), np.uint64)
+            sketch, slots = np.zeros(len(n), np.uint64), np.zeros((len(n), CHUNKS * CHUNK), "<u2")
             if has.any():
-                sketch[has], keys[has] = _signatures(sh, n)
-            ends = np.arange(len(n) + 1, dtype=np.int32) * (CHUNKS * CHUNK)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
+                sketch[has], slots[has] = _minwise(sh, n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("file"), batch.column("line"), pa.array(n, pa.int64()), node,
-                 pa.array(sketch.view(np.int64)), lists, sets],
-                names=["doc_id", "file", "line", "n_shingles", "node", "sketch", "keys", "shingles"],
+                 pa.array(sketch.view(np.int64)), pa.array([v.tobytes() for v in slots], pa.binary()), sets],
+                names=["doc_id", "file", "line", "n_shingles", "node", "sketch", "slots", "shingles"],
             )
 
     return run
 
 
-_PROFILE = "doc_id long, file string, line long, n_shingles long, node binary, sketch long, keys array<long>, shingles binary"
+_PROFILE = "doc_id long, file string, line long, n_shingles long, node binary, sketch long, slots binary, shingles binary"
 
 
 def with_place(docs: DataFrame) -> DataFrame:
@@ -218,11 +242,19 @@ def _sets_of(rows: DataFrame, profile: DataFrame) -> DataFrame:
     return profile.withColumn("slot", slot).join(F.broadcast(wanted), "slot", "left_semi").select("row", "shingles")
 
 
+def _with_sets(pairs: DataFrame, profile: DataFrame) -> DataFrame:
+    """The pairs with the sets of both rows.
+
+    Both joins are sort-merge joins at every size.  Broadcast while the pairs are few, they would keep the sets
+    where they are and shuffle them from some size on, so that disk grew faster than the input.
+    """
+    side = lambda s: _sets_of(pairs.select(F.col(s).alias("row")), profile).select(F.col("row").alias(s), F.col("shingles").alias(f"set_{s}")).hint("merge")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
+
+
 def confirmed(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of rows whose full shingle sets are similar enough."""
-    side = lambda s: _sets_of(pairs.select(F.col(s).alias("row")), profile).select(F.col("row").alias(s), F.col("shingles").alias(f"set_{s}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return staged(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"))
+    return staged(_with_sets(pairs, profile).mapInArrow(_confirm(percent), "a long, b long"))
 
 
 def _slots(batches):
@@ -307,12 +339,11 @@ def links(profile: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
     classes = staged(
         profile.where("node IS NOT NULL").groupBy("node").agg(
             F.min("row").alias("row"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"),
-            F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"),
+            F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("slots").alias("slots"),
         )
     )
-    keyed = classes.select("row", "sketch", "n", F.posexplode("keys").alias("pos", "key"))
-    keyed = keyed.select("key", F.hash("row", F.expr(f"(pos div {CHUNK}) % 2")).alias("ord"), "row", "sketch", "n")
-    order = ["key", "ord", "row"]
+    keyed = classes.select("row", "sketch", "n", "slots").mapInArrow(_keyed, "key long, row long, sketch long, n long")
+    order = ["key", F.hash("row", F.expr("pmod(key, 2)")), "row"]
     stars = staged(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stars(like), _STAR))
 
     pairs = stars.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -133,6 +133,36 @@ def test_index_keys_find_every_pair_within_the_distance():
     assert all(set(keys[i]) & set(keys[200 + i]) for i in np.flatnonzero(near))
 
 
+def test_keys_are_made_from_stored_slots(spark):
+    """A row stores its 54 slots in 108 bytes; the 54 keys are made where they are dealt, equal rows once."""
+    docs = spark.createDataFrame([(i, f"one two three four five six {i // 2}") for i in range(40)] + [(40, None)], "doc_id long, text string")
+    profile = nd.profiles(nd.with_place(docs), nd.Similarity(3, 85), "doc_id", "text")
+    assert "keys" not in profile.columns
+    rows = profile.where("node IS NOT NULL").orderBy("doc_id").collect()
+    assert {len(r.slots) for r in rows} == {2 * nd.CHUNKS * nd.CHUNK}
+    sets = [nd._unpacked(bytes(r.shingles)) for r in rows]
+    sketch, keys = nd._signatures(np.concatenate(sets), np.array([len(s) for s in sets]))
+    assert sketch.view(np.int64).tolist() == [r.sketch for r in rows]
+    narrow = profile.where("node IS NOT NULL").selectExpr("row", "sketch", "n_shingles AS n", "slots")
+    got = narrow.mapInArrow(nd._keyed, "key long, row long, sketch long, n long").collect()
+    want = [(int(k), r.row, r.sketch, r.n_shingles) for r, own in zip(rows, keys.view(np.int64), strict=True) for k in own]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    order = np.arange(nd.CHUNKS).repeat(nd.CHUNK) % 2
+    assert all(((own & np.uint64(1)) == order).all() for own in keys)
+
+
+def test_sets_of_pairs_meet_by_one_plan_at_any_size(spark):
+    """No broadcast join while pairs are few, which would turn into shuffles of the sets at larger sizes."""
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i}") for i in range(6)], "doc_id long, text string")
+    profile = nd.profiles(nd.with_place(docs), nd.Similarity(3, 85), "doc_id", "text")
+    row = [r.row for r in profile.orderBy("row").select("row").collect()]
+    both = nd._with_sets(spark.createDataFrame([(row[0], row[1]), (row[0], row[2])], "a long, b long"), profile)
+    sets = {r.row: r.shingles for r in profile.collect()}
+    assert sorted((r.a, r.b, r.set_a, r.set_b) for r in both.collect()) == [(row[0], b, sets[row[0]], sets[b]) for b in row[1:3]]
+    final = both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("SortMergeJoin") == 2 and " Inner, BuildRight" not in final and " Inner, BuildLeft" not in final
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)]
