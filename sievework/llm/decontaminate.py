@@ -80,13 +80,22 @@ class Cut:
         return (self.hashes >> np.uint64(50)).astype(np.int64)
 
     def sums(self, vectors: np.ndarray) -> np.ndarray:
-        """Sum of the words' vectors for each segment."""
+        """Sum of the words' vectors for each segment.
+
+        All but the last segment of a row have SEGMENT words, so the first words of many segments are added at once, then the second ones.
+        """
         out = np.empty((len(self.starts), vectors.shape[1]), np.float32)
         terms, step = self.terms, CHUNK_WORDS // SEGMENT
+        size = np.diff(np.append(self.starts, len(terms)))
         for a in range(0, len(self.starts), step):
-            part = self.starts[a : a + step]
-            end = self.starts[a + step] if a + step < len(self.starts) else len(terms)
-            out[a : a + step] = np.add.reduceat(vectors[terms[part[0] : end]], part - part[0], axis=0)
+            start, n, part = self.starts[a : a + step], size[a : a + step], out[a : a + step]
+            part[:] = vectors[terms[start]]
+            for k in range(1, int(n.max())):
+                longer = np.flatnonzero(n > k)
+                if len(longer) == len(n):
+                    part += vectors[terms[start + k]]
+                else:
+                    part[longer] += vectors[terms[start[longer] + k]]
         return out
 
 
@@ -281,7 +290,8 @@ class Finder:
         for i, item in enumerate(items):
             unit[i] = vectors[[w >> 50 for w in item.words]].sum(axis=0)
         unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-30)
-        short = np.array([len(i.words) <= SHORT_ITEM for i in items], bool)
+        self.size = np.array([len(i.words) for i in items], np.int64)
+        short = self.size <= SHORT_ITEM
         self.groups = [(SCALES[0], np.flatnonzero(short)), (SCALES[1], np.flatnonzero(~short))]
         self.unit = unit
         self.masks = [_masks(i.words) for i in items]
@@ -292,7 +302,7 @@ class Finder:
         self.shared = [(a, Shared(items[a : a + LOOKUP], space.df)) for a in range(0, len(items), LOOKUP)]
 
     def candidates(self, cut: Cut):
-        """(first word, end, item, cosine) of windows near an item."""
+        """(row, item, first word, end, cosine) of windows near an item, with half the item and a segment more on each side."""
         sums = cut.sums(self.vectors)
         for scale, which in self.groups:
             if not len(which) or not len(sums):
@@ -304,11 +314,15 @@ class Finder:
                 end[:-k][same] += 1
             window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-30)
             stop = np.append(cut.starts, len(cut.hashes))
-            for a in range(0, len(window), 4096):
-                cos = window[a : a + 4096] @ self.unit[which].T
-                at, item = np.nonzero(cos >= COSINE)
-                for w, i in zip((at + a).tolist(), item.tolist(), strict=True):
-                    yield w, int(cut.starts[w]), int(stop[end[w]]), int(which[i]), float(cos[w - a, i])
+            step = max(1, min(4096, (1 << 20) // len(which)))
+            for a in range(0, len(window), step):
+                cos = window[a : a + step] @ self.unit[which].T
+                at, item = np.divmod(np.flatnonzero(cos >= COSINE), len(which))
+                near, at, item = cos[at, item], at + a, which[item]
+                row, more = cut.rows[at], self.size[item] // 2 + SEGMENT
+                low = np.maximum(cut.first[row], cut.starts[at] - more)
+                high = np.minimum(cut.first[row + 1], stop[end[at]] + more)
+                yield from zip(row.tolist(), item.tolist(), low.tolist(), high.tolist(), near.tolist(), strict=True)
 
     def confirm(self, words: list[int], item: int) -> tuple[float, float] | None:
         """The covered shares of the item and of its answer, if they make a leak."""
@@ -325,16 +339,13 @@ class Finder:
     def find(self, texts: pa.Array) -> dict[tuple[int, int], tuple[float, float, float]]:
         """(row, item) to covered share, answer's share and cosine of the best window."""
         cut = Cut.of(texts)
+        words = cut.hashes.tolist()
         found: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for w, a, b, item, cos in self.candidates(cut):
-            row = int(cut.rows[w])
+        for row, item, a, b, cos in self.candidates(cut):
             best = found.get((row, item))
             if best and best[0] == 1:
                 continue
-            n = len(self.items[item].words)
-            a = max(int(cut.first[row]), a - n // 2 - SEGMENT)
-            b = min(int(cut.first[row + 1]), b + n // 2 + SEGMENT)
-            got = self.confirm(cut.hashes[a:b].tolist(), item)
+            got = self.confirm(words[a:b], item)
             if got and (best is None or (*got, cos) > best):
                 found[row, item] = (*got, cos)
         for base, shared in self.shared:
@@ -342,7 +353,7 @@ class Finder:
                 best = found.get((row, base + i))
                 if best and best[0] == 1:
                     continue
-                got = self.confirm(cut.hashes[a:b].tolist(), base + i)
+                got = self.confirm(words[a:b], base + i)
                 if got and (best is None or got > best[:2]):
                     found[row, base + i] = (*got, self.cosine(cut.terms[a:b], base + i))
         return found

@@ -164,6 +164,27 @@ def test_leaks_of_the_tables_like_shared_runs_of_words(spark):
     assert {r.doc_id for r in decontaminate.leaks(docs, bench).collect()} == want
 
 
+def test_windows_near_an_item_come_with_row_and_bounds():
+    """Segments are summed word by word; a candidate names its row and the words to compare, inside the row."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(300)]
+    item = words[40:76]
+    rows = [words[:n] for n in (0, 1, 12, 13, 24, 25, 300)] + [words[200:] + item + words[:30]]
+    cut = decontaminate.Cut.of(pa.array([" ".join(r).encode() for r in rows], pa.large_binary()))
+    vectors = rng.standard_normal((decontaminate.TERMS, 20), dtype=np.float32)
+    ends = np.append(cut.starts[1:], len(cut.hashes))
+    want = np.array([vectors[cut.terms[a:b]].sum(axis=0) for a, b in zip(cut.starts, ends, strict=True)])
+    assert np.allclose(cut.sums(vectors), want, atol=1e-5)
+    items = decontaminate._items([{"item_id": 1, "text": " ".join(item)}])
+    finder = decontaminate.Finder(items, decontaminate.Space(vectors, np.ones(decontaminate.TERMS, np.int64)))
+    got = list(finder.candidates(cut))
+    assert {row for row, *_ in got} == {6, 7}
+    for row, i, a, b, cos in got:
+        assert i == 0 and cos >= decontaminate.COSINE and cut.first[row] <= a < b <= cut.first[row + 1]
+    hashes = finder.items[0].words
+    assert all(any(set(hashes) <= set(cut.hashes[a:b].tolist()) for row, _, a, b, _ in got if row == r) for r in (6, 7))
+
+
 def test_leak_of_a_passage_that_a_third_of_the_documents_share(spark, table):
     sf = "/root/testdata/sf0.01"
     texts = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
