@@ -82,20 +82,26 @@ class Cut:
     def sums(self, vectors: np.ndarray) -> np.ndarray:
         """Sum of the words' vectors for each segment.
 
-        All but the last segment of a row have SEGMENT words, so the first words of many segments are added at once, then the second ones.
+        All but the last segment of a row have SEGMENT words; these are added place by place for many segments at once, in
+        the order in which numpy reduces the others, so that a sum does not depend on how it was made.
         """
         out = np.empty((len(self.starts), vectors.shape[1]), np.float32)
         terms, step = self.terms, CHUNK_WORDS // SEGMENT
         size = np.diff(np.append(self.starts, len(terms)))
         for a in range(0, len(self.starts), step):
             start, n, part = self.starts[a : a + step], size[a : a + step], out[a : a + step]
-            part[:] = vectors[terms[start]]
-            for k in range(1, int(n.max())):
-                longer = np.flatnonzero(n > k)
-                if len(longer) == len(n):
-                    part += vectors[terms[start + k]]
-                else:
-                    part[longer] += vectors[terms[start[longer] + k]]
+            short, full = np.flatnonzero(n < SEGMENT), np.flatnonzero(n == SEGMENT)
+            if len(short):
+                first = np.cumsum(n[short]) - n[short]
+                at = np.arange(n[short].sum()) + np.repeat(start[short] - first, n[short])
+                part[short] = np.add.reduceat(vectors[terms[at]], first, axis=0)
+            word = lambda k, at=start[full]: vectors[terms[at + k]]
+            eight = (word(1) + word(2)) + (word(3) + word(4))
+            eight += (word(5) + word(6)) + (word(7) + word(8))
+            for k in range(9, SEGMENT):
+                eight += word(k)
+            eight += word(0)
+            part[full] = eight
         return out
 
 
