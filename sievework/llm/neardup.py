@@ -22,8 +22,8 @@ FUNCTIONS, CHUNKS, CHUNK = 64, 9, 6
 KEYED = 1000
 #: Bytes kept of a shingle's hash.
 WIDTH = 6
-#: Slots of the tables that travel to every task: of wanted rows, and of shingle counts.
-FILTER, COUNTED = 1 << 20, 1 << 18
+#: Slots of the table of shingle counts that travels to every task.
+COUNTED = 1 << 18
 #: Words of 64 bits that say in which slots a set has an odd number of shingles.
 ODD = 8
 
@@ -233,13 +233,15 @@ def _unpacked(raw) -> np.ndarray:
 
 
 def _sets_of(rows: DataFrame, profile: DataFrame) -> DataFrame:
-    """``profile`` narrowed to about the rows wanted (a few more), before anything is shuffled.
+    """``profile`` narrowed to the rows wanted, before anything is shuffled.
 
-    The filter is the set of the wanted rows' hashes modulo FILTER, a table of at most FILTER numbers.
+    A row's number is its partition's and its place there, so 64 neighbours share a word of 64 bits.  The words of the
+    wanted rows travel to every task: at most one for 64 rows, and no row but these passes, however many they are.
     """
-    slot = F.pmod(F.xxhash64("row"), F.lit(FILTER)).alias("slot")
-    wanted = rows.select(slot).distinct()
-    return profile.withColumn("slot", slot).join(F.broadcast(wanted), "slot", "left_semi").select("row", "shingles")
+    word, bit = F.shiftright("row", 6).alias("word"), F.expr("shiftleft(1L, CAST(row & 63 AS INT))").alias("bit")
+    wanted = rows.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    here = F.expr("shiftright(row, 6) = word AND shiftright(bits, CAST(row & 63 AS INT)) & 1 = 1")
+    return profile.select("row", "shingles").join(F.broadcast(wanted), here, "left_semi")
 
 
 def _with_sets(pairs: DataFrame, profile: DataFrame) -> DataFrame:

@@ -163,6 +163,18 @@ def test_sets_of_pairs_meet_by_one_plan_at_any_size(spark):
     assert final.count("SortMergeJoin") == 2 and " Inner, BuildRight" not in final and " Inner, BuildLeft" not in final
 
 
+def test_no_set_but_those_wanted_is_moved(spark):
+    """Also when very many rows are wanted: a filter of fixed size let more and more others pass."""
+    profile = spark.range(200_000).selectExpr("id % 7 * 8589934592 + id AS row", "CAST(CAST(id AS STRING) AS BINARY) AS shingles")
+    wanted = profile.where("row % 2 = 0").select("row")
+    got = nd._sets_of(wanted.union(wanted), profile)
+    assert got.columns == ["row", "shingles"]
+    assert got.where("row % 2 <> 0").count() == 0
+    assert got.count() == 100_000 == got.distinct().count()
+    last = spark.createDataFrame([(63, b"a"), (64, b"b"), (127, b"c"), (0, b"d")], "row long, shingles binary")
+    assert sorted(r.row for r in nd._sets_of(last.where("row IN (63, 127)"), last).collect()) == [63, 127]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)]
