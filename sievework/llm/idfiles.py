@@ -17,7 +17,9 @@ from sievework.sources.stage import shared_folder, staged
 
 #: A block: magic, ids, entries, bytes of the coded ids; then the entries; the coded ids; crc32 of all before.
 _HEAD = struct.Struct("<4sIII")
-_MAGIC = b"IDB1"
+_MAGIC = b"IDB2"
+#: Pieces of texts that a worker remembers with their ids, about 150 bytes each.
+REMEMBERED = 500_000
 #: An entry is the part of one document that the block holds: the document's id and whether it has one, its number
 #: and its first id's place in the file, its ids here, whether it begins here and whether it ends here.
 _ENTRY = np.dtype(
@@ -82,7 +84,7 @@ class _Stream:
 
 def _written(path: str, end_id: int):
     def run(batches):
-        enc = tk.encoder(path)
+        enc = tk.encoder(path, remembered=REMEMBERED)
         stream, number, part = _Stream(), 0, None
         end = np.array([end_id], np.uint32)
 

@@ -1,11 +1,13 @@
 """Adaptive context-mixing range coder for token ids; many blocks are coded side by side.
 
-Each id is predicted from the last two (order 2), the last (order 1) and by its size alone (order 0).  The
-order-2 and order-1 tables hold the id that followed a context and how often it did in a row.  Whether the
-candidate is right is coded as a binary decision whose probability mixes, in the logistic domain and with
-weights that learn, what all orders say.  An id that neither predicts is coded by its bit
-length, with adaptive frequencies, and its remaining bits.  All arithmetic is on integers, so a file can be
-read on any machine.  Nothing passes from one block to the next.
+Each id is predicted from the last two (order 2), the last (order 1) and by its class alone (order 0).  The
+order-2 and order-1 tables hold the id that followed a context, how often it did in a row, and a check that
+tells contexts of one slot apart.  Where order 2 knows its context, or order 1 a candidate that came twice in a
+row, a binary decision says whether the candidate (order 2's, else order 1's) is right; its probability mixes,
+in the logistic domain and with weights that learn, what all orders say.  An id not predicted so is coded by its
+class (bit length and the two bits below the first), with adaptive frequencies, and its remaining bits.  An id's
+decision, class and bits narrow the range before digits are moved once.  All arithmetic is on integers, so a file
+can be read on any machine.  Nothing passes from one block to the next.
 """
 
 from __future__ import annotations
@@ -15,91 +17,108 @@ from functools import cache
 
 import numpy as np
 
-#: Ids of a block, slots of a context table, classes of the bit length (0 to 17).
-BLOCK, SLOTS, CLASSES = 1024, 1024, 18
+#: Ids of a block, slots of a context table.
+BLOCK, SLOTS = 1024, 1024
 #: Blocks coded side by side; bounds a task's memory.
 LANES = 4096
-_LOW, _RANGE, _DIGIT = np.int64(1) << 48, np.int64(1) << 32, np.int64(0xFFFF)
-_WEIGHT, _RATE, _LEARN = 1 << 15, 4, 13
+#: Classes of ids below 2^17: 0 to 7 for themselves, then four for each bit length.
+CLASSES = 64
+#: Steps after which class frequencies are renewed from the counts so far; every _RENEW steps beyond these.
+_EARLY, _RENEW = (16, 48, 112, 240), 256
+#: Range coder: bits of its window, of a digit, and of the share of one class.
+_WINDOW, _DIGIT, _SHARE = 62, 16, 10
+_FLOOR = np.int64(1) << (_WINDOW - _DIGIT)
+_KEEP = np.array([(1 << 63) - 1, (1 << (_WINDOW - _DIGIT)) - 1], np.int64)
+#: Mixer: weight of an input at the start (16,384 is 1), rates of probabilities and weights, least probability of 4096.
+_WEIGHT, _RATE, _LEARN, _LEAST = 8192, 4, 15, 32
+#: States of a context: times in a row (0 to 15), agreeing with the other order or not, and unknown.
+_STATES, _UNKNOWN = 33, 32
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """squash: logistic of x/256 in 1/4096; stretch: its inverse; and the bit length of every id."""
+def _tables() -> tuple[np.ndarray, ...]:
+    """squash: logistic of x/256 in 1/4096; stretch: its inverse; class of every id; first id and bits of every class."""
     with localcontext() as c:
         c.prec = 30
-        squash = [min(4095, max(1, round(Decimal(4096) / (1 + (Decimal(-x) / 256).exp())))) for x in range(-2048, 2048)]
-    squash = np.array(squash, np.int64)
-    stretch = np.clip(np.searchsorted(squash, np.arange(4096)) - 2048, -2047, 2047)
-    length = np.zeros(1 << 17, np.int64)
-    for k in range(17):
-        length[1 << k : 1 << (k + 1)] = k + 1
-    return squash, stretch, length
+        squash = [min(4096 - _LEAST, max(_LEAST, round(Decimal(4096) / (1 + (Decimal(-x) / 256).exp())))) for x in range(-2048, 2048)]
+        plain = [round(Decimal(4096) / (1 + (Decimal(-x) / 256).exp())) for x in range(-2048, 2048)]
+    stretch = np.clip(np.searchsorted(np.array(plain, np.int64), np.arange(4096)) - 2048, -2047, 2047)
+    first, bits = [*range(8)], [0] * 8
+    for length in range(4, 18):
+        first += [(4 + k) << (length - 3) for k in range(4)]
+        bits += [length - 3] * 4
+    first, bits = np.array(first, np.int64), np.array(bits, np.int64)
+    kind = np.repeat(np.arange(CLASSES, dtype=np.uint8), np.int64(1) << bits)
+    return np.array(squash, np.int64), stretch, kind, first, bits
 
 
 class Writer:
-    """The range coder's output; carries are added to the last digit and settled at the end."""
+    """The range coder's output; a digit's carry is its 17th bit until all is settled at the end."""
 
     def __init__(self, lanes: int, ids: np.ndarray):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _LOW - 1, np.int64)
-        self.out = np.zeros((lanes, 2 * ids.shape[1] + 8), np.int64)
-        self.at = np.zeros(lanes, np.int64)
-        self.ids = ids
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, (1 << _WINDOW) - 1, np.int64)
+        width = 2 * ids.shape[1] + 8  # an id takes 31 bits at most
+        self.out = np.zeros(lanes * width, np.int32)
+        self.width, self.at = width, np.arange(lanes) * width
+        self.ids = np.ascontiguousarray(ids.T)
 
-    def _settle(self, lane: np.ndarray) -> None:
-        small = lane[self.range[lane] < _RANGE]
-        if len(small):
-            self._digit(small)
-            self.range[small] <<= 16
-
-    def _digit(self, lane: np.ndarray) -> None:
-        low = self.low[lane]
-        over = lane[low >= _LOW]
-        if len(over):
-            self.out[over, self.at[over] - 1] += 1
-            low &= _LOW - 1
-        self.out[lane, self.at[lane]] = low >> 32
-        self.at[lane] += 1
-        self.low[lane] = (low & (_RANGE - 1)) << 16
-
-    def bit(self, lane: np.ndarray, p: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Codes the decision ``right`` of probability p/4096."""
-        whole = self.range[lane]
+    def is_id(self, lane: np.ndarray, step: int, p: np.ndarray, guess: np.ndarray) -> np.ndarray:
+        """Codes whether the id is ``guess``, of probability p/4096."""
+        right = self.ids[step].take(lane) == guess
+        whole = self.range.take(lane)
         part = (whole >> 12) * p
         self.low[lane] += np.where(right, 0, part)
         self.range[lane] = np.where(right, part, whole - part)
-        self._settle(lane)
         return right
 
-    def span(self, lane: np.ndarray, start: np.ndarray, size: np.ndarray, bits) -> None:
-        part = self.range[lane] >> bits
-        self.low[lane] += part * start
-        self.range[lane] = part * size
-        self._settle(lane)
-
-    def is_id(self, lane: np.ndarray, step: int, p: np.ndarray, guess: np.ndarray) -> np.ndarray:
-        return self.bit(lane, p, self.ids[lane, step] == guess)
-
-    def symbol(self, lane: np.ndarray, step: int, sums: np.ndarray) -> np.ndarray:
-        """The class of the id, whose share is between two of the running ``sums`` of 4096."""
-        got = _tables()[2][self.ids[lane, step]]
-        rows = np.arange(len(lane))
-        self.span(lane, sums[rows, got], sums[rows, got + 1] - sums[rows, got], 12)
-        return got
-
-    def rest(self, lane: np.ndarray, step: int, bits: np.ndarray) -> np.ndarray:
-        value = self.ids[lane, step]
-        self.span(lane, value & ((np.int64(1) << bits) - 1), np.int64(1), bits)
+    def symbol(self, lane: np.ndarray, step: int, order: _Classes) -> np.ndarray:
+        """Codes the id by its class and the bits below."""
+        _, _, kind, first, bits = _tables()
+        value = self.ids[step].take(lane)
+        got = kind.take(value).astype(np.int64)
+        part = self.range.take(lane) >> _SHARE
+        start, size = order.share(lane, got)
+        fine = (part * size) >> bits.take(got)
+        self.low[lane] += part * start + fine * (value - first.take(got))
+        self.range[lane] = fine
         return value
 
+    def settle(self, n: int) -> None:
+        """Moves out the digits that no later id can change but by a carry."""
+        low, whole, at = self.low[:n], self.range[:n], self.at[:n]
+        small = (whole < _FLOOR).astype(np.int64)
+        self.out[at] = low >> (_WINDOW - _DIGIT)
+        at += small
+        low &= _KEEP.take(small)
+        small <<= 4
+        low <<= small
+        whole <<= small
+        more = np.flatnonzero(whole < _FLOOR)
+        while len(more):
+            self._digit(more)
+            self.range[more] <<= _DIGIT
+            more = more[self.range[more] < _FLOOR]
+
+    def _digit(self, lane: np.ndarray) -> None:
+        low = self.low[lane]
+        self.out[self.at[lane]] = low >> (_WINDOW - _DIGIT)
+        self.at[lane] += 1
+        self.low[lane] = (low & (_FLOOR - 1)) << _DIGIT
+
     def finish(self) -> list[np.ndarray]:
         lane = np.arange(len(self.low))
-        for _ in range(3):
+        for _ in range(4):
             self._digit(lane)
-        for k in range(int(self.at.max()) - 1, 0, -1):
-            self.out[:, k - 1] += self.out[:, k] >> 16
-            self.out[:, k] &= _DIGIT
-        return [row[:n].astype("<u2") for row, n in zip(self.out, self.at, strict=True)]
+        n = self.at - lane * self.width
+        out = self.out.reshape(len(lane), self.width)
+        out[np.arange(self.width) >= n[:, None]] = 0
+        while True:
+            over = out >> _DIGIT
+            if not over.any():
+                break
+            out &= (1 << _DIGIT) - 1
+            out[:, :-1] += over[:, 1:]
+        return [row[:k].astype("<u2") for row, k in zip(out, n.tolist(), strict=True)]
 
 
 class Reader:
@@ -107,132 +126,187 @@ class Reader:
 
     def __init__(self, coded: list[np.ndarray]):
         lanes, width = len(coded), max(len(c) for c in coded) + 4
-        self.words = np.zeros((lanes, width), np.int64)
+        words = np.zeros((lanes, width), np.int64)
         for i, c in enumerate(coded):
-            self.words[i, : len(c)] = c
-        self.code = (self.words[:, 0] << 32) | (self.words[:, 1] << 16) | self.words[:, 2]
-        self.range = np.full(lanes, _LOW - 1, np.int64)
-        self.at = np.full(lanes, 3, np.int64)
-
-    def _settle(self, lane: np.ndarray) -> None:
-        small = lane[self.range[lane] < _RANGE]
-        if len(small):
-            self.code[small] = (self.code[small] << 16) | self.words[small, self.at[small]]
-            self.at[small] = np.minimum(self.at[small] + 1, self.words.shape[1] - 1)
-            self.range[small] <<= 16
+            words[i, : len(c)] = c
+        # the window's 62 bits: 16 of each of the first three digits and 14 of the fourth
+        self.words = words.reshape(-1)
+        self.at, self.last = np.arange(lanes) * width + 4, np.arange(1, lanes + 1) * width - 1
+        first = (words[:, 0] << 46) | (words[:, 1] << 30) | (words[:, 2] << 14)
+        self.code, self.held = first | (words[:, 3] >> 2), words[:, 3] & 3
+        self.range = np.full(lanes, (1 << _WINDOW) - 1, np.int64)
 
     def is_id(self, lane: np.ndarray, step: int, p: np.ndarray, guess: np.ndarray) -> np.ndarray:
-        whole, code = self.range[lane], self.code[lane]
+        whole, code = self.range.take(lane), self.code.take(lane)
         part = (whole >> 12) * p
         right = code < part
         self.code[lane] = np.where(right, code, code - part)
         self.range[lane] = np.where(right, part, whole - part)
-        self._settle(lane)
         return right
 
-    def symbol(self, lane: np.ndarray, step: int, sums: np.ndarray) -> np.ndarray:
-        part, code = self.range[lane] >> 12, self.code[lane]
-        got = (code[:, None] >= sums[:, 1:-1] * part[:, None]).sum(axis=1)
-        rows = np.arange(len(lane))
-        self.code[lane] = code - part * sums[rows, got]
-        self.range[lane] = part * (sums[rows, got + 1] - sums[rows, got])
-        self._settle(lane)
-        return got
-
-    def rest(self, lane: np.ndarray, step: int, bits: np.ndarray) -> np.ndarray:
-        part, code = self.range[lane] >> bits, self.code[lane]
-        value = np.minimum(code // part, (np.int64(1) << bits) - 1)
-        self.code[lane] = code - part * value
-        self.range[lane] = part
-        self._settle(lane)
-        return value
+    def symbol(self, lane: np.ndarray, step: int, order: _Classes) -> np.ndarray:
+        _, _, _, first, bits = _tables()
+        code, part = self.code.take(lane), self.range.take(lane) >> _SHARE
+        share = np.minimum(code // part, (1 << _SHARE) - 1)
+        got = order.whose(lane, share)
+        start, size = order.share(lane, got)
+        code -= part * start
+        below = bits.take(got)
+        fine = (part * size) >> below
+        value = np.minimum(code // fine, (np.int64(1) << below) - 1)
+        self.code[lane] = code - fine * value
+        self.range[lane] = fine
+        return value + first.take(got)
+
+    def settle(self, n: int) -> None:
+        more = np.flatnonzero(self.range[:n] < _FLOOR)
+        while len(more):
+            at = self.at.take(more)
+            digit = self.words.take(at)
+            self.code[more] = (self.code.take(more) << _DIGIT) | (self.held.take(more) << 14) | (digit >> 2)
+            self.held[more] = digit & 3
+            self.at[more] = np.minimum(at + 1, self.last.take(more))
+            whole = self.range.take(more) << _DIGIT
+            self.range[more] = whole
+            more = more[whole < _FLOOR]
+
+
+class _Classes:
+    """Order 0: each lane's shares of the classes, in 1/1024, renewed from counts now and then."""
+
+    def __init__(self, lanes: int, look_up: bool):
+        self.lanes, self.look_up = lanes, look_up
+        self.seen = np.zeros(lanes * CLASSES, np.int32)
+        self.renew(lanes)
+
+    def renew(self, n: int) -> None:
+        """Shares in proportion to the counts and one half, none below 1; the largest takes what is left over."""
+        seen = 2 * self.seen[: n * CLASSES].reshape(n, CLASSES) + 1
+        size = 1 + seen * ((1 << _SHARE) - CLASSES) // seen.sum(axis=1, keepdims=True)
+        size[np.arange(n), seen.argmax(axis=1)] += (1 << _SHARE) - size.sum(axis=1)
+        start = size.cumsum(axis=1, dtype=np.int32) - size
+        self.shares = (start << 11 | size).reshape(-1)
+        if self.look_up:
+            self.owner = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint8), n), size.reshape(-1))
+
+    def share(self, lane: np.ndarray, got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the share of the class that came starts and how large it is; counts the class."""
+        at = lane * CLASSES + got
+        self.seen[at] += 1
+        both = self.shares.take(at).astype(np.int64)
+        return both >> 11, both & 2047
+
+    def whose(self, lane: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """The class that holds a share."""
+        return self.owner.take((lane << _SHARE) + share).astype(np.int64)
 
 
 class _Mixer:
     """A binary decision per lane from several adaptive probabilities."""
 
-    def __init__(self, lanes: int, contexts: tuple[int, ...], sets: int):
-        self.contexts, self.sets = contexts, sets
-        self.p = [np.full(lanes * c, 1 << 15, np.int64) for c in contexts]
-        self.w = [np.full(lanes * sets, _WEIGHT, np.int64) for _ in contexts]
-
-    def predict(self, lane: np.ndarray, context: tuple[np.ndarray, ...], which) -> np.ndarray:
-        squash, stretch, _ = _tables()
+    def __init__(self, lanes: int):
+        sure = np.arange(16)
+        known = 65535 - 65535 * 2 // (2 * sure + 3)
+        start = np.concatenate([known, known, [1 << 15]])
+        self.contexts = (_STATES, _STATES, CLASSES)
+        self.p = [np.tile(start, lanes), np.tile(start, lanes), np.full(lanes * CLASSES, 1 << 15, np.int64)]
+        self.w = [np.full(lanes, _WEIGHT, np.int64) for _ in self.contexts]
+
+    def predict(self, lane: np.ndarray, context: tuple[np.ndarray, ...]) -> np.ndarray:
+        squash, stretch, *_ = _tables()
+        self.lane = lane
         self.at = [lane * c + k for c, k in zip(self.contexts, context, strict=True)]
-        self.set = lane * self.sets + which
-        self.x = [stretch[p[a] >> 4] for p, a in zip(self.p, self.at, strict=True)]
-        dot = sum(w[self.set] * x for w, x in zip(self.w, self.x, strict=True)) >> 16
-        self.said = squash[np.clip(dot, -2047, 2047) + 2048]
+        self.was = [p.take(a) for p, a in zip(self.p, self.at, strict=True)]
+        self.x = [stretch.take(p >> 4) for p in self.was]
+        self.weight = [w.take(lane) for w in self.w]
+        dot = self.weight[0] * self.x[0]
+        for w, x in zip(self.weight[1:], self.x[1:], strict=True):
+            dot += w * x
+        dot >>= 14
+        np.maximum(np.minimum(dot, 2047, out=dot), -2047, out=dot)
+        dot += 2048
+        self.said = squash.take(dot)
         return self.said
 
     def learn(self, right: np.ndarray) -> None:
-        miss = (right.astype(np.int64) << 12) - self.said
-        full = right.astype(np.int64) * 65535
-        for p, a, w, x in zip(self.p, self.at, self.w, self.x, strict=True):
-            p[a] += (full - p[a]) >> _RATE
-            w[self.set] += (x * miss) >> _LEARN
+        right = right.astype(np.int64)
+        miss = (right << 12) - self.said
+        full = right * 65535
+        for p, a, was, w, weight, x in zip(self.p, self.at, self.was, self.w, self.weight, self.x, strict=True):
+            p[a] = was + ((full - was) >> _RATE)
+            w[self.lane] = weight + ((x * miss) >> _LEARN)
+
+
+#: An entry of a context table: check (10 bits), id (17 bits), times in a row (4 bits); -1 is none.
+_ENTRY = 21
+
 
+def _follow(table: np.ndarray, at: np.ndarray, check: np.ndarray, entry: np.ndarray, ids: np.ndarray) -> None:
+    """The contexts' entries after ``ids`` came: ``entry`` without its check, which is larger where the context is not known.
 
-def _follow(table: np.ndarray, at: np.ndarray, entry: np.ndarray, ids: np.ndarray) -> None:
-    """The context's entry (id and confidence) after ``ids`` came."""
-    sure = entry & 15
-    hit = (entry >> 4) == ids
-    new = np.where(hit, entry + (sure < 15), np.where(sure < 2, ids << 4, (entry & ~15) | (sure >> 1)))
-    table[at] = new
+    The same id counts up; another one takes the place of an id that came less than three times in a row, and halves the count of others.
+    """
+    new = ids << 4
+    again = entry ^ new  # the times in a row, where the ids are the same
+    same = again < 16
+    firm = np.flatnonzero(((entry & 14) != 0) & (entry < 1 << _ENTRY) & ~same)
+    same = np.flatnonzero(same)
+    new[same] += np.minimum(again.take(same) + 1, 15)
+    old = entry.take(firm)
+    new[firm] = (old & ~15) | ((old & 15) >> 1)
+    new |= check
+    table[at] = new.astype(np.int32)
 
 
 def _run(coder, sizes: np.ndarray) -> np.ndarray:
     """Codes or decodes all blocks, longest first, one id of each per step."""
-    lanes, length = len(sizes), _tables()[2]
-    ids = np.zeros((lanes, int(sizes[0])), np.int64)
-    two, one = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
-    by_two = _Mixer(lanes, (32, 32, CLASSES), 2)
-    by_one = _Mixer(lanes, (16, CLASSES), 1)
-    sums = np.tile((np.arange(CLASSES + 1) * 4096) // CLASSES, (lanes, 1))
-    goal = np.arange(CLASSES + 1)
+    lanes, kind = len(sizes), _tables()[2]
+    ids = np.zeros((int(sizes[0]), lanes), np.int64)
+    two, one = np.full(lanes * SLOTS, -1, np.int32), np.full(lanes * SLOTS, -1, np.int32)
+    mixer, order = _Mixer(lanes), _Classes(lanes, isinstance(coder, Reader))
     last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     all_lanes = np.arange(lanes)
     base = all_lanes * SLOTS
+    left = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left")
+    unknown = np.int64(1) << 32
     for step in range(int(sizes[0])):
-        n = int(np.searchsorted(-sizes, -step, "left"))
-        lane, p1, p2 = all_lanes[:n], last[:n], before[:n]
-        at2 = base[:n] + (((p1 * 0x9E37 + p2 * 0x79B1) >> 4) & (SLOTS - 1))
-        at1 = base[:n] + ((p1 ^ (p1 >> 6)) & (SLOTS - 1))
-        e2, e1 = two[at2].astype(np.int64), one[at1].astype(np.int64)
-        c2, c1 = e2 >> 4, e1 >> 4
-        same = (c1 == c2).astype(np.int64)
-        p = by_two.predict(lane, (same * 16 + (e2 & 15), same * 16 + (e1 & 15), length[c2]), same)
-        right = coder.is_id(lane, step, p, c2)
-        by_two.learn(right)
-        got = c2.copy()
-        open_ = np.flatnonzero(~right)
-        if len(open_):
-            second = open_[same[open_] == 0]
-            if len(second):
-                p = by_one.predict(second, (e1[second] & 15, length[c1[second]]), 0)
-                right = coder.is_id(second, step, p, c1[second])
-                by_one.learn(right)
-                got[second] = c1[second]
-                open_ = np.concatenate([open_[same[open_] == 1], second[~right]])
-            if len(open_):
-                own = sums[open_]
-                size = coder.symbol(open_, step, own)
-                # every bound moves towards where it would stand if only this class came
-                want = np.where(goal[None, :] > size[:, None], 4096 - CLASSES, 0) + goal[None, :]
-                sums[open_] = own + ((want - own) >> 5)
-                value = np.zeros(len(open_), np.int64)
-                value[size == 1] = 1
-                deep = np.flatnonzero(size > 1)
-                if len(deep):
-                    bits = size[deep] - 1
-                    top = np.int64(1) << bits
-                    value[deep] = top | (coder.rest(open_[deep], step, bits) & (top - 1))
-                got[open_] = value
-        ids[:n, step] = got
-        _follow(two, at2, e2, got)
-        _follow(one, at1, e1, got)
+        n = int(left[step])
+        if step in _EARLY or (step and step % _RENEW == 0):
+            order.renew(n)
+        p1, p2 = last[:n], before[:n]
+        both = p1 * 0x9E3779B1 + p2 * 0x85EBCA77
+        at2 = base[:n] + ((both >> 15) & (SLOTS - 1))
+        check2 = ((both >> 25) & 1023) << _ENTRY
+        at1 = base[:n] + ((p1 ^ (p1 >> 7)) & (SLOTS - 1))
+        check1 = (p1 >> 7) << _ENTRY
+        e2, e1 = two.take(at2).astype(np.int64), one.take(at1).astype(np.int64)
+        e2 ^= check2
+        e1 ^= check1
+        e2 &= unknown - 1  # an empty entry is negative, so larger than any id
+        e1 &= unknown - 1
+        has2, has1 = e2 < 1 << _ENTRY, e1 < 1 << _ENTRY
+        known = has2 | (has1 & ((e1 & 15) > 0))
+        some = np.flatnonzero(known)
+        got = ids[step, :n]
+        if len(some):
+            a2, a1, k2, k1 = e2.take(some), e1.take(some), has2.take(some), has1.take(some)
+            guess = np.where(k2, a2, a1) >> 4
+            same = ((a1 >> 4) == (a2 >> 4)).astype(np.int64) << 4
+            p = mixer.predict(some, (np.where(k2, (a2 & 15) + same, _UNKNOWN), np.where(k1, (a1 & 15) + same, _UNKNOWN), kind.take(guess).astype(np.int64)))
+            right = coder.is_id(some, step, p, guess)
+            mixer.learn(right)
+            got[some] = guess
+            known[some] = right
+            rest = np.flatnonzero(~known)
+        else:
+            rest = all_lanes[:n]
+        if len(rest):
+            got[rest] = coder.symbol(rest, step, order)
+        coder.settle(n)
+        _follow(two, at2, check2, e2, got)
+        _follow(one, at1, check1, e1, got)
         before[:n], last[:n] = p1, got
-    return ids
+    return ids.T
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -258,6 +332,7 @@ def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     for a in range(0, len(order), LANES):
         some = order[a : a + LANES]
         ids = _run(Reader([np.frombuffer(coded[i], "<u2") for i in some]), np.array([sizes[i] for i in some]))
+        ids = np.ascontiguousarray(ids, "<u4")
         for k, i in enumerate(some):
-            out[i] = ids[k, : sizes[i]].astype("<u4")
+            out[i] = ids[k, : sizes[i]]
     return out

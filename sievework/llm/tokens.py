@@ -42,6 +42,7 @@ class Encoder:
         self.words_only = words_only
         self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.remembered = REMEMBERED
 
     def cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where pieces start: row starts, lone blanks and line feeds, what follows these, and marks after letters."""
@@ -89,7 +90,7 @@ class Encoder:
             got = known.get(p)
             if got is None:
                 got = self.piece(p)
-                if len(known) >= REMEMBERED:
+                if len(known) >= self.remembered:
                     known.clear()
                 if len(p) <= 64:
                     known[p] = got
@@ -131,8 +132,10 @@ class Encoder:
         return flat[at], after[first]
 
 
-def encoder(path: str, words_only: bool = False) -> Encoder:
-    """The worker's encoder for a vocabulary file; it outlives a task."""
+def encoder(path: str, words_only: bool = False, remembered: int = REMEMBERED) -> Encoder:
+    """The worker's encoder for a vocabulary file, which remembers ``remembered`` pieces at least; it outlives a task."""
     if (path, words_only) not in _encoders:
         _encoders[path, words_only] = Encoder(path, words_only)
-    return _encoders[path, words_only]
+    found = _encoders[path, words_only]
+    found.remembered = max(found.remembered, remembered)
+    return found

@@ -48,6 +48,28 @@ def test_coder_round_trip():
     assert mixing.encode(blocks[3:4]) == coded[3:4]  # a block depends on no other
 
 
+def test_ids_of_one_class_share_its_bits():
+    """Order 0 learns the two bits below an id's first one as well, and digits of an id move once."""
+    rng = np.random.default_rng(2)
+    blocks = [rng.integers(512, 640, mixing.BLOCK) for _ in range(40)] + [rng.integers(0, 1 << 17, mixing.BLOCK) for _ in range(40)]
+    moves, settle = [], mixing.Writer.settle
+    mixing.Writer.settle = lambda self, n: (moves.append(n), settle(self, n))
+    try:
+        coded = mixing.encode(blocks)
+    finally:
+        mixing.Writer.settle = settle
+    assert moves == [len(blocks)] * mixing.BLOCK
+    assert sum(map(len, coded[:40])) < 40 * mixing.BLOCK  # seven bits are equally likely
+    for got, want in zip(mixing.decode(coded, [len(b) for b in blocks]), blocks, strict=True):
+        assert (got == want).all()
+
+
+def test_more_pieces_are_remembered_where_asked():
+    enc = tk.encoder(public_tokenizers.path("byte_bpe_50k.json"), remembered=idfiles.REMEMBERED)
+    assert tk.encoder(public_tokenizers.path("byte_bpe_50k.json")) is enc
+    assert enc.remembered == idfiles.REMEMBERED > tk.REMEMBERED
+
+
 def test_carries_reach_earlier_digits():
     rng = np.random.default_rng(1)
     blocks = [rng.choice([1, 2, 65_535, 65_536], 700, p=[0.97, 0.01, 0.01, 0.01]) for _ in range(300)]
