@@ -152,63 +152,54 @@ def profiles(placed: DataFrame, like: Similarity, id_col: str, text_col: str) ->
     return staged(narrow.mapInArrow(_profiles(like.width), _PROFILE).withColumn("row", F.monotonically_increasing_id()))
 
 
-def _near(like: Similarity):
-    def test(sk_a, sk_b, n_a, n_b):
-        few = np.bitwise_count((sk_a ^ sk_b).view(np.uint64)) <= like.bits
-        return few & (100 * np.minimum(n_a, n_b) >= like.percent * np.maximum(n_a, n_b))
+def _near(pairs: DataFrame, classes: DataFrame, like: Similarity) -> DataFrame:
+    """The pairs whose sketches and sizes allow the similarity."""
+    side = lambda s: classes.select(F.col("row").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("n").alias(f"n_{s}")).hint("merge")
+    few = f"bit_count(sketch_a ^ sketch_b) <= {like.bits} AND 100 * least(n_a, n_b) >= {like.percent} * greatest(n_a, n_b)"
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(few).select("a", "b")
 
-    return test
 
-
-def _stars(like: Similarity):
+def _stars(batches):
     """Reads rows sorted by key and links each to the first of its key.
 
-    kind 0: a candidate pair (a, b); kind 1: a row of a key with three rows or more, or with rows in
+    kind 0: a pair (a, b) that shares a key; kind 1: a row of a key with three rows or more, or with rows in
     several partitions; kind 2: the first row of a key at a border of the partition.
     """
-    near = _near(like)
-    names = ["kind", "key", "a", "b", "sketch", "n"]
-
-    def rows(kind, key, a, b, sketch, n):
-        cols = [np.full(len(a), kind, np.int32), key, a, b, sketch, n]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=names)
-
-    def run(batches):
-        lead = None  # key, row, sketch, n, rows so far of the key at the end of the last batch
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, row, sk, n = (batch.column(c).to_numpy() for c in ("key", "row", "sketch", "n"))
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            goes_on = lead is not None and lead[0] == key[0]
-            starts = np.flatnonzero(new)
-            size = np.diff(np.append(starts, len(key)))
-            l_row, l_sk, l_n = row[starts].copy(), sk[starts].copy(), n[starts].copy()
-            total = size.copy()
-            if goes_on:
-                l_row[0], l_sk[0], l_n[0] = lead[1:4]
-                total[0] += lead[4]
-            at = np.repeat(np.arange(len(starts)), size)
-            pair = (row != l_row[at]) & near(sk, l_sk[at], n, l_n[at])
-            yield rows(0, key[pair], l_row[at][pair], row[pair], sk[pair], n[pair])
-            many = total >= 3
-            many[0] |= lead is None or goes_on
-            many[-1] = True
-            keep = many[at]
-            yield rows(1, key[keep], row[keep], row[keep], sk[keep], n[keep])
-            if lead is None:
-                yield rows(2, key[:1], row[:1], row[:1], sk[:1], n[:1])
-            lead = (key[-1], l_row[-1], l_sk[-1], l_n[-1], total[-1])
-            held = (key[-1:], np.array([lead[1]]), np.array([lead[2]]), np.array([lead[3]]))
-        if held is not None:
-            yield rows(2, held[0], held[1], held[1], held[2], held[3])
-
-    return run
 
+    def rows(kind, key, a, b):
+        cols = [np.full(len(a), kind, np.int32), key, a, b]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["kind", "key", "a", "b"])
 
-_STAR = "kind int, key long, a long, b long, sketch long, n long"
+    lead = None  # key, row, rows so far of the key at the end of the last batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, row = (batch.column(c).to_numpy() for c in ("key", "row"))
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        goes_on = lead is not None and lead[0] == key[0]
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, len(key)))
+        first, total = row[starts].copy(), size.copy()
+        if goes_on:
+            first[0] = lead[1]
+            total[0] += lead[2]
+        at = np.repeat(np.arange(len(starts)), size)
+        pair = row != first[at]
+        yield rows(0, key[pair], first[at][pair], row[pair])
+        many = total >= 3
+        many[0] |= lead is None or goes_on
+        many[-1] = True
+        keep = many[at]
+        yield rows(1, key[keep], row[keep], row[keep])
+        if lead is None:
+            yield rows(2, key[:1], row[:1], row[:1])
+        lead = (key[-1], first[-1], total[-1])
+    if lead is not None:
+        yield rows(2, np.array([lead[0]]), np.array([lead[1]]), np.array([lead[1]]))
+
+
+_STAR = "kind int, key long, a long, b long"
 
 
 def _confirm(percent: int):
@@ -345,21 +336,24 @@ def links(profile: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame]:
         )
     )
     keyed = classes.select("row", "sketch", "n", "slots").mapInArrow(_keyed, "key long, row long, sketch long, n long")
+    keyed = keyed.select("key", "row")  # few rows share a key, so sketches and sizes follow once these are known
     order = ["key", F.hash("row", F.expr("pmod(key, 2)")), "row"]
-    stars = staged(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stars(like), _STAR))
+    stars = staged(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stars, _STAR))
 
-    pairs = stars.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stars.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = _near(pairs, classes, like)
     border = stars.where("kind = 2").groupBy("key").agg(F.min("a").alias("a"), F.max("a").alias("most"))
     border = stars.where("kind = 2").select("key", F.col("a").alias("b")).join(border.where("a < most").drop("most"), "key")
     tested = staged(pairs.union(border.where("a < b").select("a", "b")).distinct())
     edges = confirmed(tested, profile, like.percent)
 
     comp = connected(edges)
-    groups = stars.where("kind = 1").select("key", F.col("a").alias("row"), "sketch")
+    groups = stars.where("kind = 1").select("key", F.col("a").alias("row"))
     groups = groups.join(comp.withColumnRenamed("vertex", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     groups = staged(groups)
     apart = groups.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    open_rows = staged(groups.join(apart, "key", "left_semi").select("row", "sketch", "component").distinct())
+    open_rows = groups.join(apart, "key", "left_semi").select("row", "component").distinct()
+    open_rows = staged(open_rows.join(classes.select("row", "sketch"), "row").select("row", "sketch", "component"))
     rest = _apart(open_rows, profile, like).join(tested, ["a", "b"], "left_anti")
     return classes.select("node", "row", "least"), edges.union(confirmed(staged(rest), profile, like.percent))
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from conftest_llm import DOCS, LONG, ODD
 from pyspark.sql import functions as F
 
@@ -175,6 +176,20 @@ def test_no_set_but_those_wanted_is_moved(spark):
     assert sorted(r.row for r in nd._sets_of(last.where("row IN (63, 127)"), last).collect()) == [63, 127]
 
 
+def test_sketches_are_not_dealt_with_keys():
+    """A key is dealt with its row's number alone; batches of one key link to its first row."""
+    batch = lambda keys, rows: pa.RecordBatch.from_pydict({"key": keys, "row": rows})
+    batches = [batch([1, 2, 2], [10, 11, 12]), batch([2, 3], [13, 14]), batch([], []), batch([4, 4], [15, 16])]
+    got = {}
+    for b in nd._stars(iter(b.cast(pa.schema([("key", pa.int64()), ("row", pa.int64())])) for b in batches)):
+        assert b.schema.names == ["kind", "key", "a", "b"]
+        for r in b.to_pylist():
+            got.setdefault(r["kind"], []).append((r["key"], r["a"], r["b"]))
+    assert got[0] == [(2, 11, 12), (2, 11, 13), (4, 15, 16)]
+    assert {(2, 11, 11), (2, 12, 12), (2, 13, 13), (4, 15, 15)} <= set(got[1])
+    assert got[2] == [(1, 10, 10), (4, 15, 15)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)]
