@@ -17,9 +17,11 @@ from sievework.sources.stage import shared_folder, staged
 
 #: A block: magic, ids, entries, bytes of the coded ids; then the entries; the coded ids; crc32 of all before.
 _HEAD = struct.Struct("<4sIII")
-_MAGIC = b"IDB2"
+_MAGIC = b"IDB3"
 #: Pieces of texts that a worker remembers with their ids, about 150 bytes each.
 REMEMBERED = 500_000
+#: Text bytes whose pieces are looked up together: three times the usual, as larger batches repeat more.
+BATCH_BYTES = 6_000_000
 #: An entry is the part of one document that the block holds: the document's id and whether it has one, its number
 #: and its first id's place in the file, its ids here, whether it begins here and whether it ends here.
 _ENTRY = np.dtype(
@@ -99,7 +101,7 @@ def _written(path: str, end_id: int):
                 )
                 number += len(some)
 
-        for batch, texts in tx.parts(batches, "text", tk.BATCH_BYTES):
+        for batch, texts in tx.parts(batches, "text", BATCH_BYTES):
             part = batch.column("part")[0].as_py()
             ids, at = enc.ids(texts)
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):

@@ -1,12 +1,13 @@
 """Adaptive context-mixing range coder for token ids; many blocks are coded side by side.
 
-Each id is predicted from the last two (order 2), the last (order 1) and by its class alone (order 0).  The
+Each id is predicted from the last two (order 2), the last (order 1) and by its bit length alone (order 0).  The
 order-2 and order-1 tables hold the id that followed a context, how often it did in a row, and a check that
-tells contexts of one slot apart.  Where order 2 knows its context, or order 1 a candidate that came twice in a
-row, a binary decision says whether the candidate (order 2's, else order 1's) is right; its probability mixes,
-in the logistic domain and with weights that learn, what all orders say.  An id not predicted so is coded by its
-class (bit length and the two bits below the first), with adaptive frequencies, and its remaining bits.  An id's
-decision, class and bits narrow the range before digits are moved once.  All arithmetic is on integers, so a file
+tells contexts of one slot apart.  A binary decision says whether the candidate (order 2's, else order 1's) is
+right; its probability mixes, in the logistic domain and with weights that learn, what all orders say.  An id not
+predicted so is coded by its class (bit length and the two bits below the first), with adaptive frequencies, and
+its remaining bits.  Decisions and classes are counted in a block's first 256 steps and learnt from at three of
+them; context tables learn at every step.  An id's decision, class and bits narrow the range before digits are moved
+once.  All arithmetic is on integers (quotients of integers below 2^48 by doubles, whose floor is exact), so a file
 can be read on any machine.  Nothing passes from one block to the next.
 """
 
@@ -20,19 +21,26 @@ import numpy as np
 #: Ids of a block, slots of a context table.
 BLOCK, SLOTS = 1024, 1024
 #: Blocks coded side by side; bounds a task's memory.
-LANES = 4096
+LANES = 8192
 #: Classes of ids below 2^17: 0 to 7 for themselves, then four for each bit length.
 CLASSES = 64
-#: Steps after which class frequencies are renewed from the counts so far; every _RENEW steps beyond these.
-_EARLY, _RENEW = (16, 48, 112, 240), 256
+#: Steps before which mixer and class frequencies are renewed from the counts so far; in longer runs every _RENEW steps too.
+_EARLY, _RENEW = (16, 64, 256), 2048
 #: Range coder: bits of its window, of a digit, and of the share of one class.
-_WINDOW, _DIGIT, _SHARE = 62, 16, 10
-_FLOOR = np.int64(1) << (_WINDOW - _DIGIT)
+_WINDOW, _DIGIT, _SHARE = 48, 16, 10
+_ONE = np.int64(1)
+_FLOOR = _ONE << (_WINDOW - _DIGIT)
 _KEEP = np.array([(1 << 63) - 1, (1 << (_WINDOW - _DIGIT)) - 1], np.int64)
-#: Mixer: weight of an input at the start (16,384 is 1), rates of probabilities and weights, least probability of 4096.
-_WEIGHT, _RATE, _LEARN, _LEAST = 8192, 4, 15, 32
-#: States of a context: times in a row (0 to 15), agreeing with the other order or not, and unknown.
-_STATES, _UNKNOWN = 33, 32
+#: In place of a digit.
+_EMPTY = np.uint32(1 << 31)
+#: Mixer: weight of an input at the start (16,384 is 1), rate of weights, least probability of 4096, trust in the first ones.
+_WEIGHT, _LEARN, _LEAST, _TRUST = (12288, 8192, 8192), 9, 16, 4
+#: An entry of a context table: check (10 bits), id (17 bits), times in a row (4 bits, from 1); a larger one is none.
+_CHECK, _NONE = np.uint32(1023 << 21), np.uint32(1 << 21)
+#: Where 0 stands in the table of sums of inputs.
+_MIDDLE = 8192
+#: Multipliers of the last id and of the one before in the hash of a context.
+_LAST, _BEFORE = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
 @cache
@@ -40,85 +48,93 @@ def _tables() -> tuple[np.ndarray, ...]:
     """squash: logistic of x/256 in 1/4096; stretch: its inverse; class of every id; first id and bits of every class."""
     with localcontext() as c:
         c.prec = 30
-        squash = [min(4096 - _LEAST, max(_LEAST, round(Decimal(4096) / (1 + (Decimal(-x) / 256).exp())))) for x in range(-2048, 2048)]
         plain = [round(Decimal(4096) / (1 + (Decimal(-x) / 256).exp())) for x in range(-2048, 2048)]
     stretch = np.clip(np.searchsorted(np.array(plain, np.int64), np.arange(4096)) - 2048, -2047, 2047)
+    sums = np.arange(2 * _MIDDLE) - _MIDDLE  # of three inputs
+    squash = np.clip(np.array(plain, np.int64).take(np.clip(sums, -2048, 2047) + 2048), _LEAST, 4096 - _LEAST)
     first, bits = [*range(8)], [0] * 8
     for length in range(4, 18):
         first += [(4 + k) << (length - 3) for k in range(4)]
         bits += [length - 3] * 4
     first, bits = np.array(first, np.int64), np.array(bits, np.int64)
-    kind = np.repeat(np.arange(CLASSES, dtype=np.uint8), np.int64(1) << bits)
-    return np.array(squash, np.int64), stretch, kind, first, bits
+    kind = np.repeat(np.arange(CLASSES, dtype=np.uint8), _ONE << bits)
+    return squash, stretch, kind, first, bits
 
 
 class Writer:
-    """The range coder's output; a digit's carry is its 17th bit until all is settled at the end."""
+    """The range coder's output, ``ids`` with a column for each block; a digit's carry is its 17th bit until all is settled."""
 
-    def __init__(self, lanes: int, ids: np.ndarray):
+    def __init__(self, ids: np.ndarray):
+        lanes = ids.shape[1]
         self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, (1 << _WINDOW) - 1, np.int64)
-        width = 2 * ids.shape[1] + 8  # an id takes 31 bits at most
-        self.out = np.zeros(lanes * width, np.int32)
-        self.width, self.at = width, np.arange(lanes) * width
-        self.ids = np.ascontiguousarray(ids.T)
+        #: Two rows of digits for each step (an id takes 31 bits at most) and the last ones; _EMPTY where none is moved.
+        self.out = np.empty((2 * len(ids) + _WINDOW // _DIGIT, lanes), np.uint32)
+        self.row, self.ids = 0, ids
 
     def is_id(self, lane: np.ndarray, step: int, p: np.ndarray, guess: np.ndarray) -> np.ndarray:
         """Codes whether the id is ``guess``, of probability p/4096."""
         right = self.ids[step].take(lane) == guess
         whole = self.range.take(lane)
         part = (whole >> 12) * p
-        self.low[lane] += np.where(right, 0, part)
+        self.low[lane] += part * ~right
         self.range[lane] = np.where(right, part, whole - part)
         return right
 
-    def symbol(self, lane: np.ndarray, step: int, order: _Classes) -> np.ndarray:
-        """Codes the id by its class and the bits below."""
-        _, _, kind, first, bits = _tables()
-        value = self.ids[step].take(lane)
-        got = kind.take(value).astype(np.int64)
-        part = self.range.take(lane) >> _SHARE
-        start, size = order.share(lane, got)
-        fine = (part * size) >> bits.take(got)
-        self.low[lane] += part * start + fine * (value - first.take(got))
-        self.range[lane] = fine
+    def symbol(self, step: int, n: int, order: _Classes, known: np.ndarray) -> np.ndarray:
+        """Codes the ids that are not ``known`` by their classes and the bits below; returns the ids."""
+        value = self.ids[step, :n]
+        got = _tables()[2].take(value)
+        start, size, bits = order.share(got, known)
+        whole = self.range[:n]
+        whole >>= _SHARE
+        start *= whole
+        whole *= size
+        whole >>= bits
+        below = value - _tables()[3].take(got)
+        below *= ~known
+        below *= whole
+        start += below
+        self.low[:n] += start
         return value
 
     def settle(self, n: int) -> None:
         """Moves out the digits that no later id can change but by a carry."""
-        low, whole, at = self.low[:n], self.range[:n], self.at[:n]
-        small = (whole < _FLOOR).astype(np.int64)
-        self.out[at] = low >> (_WINDOW - _DIGIT)
-        at += small
+        low, whole, row = self.low[:n], self.range[:n], self.out[self.row]
+        row[n:] = _EMPTY
+        row[:n] = low >> (_WINDOW - _DIGIT)
+        kept = whole >= _FLOOR
+        row[:n] |= kept.view(np.uint8) * _EMPTY
+        small = (~kept).view(np.uint8)
         low &= _KEEP.take(small)
-        small <<= 4
+        small = small << np.int64(4)
         low <<= small
         whole <<= small
+        row = self.out[self.row + 1]
+        row[:] = _EMPTY
         more = np.flatnonzero(whole < _FLOOR)
-        while len(more):
-            self._digit(more)
-            self.range[more] <<= _DIGIT
-            more = more[self.range[more] < _FLOOR]
-
-    def _digit(self, lane: np.ndarray) -> None:
-        low = self.low[lane]
-        self.out[self.at[lane]] = low >> (_WINDOW - _DIGIT)
-        self.at[lane] += 1
-        self.low[lane] = (low & (_FLOOR - 1)) << _DIGIT
+        if len(more):
+            rest = low.take(more)
+            row[more] = rest >> (_WINDOW - _DIGIT)
+            low[more] = (rest & (_FLOOR - 1)) << _DIGIT
+            whole[more] <<= _DIGIT
+        self.row += 2
 
     def finish(self) -> list[np.ndarray]:
-        lane = np.arange(len(self.low))
-        for _ in range(4):
-            self._digit(lane)
-        n = self.at - lane * self.width
-        out = self.out.reshape(len(lane), self.width)
-        out[np.arange(self.width) >= n[:, None]] = 0
-        while True:
-            over = out >> _DIGIT
-            if not over.any():
-                break
-            out &= (1 << _DIGIT) - 1
-            out[:, :-1] += over[:, 1:]
-        return [row[:k].astype("<u2") for row, k in zip(out, n.tolist(), strict=True)]
+        for _ in range(_WINDOW // _DIGIT):
+            self.out[self.row] = self.low >> (_WINDOW - _DIGIT)
+            self.low = (self.low & (_FLOOR - 1)) << _DIGIT
+            self.row += 1
+        words = []
+        for a in range(0, len(self.low), 256):
+            some = np.ascontiguousarray(self.out[:, a : a + 256].T)
+            full = some < _EMPTY
+            n = np.count_nonzero(full, axis=1)
+            flat = some[full]
+            while len(at := np.flatnonzero(flat >> _DIGIT)):  # never a block's first digit
+                flat[at] &= (1 << _DIGIT) - 1
+                flat[at - 1] += 1
+            words += np.split(flat.astype("<u2"), np.cumsum(n)[:-1])
+        return words
 
 
 class Reader:
@@ -126,46 +142,46 @@ class Reader:
 
     def __init__(self, coded: list[np.ndarray]):
         lanes, width = len(coded), max(len(c) for c in coded) + 4
-        words = np.zeros((lanes, width), np.int64)
+        words = np.empty((lanes, width), np.uint16)
+        words[:] = 0
         for i, c in enumerate(coded):
             words[i, : len(c)] = c
-        # the window's 62 bits: 16 of each of the first three digits and 14 of the fourth
-        self.words = words.reshape(-1)
-        self.at, self.last = np.arange(lanes) * width + 4, np.arange(1, lanes + 1) * width - 1
-        first = (words[:, 0] << 46) | (words[:, 1] << 30) | (words[:, 2] << 14)
-        self.code, self.held = first | (words[:, 3] >> 2), words[:, 3] & 3
+        self.words, self.at = words.reshape(-1), np.arange(lanes) * width + 3
+        first = words[:, :3].astype(np.int64)
+        self.code = (first[:, 0] << 32) | (first[:, 1] << 16) | first[:, 2]
         self.range = np.full(lanes, (1 << _WINDOW) - 1, np.int64)
 
     def is_id(self, lane: np.ndarray, step: int, p: np.ndarray, guess: np.ndarray) -> np.ndarray:
         whole, code = self.range.take(lane), self.code.take(lane)
         part = (whole >> 12) * p
         right = code < part
-        self.code[lane] = np.where(right, code, code - part)
+        self.code[lane] = code - part * ~right
         self.range[lane] = np.where(right, part, whole - part)
         return right
 
-    def symbol(self, lane: np.ndarray, step: int, order: _Classes) -> np.ndarray:
-        _, _, _, first, bits = _tables()
-        code, part = self.code.take(lane), self.range.take(lane) >> _SHARE
-        share = np.minimum(code // part, (1 << _SHARE) - 1)
-        got = order.whose(lane, share)
-        start, size = order.share(lane, got)
-        code -= part * start
-        below = bits.take(got)
-        fine = (part * size) >> below
-        value = np.minimum(code // fine, (np.int64(1) << below) - 1)
-        self.code[lane] = code - fine * value
-        self.range[lane] = fine
-        return value + first.take(got)
+    def symbol(self, step: int, n: int, order: _Classes, known: np.ndarray) -> np.ndarray:
+        whole, code = self.range[:n], self.code[:n]
+        whole >>= _SHARE
+        share = (code / whole).astype(np.int64)
+        np.minimum(share, (1 << _SHARE) - 1, out=share)
+        got = order.whose(share)
+        start, size, bits = order.share(got, known)
+        start *= whole
+        code -= start
+        whole *= size
+        whole >>= bits
+        value = (code / whole).astype(np.int64)
+        np.minimum(value, (_ONE << bits) - 1, out=value)
+        code -= value * ~known * whole
+        value += _tables()[3].take(got)
+        return value
 
     def settle(self, n: int) -> None:
         more = np.flatnonzero(self.range[:n] < _FLOOR)
         while len(more):
             at = self.at.take(more)
-            digit = self.words.take(at)
-            self.code[more] = (self.code.take(more) << _DIGIT) | (self.held.take(more) << 14) | (digit >> 2)
-            self.held[more] = digit & 3
-            self.at[more] = np.minimum(at + 1, self.last.take(more))
+            self.code[more] = (self.code.take(more) << _DIGIT) | self.words.take(at, mode="clip")
+            self.at[more] = at + 1
             whole = self.range.take(more) << _DIGIT
             self.range[more] = whole
             more = more[whole < _FLOOR]
@@ -175,7 +191,8 @@ class _Classes:
     """Order 0: each lane's shares of the classes, in 1/1024, renewed from counts now and then."""
 
     def __init__(self, lanes: int, look_up: bool):
-        self.lanes, self.look_up = lanes, look_up
+        self.look_up, self.counts = look_up, True
+        self.base, self.at = np.arange(lanes) * CLASSES, np.arange(lanes) << _SHARE
         self.seen = np.zeros(lanes * CLASSES, np.int32)
         self.renew(lanes)
 
@@ -185,128 +202,163 @@ class _Classes:
         size = 1 + seen * ((1 << _SHARE) - CLASSES) // seen.sum(axis=1, keepdims=True)
         size[np.arange(n), seen.argmax(axis=1)] += (1 << _SHARE) - size.sum(axis=1)
         start = size.cumsum(axis=1, dtype=np.int32) - size
-        self.shares = (start << 11 | size).reshape(-1)
+        self.shares = (start << 15 | size << 4 | _tables()[4]).astype(np.int32).reshape(-1)
         if self.look_up:
             self.owner = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint8), n), size.reshape(-1))
 
-    def share(self, lane: np.ndarray, got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the share of the class that came starts and how large it is; counts the class."""
-        at = lane * CLASSES + got
-        self.seen[at] += 1
-        both = self.shares.take(at).astype(np.int64)
-        return both >> 11, both & 2047
+    def share(self, got: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the shares of the classes that came start, how large they are and the bits below; counts the classes.
+
+        A known id has no class: its share is all.
+        """
+        at = self.base[: len(got)] + got
+        if self.counts:
+            self.seen[at] = self.seen.take(at) + ~known
+        both = self.shares.take(at)
+        np.putmask(both, known, 1 << _SHARE + 4)
+        both = both.astype(np.int64)
+        return both >> 15, both >> 4 & 2047, both & 15
 
-    def whose(self, lane: np.ndarray, share: np.ndarray) -> np.ndarray:
+    def whose(self, share: np.ndarray) -> np.ndarray:
         """The class that holds a share."""
-        return self.owner.take((lane << _SHARE) + share).astype(np.int64)
+        share += self.at[: len(share)]
+        return self.owner.take(share)
+
+
+@cache
+def _start() -> tuple[np.ndarray, ...]:
+    """What each state of the three orders says at first, in 1/65536."""
+    times = np.arange(16)
+    agree, apart, alone = (65536 * times * a // (times * a + b) for a, b in ((3, 1), (1, 1), (1, 2)))
+    against = 65536 // (times + 3)
+    half = np.full(16, 1 << 15)
+    for known in (agree, apart, alone, against):
+        known[0] = 1 << 15
+    return np.concatenate([apart, agree]), np.concatenate([against, agree, alone, half]), np.full(_LENGTHS, 1 << 15)
+
+
+#: Bit lengths of candidates' entries.
+_LENGTHS = 22
 
 
 class _Mixer:
-    """A binary decision per lane from several adaptive probabilities."""
+    """A binary decision per lane from what three orders say of it."""
 
     def __init__(self, lanes: int):
-        sure = np.arange(16)
-        known = 65535 - 65535 * 2 // (2 * sure + 3)
-        start = np.concatenate([known, known, [1 << 15]])
-        self.contexts = (_STATES, _STATES, CLASSES)
-        self.p = [np.tile(start, lanes), np.tile(start, lanes), np.full(lanes * CLASSES, 1 << 15, np.int64)]
-        self.w = [np.full(lanes, _WEIGHT, np.int64) for _ in self.contexts]
-
-    def predict(self, lane: np.ndarray, context: tuple[np.ndarray, ...]) -> np.ndarray:
-        squash, stretch, *_ = _tables()
+        self.first = _start()
+        self.width = [len(f) for f in self.first]
+        #: Decisions of each state (in steps of 65,536) and right ones; each weight and the sum of its input times the error.
+        self.seen = [np.zeros(lanes * k, np.int32) for k in self.width]
+        self.weight = [np.full(lanes, w, np.int64) for w in _WEIGHT]
+        self.slope = [np.zeros(lanes, np.int32) for _ in _WEIGHT]
+        self.says = [np.zeros(0, np.int16)] * 3
+        self.renew(lanes)
+
+    def renew(self, n: int) -> None:
+        """Weights learn from the errors, states from what was right."""
+        stretch = _tables()[1]
+        for k, (first, width) in enumerate(zip(self.first, self.width, strict=True)):
+            self.weight[k] = weight = np.clip(self.weight[k][:n] + (self.slope[k][:n] >> _LEARN), 1024, 32768)
+            self.slope[k][:] = 0
+            seen = self.seen[k][: n * width].reshape(n, width)
+            said = (first * _TRUST + ((seen & 0xFFFF).astype(np.int64) << 16)) // (_TRUST + (seen >> 16) << 4)
+            x = stretch.take(np.minimum(said, 4095)).astype(np.int32)
+            x *= weight[:, None].astype(np.int32)
+            x >>= 14
+            np.clip(x, -2047, 2047, out=x)
+            if k == 2:
+                x += _MIDDLE
+            self.says[k] = x.astype(np.int16).reshape(-1)
+
+    def predict(self, lane: np.ndarray, states: tuple[np.ndarray, ...]) -> np.ndarray:
         self.lane = lane
-        self.at = [lane * c + k for c, k in zip(self.contexts, context, strict=True)]
-        self.was = [p.take(a) for p, a in zip(self.p, self.at, strict=True)]
-        self.x = [stretch.take(p >> 4) for p in self.was]
-        self.weight = [w.take(lane) for w in self.w]
-        dot = self.weight[0] * self.x[0]
-        for w, x in zip(self.weight[1:], self.x[1:], strict=True):
-            dot += w * x
-        dot >>= 14
-        np.maximum(np.minimum(dot, 2047, out=dot), -2047, out=dot)
-        dot += 2048
-        self.said = squash.take(dot)
+        self.at = [lane * width + state for state, width in zip(states, self.width, strict=True)]
+        self.x = [says.take(at) for says, at in zip(self.says, self.at, strict=True)]
+        total = self.x[0] + self.x[1]
+        total += self.x[2]
+        self.said = _tables()[0].take(total)
         return self.said
 
-    def learn(self, right: np.ndarray) -> None:
-        right = right.astype(np.int64)
-        miss = (right << 12) - self.said
-        full = right * 65535
-        for p, a, was, w, weight, x in zip(self.p, self.at, self.was, self.w, self.weight, self.x, strict=True):
-            p[a] = was + ((full - was) >> _RATE)
-            w[self.lane] = weight + ((x * miss) >> _LEARN)
+    def count(self, right: np.ndarray) -> None:
+        miss = ((right * np.int32(4096) - self.said) >> 4).astype(np.int32)
+        more = right + np.int32(65536)
+        for k, (seen, at) in enumerate(zip(self.seen, self.at, strict=True)):
+            seen[at] = seen.take(at) + more
+            x = self.x[k] - np.int16(_MIDDLE) if k == 2 else self.x[k]
+            self.slope[k][self.lane] += x * miss >> 4
 
 
-#: An entry of a context table: check (10 bits), id (17 bits), times in a row (4 bits); -1 is none.
-_ENTRY = 21
-
+def _follow(table: np.ndarray, at: np.ndarray, check: np.ndarray, entry: np.ndarray, new: np.ndarray) -> None:
+    """Writes the contexts' entries after the ids of ``new`` came: the same id counts up, another one takes its place."""
+    times = np.minimum(entry ^ new, np.uint32(16))  # the times in a row, where the ids are the same
+    new = _TIMES.take(times) | new
+    new |= check
+    table[at] = new
 
-def _follow(table: np.ndarray, at: np.ndarray, check: np.ndarray, entry: np.ndarray, ids: np.ndarray) -> None:
-    """The contexts' entries after ``ids`` came: ``entry`` without its check, which is larger where the context is not known.
 
-    The same id counts up; another one takes the place of an id that came less than three times in a row, and halves the count of others.
-    """
-    new = ids << 4
-    again = entry ^ new  # the times in a row, where the ids are the same
-    same = again < 16
-    firm = np.flatnonzero(((entry & 14) != 0) & (entry < 1 << _ENTRY) & ~same)
-    same = np.flatnonzero(same)
-    new[same] += np.minimum(again.take(same) + 1, 15)
-    old = entry.take(firm)
-    new[firm] = (old & ~15) | ((old & 15) >> 1)
-    new |= check
-    table[at] = new.astype(np.int32)
+_TIMES = np.array([1, *range(2, 16), 15, 1], np.uint32)
 
 
 def _run(coder, sizes: np.ndarray) -> np.ndarray:
-    """Codes or decodes all blocks, longest first, one id of each per step."""
-    lanes, kind = len(sizes), _tables()[2]
-    ids = np.zeros((int(sizes[0]), lanes), np.int64)
-    two, one = np.full(lanes * SLOTS, -1, np.int32), np.full(lanes * SLOTS, -1, np.int32)
+    """Codes or decodes all blocks, longest first, one id of each per step; a column of ids for each."""
+    lanes, steps = len(sizes), int(sizes[0])
+    ids = np.zeros((steps, lanes), np.uint32)
+    # 16 slots in a line of memory: 8 of order 1 and 8 of order 2, picked by the last id, so both orders touch one line
+    table = np.full(lanes * 2 * SLOTS, 0xFFFFFFFF, np.uint32)
     mixer, order = _Mixer(lanes), _Classes(lanes, isinstance(coder, Reader))
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    all_lanes = np.arange(lanes)
-    base = all_lanes * SLOTS
-    left = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left")
-    unknown = np.int64(1) << 32
-    for step in range(int(sizes[0])):
+    last, before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)  # hashes
+    base = np.arange(lanes) * (2 * SLOTS)
+    left = np.searchsorted(-sizes, -np.arange(steps), "left")
+    renewals = {k for k in range(1, min(steps, 1 << 15)) if k in _EARLY or k % _RENEW == 0}  # what a count can hold
+    learns = max(renewals, default=0)
+    line, slot, few = np.uint32(SLOTS // 8 - 1 << 4), np.uint32(7), np.uint32(15)
+    for step in range(steps):
         n = int(left[step])
-        if step in _EARLY or (step and step % _RENEW == 0):
+        if step in renewals:
             order.renew(n)
-        p1, p2 = last[:n], before[:n]
-        both = p1 * 0x9E3779B1 + p2 * 0x85EBCA77
-        at2 = base[:n] + ((both >> 15) & (SLOTS - 1))
-        check2 = ((both >> 25) & 1023) << _ENTRY
-        at1 = base[:n] + ((p1 ^ (p1 >> 7)) & (SLOTS - 1))
-        check1 = (p1 >> 7) << _ENTRY
-        e2, e1 = two.take(at2).astype(np.int64), one.take(at1).astype(np.int64)
-        e2 ^= check2
-        e1 ^= check1
-        e2 &= unknown - 1  # an empty entry is negative, so larger than any id
-        e1 &= unknown - 1
-        has2, has1 = e2 < 1 << _ENTRY, e1 < 1 << _ENTRY
-        known = has2 | (has1 & ((e1 & 15) > 0))
+            mixer.renew(n)
+        order.counts = step < learns
+        h1 = last[:n]
+        h2 = h1 + before[:n]
+        near = ((h1 >> 7) & line) + base[:n]
+        at1 = near + ((h1 >> 18) & slot)
+        at2 = near + (((h2 >> 18) & slot) | 8)
+        h2 &= _CHECK
+        h1 = h1 & _CHECK
+        e2, e1 = table.take(at2), table.take(at1)
+        e2 ^= h2
+        e1 ^= h1
+        np.minimum(e2, _NONE, out=e2)
+        np.minimum(e1, _NONE, out=e1)
+        known = (e1 & 14) > 0  # came twice in a row
+        known |= e2 < _NONE
         some = np.flatnonzero(known)
-        got = ids[step, :n]
         if len(some):
-            a2, a1, k2, k1 = e2.take(some), e1.take(some), has2.take(some), has1.take(some)
-            guess = np.where(k2, a2, a1) >> 4
-            same = ((a1 >> 4) == (a2 >> 4)).astype(np.int64) << 4
-            p = mixer.predict(some, (np.where(k2, (a2 & 15) + same, _UNKNOWN), np.where(k1, (a1 & 15) + same, _UNKNOWN), kind.take(guess).astype(np.int64)))
-            right = coder.is_id(some, step, p, guess)
-            mixer.learn(right)
-            got[some] = guess
+            k2, k1 = e2.take(some), e1.take(some)
+            guess = np.where(k2 < _NONE, k2, k1)
+            length = (guess.astype(np.float32).view(np.int32) >> 23) - 127  # of the entry, as a float's exponent
+            guess >>= 4
+            same = ((k1 ^ k2) < 16).view(np.uint8) << 4
+            s2, s1 = (k2 & few) | same, (k1 & few) | same
+            s1 |= (k2 >> 16) & 32
+            right = coder.is_id(some, step, mixer.predict(some, (s2, s1, length)), guess)
+            if step < learns:
+                mixer.count(right)
             known[some] = right
-            rest = np.flatnonzero(~known)
+            got = ids[step, :n]
+            got[:] = coder.symbol(step, n, order, known)
+            hit = np.flatnonzero(right)
+            got[some.take(hit)] = guess.take(hit)
         else:
-            rest = all_lanes[:n]
-        if len(rest):
-            got[rest] = coder.symbol(rest, step, order)
+            got = ids[step, :n]
+            got[:] = coder.symbol(step, n, order, known)
         coder.settle(n)
-        _follow(two, at2, check2, e2, got)
-        _follow(one, at1, check1, e1, got)
-        before[:n], last[:n] = p1, got
-    return ids.T
+        new = got << 4
+        _follow(table, at2, h2, e2, new)
+        _follow(table, at1, h1, e1, new)
+        before[:n] = last[:n] * _BEFORE
+        last[:n] = got * _LAST
+    return ids
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -316,10 +368,13 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     for a in range(0, len(order), LANES):
         some = order[a : a + LANES]
         sizes = np.array([len(blocks[i]) for i in some])
-        ids = np.zeros((len(some), int(sizes[0])), np.int64)
-        for k, i in enumerate(some):
-            ids[k, : sizes[k]] = blocks[i]
-        coder = Writer(len(some), ids)
+        ids = np.zeros((int(sizes[0]), len(some)), np.uint32)
+        for b in range(0, len(some), 64):  # 64 columns at once: a line of memory is written whole
+            few = np.zeros((64, len(ids)), np.uint32)
+            for k, i in enumerate(some[b : b + 64]):
+                few[k, : sizes[b + k]] = blocks[i]
+            ids[:, b : b + 64] = few[: len(some) - b].T
+        coder = Writer(ids)
         _run(coder, sizes)
         for i, words in zip(some, coder.finish(), strict=True):
             out[i] = words.tobytes()
@@ -332,7 +387,8 @@ def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     for a in range(0, len(order), LANES):
         some = order[a : a + LANES]
         ids = _run(Reader([np.frombuffer(coded[i], "<u2") for i in some]), np.array([sizes[i] for i in some]))
-        ids = np.ascontiguousarray(ids, "<u4")
-        for k, i in enumerate(some):
-            out[i] = ids[k, : sizes[i]]
+        for k in range(0, len(some), 64):
+            strip = np.ascontiguousarray(ids[:, k : k + 64].T, "<u4")
+            for i, got in zip(some[k : k + 64], strip, strict=True):
+                out[i] = got[: sizes[i]].copy()
     return out

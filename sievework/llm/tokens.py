@@ -19,6 +19,8 @@ from sievework.llm import texts as tx
 #: Text bytes whose pieces are looked up together, and how many pieces a worker remembers: both bound its memory.
 BATCH_BYTES = 2_000_000
 REMEMBERED = 200_000
+#: New words that the tokenizer's model splits at once.
+TOGETHER = 64
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -41,6 +43,13 @@ class Encoder:
         self.model = self.whole.model
         self.words_only = words_only
         self.letters = _byte_letters()
+        self.shown = np.array([ord(self.letters[b]) for b in range(256)], "<u4")
+        #: Whether no id can hold a blank after a letter (but for hard blanks), so that words in a row stay apart; ids that start with one.
+        vocab = self.whole.get_vocab()
+        blank, hard = self.letters[32], self.letters[0xC2] + self.letters[0xA0]
+        self.apart = not words_only and vocab.keys() >= set(self.letters.values()) and all(blank not in v[1:] or hard in v for v in vocab)
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for v, i in vocab.items() if v.startswith(blank)]] = True
         self.known: dict[bytes, bytes] = {}
         self.remembered = REMEMBERED
 
@@ -84,17 +93,40 @@ class Encoder:
             ids = self.whole.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
+    def is_word(self, piece: bytes) -> bool:
+        """Whether a piece is a blank and letters of a byte or two."""
+        if piece[0] != 32 or len(piece) == 1:
+            return False
+        text = piece[1:].decode("utf-8", "replace")
+        return text.isalpha() and max(text) < "\u0100"
+
+    def pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece; words go to the tokenizer's model many at once, where none can grow together."""
+        if not self.apart:
+            return list(map(self.piece, pieces))
+        words = [p for p in pieces if self.is_word(p)]
+        ids: list[int] = []
+        for a in range(0, len(words), TOGETHER):
+            data = np.frombuffer(b"".join(words[a : a + TOGETHER]), np.uint8)
+            ids += [t.id for t in self.model.tokenize(self.shown[data].tobytes().decode("utf-32-le"))]
+        flat = np.array(ids, "<u4")
+        begin = np.append(np.flatnonzero(self.opens[flat]), len(flat)) * 4
+        raw, begin = flat.tobytes(), begin.tolist()
+        of = dict(zip(words, (raw[a:b] for a, b in zip(begin, begin[1:])), strict=True))  # noqa: B905, RUF007
+        return [of[p] if p in of else self.piece(p) for p in pieces]
+
     def look_up(self, pieces: list[bytes]) -> list[bytes]:
-        known, out = self.known, []
-        for p in pieces:
-            got = known.get(p)
-            if got is None:
-                got = self.piece(p)
-                if len(known) >= self.remembered:
-                    known.clear()
-                if len(p) <= 64:
-                    known[p] = got
-            out.append(got)
+        known = self.known
+        out = list(map(known.get, pieces))
+        new = [i for i, got in enumerate(out) if got is None]
+        for i, got in zip(new, self.pieces([pieces[i] for i in new]), strict=True):
+            out[i] = got
+        if len(known) + len(new) > self.remembered:
+            known.clear()  # but for what this batch holds
+            new = range(len(pieces))
+        for i in new[: self.remembered]:
+            if len(pieces[i]) <= 64:
+                known[pieces[i]] = out[i]
         return out
 
     def _uncut(self, texts: pa.Array) -> np.ndarray:
@@ -112,24 +144,20 @@ class Encoder:
             row = np.searchsorted(at, cut, "right") - 1
             cut = cut[~uncut[row] | (cut == at[row])]
         numbered = tx.binary(data, np.append(cut, len(data))).dictionary_encode()
-        ids = self.look_up(numbered.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        return ids, size, numbered.indices.to_numpy(), np.searchsorted(cut, at)
+        ids = self.look_up(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        return ids, numbered.indices, np.searchsorted(cut, at)
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """How many ids each text has."""
-        _, size, which, first = self._pieces(texts)
-        return tx.sums(size[which], first)
+        ids, which, first = self._pieces(texts)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return tx.sums(size[which.to_numpy()], first)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text starts (one more for the end)."""
-        ids, size, which, first = self._pieces(texts)
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-        each = size[which]
-        after = np.concatenate([[0], np.cumsum(each)])
-        at = np.repeat(begin[which] - after[:-1], each) + np.arange(after[-1])
-        return flat[at], after[first]
+        ids, which, first = self._pieces(texts)
+        data, at = tx.raw(pa.array(ids, pa.large_binary()).take(which))
+        return data.view("<u4"), at[first] // 4
 
 
 def encoder(path: str, words_only: bool = False, remembered: int = REMEMBERED) -> Encoder:

@@ -70,6 +70,59 @@ def test_more_pieces_are_remembered_where_asked():
     assert enc.remembered == idfiles.REMEMBERED > tk.REMEMBERED
 
 
+def test_new_words_are_split_many_at_once():
+    """One call of the model for many new words, and the ids of each are those it has alone."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc = tk.Encoder(path, False)
+    assert enc.apart and not tk.Encoder(public_tokenizers.path("word_bpe_49k.json"), True).apart
+    rng = np.random.default_rng(3)
+    words = {"".join(rng.choice(list("abeinorstzäéñßÿ"), rng.integers(1, 14))) for _ in range(1000)}
+    calls, model = [], enc.model
+
+    class Model:
+        def tokenize(self, text):
+            calls.append(text)
+            return model.tokenize(text)
+
+    enc.model = Model()
+    text = " " + " ".join(words) + " x\u00a0y \u00a0 \u00aa\u00b5\u00ba"
+    ids, at = enc.ids(pa.array([text.encode()], pa.large_binary()))
+    assert ids.tolist() == ids_of(path, text) and at.tolist() == [0, len(ids)]
+    assert len(calls) < len(words) / tk.TOGETHER + 20
+
+
+def test_remembered_pieces_are_bounded():
+    enc = tk.Encoder(public_tokenizers.path("byte_bpe_50k.json"), False)
+    enc.remembered = 50
+    for k in range(20):
+        text = " ".join(f"a{'bcdefghij'[j % 9] * (j // 9 + k)}" for j in range(30))
+        assert enc.ids(pa.array([text.encode()], pa.large_binary()))[0].tolist() == ids_of(public_tokenizers.path("byte_bpe_50k.json"), text)
+        assert len(enc.known) <= enc.remembered
+
+
+def test_learning_is_left_to_few_steps():
+    """A block's mixer and frequencies count and renew at its start alone; what they learnt serves the rest."""
+    calls, count, renew = [], mixing._Mixer.count, mixing._Mixer.renew
+    mixing._Mixer.count = lambda self, right: (calls.append("count"), count(self, right))
+    mixing._Mixer.renew = lambda self, n: (calls.append("renew"), renew(self, n))
+    blocks = [np.tile([5, 9, 300, 40_000], mixing.BLOCK // 4)] * 3
+    try:
+        coded = mixing.encode(blocks)
+    finally:
+        mixing._Mixer.count, mixing._Mixer.renew = count, renew
+    assert calls.count("count") <= mixing.BLOCK // 4 and calls.count("renew") <= 4
+    assert [b.tolist() for b in mixing.decode(coded, [len(b) for b in blocks])] == [b.tolist() for b in blocks]
+
+
+def test_quotients_are_whole():
+    """What the reader divides lies below 2^48, where the floor of a quotient of doubles is that of the integers."""
+    rng = np.random.default_rng(5)
+    part = np.concatenate([rng.integers(1, 1 << k, 2000) for k in (4, 16, 24, 32, 38)])
+    times = rng.integers(0, 1 << 10, len(part))
+    for code in (part * times, np.maximum(part * times - 1, 0), part * times + part - 1, np.full(len(part), (1 << 48) - 1)):
+        assert ((code / part).astype(np.int64) == code // part).all()
+
+
 def test_carries_reach_earlier_digits():
     rng = np.random.default_rng(1)
     blocks = [rng.choice([1, 2, 65_535, 65_536], 700, p=[0.97, 0.01, 0.01, 0.01]) for _ in range(300)]
