@@ -8,7 +8,7 @@ from sievework.operators.packs import pack_findings
 from sievework.operators.ruletable import rule_table, table_findings
 from sievework.plans import fixtures as fx
 from sievework.sources.files import file_table
-from sievework.sources.literals import needles
+from sievework.sources.literals import BLANKS, needles
 from sievework.sources.rules import BUILT_IN, built_in, check_rules
 
 RAW = "rule_no long, id string, regex string, pattern string, `regex-not` string, languages array<string>, files array<string>, severity string, category string, message string"
@@ -111,3 +111,48 @@ def test_equal_regexes_are_tried_once(spark, files):
     found = table_findings(files({"a.py": "abc\nxyz\nabc"}), rule_table(raw_table(spark, rules)))
     assert "a.c" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.line_no, r.ord) for r in found.collect()) == [(n, i) for n in (1, 3) for i in range(300)]
+
+
+def test_findings_are_made_by_the_last_join(spark, files):
+    rules = [{"id": f"r{i}", "regex": r"alpha\s+beta"} for i in range(30)]
+    found = table_findings(files({"a.py": "alpha  beta\n" * 40}), rule_table(raw_table(spark, rules)))
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert "chunk" in joins[0]  # lines and places have met before
+    assert found.count() == 40 * 30
+
+
+def test_literals_of_spaced_lines(spark):
+    assert needles(r"(?:^|[ \t])st[ \t]+it(?:[ \t]|$)", spaced=True) == [[" st it "]]
+    assert needles(r"if\s*\(ok", spaced=True) == [["if (ok", "if(ok"]]
+    assert needles(r"(?i)abc", spaced=True) == needles(r"a.b", spaced=True) == []
+    for rule in [*RULES, *[r for pack in BUILT_IN.values() for r in pack]]:
+        if rule.get("regex") and rule["id"] not in ("k", "n", "o", "u"):
+            for line in [*LINES, *fx.TEMPLATES]:
+                if re.search(rule["regex"], line):
+                    flat = re.sub(f"[{BLANKS}]+", " ", f" {line} ")
+                    assert all(any(n in flat for n in some) for some in needles(rule["regex"], spaced=True)), (rule, line)
+    java = spark.range(0x10000).where("id NOT BETWEEN 55296 AND 57343").selectExpr("id", "decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE') AS c")
+    blank = {r.id for r in java.where(r"c RLIKE '(?U)^\\s$'").collect()}
+    assert blank == {i for i in range(0x10000) if re.match(f"[{BLANKS}]", chr(i))}
+
+
+def test_white_space_and_long_lines(spark, files):
+    long = "word " * 60_000
+    lines = ["  alpha beta", "alpha\tbeta", "alpha\u2003\xa0 beta ", "alphabeta", "alpha  bet", "x alpha \t beta.", long + "alpha beta", long + "beta", " beta "]
+    rules = [
+        {"id": "a", "regex": r"alpha\s+beta"}, {"id": "b", "regex": r"^\s*alpha[ \t]+beta"}, {"id": "c", "regex": r"(?:^|[ \t])beta(?:[ \t]|$)"},
+        {"id": "d", "regex": r"alpha\s*beta$"}, {"id": "e", "regex": r"word +alpha"}, {"id": "f", "regex": r"alpha {2}bet"},
+    ]
+    table = files([("p", f"{i}.js", line) for i, line in enumerate(lines)])
+    got = rows(table_findings(table, rule_table(raw_table(spark, rules))))
+    assert got == rows(pack_findings(table, check_rules(rules).rules))
+    assert len(got) > 15
+
+
+def test_rules_that_share_a_number(spark, files):
+    raw = [(7, "x", "alpha\\s+beta"), (7, "y", "gamma"), (7, "y", "gamma"), (8, "z", "delta"), (None, "n", "alpha")]
+    rules = rule_table(spark.createDataFrame(raw, "rule_no long, id string, regex string"))
+    lots = "\n".join(f"line {i}" for i in range(200))
+    found = table_findings(files({"a.py": f"alpha beta\n{lots}\ngamma\ndelta"}), rules)
+    got = sorted((r.line_no, r.rule_id) for r in found.collect())
+    assert got == sorted([(1, "n"), *[(1, i) for i in "xyy"], *[(202, i) for i in "xyyxyy"], (203, "z")])
