@@ -348,10 +348,9 @@ def _(spark, sf):
 def _(spark, sf):
     """Four incremental scans of a tree that changes; the last one against the one before."""
     root = shared_folder(spark, "history")
-    context = project_context(fx.manifests(spark, sf))
+    context, packages = staged(project_context(fx.manifests(spark, sf))), staged(_packages(spark, sf))
     for step in range(4):
-        files = fx.tree_at(spark, sf, step)
-        incremental_scan(files, _packages(spark, sf), root, step, ScanOptions(strictness="high"), context=context)
+        incremental_scan(fx.tree_at(spark, sf, step), packages, root, step, ScanOptions(strictness="high"), context=context)
     return history.quality_delta(read_scans(spark, root), read_issue_log(spark, root)).drop("scan_mode")
 
 

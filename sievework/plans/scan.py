@@ -26,12 +26,13 @@ from sievework.sources.files import (
     changed_since,
     is_pack_file,
     is_source,
+    marked_since,
     source_files,
     unchanged,
 )
 from sievework.sources.rules import LineRuleSpec, built_in
 from sievework.sources.sinks import last_issues, last_state, save_scan
-from sievework.sources.stage import staged
+from sievework.sources.stage import remove, shared_folder, staged
 
 
 @dataclass(frozen=True)
@@ -150,14 +151,20 @@ def incremental_scan(
     for them too.  ``report`` goes to ``save_scan``.  A scan that is run again reads the scans before it only.
     """
     spark = files.sparkSession
+    context = project_context(files) if context is None else context
     state = staged(last_state(spark, root, scan_mode, scan_id))
-    found = scan(files, packages, options, context, dismissed, state=state)
-    skipped = unchanged(files.select(*FILE, "md5"), state)
+    # the tree is read once: all keys and hashes, and the content of what changed
+    folder = shared_folder(spark, "tree")
+    marked_since(files, state).write.parquet(folder)
+    tree = spark.read.parquet(folder)
+    every = tree.select(*FILE, "md5")
+    found = scan(tree.where("changed").drop("changed"), packages, options, context, dismissed, lookup=every)
     kept = last_issues(spark, root, scan_mode, scan_id)
-    carried = carry_forward(kept.limit(0), kept, skipped)
+    carried = carry_forward(kept.limit(0), kept, unchanged(every, state))
     if dismissed is not None:
         carried = unsuppressed(carried, dismissed)
-    save_scan(found, root, scan_id, scan_mode, projects=files, carried=carried, state=files, **report)
+    save_scan(found, root, scan_id, scan_mode, projects=every, carried=carried, state=every, **report)
+    remove(spark, folder)
 
 
 def deep_scan(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import (
@@ -256,6 +256,28 @@ def changed_since(files: DataFrame, state: DataFrame) -> DataFrame:
     return files.join(keys.select(*FILE), FILE, "left_semi")
 
 
+def marked_since(files: DataFrame, state: DataFrame) -> DataFrame:
+    """All ``files`` with ``changed``, which is true for those that ``changed_since`` gives; the others come without content.
+
+    Content is read once and meets ``state`` where it is; without a state it does not move.
+    """
+    named = F.col("project").isNotNull() & F.col("path").isNotNull()
+    kept = F.when(F.col("changed"), F.col("content"))
+    if state.isEmpty():
+        return files.withColumn("changed", named & F.col("md5").isNotNull()).withColumn("content", kept)
+    known = state.groupBy(*FILE).agg(
+        F.count("*").alias("_all"), F.count("md5").alias("_texts"), F.min("md5").alias("_least"), F.max("md5").alias("_most")
+    )
+    # like every text the state has for the path; a path it does not have is like no text
+    same = F.when(F.col("md5").isNull(), F.coalesce("_texts", F.lit(0)) == 0).otherwise(
+        F.coalesce((F.col("_texts") == F.col("_all")) & (F.col("_least") == F.col("md5")) & (F.col("_most") == F.col("md5")), F.lit(False))
+    )
+    met = files.join(known, FILE, "left").withColumn("changed", ~same).drop("_all", "_texts", "_least", "_most")
+    # of files with one path all are changed if one is
+    met = met.withColumn("changed", named & F.max("changed").over(Window.partitionBy(*FILE)))
+    return met.withColumn("content", kept)
+
+
 def next_state(files: DataFrame, state: DataFrame) -> DataFrame:
     """``state`` after a scan of ``files``; paths not seen keep their md5."""
     now = files.select(*FILE, "md5")

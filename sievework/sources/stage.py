@@ -36,3 +36,9 @@ def staged(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession, "staged")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of ``shared_folder`` that no plan reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,6 +7,7 @@ from sievework.operators.context import project_context
 from sievework.operators.history import dismissal_state, issue_rows, quality_delta
 from sievework.plans.scan import ScanOptions, incremental_scan, scan
 from sievework.sources import sinks
+from sievework.sources.files import changed_since, file_table, marked_since
 
 HIGH = ScanOptions(strictness="high")
 TREES = [
@@ -92,3 +93,38 @@ def test_history_without_scans(spark, tmp_path):
     root = str(tmp_path / "none")
     assert sinks.read_scans(spark, root).count() == sinks.read_issue_log(spark, root).count() == 0
     assert sinks.last_state(spark, root, "full", 5).count() == sinks.last_issues(spark, root, "full", 5).count() == 0
+
+
+def test_files_are_read_once_a_scan(spark, files, packages, tmp_path):
+    root, context = str(tmp_path), project_context(files({"x": ""}))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    for step, tree in enumerate(TREES):
+        source = files(tree).select("project", "path", "content")
+        incremental_scan(file_table(source.mapInPandas(counted, source.schema)), packages, root, step, HIGH, context=context)
+        assert prints(sinks.read_issue_log(spark, root).where(F.col("scan_id") == step)) == whole(files, packages, tree, step)
+    assert read.value == sum(map(len, TREES))
+
+
+def test_marked_files_are_the_changed_ones(spark):
+    def table(rows):
+        return file_table(spark.createDataFrame([(p, f, c) for p, f, c in rows], "project string, path string, content string"))
+
+    old = [("p", "same", "a"), ("p", "other", "a"), ("p", "none", None), ("p", "both", "a"), ("p", "both", "b"), ("p", "one", "a"), ("p", "one", "a"),
+           ("p", "some", "a"), ("p", "some", None), ("p", "null", None), (None, "x", "a"), ("p", None, "a"), ("q", "same", "b")]
+    new = [("p", "same", "a"), ("p", "other", "b"), ("p", "none", "a"), ("p", "both", "a"), ("p", "one", "a"), ("p", "some", "a"), ("p", "null", None),
+           ("p", "new", "a"), ("p", "empty", None), ("p", "twice", "a"), ("p", "twice", "b"), ("p", "one", "c"), (None, "x", "b"), ("p", None, "b"),
+           (None, None, "c"), ("q", "same", "a"), ("q", "twice", "a"), ("q", "twice", None)]
+    for state in (table(old), table(old).limit(0)):
+        files = table(new)
+        marked = marked_since(files, state)
+        assert sorted(map(repr, marked.select("project", "path", "md5").collect())) == sorted(map(repr, files.select("project", "path", "md5").collect()))
+        assert marked.where("NOT changed AND content IS NOT NULL").count() == 0
+        key = ["project", "path", "content", "md5", "ext", "size_bytes"]
+        got, want = (sorted(map(repr, df.where("content IS NOT NULL").select(*key).collect())) for df in (marked.where("changed"), changed_since(files, state)))
+        assert got == want and want
