@@ -125,7 +125,8 @@ ADVICE = {
 
 
 SKIPPED = either([has("line", "/*"), COMMENT_LINE, DEFINITION_LINE, LITERAL_LINE])
-# case-insensitive rules first look for a word in the lower-cased line
+# case-insensitive rules first look for a quote, which all of them ask for, then for a word in the lower-cased line
+QUOTES = ("'", '"')
 LOWER_HINTS = {
     "hardcoded-secret": ["key", "secret", "token"],
     "hardcoded-password": ["password", "passwd", "pwd"],
@@ -137,10 +138,10 @@ def security_detectors() -> list[Detector]:
     out = []
     for rule_id, exts, severity, title, ignore_case, regexes, hints in SECURITY_RULES:
         test = [either(match("line", rx, ignore_case, hints) for rx in regexes)]
+        if rule_id in LOWER_HINTS:
+            test = [has("line", *QUOTES), has("lower(line)", *LOWER_HINTS[rule_id]), *test]
         if exts is not None:
             test.insert(0, isin("ext", exts))
-        if rule_id in LOWER_HINTS:
-            test.insert(0, has("lower(line)", *LOWER_HINTS[rule_id]))
         test.append(f"NOT {SKIPPED}")
         if rule_id in ("hardcoded-secret", "hardcoded-password"):
             test.append(f"NOT {has('line', *SAFE_SOURCES)}")

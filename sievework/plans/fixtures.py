@@ -201,7 +201,9 @@ def py_files(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, *k
         return F.element_at(snippets, ((F.col("doc_id") + step) % len(SNIPPETS) + 1).cast("int"))
 
     broken = F.when(F.col("doc_id") % 11 == 0, "def broken(:\n").otherwise("")
-    comment = F.concat(F.lit("# "), F.replace(F.translate("text", "\r\x00", "  "), F.lit("\n"), F.lit("\n# ")))
+    # replace looks for bytes; translate would take every character by itself
+    flat = F.replace(F.replace("text", F.lit("\r"), F.lit(" ")), F.lit("\x00"), F.lit(" "))
+    comment = F.concat(F.lit("# "), F.replace(flat, F.lit("\n"), F.lit("\n# ")))
     return file_table(
         docs.select(
             F.col("source").alias("project"),
