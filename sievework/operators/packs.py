@@ -10,6 +10,7 @@ from sievework.functions.predicates import both, either, isin, match, text
 from sievework.functions.text import glob_regex
 from sievework.operators.lines import Detector, line_findings
 from sievework.schema import Rule
+from sievework.sources.literals import signs
 from sievework.sources.rules import LineRuleSpec, built_in
 
 # Files the rule packs look at in a project scan and in a deep scan.
@@ -30,6 +31,7 @@ def pack_detector(spec: LineRuleSpec, exts: Sequence[str] = PACK_EXTS) -> Detect
         Rule(spec.rule_id, spec.severity, spec.category, spec.confidence, "rules",
              spec.message, spec.description, spec.suggestion),
         both(*test),
+        signs=signs(spec.python),
     )
 
 

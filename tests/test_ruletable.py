@@ -5,10 +5,11 @@ import re
 import pytest
 
 from sievework.operators.packs import pack_findings
+from sievework.operators.security import SECURITY_RULES
 from sievework.operators.ruletable import rule_table, table_findings
 from sievework.plans import fixtures as fx
 from sievework.sources.files import file_table
-from sievework.sources.literals import BLANKS, needles
+from sievework.sources.literals import BLANKS, needles, signs
 from sievework.sources.rules import BUILT_IN, built_in, check_rules
 
 RAW = "rule_no long, id string, regex string, pattern string, `regex-not` string, languages array<string>, files array<string>, severity string, category string, message string"
@@ -156,3 +157,15 @@ def test_rules_that_share_a_number(spark, files):
     found = table_findings(files({"a.py": f"alpha beta\n{lots}\ngamma\ndelta"}), rules)
     got = sorted((r.line_no, r.rule_id) for r in found.collect())
     assert got == sorted([(1, "n"), *[(1, i) for i in "xyy"], *[(202, i) for i in "xyyxyy"], (203, "z")])
+
+
+def test_signs_are_in_every_match():
+    assert signs(r"eval\s*\(") == "(" and signs(r"a\(b=|c\(", r"(?:x|\.y)\(") == "("
+    assert signs(r"[=:]x") == signs(r"(?:\()?x") == signs(r"a(?=\()") == signs(r"(?i)eval\(") == signs("") == ""
+    regexes = [(x, False) for rule in RULES for x in [rule.get("regex")] if x and rule["id"] not in ("k", "n", "o", "u")]
+    regexes += [(r["regex"], False) for pack in BUILT_IN.values() for r in pack if r.get("regex")]
+    regexes += [(x, ignore) for *_, ignore, several, _ in SECURITY_RULES for x in several]
+    for regex, ignore in regexes:
+        for line in [*LINES, *fx.TEMPLATES]:
+            if re.search(regex, line, re.IGNORECASE if ignore else 0):
+                assert all(c in line for c in signs(regex)), (regex, line)
